@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS_CHARS, join_hot, stored
+from .common import WS, join_hot, stored
 
 #: Bits a row, and the most bits of one filter: larger inputs are filtered in slices of the hash space, one after another.
 BITS_A_ROW, MOST_BITS = 16, 1 << 28
@@ -114,7 +114,7 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     slim = df.select(
         F.col(id_col).alias("id"),
         F.char_length(text).cast("long").alias("n"),
-        F.unhex(F.sha2(F.translate(text, WS_CHARS, ""), 256)).alias("sha"),
+        F.unhex(F.sha2(F.regexp_replace(text, f"{WS}+", ""), 256)).alias("sha"),
         F.monotonically_increasing_id().alias("row"),
     ).withColumn("h", F.xxhash64("sha"))
     keys = stored(slim, "dedup-keys")

@@ -8,6 +8,14 @@ from pyspark.sql import functions as F
 from .common import documents
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .packing import pack
+
+    return pack(documents(spark, sf_dir), str(public_tokenizers.path("word_bpe_49k.json")))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
@@ -22,15 +30,47 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(documents(spark, sf_dir), 8, carry=["doc_id"])
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import dedup_lines
+
+    out = dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import dedup
 
     return dedup(documents(spark, sf_dir))
 
 
-QUERIES = {"op2_mixing": op2_mixing, "op3_sharding": op3_sharding, "op5_exact_dedup": op5_exact_dedup}
+QUERIES = {
+    "op1_packing": op1_packing,
+    "op2_mixing": op2_mixing,
+    "op3_sharding": op3_sharding,
+    "op4_line_dedup": op4_line_dedup,
+    "op5_exact_dedup": op5_exact_dedup,
+}
 
 ORACLE_SQL = {
+    "op4_line_dedup": r"""
+WITH l AS (
+  SELECT doc_id, unnest(p) AS line, generate_subscripts(p, 1) AS pos
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS p FROM documents)),
+k AS (
+  SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+o AS (SELECT key, min(doc_id) AS owner FROM k WHERE length(key) >= 10 GROUP BY key),
+m AS (SELECT k.*, o.owner IS NOT NULL AND o.owner < k.doc_id AS gone FROM k LEFT JOIN o USING (key))
+SELECT doc_id, count(*)::BIGINT AS n_lines, (count(*) FILTER (WHERE gone))::BIGINT AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM m GROUP BY doc_id
+""",
+    "op5_exact_dedup": r"""
+WITH n AS (
+  SELECT doc_id, length(coalesce(text, '')) AS n, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS sha FROM documents)
+SELECT doc_id, first_value(doc_id) OVER g AS keep_id, (count(*) OVER (PARTITION BY sha))::BIGINT AS group_size,
+       doc_id = first_value(doc_id) OVER g AS kept, sha AS text_sha256
+FROM n WINDOW g AS (PARTITION BY sha ORDER BY n DESC, doc_id)
+""",
     "op2_mixing": r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
