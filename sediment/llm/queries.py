@@ -43,12 +43,28 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(documents(spark, sf_dir))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import held_out, identify, train
+
+    docs = documents(spark, sf_dir)
+    learns = ~held_out() & F.col("doc_id").isNotNull()
+    return identify(docs.select("doc_id", held_out().alias("held_out"), "text"), train(docs, learns)).drop("text")
+
+
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fingerprints import fingerprints
+
+    return fingerprints(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_mixing": op2_mixing,
     "op3_sharding": op3_sharding,
     "op4_line_dedup": op4_line_dedup,
     "op5_exact_dedup": op5_exact_dedup,
+    "op7_language_id": op7_language_id,
+    "op8_fingerprints": op8_fingerprints,
 }
 
 ORACLE_SQL = {
