@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LETTER = re.compile(r"[^\W\d_]")
+APART = re.compile(r"[\W\d_]+")
 UNKNOWN = "und"
 
 
@@ -90,7 +91,7 @@ class Parser:
     def predict(self, text: str | None) -> tuple[str, float]:
         if text is None or not self.langs or not LETTER.search(text):
             return UNKNOWN, 0.0
-        low = text.lower()
+        low = APART.sub(" ", text.lower())
         raw = [a.phrases(self.coded(a, low)) / rate for a, rate, _ in self.parts]
         best = min(range(len(raw)), key=lambda i: (raw[i], self.langs[i]))
         bits = [n * rate * lg for n, (_, rate, lg) in zip(raw, self.parts)]
@@ -130,7 +131,7 @@ def train(df: DataFrame, learns: Column, text_col: str = "text", lang_col: str =
         for t in own:
             if len(text) >= chars:
                 break
-            text += t + "\n"
+            text += APART.sub(" ", t) + " "
         if text:
             out.append((lang, text[:chars]))
     return tuple(out)
@@ -145,7 +146,7 @@ def hash_order(text: str) -> tuple:
 def identify(df: DataFrame, model: tuple[tuple[str, str], ...], text_col: str = "text") -> DataFrame:
     """df with lang_pred string and score double.
 
-    The whole text is cut, for each language, into the longest phrases that the language's labelled text holds (walked
+    Letters alone are compared, lower-cased; whatever stands between them counts as one space. The whole text is cut, for each language, into the longest phrases that the language's labelled text holds (walked
     on its suffix automaton); the phrases are divided by those the language needs on text of its own that its automaton
     has not seen, and the language with the smallest quotient wins. The score is the winner's share when each phrase
     counts with its code length (log2 of the automaton's text), between 0 and 1.
