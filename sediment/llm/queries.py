@@ -57,6 +57,18 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(documents(spark, sf_dir))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import remove_repeats
+
+    return remove_repeats(documents(spark, sf_dir)).drop("removed")
+
+
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import extract
+
+    return extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_mixing": op2_mixing,
@@ -65,6 +77,8 @@ QUERIES = {
     "op5_exact_dedup": op5_exact_dedup,
     "op7_language_id": op7_language_id,
     "op8_fingerprints": op8_fingerprints,
+    "op9_substring_dedup": op9_substring_dedup,
+    "op10_html_text": op10_html_text,
 }
 
 ORACLE_SQL = {
