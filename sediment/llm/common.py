@@ -50,7 +50,7 @@ def discard(*tables: DataFrame) -> None:
 HEAVY = 1024
 
 
-def join_hot(rows: DataFrame, dim: DataFrame, key: str, count: str, how: str = "left") -> DataFrame:
+def join_hot(rows: DataFrame, dim: DataFrame, key: str | list[str], count: str, how: str = "left") -> DataFrame:
     """rows joined with dim (one row for each key, with its number of rows in column count), safe for hot keys.
 
     Keys that hold over 1/1024 of all rows are at most 1024, so their part of dim is broadcast whatever the input's
@@ -59,9 +59,10 @@ def join_hot(rows: DataFrame, dim: DataFrame, key: str, count: str, how: str = "
     total = dim.agg(F.sum(count)).first()[0] or 0
     hot = F.col(count) > F.lit(max(total // HEAVY, 1000))
     heavy, light = F.broadcast(dim.where(hot)), dim.where(~hot)
-    names = [c for c in dim.columns if c != key]
-    through = rows.join(heavy.select(key), key, "left_semi").join(heavy, key, "inner")
-    rest = rows.join(heavy.select(key), key, "left_anti").join(light, key, how)
+    keys = [key] if isinstance(key, str) else key
+    names = [c for c in dim.columns if c not in keys]
+    through = rows.join(heavy, keys, "inner")
+    rest = rows.join(heavy.select(*keys), keys, "left_anti").join(light, keys, how)
     return through.select(*rows.columns, *names).unionByName(rest.select(*rows.columns, *names))
 
 

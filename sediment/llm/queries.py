@@ -43,6 +43,12 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(documents(spark, sf_dir))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard_join import similar_groups
+
+    return similar_groups(documents(spark, sf_dir), k=3, num=90, den=100)
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language_id import held_out, identify, train
 
@@ -75,6 +81,7 @@ QUERIES = {
     "op3_sharding": op3_sharding,
     "op4_line_dedup": op4_line_dedup,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_jaccard_join": op6_jaccard_join,
     "op7_language_id": op7_language_id,
     "op8_fingerprints": op8_fingerprints,
     "op9_substring_dedup": op9_substring_dedup,
