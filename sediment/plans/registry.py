@@ -2,6 +2,25 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
 FLAGSHIP = "C5"
+
+
+def query(name: str, sql: str | Callable[[], str] | None = None):
+    """Registers a function (spark, sf_dir) under a name, with the SQL of the same result."""
+
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql() if callable(sql) else sql
+        return f
+
+    return add
+
+
+from . import annotation_queries, market_queries, source_queries, text_queries  # noqa: E402,F401
