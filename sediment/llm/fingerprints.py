@@ -83,27 +83,29 @@ class Prefixes:
 
 
 def fingerprint(prefixes: Prefixes, k: int = 16, keep: int = 64) -> str:
-    """The `keep` smallest hashes of the text's spans of k code points, 8 hex digits each, in order; empty for no text."""
+    """16 hex digits for the whole text, then the `keep` smallest hashes of its spans of k code points, 8 digits each, in
+    order; empty for no text."""
     if not prefixes.n:
         return ""
     h = prefixes.spans(k)
     low = np.unique(np.partition(h, 4 * keep)[: 4 * keep]) if len(h) > 4 * keep else np.unique(h)
     if len(low) < keep < len(h):
         low = np.unique(h)
-    return (low[:keep] >> U(32)).astype(">u4").tobytes().hex()
+    whole = int(prefixes.spans(prefixes.n)[0])
+    return f"{whole:016x}" + (low[:keep] >> U(32)).astype(">u4").tobytes().hex()
 
 
 def likeness(a: str, b: str, keep: int = 64) -> float:
     """Share of common spans, twice the common ones over the sum of both, estimated from two fingerprints."""
     if a == b:
         return 1.0
-    x, y = ({s[i : i + 8] for i in range(0, len(s), 8)} for s in (a, b))
+    x, y = ({s[i : i + 8] for i in range(16, len(s), 8)} for s in (a, b))
     both = sorted(x | y)[:keep]
     j = sum(v in x and v in y for v in both) / max(len(both), 1)
     return 2 * j / (1 + j)
 
 
-def successors(df: DataFrame, id_col: str, text_col: str, range_bytes: int = 16 << 20, most_ranges: int = 16384) -> DataFrame:
+def successors(df: DataFrame, id_col: str, text_col: str, range_bytes: int = 4 << 20, most_ranges: int = 4096) -> DataFrame:
     """Rows (r, marker, _k1, _k2, id, text) dealt by ranges in descending id and sorted: the next row of a range is the
     next document, and each range ends with a marker, a copy of the next range's first document (after the last: of the
     first). Ranges come from size-weighted sampled splitters over (id, hash of text), so texts are shuffled once and
@@ -123,7 +125,9 @@ def successors(df: DataFrame, id_col: str, text_col: str, range_bytes: int = 16
     last = f"array({', '.join(str(before.get(r, 0)) for r in range(len(sizes)))})"
     target = F.expr(f"if(struct(_k1, _k2) = get({table}, r), array(struct(r as r, 0 as marker), struct(get({last}, r) as r, 1 as marker)), array(struct(r as r, 0 as marker)))")
     dealt = rows.withColumn("r", range_index(cols, bounds)).withColumn("_t", F.explode(target)).select("_t.r", "_t.marker", *cols, "id", "text")
-    return dealt.repartition(max(1, len(full)), "r").sortWithinPartitions("r", "marker", *cols)
+    # Several small ranges meet in a task, so that hashing deals them evenly; past the most ranges each has its own.
+    tasks = len(full) if parts == most_ranges else -(-len(full) // 4)
+    return dealt.repartition(max(1, tasks), "r").sortWithinPartitions("r", "marker", *cols)
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 16, keep: int = 64) -> DataFrame:
