@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .asof import latest, rank_at
+from .graph import settled
 
 HORIZONS, WINDOW, ESTIMATION = (1, 5, 20), 20, 252
 
@@ -95,7 +96,7 @@ def outcome_labels(events: DataFrame, bars: DataFrame, benchmark: DataFrame, sec
     ranked = ranked_bars(bars)
     # Factors are matched before the window is cut: the model uses the last 252 matched sessions, not bars.
     known = ranked.join(F.broadcast(factors), "session_date", "left")
-    wide = event_windows(events, ranked, WINDOW, WINDOW)
+    wide = settled(event_windows(events, ranked, WINDOW, WINDOW))  # read by four aggregates
     after, prior = F.col("k") >= 0, F.col("k") < 0
     at = lambda c, k: F.max(F.when(F.col("k") == k, F.col(c)))
     day = F.when(F.col("k") == 0, F.try_divide("close", "open") - 1).when(after, F.col("ret"))
@@ -146,7 +147,7 @@ def residuals(events, ranked, known, wide, factors, least, estimation) -> tuple[
     upto = rank_at(started, matched, ["security_id"], "r", "rank").select("event_id", "security_id", (F.col("start_rank") - 1).alias("upto"))
     wanted = upto.withColumn("k", F.explode(F.sequence(F.lit(-estimation), F.lit(-1)))).withColumn("m", F.col("upto") + F.col("k") + 1)
     obs = wanted.join(matched.select("security_id", "m", "ret", "mkt", "smb", "hml", "rf"), ["security_id", "m"])
-    models = factor_models(obs.select("event_id", "k", "ret", "mkt", "smb", "hml", "rf"), least, estimation)
+    models = settled(factor_models(obs.select("event_id", "k", "ret", "mkt", "smb", "hml", "rf"), least, estimation))
     days = wide.where(F.col("k") >= 0).join(F.broadcast(factors), "session_date", "left").join(models, "event_id")
     r = F.when(F.col("k") == 0, F.try_divide("close", "open") - 1).otherwise(F.col("ret"))
     left = r - F.col("rf") - F.col("alpha") - F.col("beta_market") * F.col("mkt") - F.col("beta_smb") * F.col("smb") - F.col("beta_hml") * F.col("hml")
