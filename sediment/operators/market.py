@@ -93,7 +93,7 @@ def outcome_labels(events: DataFrame, bars: DataFrame, benchmark: DataFrame, sec
     benchmark: (session_date, open, close); sectors: the same with sector; factors: (session_date, mkt, smb, hml, rf).
     All measures are null where the event has no bar at or after tradable_at.
     """
-    ranked = ranked_bars(bars)
+    ranked = settled(ranked_bars(bars))
     # Factors are matched before the window is cut: the model uses the last 252 matched sessions, not bars.
     known = ranked.join(F.broadcast(factors), "session_date", "left")
     wide = settled(event_windows(events, ranked, WINDOW, WINDOW))  # read by four aggregates

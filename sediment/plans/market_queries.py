@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import asof, calendar, market, master
+from ..operators.graph import settled
 from . import bindings as B
 from .registry import query
 
@@ -235,7 +236,7 @@ def w13(spark, sf_dir):
 
 
 def labels(spark, sf_dir):
-    bars = B.bars(spark, sf_dir)
+    bars = settled(B.bars(spark, sf_dir))  # the benchmark, sectors, factors and windows all read it
     return market.outcome_labels(B.outcome_events(spark, sf_dir), bars, B.benchmark(bars), B.sectors(bars), B.factors(market.ranked_bars(bars)))
 
 
