@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import math
 import re
-from array import array
+from collections import Counter
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,16 +17,28 @@ APART = re.compile(r"[\W\d_]+")
 UNKNOWN = "und"
 
 
+#: Texts that are walked side by side while at least so many are left; the rest of the longest are walked one by one.
+FEW = 48
+
+
+def alphabet(texts: list[str]) -> dict[int, int]:
+    """Codes 1 to 255 for the commonest characters of the texts, for str.translate; every other character is 0."""
+    return _Coding({ord(c): i for i, (c, _) in enumerate(sorted(Counter("".join(texts)).items(), key=lambda x: (-x[1], x[0]))[:255], 1)})
+
+
+class _Coding(dict):
+    def __missing__(self, c):
+        return 0
+
+
 class Automaton:
-    """Suffix automaton of a text as one table: state offset + character code gives the next state's offset, 0 for none."""
+    """Suffix automaton of a coded text as one table: state offset + code gives the next state's offset, 0 for none."""
 
-    def __init__(self, text: str):
-        self.codes = {c: i + 1 for i, c in enumerate(sorted(set(text))[:254])}
-        width = self.width = len(self.codes) + 1
-        nexts: list[dict[str, int]] = [{}]
+    def __init__(self, codes: bytes, width: int):
+        nexts: list[dict[int, int]] = [{}]
         link, length, last = [-1], [0], 0
-        for c in text:
-            if c not in self.codes:
+        for c in codes:
+            if not c:
                 continue
             cur = len(nexts)
             nexts.append({})
@@ -49,14 +62,17 @@ class Automaton:
                         p = link[p]
                     link[q] = link[cur] = clone
             last = cur
-        self.table = array("i", bytes(4 * width * len(nexts)))
+        self.width = width
+        table = np.zeros((len(nexts), width), np.int32)
         for s, own in enumerate(nexts):
             for c, t in own.items():
-                self.table[s * width + self.codes[c]] = t * width
+                table[s, c] = t * width
+        self.table = table.ravel()
+        self.plain = memoryview(self.table)
 
-    def phrases(self, codes: bytes) -> int:
+    def phrases(self, codes: bytes, s: int = 0, n: int = 0) -> int:
         """How many longest matches, one after another, cover the coded text; a character not in the text is one."""
-        table, s, n = self.table, 0, 0
+        table = self.plain
         for c in codes:
             t = table[s + c]
             if t:
@@ -71,40 +87,79 @@ class Automaton:
 
 
 class Parser:
-    """Automata of all languages over one coding of characters, and their phrases a character on text kept apart."""
+    """Automata of all languages over one coding of characters, and the phrases a character they need on text kept apart."""
 
     def __init__(self, model: tuple[tuple[str, str], ...]):
         self.langs = [lang for lang, _ in model]
+        self.coding = alphabet([text for _, text in model])
         self.parts = []
         for _, text in model:
             cut = len(text) * 4 // 5
-            a = Automaton(text[:cut])
+            a = Automaton(self.coded(text[:cut]), len(self.coding) + 1)
             own = text[cut:] or text
-            self.parts.append((a, max(a.phrases(self.coded(a, own)), 1) / max(len(own), 1), math.log2(max(cut, 2))))
-
-    @staticmethod
-    def coded(a: Automaton, text: str) -> bytes:
-        if not hasattr(a, "coding"):
-            a.coding = _Coding(a.codes)
-        return text.translate(a.coding).encode("latin-1")
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        if text is None or not self.langs or not LETTER.search(text):
-            return UNKNOWN, 0.0
-        low = APART.sub(" ", text.lower())
-        raw = [a.phrases(self.coded(a, low)) / rate for a, rate, _ in self.parts]
-        best = min(range(len(raw)), key=lambda i: (raw[i], self.langs[i]))
-        bits = [n * rate * lg for n, (_, rate, lg) in zip(raw, self.parts)]
-        spread = sum(2.0 ** -min(1000.0, max(0.0, (n - raw[best]) * bits[best] / max(raw[best], 1e-9))) for n in raw)
-        return self.langs[best], 1.0 / spread
-
-
-class _Coding(dict):
-    def __init__(self, codes):
-        super().__init__({ord(c): i for c, i in codes.items()})
-
-    def __missing__(self, c):
-        return 0
+            self.parts.append((a, max(a.phrases(self.coded(own)), 1) / max(len(own), 1), math.log2(max(cut, 2))))
+
+        self.width = len(self.coding) + 1
+        # All tables in one, after an empty row, so that 0 is no state; a language's root is its base.
+        sizes = [len(a.table) for a, _, _ in self.parts]
+        self.bases = self.width + np.cumsum([0, *sizes], dtype=np.int32)[:-1] if sizes else np.zeros(0, np.int32)
+        self.table = np.concatenate([np.zeros(self.width, np.int32), *(np.where(a.table > 0, a.table + b, 0).astype(np.int32) for (a, _, _), b in zip(self.parts, self.bases))])
+
+    def all_phrases(self, flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """phrases of many texts (flat codes; size in falling order) in all languages, [language, text].
+
+        Texts and languages are walked side by side, a character of each at a time, while at least FEW texts are left.
+        """
+        table, k = self.table, len(self.parts)
+        n, s = np.zeros((k, len(size)), np.int64), np.repeat(self.bases[:, None], len(size), 1)
+        pos, live = 0, int(np.count_nonzero(size))
+        while live >= FEW:
+            stop = int(size[live - 1])
+            state, count, base = s[:, :live].ravel(), n[:, :live].ravel(), np.repeat(self.bases, live)
+            at = start[:live] + pos
+            for _ in range(pos, stop):
+                c = np.tile(flat[at], k)
+                t = table[state + c]
+                lost = np.flatnonzero(t == 0)
+                if len(lost):
+                    root = base[lost]
+                    again = table[root + c[lost]]
+                    count[lost] += (state[lost] != root).astype(np.int64) + (again == 0)
+                    t[lost] = np.where(again == 0, root, again)
+                state = t
+                at += 1
+            s[:, :live], n[:, :live] = state.reshape(k, live), count.reshape(k, live)
+            pos = stop
+            live = int(np.searchsorted(-size, -pos, "left"))
+        out = n + (s != self.bases[:, None])
+        for i in range(live):
+            rest = flat[start[i] + pos : start[i] + size[i]].tobytes()
+            for j, (a, _, _) in enumerate(self.parts):
+                out[j, i] = a.phrases(rest, int(s[j, i] - self.bases[j]), int(n[j, i]))
+        return out
+
+    def coded(self, text: str) -> bytes:
+        return text.translate(self.coding).encode("latin-1")
+
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        out: list[tuple[str, float]] = [(UNKNOWN, 0.0)] * len(texts)
+        known = [i for i, t in enumerate(texts) if t is not None and self.langs and LETTER.search(t)]
+        if not known:
+            return out
+        codes = [self.coded(APART.sub(" ", texts[i].lower())) for i in known]
+        size = np.array([len(c) for c in codes], np.int64)
+        order = np.argsort(-size, kind="stable")
+        flat = np.frombuffer(b"".join(codes), np.uint8)
+        start = (np.cumsum(size) - size)[order]
+        counts = np.empty((len(self.parts), len(known)))
+        counts[:, order] = self.all_phrases(flat, start, size[order])
+        for j, i in enumerate(known):
+            raw = [counts[k, j] / rate for k, (_, rate, _) in enumerate(self.parts)]
+            best = min(range(len(raw)), key=lambda k: (raw[k], self.langs[k]))
+            _, rate, bits = self.parts[best]
+            spread = sum(2.0 ** -min(1000.0, (n - raw[best]) * rate * bits) for n in raw)
+            out[i] = (self.langs[best], 1.0 / spread)
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -158,8 +213,10 @@ def identify(df: DataFrame, model: tuple[tuple[str, str], ...], text_col: str =
 
     @F.pandas_udf("lang_pred string, score double")
     def predicted(texts: pd.Series) -> pd.DataFrame:
-        p = parser(model)
-        return pd.DataFrame([p.predict(t) for t in texts], columns=["lang_pred", "score"])
+        p, rows = parser(model), []
+        for i in range(0, len(texts), 5000):  # bounds what is held beside the batch
+            rows += p.predict(texts.iloc[i : i + 5000].tolist())
+        return pd.DataFrame(rows, columns=["lang_pred", "score"])
 
     out = df.drop("lang_pred", "score").withColumn("_p", predicted(F.col(text_col)))
     return out.select("*", "_p.lang_pred", "_p.score").drop("_p")
