@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import trim
+
 LETTER = re.compile(r"[^\W\d_]")
 APART = re.compile(r"[\W\d_]+")
 UNKNOWN = "und"
@@ -104,6 +106,7 @@ class Parser:
         sizes = [len(a.table) for a, _, _ in self.parts]
         self.bases = self.width + np.cumsum([0, *sizes], dtype=np.int32)[:-1] if sizes else np.zeros(0, np.int32)
         self.table = np.concatenate([np.zeros(self.width, np.int32), *(np.where(a.table > 0, a.table + b, 0).astype(np.int32) for (a, _, _), b in zip(self.parts, self.bases))])
+        trim()
 
     def all_phrases(self, flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
         """phrases of many texts (flat codes; size in falling order) in all languages, [language, text].
@@ -216,6 +219,7 @@ def identify(df: DataFrame, model: tuple[tuple[str, str], ...], text_col: str =
         p, rows = parser(model), []
         for i in range(0, len(texts), 5000):  # bounds what is held beside the batch
             rows += p.predict(texts.iloc[i : i + 5000].tolist())
+            trim()
         return pd.DataFrame(rows, columns=["lang_pred", "score"])
 
     out = df.drop("lang_pred", "score").withColumn("_p", predicted(F.col(text_col)))

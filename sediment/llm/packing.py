@@ -14,10 +14,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS_CHARS, stored
+from .common import WS_CHARS, stored, trim
 
 #: Words whose ids a worker remembers, at most (about 200 bytes each); beyond it the memory starts afresh.
-REMEMBERED = 500_000
+REMEMBERED = 120_000
 
 
 class Tokens:
@@ -160,6 +160,9 @@ def pack(df: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, pie
                     start = e
             cols = list(zip(*out)) or [[]] * 5
             yield pa.record_batch([pa.array(c, pa.int64()) for c in cols], ["id", "start", "length", "ids_crc32", "doc_tokens"])
+        enc.words.clear()  # the worker may go on to another stage
+        enc.pieces.clear()
+        trim()
 
     slim = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     cuts = slim.mapInArrow(cut, "id long, start long, length long, ids_crc32 long, doc_tokens long")
