@@ -10,14 +10,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, join_hot, stored
+from .common import discard, join_hot, stored, trim
 from .substring_dedup import LAST, packed, unpacked
 from .words import U, blocks, mixed
 
 #: Sets larger than this are never enumerated; a boundary below it is chosen by cost.
 MOST_ENUMERATED = 28
-#: Documents whose shingles are counted, about, and most shingles that are put last for being common (order only).
-SAMPLE, COMMON = 4096, 50_000
+#: Documents whose shingles are counted for the order of elements, about; from how many of them a shingle counts as common;
+#: and how many common ones are put last, at most. They change the work, never the result.
+SAMPLE, OFTEN, COMMON = 4096, 8, 50_000
 
 
 class Threshold:
@@ -72,8 +73,8 @@ def _docs(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def common_shingles(docs: DataFrame, k: int) -> np.ndarray:
-    """Shingles that many of a sample of about 4096 documents have. They only come last in the order of elements, which
-    saves work; the join is exact under any order."""
+    """Shingles that several of a sample of about SAMPLE documents have. They only come last in the order of elements,
+    which saves work; the join is exact under any order."""
     rate = SAMPLE / max(docs.count(), 1)
     sample = docs.where(F.pmod(F.xxhash64("id", "rk"), F.lit(1 << 30)) < F.lit(int(min(1.0, rate) * (1 << 30))))
 
@@ -82,18 +83,19 @@ def common_shingles(docs: DataFrame, k: int) -> np.ndarray:
             found = [shingles(block, r - i, k) for i, j, block in blocks(b.column(0), True) for r in range(i, j)]
             yield pa.record_batch([pa.array(np.concatenate([*found, np.zeros(0, U)]).view(np.int64))], ["h"])
 
-    counts = sample.select("text").mapInArrow(run, "h long").groupBy("h").count().where("count >= 8")
-    return np.sort(np.array([r["h"] for r in counts.orderBy(F.desc("count"), "h").limit(COMMON).collect()], np.int64).view(U))
+    counts = sample.select("text").mapInArrow(run, "h long").groupBy("h").count().where(F.col("count") >= OFTEN)
+    found = counts.orderBy(F.desc("count"), "h").limit(COMMON).select("h").toArrow()
+    return np.sort(found.column("h").to_numpy().view(U))
 
 
 def document_sets(docs: DataFrame, k: int, t: Threshold) -> DataFrame:
-    """Per document: id, rk, n (size of its set), s1, s2 (the set's identity) and elems: its first elements in the
-    common order (all of them in small sets)."""
+    """Per document: id, rk, n (size of its set), s1, s2 (the set's identity), elems: its first elements in the common
+    order (all of them in small sets), and lights: how many of these are not put last for being common."""
     common = common_shingles(docs, k)
 
     def run(batches):
         for b in batches:
-            n, s1, s2, elems = [], [], [], []
+            n, s1, s2, lights, elems = [], [], [], [], []
             for i, j, block in blocks(b.column(2), True):
                 for r in range(i, j):
                     h = shingles(block, r - i, k)
@@ -101,16 +103,20 @@ def document_sets(docs: DataFrame, k: int, t: Threshold) -> DataFrame:
                     n.append(len(h))
                     s1.append(signed(a))
                     s2.append(signed(c))
+                    light = len(h)
                     if len(common) and len(h):
                         at = np.searchsorted(common, h)
                         often = common[np.minimum(at, len(common) - 1)] == h
                         h = np.concatenate([h[~often], h[often]])
+                        light -= int(often.sum())
                     elems.append(h[: len(h) if len(h) <= MOST_ENUMERATED else t.prefixes(len(h))[0]].view(np.int64))
+                    lights.append(min(light, len(elems[-1])))
             ends = np.cumsum([0, *map(len, elems)]).astype(np.int32)
             flat = np.concatenate([*elems, np.zeros(0, np.int64)])
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(n, pa.int32()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["id", "rk", "n", "s1", "s2", "elems"])
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(n, pa.int32()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(lights, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["id", "rk", "n", "s1", "s2", "lights", "elems"])
+        trim()
 
-    return stored(docs.mapInArrow(run, "id long, rk long, n int, s1 long, s2 long, elems array<long>"), "document-sets")
+    return stored(docs.mapInArrow(run, "id long, rk long, n int, s1 long, s2 long, lights int, elems array<long>"), "document-sets")
 
 
 def chosen_boundary(sets: DataFrame, t: Threshold) -> int:
@@ -213,29 +219,66 @@ def _neighbours(posts: DataFrame) -> DataFrame:
     return posts.repartition(parts, "h").sortWithinPartitions("h").mapInArrow(keep, "h long, sid long, n int, pos int, index boolean")
 
 
-def measured(pairs: DataFrame, sets: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """pairs (a, b) with the size of both sets' intersection and union, counted on the whole sets.
+#: Most rows of (set, document) that are broadcast to pick texts; more are joined by shuffle.
+FEW_SETS = 500_000
 
-    Whole sets are made again from the texts of just the sets in a pair.
+
+def plausible(pairs: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
+    """The distinct pairs that their sets' first elements don't rule out.
+
+    Up to the smaller of two sets' last known elements both are known in full. If more elements differ there than linked
+    sets of these sizes differ in all, the pair cannot be linked. Only these short arrays travel.
+    """
+    side = lambda s: sets.select(F.col("sid").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("n", "lights", "elems")])
+
+    def run(batches):
+        for b in batches:
+            cols = b.to_pydict()
+            arrays = []
+            for c in ("elems_a", "elems_b"):
+                col = b.column(b.schema.get_field_index(c))
+                ends, flat = col.offsets.to_numpy(), col.values.to_numpy().view(U)
+                arrays.append([flat[x:y] for x, y in zip(ends[:-1], ends[1:])])
+            keep = []
+            for x, y, n, m, p, q in zip(*arrays, cols["n_a"], cols["n_b"], cols["lights_a"], cols["lights_b"]):
+                last = min((len(x) > p, int(x[-1])), (len(y) > q, int(y[-1])))
+                upto = lambda e, k: int(np.searchsorted(e[:k], U(last[1]), "right")) if not last[0] else k + int(np.searchsorted(e[k:], U(last[1]), "right"))  # noqa: B023, E731
+                i, j = upto(x, p), upto(y, q)
+                same = len(set(x[:i].tolist()).intersection(y[:j].tolist()))
+                keep.append(i + j - 2 * same <= n + m - 2 * t.overlap(n, m))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    both = pairs.distinct().join(side("a"), "a").join(side("b"), "b").select("a", "b", *[f"{c}_{s}" for c in ("n", "lights", "elems") for s in "ab"])
+    return stored(both.mapInArrow(run, "a long, b long"), "plausible-pairs")
+
+
+def measured(pairs: DataFrame, sets: DataFrame, docs: DataFrame, k: int, t: Threshold) -> DataFrame:
+    """The plausible ones of pairs (a, b), with the sizes of their sets' intersection and union, counted on the whole sets.
+
+    Whole sets are made again from the texts of just the sets in a pair. The table that picks those texts is broadcast
+    where it has FEW_SETS rows or fewer, and joined by shuffle where it has more.
     """
-    pairs = stored(pairs.distinct(), "pairs")
+    pairs = plausible(pairs, sets, t)
     used = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
-    where = sets.join(used, "sid").select("sid", "id", "rk")
+    where = stored(sets.select("sid", "id", "rk").join(used, "sid"), "used-sets")
+    few = where.count() <= FEW_SETS
 
     def run(batches):
         for b in batches:
-            found = [shingles(block, r - i, k).view(np.int64) for i, j, block in blocks(unpacked(b.column(1)), True) for r in range(i, j)]
+            texts = b.column(1) if few else unpacked(b.column(1))
+            found = [shingles(block, r - i, k).view(np.int64) for i, j, block in blocks(texts, True) for r in range(i, j)]
             ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
             flat = np.concatenate([*found, np.zeros(0, np.int64)])
             yield pa.record_batch([b.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["sid", "set"])
+        trim()
 
-    texts = where.join(packed(docs), ["id", "rk"]).dropDuplicates(["sid"]).select("sid", "packed")
-    whole = stored(texts.mapInArrow(run, "sid long, set array<long>"), "whole-sets")
+    texts = docs.join(F.broadcast(where), ["id", "rk"]).select("sid", "text") if few else packed(docs).join(where, ["id", "rk"]).select("sid", "packed")
+    whole = stored(texts.mapInArrow(run, "sid long, set array<long>").dropDuplicates(["sid"]), "whole-sets")
     left, right = whole.withColumnsRenamed({"sid": "a", "set": "_a"}), whole.withColumnsRenamed({"sid": "b", "set": "_b"})
     both = pairs.join(left, "a").join(right, "b")
     inter = F.size(F.array_intersect("_a", "_b"))
     out = stored(both.select("a", "b", inter.alias("inter"), (F.size("_a") + F.size("_b") - inter).alias("outer")), "measured-pairs")
-    discard(whole, pairs)
+    discard(whole, pairs, where)
     return out
 
 
@@ -288,7 +331,7 @@ def linked_sets(sets: DataFrame, docs: DataFrame, k: int, t: Threshold) -> DataF
     sizes = led.where("sid = leader").select("h", F.col("n").alias("ln")).distinct()
     sizes = stored(sizes.join(lists.select("h", "many"), "h"), "leaders")
     star = join_hot(led.drop("many"), sizes, "h", "many", "inner").where("sid != leader").where((F.lit(t.den) * F.least("n", "ln") >= F.lit(t.num) * F.greatest("n", "ln")))
-    first = measured(star.select(F.col("leader").alias("a"), F.col("sid").alias("b")), sets, docs, k)
+    first = measured(star.select(F.col("leader").alias("a"), F.col("sid").alias("b")), sets, docs, k, t)
     ok = F.col("inter") * t.den >= F.col("outer") * t.num
     links = stored(first.where(ok).select("a", "b").unionByName(few), "links")
     parts = components(links)
@@ -308,7 +351,7 @@ def linked_sets(sets: DataFrame, docs: DataFrame, k: int, t: Threshold) -> DataF
     more = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.part") != F.col("y.part")) & near & once & close_enough(t))
     pairs = more.select(F.least("x.sid", "y.sid").alias("a"), F.greatest("x.sid", "y.sid").alias("b")).distinct()
     known = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    second = measured(pairs.join(known, ["a", "b"], "left_anti"), sets, docs, k)
+    second = measured(pairs.join(known, ["a", "b"], "left_anti"), sets, docs, k, t)
     new = stored(second.where(ok).select("a", "b"), "late-links")
     if new.isEmpty():
         return parts
@@ -331,8 +374,8 @@ def similar_groups(df: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_
     own = document_sets(docs, k, t)
     key = ["n", "s1", "s2"]
     best = F.min(F.struct("id", "rk")).alias("m")
-    classes = own.where("n > 0").groupBy(*key).agg(best, F.first("elems").alias("elems"), F.count("*").alias("copies"))
-    sets = stored(classes.select(F.monotonically_increasing_id().alias("sid"), *key, F.col("m.id").alias("id"), F.col("m.rk").alias("rk"), "elems", "copies"), "sets")
+    classes = own.where("n > 0").groupBy(*key).agg(best, F.first("lights").alias("lights"), F.first("elems").alias("elems"), F.count("*").alias("copies"))
+    sets = stored(classes.select(F.monotonically_increasing_id().alias("sid"), *key, F.col("m.id").alias("id"), F.col("m.rk").alias("rk"), "lights", "elems", "copies"), "sets")
     parts = linked_sets(sets, docs, k, t)
     labelled = stored(sets.select("sid", *key, "id", "copies").join(parts.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid")), "labelled-sets")
     least = labelled.groupBy("label").agg(F.min("id").alias("component"))
