@@ -10,7 +10,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, join_hot, stored
+from .common import discard, join_hot, stored, trim
 from .words import U, Block, blocks
 
 #: Stands for a null id: such rows are one document, after all others.
@@ -73,17 +73,20 @@ def repeated_runs(df: DataFrame, length: int, id_col: str, text_col: str) -> Dat
                 if (found := anchors(block, length)) is not None:
                     doc, start, windows, g, span = found
                     yield pa.record_batch([pa.array(x) for x in (g.view(np.int64), span.view(np.int64), ids[i + doc], rks[i + doc], start.astype(np.int32), windows.astype(np.int32))], ["g", "s", "id", "rk", "start", "windows"])
+        trim()
 
     found = stored(docs.mapInArrow(seeds, "g long, s long, id long, rk long, start int, windows int"), "anchors")
-    shared = found.groupBy("g").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("g")
-    found_again = stored(found.join(shared, "g", "left_semi"), "shared-anchors")
+    shared = found.groupBy("g").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("many")).where("lo < hi").select("g", "many")
+    shared = stored(shared, "shared-seeds")
+    found_again = stored(join_hot(found, shared, "g", "many", "inner").drop("many"), "shared-anchors")
     discard(found)
     classes = stored(found_again.groupBy("g", "s").agg(F.min("id").alias("owner"), F.count("*").alias("n")), "anchor-classes")
-    several = classes.groupBy("g").agg(F.count("*").alias("classes")).where("classes > 1").select("g")
+    several = stored(classes.groupBy("g").agg(F.count("*").alias("classes"), F.sum("n").alias("many")).where("classes > 1").select("g", "many"), "open-seeds")
     owned = join_hot(found_again.withColumn("c", F.xxhash64("g", "s")), classes.select(F.xxhash64("g", "s").alias("c"), "owner", "n"), "c", "n", "inner")
     stop = (F.col("start") + F.col("windows") + F.lit(length - 1)).cast("int").alias("stop")
     whole = owned.where("id > owner").select("id", "rk", "start", stop)
-    open_ = owned.where("id = owner").join(several, "g", "left_semi").groupBy("id", "rk").agg(F.collect_set(F.struct("start", "windows")).alias("spans"))
+    owners = stored(owned.where("id = owner").select("g", "id", "rk", "start", "windows"), "class-owners")
+    open_ = join_hot(owners, several, "g", "many", "inner").groupBy("id", "rk").agg(F.collect_set(F.struct("start", "windows")).alias("spans"))
 
     def windows(batches):
         for b in batches:
@@ -97,6 +100,7 @@ def repeated_runs(df: DataFrame, length: int, id_col: str, text_col: str) -> Dat
                 at, row = np.concatenate(at), np.concatenate(row)
                 h = block.runs(at, length)
                 yield pa.record_batch([pa.array(x) for x in (h.view(np.int64), b.column(0).to_numpy()[row], b.column(1).to_numpy()[row], (at - block.first[row - i]).astype(np.int32))], ["h", "id", "rk", "start"])
+        trim()
 
     texts = open_.join(packed(docs), ["id", "rk"]).select("id", "rk", "packed", "spans")
     each = stored(texts.mapInArrow(windows, "h long, id long, rk long, start int").distinct(), "windows")
@@ -113,6 +117,7 @@ def packed(docs: DataFrame) -> DataFrame:
         for b in batches:
             texts = [zip_.compress(t.as_buffer() if hasattr(t, "as_buffer") else t.as_py().encode()) for t in b.column(2)]
             yield pa.record_batch([b.column(0), b.column(1), pa.array(texts, pa.binary())], ["id", "rk", "packed"])
+        trim()
 
     return docs.mapInArrow(run, "id long, rk long, packed binary")
 
@@ -160,6 +165,7 @@ def remove_repeats(df: DataFrame, length: int = 50, id_col: str = "doc_id", text
                 [b.column(0), *(pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.string(), ranges, pa.string())))],
                 ["id", "n_words", "n_removed", "kept_sha256", "removed", "kept_text"],
             )
+        trim()
 
     joined = packed(docs).join(gone, ["id", "rk"], "left").select("id", "rk", "packed", "gone")
     out = joined.mapInArrow(apply, "id long, n_words long, n_removed long, kept_sha256 string, removed array<struct<start:int,stop:int>>, kept_text string")
