@@ -18,7 +18,7 @@ from .words import U, blocks, mixed
 MOST_ENUMERATED = 28
 #: Documents whose shingles are counted for the order of elements, about; from how many of them a shingle counts as common;
 #: and how many common ones are put last, at most. They change the work, never the result.
-SAMPLE, OFTEN, COMMON = 4096, 8, 50_000
+SAMPLE, OFTEN, COMMON = 16384, 3, 250_000
 
 
 class Threshold:
