@@ -282,24 +282,33 @@ def measured(pairs: DataFrame, sets: DataFrame, docs: DataFrame, k: int, t: Thre
     return out
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, label): the smallest node of each connected component of edges (a, b), by least neighbours and jumps.
+def components(edges: DataFrame) -> DataFrame:
+    """(node, label): the smallest node of each connected component of edges (a, b), by alternating large and small stars.
 
-    Every round takes the least label around each node, then follows labels to their labels; both are joins and minima
-    over slim rows, and a table in the shared folder ends each round's lineage.
+    A large star ties a node's larger neighbours to the least node around it, a small star its smaller ones. Both keep
+    what is connected, never add edges and are minima and joins over slim rows. Rounds go on until each node has one edge,
+    to a node without a smaller neighbour; on a chain their number grows with the logarithm of its length. A table in the
+    shared folder ends each star's lineage.
     """
-    both = stored(edges.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("other"))).distinct(), "edges")
-    labels = stored(both.groupBy("node").agg(F.min("other").alias("l")).select("node", F.least("node", "l").alias("label")), "labels")
-    for _ in range(rounds):
-        told = both.join(labels.withColumnsRenamed({"node": "other", "label": "l"}), "other").groupBy("node").agg(F.min("l").alias("l"))
-        new = labels.join(told, "node").select("node", "label", F.least("label", "l").alias("new"))
-        jump = labels.withColumnsRenamed({"node": "new", "label": "far"})
-        new = stored(new.join(jump, "new").select("node", F.least("new", "far").alias("label"), (F.least("new", "far") < F.col("label")).alias("moved")), "labels")
-        discard(labels)
-        labels = new
-        if not labels.where("moved").limit(1).count():
+    nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    links = edges.where("a != b").select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("label")).distinct()
+    links = stored(links, "edges")
+    while True:
+        both = links.unionByName(links.select(F.col("label").alias("node"), F.col("node").alias("label")))
+        up, down = F.count(F.when(F.col("label") < F.col("node"), 1)), F.count(F.when(F.col("label") > F.col("node"), 1))
+        if both.groupBy("node").agg(up.alias("up"), down.alias("down")).where("up > 1 or up > 0 and down > 0").isEmpty():
             break
-    return labels.select("node", "label")
+        least = both.groupBy("node").agg(F.min("label").alias("l")).select("node", F.least("node", "l").alias("l"))
+        large = both.where("label > node").join(least, "node").select(F.col("label").alias("node"), F.col("l").alias("label"))
+        large = stored(large.distinct(), "large-stars")
+        least = large.groupBy("node").agg(F.min("label").alias("l"))
+        small = large.join(least, "node").where("label != l").select(F.col("label").alias("node"), F.col("l").alias("label"))
+        small = stored(small.unionByName(least.withColumnRenamed("l", "label")).distinct(), "small-stars")
+        discard(links, large)
+        links = small
+    out = stored(nodes.join(links, "node", "left").select("node", F.coalesce("label", "node").alias("label")), "labels")
+    discard(links)
+    return out
 
 
 def close_enough(t: Threshold) -> Column:

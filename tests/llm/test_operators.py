@@ -261,6 +261,31 @@ def test_jaccard_join_of_small_sets(spark, num):
     assert out == groups_of(data, 1, num, 100)
 
 
+def test_components_of_long_chains(spark):
+    """Chains whose labels fall away from the smallest node, or stand in random order; a hub, a pair and a lone node."""
+    import random
+
+    from sediment.llm.jaccard_join import components
+
+    order = list(range(1000, 1500))
+    random.Random(1).shuffle(order)
+    falling = [0, *range(500, 0, -1)]
+    edges = [*zip(falling, falling[1:]), *zip(order, order[1:]), *((2000 + i, 2500) for i in range(40)), (3001, 3000), (4000, 4000)]
+    want = {**dict.fromkeys(falling, 0), **dict.fromkeys(order, 1000), **dict.fromkeys([*range(2000, 2040), 2500], 2000), 3000: 3000, 3001: 3000, 4000: 4000}
+    out = components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert len(out) == len(want) and {r["node"]: r["label"] for r in out} == want
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_jaccard_join_of_a_chain(spark):
+    """Each document is linked with the next one alone; ids fall along the chain."""
+    from sediment.llm.jaccard_join import similar_groups
+
+    data = [(500 - i, " ".join(f"w{j}" for j in range(i, i + 20))) for i in range(500)]
+    out = similar_groups(spark.createDataFrame(data, "doc_id long, text string"), 1, 90, 100).collect()
+    assert len(out) == 500 and {r["component_id"] for r in out} == {1}
+
+
 def test_language_id(docs, empty, spark, sf):
     from sediment.llm.language_id import identify, train
 
