@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from hashlib import blake2b
 from html import unescape
 
 import numpy as np
@@ -11,7 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_hot, stored
+from .common import discard, join_hot, stored
+from .words import mixed
 
 # Names of elements and words of class, id and role that mark what is not the article.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -155,25 +157,67 @@ def common_prefixes(order: np.ndarray, ranks: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def covered(streams: list[list[str]], min_tokens: int, min_pages: int) -> list[np.ndarray]:
-    """For each page's token stream, which tokens lie in a run of `min_tokens` tokens that `min_pages` pages have."""
+def flattened(streams: list[list[str]]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """The pages' token streams one after another, each closed by a separator of its own: numbers of tokens, pages, and
+    the distinct tokens."""
     ids: dict[str, int] = {}
     flat, page = [], []
     for p, stream in enumerate(streams):
         flat += [ids.setdefault(t, len(ids)) for t in stream]
         flat.append(-1 - p)  # a separator that no other page has
         page += [p] * (len(stream) + 1)
-    tokens, page = np.array(flat, np.int64), np.array(page, np.int64)
+    return np.array(flat, np.int64), np.array(page, np.int64), list(ids)
+
+
+def run_hashes(tokens: np.ndarray, names: list[str], at: np.ndarray, min_tokens: int) -> np.ndarray:
+    """128-bit hashes, as two longs a row, of the `min_tokens` tokens from each place; the same in every group of a host."""
+    digests = b"".join(blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).digest() for t in names)
+    of = np.frombuffer(digests, np.uint64).reshape(-1, 2)
+    out = np.zeros((len(at), 2), np.uint64)
+    for j in range(min_tokens):
+        out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + of[tokens[at + j]])
+    return out.view(np.int64)
+
+
+def whole_runs(tokens: np.ndarray, min_tokens: int) -> np.ndarray:
+    """Places from which `min_tokens` tokens of one page follow."""
+    n = len(tokens)
+    if n < min_tokens:
+        return np.zeros(0, np.int64)
+    breaks = np.r_[0, np.cumsum(tokens < 0)]
+    return np.flatnonzero(breaks[min_tokens:] == breaks[: n - min_tokens + 1])
+
+
+def group_runs(streams: list[list[str]], shown: np.ndarray, min_tokens: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each distinct run of `min_tokens` tokens in the pages' streams: its hashes, how many pages have it, and whether one
+    of the pages in `shown` does."""
+    tokens, page, names = flattened(streams)
+    whole = np.zeros(len(tokens), bool)
+    whole[whole_runs(tokens, min_tokens)] = True
+    if not whole.any():
+        return np.zeros((0, 2), np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+    order, ranks = suffix_array(tokens)
+    lcp = common_prefixes(order, ranks)
+    run = np.cumsum(lcp < min_tokens) - 1
+    keep = whole[order]  # all suffixes of a run, or none
+    at, run = order[keep], np.unique(run[keep], return_inverse=True)[1]
+    pairs = np.unique(run * len(streams) + page[at])
+    pages = np.bincount(pairs // len(streams))
+    seen = np.bincount(run, weights=shown[page[at]]) > 0
+    first = np.unique(run, return_index=True)[1]
+    return run_hashes(tokens, names, at[first], min_tokens), pages, seen
+
+
+def covered(streams: list[list[str]], hits: np.ndarray, min_tokens: int) -> list[np.ndarray]:
+    """For each page's token stream, which tokens lie in a run of `min_tokens` tokens whose hashes are among `hits`."""
+    tokens, _, names = flattened(streams)
     n = len(tokens)
     mark = np.zeros(n + 1, np.int64)
-    if n > 1:
-        order, ranks = suffix_array(tokens)
-        lcp = common_prefixes(order, ranks)
-        run = np.cumsum(lcp < min_tokens) - 1
-        pairs = np.unique(run * len(streams) + page[order])
-        pages = np.bincount(pairs // len(streams), minlength=run[-1] + 1)
-        hit = order[pages[run] >= min_pages]
-        hit = hit[hit + min_tokens <= n]
+    at = whole_runs(tokens, min_tokens)
+    if len(at) and len(hits):
+        pair = np.dtype([("a", np.int64), ("b", np.int64)])
+        as_pairs = lambda h: np.ascontiguousarray(h).view(pair).ravel()
+        hit = at[np.isin(as_pairs(run_hashes(tokens, names, at, min_tokens)), as_pairs(hits))]
         np.add.at(mark, hit, 1)
         np.add.at(mark, hit + min_tokens, -1)
     inside = np.cumsum(mark[:n]) > 0
@@ -199,12 +243,14 @@ def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
     Scripts, styles, comments, menus, headers, footers, sidebars, forms, adverts, notices and reader comments go by
     their mark-up. Of a page that marks its article (article, else main), the article's blocks are the text. Of any
     other page the open blocks are, less boilerplate: the streams of what stands outside articles on the pages of a
-    host are concatenated, a suffix array finds runs of `min_tokens` words or more that `min_pages` distinct pages
+    host are concatenated, suffix arrays find runs of `min_tokens` words or more that `min_pages` distinct pages
     share, tokens they cover are removed and unique runs stay.
 
     Columns: id, url, text, n_chars long. Hosts are dealt into groups of about `group_pages` pages by hash of the id, so
-    a host with a third of all pages is many groups, each with enough pages to show what repeats. Only streams outside
-    articles are shuffled; the pages are parsed a second time rather than kept.
+    a host with a third of all pages is many groups. Each group's suffix array finds its runs and their pages; the pages
+    of a run are added up over all groups of the host by a 128-bit hash, so groups change the work and never the text.
+    Only streams outside articles and runs of hosts with pages without one are shuffled; the pages are parsed a second
+    time rather than kept.
 
     Defined cases: null html is empty and gives an empty text; a null or odd url belongs to the host ''; pages with equal
     id and html are equal; other columns are not read; an empty table gives an empty result.
@@ -228,17 +274,30 @@ def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
     id_type = pages.schema["id"].dataType.simpleString()
     streams = pages.select("id", "html", "key", host.alias("host")).mapInArrow(parse, f"id {id_type}, key long, host string, marked boolean, kinds array<int>, texts array<string>")
     streams = stored(streams, "page-streams")
-    hosts = stored(streams.groupBy("host").agg(F.count("*").alias("pages")), "hosts")
-    dealt = join_hot(streams, hosts, "host", "pages", "inner").withColumn("g", F.pmod(F.xxhash64("id", "key"), F.ceil(F.col("pages") / group_pages)))
-
-    def keep(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    hosts = stored(streams.groupBy("host").agg(F.count("*").alias("pages"), F.count(F.when(~F.col("marked"), 1)).alias("bare")), "hosts")
+    groups = F.ceil(F.col("pages") / group_pages)
+    dealt = join_hot(streams, hosts, "host", "pages", "inner").where("bare > 0").withColumns({"g": F.pmod(F.xxhash64("id", "key"), groups), "alone": groups == 1})
+
+    def find(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        streams = [[w for t in page for w in t.split(" ")] for page in pdf["texts"]]
+        h, n, seen = group_runs(streams, ~pdf["marked"].to_numpy(bool), min_tokens)
+        if pdf["alone"].iloc[0]:  # the group is the host
+            h, n, seen = (x[seen & (n >= min_pages)] for x in (h, n, seen))
+        return pd.DataFrame({"host": key[0], "g": key[1], "h1": h[:, 0], "h2": h[:, 1], "n": n, "seen": seen})
+
+    runs = dealt.select("host", "g", "marked", "texts", "alone").groupBy("host", "g").applyInPandas(find, "host string, g long, h1 long, h2 long, n long, seen boolean")
+    runs = stored(runs, "host-runs")
+    run = ["host", "h1", "h2"]
+    seen = F.count(F.when(F.col("seen"), 1)).alias("many")
+    hits = stored(runs.groupBy(*run).agg(F.sum("n").alias("n"), seen).where((F.col("n") >= min_pages) & (F.col("many") > 0)).select(*run, "many"), "shared-runs")
+    told = join_hot(runs.where("seen").select("g", *run), hits, run, "many", "inner").select("host", "g", "h1", "h2")
+
+    def keep(key: tuple, pdf: pd.DataFrame, hits: pd.DataFrame) -> pd.DataFrame:
         texts = [list(t) for t in pdf["texts"]]
         words = [[t.split(" ") for t in page] for page in texts]
-        inside = covered([[w for block in page for w in block] for page in words], min_tokens, min_pages)
+        inside = covered([[w for block in page for w in block] for page in words], hits[["h1", "h2"]].to_numpy(np.int64), min_tokens)
         out = []
-        for i, (marked, kinds) in enumerate(zip(pdf["marked"], pdf["kinds"])):
-            if marked:
-                continue
+        for i, kinds in enumerate(pdf["kinds"]):
             at, lines = 0, []
             for k, block in zip(kinds, words[i]):
                 left = unique_runs(block, inside[i][at : at + len(block)], min_tokens)
@@ -248,8 +307,10 @@ def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
             out.append((pdf["id"].iloc[i], pdf["key"].iloc[i], "\n".join(lines)))
         return pd.DataFrame(out, columns=["_id", "_key", "_kept"])
 
-    kept = dealt.select("host", "g", "id", "key", "marked", "kinds", "texts").groupBy("host", "g").applyInPandas(keep, f"_id {id_type}, _key long, _kept string")
+    bare = dealt.where(~F.col("marked")).select("host", "g", "id", "key", "kinds", "texts").groupBy("host", "g")
+    kept = bare.cogroup(told.groupBy("host", "g")).applyInPandas(keep, f"_id {id_type}, _key long, _kept string")
     kept = stored(kept.dropDuplicates(["_id", "_key"]), "unmarked-pages")
+    discard(runs, hits)
 
     @F.pandas_udf("string")
     def article(htmls: pd.Series) -> pd.Series:

@@ -413,6 +413,35 @@ def test_html(spark):
     assert extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_runs_of_a_large_host(spark):
+    """What counts as shared is the same however a host's pages are dealt; the plain version counts runs over whole hosts."""
+    from sediment.llm.html_text import extract
+
+    rng = np.random.default_rng(8)
+    notes = [" ".join(f"note{k}x{j}" for j in range(12)) for k in range(8)]
+    pages, words = [], []
+    for i in range(160):
+        blocks = [[f"p{i}b{b}x{j}" for j in range(rng.integers(1, 12))] for b in range(2)]
+        blocks += [notes[k].split() for k in range(8) if i % (80, 53, 41, 20, 11, 7, 3, 1000)[k] == 0]
+        words.append([w for b in blocks for w in b])
+        text = "".join(f"<div>{' '.join(b)}</div>" for b in blocks)
+        pages.append((i, f"https://{'big' if i < 150 else 'small'}.example/{i}", f"<body>{text}<article>own {i}</article></body>" if i % 10 == 1 else f"<body>{text}</body>"))
+    on = defaultdict(set)
+    for i, w in enumerate(words):
+        for j in range(len(w) - 5):
+            on[i < 150, tuple(w[j : j + 6])].add(i)
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    for group in (1000, 10):
+        out = {r["page_id"]: r["text"] for r in rows(extract(df, group_pages=group))}
+        for i, w in enumerate(words):
+            gone = [False] * len(w)
+            for j in range(len(w) - 5):
+                if len(on[i < 150, tuple(w[j : j + 6])]) >= 3:
+                    gone[j : j + 6] = [True] * 6
+            want = ["own", str(i)] if i % 10 == 1 else [x for x, g in zip(w, gone) if not g]
+            assert out[i].split() == want, (group, i)
+
+
 def test_suffix_array():
     from sediment.llm.html_text import common_prefixes, suffix_array
 
