@@ -172,17 +172,27 @@ def parser(model: tuple[tuple[str, str], ...]) -> Parser:
 
 def train(df: DataFrame, learns: Column, text_col: str = "text", lang_col: str = "lang", chars: int = 40_000, of_a_text: int = 2_000) -> tuple[tuple[str, str], ...]:
     """The model: for each language about `chars` characters of its labelled texts, lower-cased, at most `of_a_text` of
-    each text. The bound is on the learner's sample alone and is the same for any input; the texts are chosen by the
-    hash of their content. One language's sample and the table of languages are all that the driver holds."""
+    each text. The bound is on the learner's sample alone and is the same for any input; the texts are distinct ones with
+    the smallest hashes of their content, so copies change nothing and each language with a text that holds a letter is
+    learned. The languages' samples and a table of 30 sizes a language are all that the driver holds."""
     learned = df.where(learns & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     head = F.lower(F.substring(text_col, 1, of_a_text))
     rows = learned.select(F.col(lang_col).alias("lang"), head.alias("text")).where(F.col("text").rlike(r"\p{L}"))
-    total = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.sum(F.char_length("text")).alias("n")).collect()}
-    if not total:
+    # Distinct texts by their hash: each one's characters count once, in the bucket of its hash's highest bit.
+    h = F.pmod(F.xxhash64("text"), F.lit(1 << 30))
+    texts = rows.groupBy("lang", F.xxhash64("text").alias("key"), h.alias("h")).agg(F.max(F.char_length("text")).alias("n"))
+    bucket = F.length(F.bin("h")).cast("int")  # h < 2 ** bucket
+    sizes = sorted((r["lang"], r["b"], r["n"]) for r in texts.groupBy("lang", bucket.alias("b")).agg(F.sum("n").alias("n")).collect())
+    if not sizes:
         return ()
-    u = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)
-    share = F.element_at(F.create_map(*[F.lit(x) for lang, n in total.items() for x in (lang, 3.0 * chars / n)]), F.col("lang"))
-    sample = rows.where(u < share).select("lang", "text").distinct().collect()
+    below: dict[str, int] = {}
+    total: dict[str, int] = {}
+    for lang, b, n in sizes:  # the smallest hashes, up to the first bucket with three times the characters
+        if total.setdefault(lang, 0) < 3 * chars:
+            below[lang] = 1 << b
+        total[lang] += n
+    most = F.element_at(F.create_map(*[F.lit(x) for pair in below.items() for x in pair]), F.col("lang"))
+    sample = rows.where(h < most).select("lang", "text").distinct().collect()
     out = []
     for lang in sorted(total):
         text, own = "", sorted((r["text"] for r in sample if r["lang"] == lang), key=hash_order)
@@ -226,6 +236,16 @@ def identify(df: DataFrame, model: tuple[tuple[str, str], ...], text_col: str =
     return out.select("*", "_p.lang_pred", "_p.score").drop("_p")
 
 
+def lettered(text: Column) -> Column:
+    """Whether a text holds a letter, and so gets a language from any model that is not empty; false for null."""
+
+    @F.pandas_udf("boolean")
+    def found(texts: pd.Series) -> pd.Series:
+        return pd.Series([t is not None and LETTER.search(t) is not None for t in texts], dtype=bool)
+
+    return found(text)
+
+
 def held_out(id_col: str = "doc_id") -> Column:
     """Whether crc32 of the id as text leaves 2 by 4; false for a null id, from which nothing is learned."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))

@@ -300,6 +300,36 @@ def test_language_id(docs, empty, spark, sf):
     assert identify(empty, model).count() == 0 and train(empty, empty.doc_id.isNotNull()) == ()
 
 
+def test_language_id_learns_from_copies(spark):
+    """A language made of big groups of copies, and of one text alone, is learned; copies change nothing of the model."""
+    from pyspark.sql import functions as F
+
+    from sediment.llm.language_id import identify, train
+
+    once = [("copies", f"wort{i} und noch ein satz hier {i} {'abc' * 300}") for i in range(30)] + [("one", "solitary text of its language " * 9)]
+    once += [("wide", f"mots {i} " + " ".join(f"mot{i}x{j}" for j in range(200))) for i in range(300)]
+    df = spark.createDataFrame(once, "lang string, text string")
+    times = {"copies": 2000, "one": 20000, "wide": 1}
+    many = F.element_at(F.create_map(*[F.lit(x) for p in times.items() for x in p]), F.col("lang"))
+    copied = df.withColumn("_", F.explode(F.sequence(F.lit(1), many))).drop("_")
+    model = train(copied, F.lit(True))
+    assert [lang for lang, _ in model] == ["copies", "one", "wide"] and model == train(df, F.lit(True))
+    size = {lang: len(text) for lang, text in model}
+    assert size["wide"] == 40_000 and size["copies"] > 27_000 and size["one"] > 200
+    pred = identify(df.dropDuplicates(["lang"]), model).collect()
+    assert all(r["lang"] == r["lang_pred"] for r in pred)
+
+
+def test_pipeline_language_id_without_labels(docs, spark):
+    from pyspark.sql import functions as F
+
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    key = lambda df: Counter((r.doc_id, r.text) for r in df.collect())
+    want = key(corpus_pipeline.language_id(spark, docs, ""))
+    got = key(corpus_pipeline.language_id(spark, docs.withColumn("lang", F.lit(None).cast("string")), ""))
+    assert got == want and len(got) > 80
+
+
 def test_cross_parsing_is_longest_match():
     from sediment.llm.language_id import Automaton, Parser
 
