@@ -502,3 +502,16 @@ def test_pipeline_stages(docs, empty, spark):
             n = d.count()
         assert (n > 0) == (start is docs)
         assert corpus_pipeline.STAGES[-1][1](spark, d, "").count() >= n
+
+
+def test_pipeline_near_duplicates_by_row(spark):
+    """Null and repeated ids: one row of each group stays, and a clean text with a duplicate's id does."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    text = lambda name, edit="": " ".join(f"{name}{i}" for i in range(60)) + edit
+    data = [(None, text("a")), (None, text("a")), (None, text("a", " x")), (5, text("b")), (5, text("b")), (5, text("b", " y"))]
+    data += [(1, text("c")), (7, text("c", " z")), (7, text("d")), (None, text("c")), (None, "   "), (None, "   "), (9, None), (9, None)]
+    out = Counter((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, spark.createDataFrame(data, "doc_id long, text string").repartition(3), "").collect())
+    group = lambda names: sum(n for (d, t), n in out.items() if t in names)
+    assert group({text("a"), text("a", " x")}) == group({text("b"), text("b", " y")}) == 1
+    assert group({text("c"), text("c", " z")}) == out[1, text("c")] == 1 and out[7, text("d")] == 1
+    assert out[None, "   "] == 2 and out[9, None] == 2 and sum(out.values()) == 8
