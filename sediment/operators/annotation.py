@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ranking
 from .asof import first_of
 
 #: The order in which models break ties.
@@ -34,12 +35,12 @@ def chain_errors(records: DataFrame) -> DataFrame:
 
 
 def next_task(tasks: DataFrame, records: DataFrame, annotators: DataFrame) -> DataFrame:
-    """For each annotator the first task without a record of theirs, by round (gold first) and event."""
+    """For each annotator the first task without a record of theirs, by round (calibration first, then gold) and event."""
     rank = F.when(F.col("annotation_round") == "calibration", 0).when(F.col("annotation_round") == "gold", 1).otherwise(2)
     seen = records.select("event_id", "annotator_id").distinct()
     # Tasks are numbered once; an annotator's first gap is the least task number they lack, found without listing
     # annotators x tasks: numbers 1..n of their own records are in place until the first gap.
-    numbered = tasks.select("event_id", rank.alias("r")).withColumn("i", F.row_number().over(Window.orderBy("r", "event_id")))
+    numbered = ranking.numbered(tasks.select("event_id", rank.alias("r")), ["r", "event_id"], "i").select("event_id", "i")
     own = seen.join(numbered, "event_id").withColumn("j", F.row_number().over(Window.partitionBy("annotator_id").orderBy("i")))
     gap = own.where("i = j").groupBy("annotator_id").agg((F.max("i") + 1).alias("i"))
     first = annotators.join(gap, "annotator_id", "left").withColumn("i", F.coalesce("i", F.lit(1)))

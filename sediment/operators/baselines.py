@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .asof import first_of
+from .tables import join_hot, stored
 
 
 def words(text: str | Column) -> Column:
@@ -40,8 +41,9 @@ def predict_bayes(docs: DataFrame, model: tuple[DataFrame, DataFrame, int], id_c
     classes, by, vocabulary = model
     n = classes.agg(F.sum("docs")).first()[0] or 1
     v = alpha * max(1, vocabulary)
-    vectors = by.groupBy("token").agg(F.map_from_entries(F.collect_list(F.struct("label", "n"))).alias("by"))
-    known = docs.select(F.col(id_col).alias("id"), F.explode(words(text)).alias("token")).groupBy("id", "token").agg(F.count("*").alias("k")).join(vectors, "token")
+    vectors = by.groupBy("token").agg(F.map_from_entries(F.collect_list(F.struct("label", "n"))).alias("by"), F.sum("n").alias("times"))
+    tokens = docs.select(F.col(id_col).alias("id"), F.explode(words(text)).alias("token")).groupBy("id", "token").agg(F.count("*").alias("k"))
+    known = join_hot(stored(tokens, "bayes-tokens"), stored(vectors, "bayes-vectors"), "token", "times")
     cls = F.broadcast(classes.select("label", "docs", "total"))
     labels = F.lit([r["label"] for r in classes.select("label").collect()])
     per = known.withColumn("label", F.explode(labels)).join(cls, "label")
@@ -88,3 +90,29 @@ def span_overlap(df: DataFrame, truth: str, guess: str) -> DataFrame:
     s = d.agg(F.sum(F.size(F.array_intersect("a", "b"))).alias("tp"), F.sum(F.size("a")).alias("na"), F.sum(F.size("b")).alias("nb"))
     p, r = ratio(F.col("tp"), F.col("nb")), ratio(F.col("tp"), F.col("na"))
     return s.select(p.alias("precision"), r.alias("recall"), f1(p, r).alias("f1"))
+
+
+def report(train: DataFrame, test: DataFrame, id_col: str, label: str, kind: str, text: str, alpha: float = 1.0, split: str = r"\|") -> DataFrame:
+    """One row a baseline (global_frequency, filing_type_frequency, lexical_naive_bayes): exact-set accuracy, micro
+    precision, recall and F1, Brier score and calibration error of its material probability, over the rows of test.
+
+    A label column holds a signature: labels joined by a bar, empty for none; material is any signature but the empty one.
+    """
+    material = F.avg(F.when(F.col(label) != "", 1.0).otherwise(0.0))
+    every = F.broadcast(train.agg(material.alias("all_prob")).join(modal(train, label).select(F.col(label).alias("all_guess")), F.lit(True)))
+    own = modal(train, label, [kind]).select(kind, F.col(label).alias("own_guess")).join(train.groupBy(kind).agg(material.alias("own_prob")), kind)
+    rows = stored(test.select(F.col(id_col).alias("id"), F.col(label).alias("truth"), kind, text), "report-rows")
+    told = rows.drop(text).join(every, F.lit(True)).join(own, kind, "left")
+    scored = stored(predict_bayes(rows, fit_bayes(train, label, text), "id", text, alpha), "report-bayes")
+    best = first_of(scored, ["id"], [F.round("logp", 6).desc(), F.asc("label")]).select("id", F.col("label").alias("nb_guess"))
+    prob = scored.groupBy("id").agg(F.sum(F.when(F.col("label") != "", F.col("prob")).otherwise(0.0)).alias("nb_prob"))
+    told = told.join(best, "id").join(prob, "id")
+    models = {"global_frequency": ("all_guess", "all_prob"), "filing_type_frequency": ("own_guess", "own_prob"), "lexical_naive_bayes": ("nb_guess", "nb_prob")}
+    labels = lambda c: F.filter(F.split(c, split), lambda x: x != "")
+    out = None
+    for name, (guess, p) in models.items():
+        g, q = F.coalesce(F.col(guess), F.col("all_guess")), F.least(F.greatest(F.coalesce(F.col(p), F.col("all_prob")), F.lit(0.0)), F.lit(1.0))
+        d = told.select(labels(F.col("truth")).alias("a"), labels(g).alias("b"), q.alias("p"), (F.col("truth") != "").alias("y"))
+        one = set_metrics(d, "a", "b").join(calibration(d, "p", "y").drop("rows"), F.lit(True)).select(F.lit(name).alias("model"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -2,43 +2,41 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def settled(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a checkpoint in the shared folder (spark.checkpoint.dir; a folder of our own where unset)."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sediment-"))
-    return df.checkpoint()
+from .tables import discard, stored
 
 
-def components(nodes: DataFrame, keys: list[str], node: str = "event_id", rounds: int = 60) -> DataFrame:
+def components(nodes: DataFrame, keys: list[str], node: str = "event_id") -> DataFrame:
     """(node, component): nodes that share a non-null value of any key are connected; a component is its smallest node.
 
-    Labels flow through the values: the least label of a value's nodes, then the least of a node's values, then the
-    label of that label. A value that many nodes share costs one partial minimum a task, and pairs are never listed.
+    A value ties its nodes to the least of them, so a value that many nodes share costs one partial minimum a task and
+    pairs are never listed. Stars are then contracted, larger neighbours to a node's least one and smaller ones to the
+    least of those in turn, until every node hangs on the least of its component: the rounds grow with the logarithm of
+    the longest chain. Null nodes have no component and are left out.
     """
-    edges = None
-    for i, k in enumerate(keys):
-        e = nodes.where(F.col(k).isNotNull()).select(F.col(node).alias("n"), F.concat(F.lit(f"{i}:"), F.col(k).cast("string")).alias("v"))
-        edges = e if edges is None else edges.unionByName(e)
-    edges = settled(edges.distinct())
-    labels = settled(nodes.select(F.col(node).alias("n"), F.col(node).alias("label")).distinct())
-    for _ in range(rounds):
-        by_value = edges.join(labels, "n").groupBy("v").agg(F.min("label").alias("l"))
-        told = edges.join(by_value, "v").groupBy("n").agg(F.min("l").alias("l"))
-        new = labels.join(told, "n", "left").select("n", "label", F.least("label", F.coalesce("l", "label")).alias("new"))
-        far = labels.select(F.col("n").alias("new"), F.col("label").alias("far"))
-        new = settled(new.join(far, "new").select("n", F.least("new", "far").alias("label"), (F.least("new", "far") < F.col("label")).alias("moved")))
-        done = not new.where("moved").limit(1).count()
-        labels = new.select("n", "label")
-        if done:
+    names = nodes.where(F.col(node).isNotNull()).select(F.col(node).alias("n"), *[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)])
+    ids = stored(names.select("n").distinct(), "nodes")
+    ties = None
+    for i in range(len(keys)):
+        own = names.where(F.col(f"k{i}").isNotNull()).select("n", F.col(f"k{i}").alias("v"))
+        tie = own.join(own.groupBy("v").agg(F.min("n").alias("hub")), "v").where("n != hub").select("n", "hub")
+        ties = tie if ties is None else ties.unionByName(tie)
+    links = stored((ids.select("n", F.col("n").alias("hub")).limit(0) if ties is None else ties).distinct(), "ties")
+    while True:
+        around = links.unionByName(links.select(F.col("hub").alias("n"), F.col("n").alias("hub")))
+        below, above = F.count(F.when(F.col("hub") < F.col("n"), 1)), F.count(F.when(F.col("hub") > F.col("n"), 1))
+        if around.groupBy("n").agg(below.alias("below"), above.alias("above")).where("below > 1 or (below > 0 and above > 0)").isEmpty():
             break
-    return labels.select(F.col("n").alias(node), F.col("label").alias("component"))
+        least = around.groupBy("n").agg(F.min("hub").alias("m")).select("n", F.least("n", "m").alias("m"))
+        outer = stored(around.where("hub > n").join(least, "n").select(F.col("hub").alias("n"), F.col("m").alias("hub")).distinct(), "outer-stars")
+        lowest = outer.groupBy("n").agg(F.min("hub").alias("m"))
+        inner = outer.join(lowest, "n").where("hub != m").select(F.col("hub").alias("n"), F.col("m").alias("hub"))
+        new = stored(inner.unionByName(lowest.withColumnRenamed("m", "hub")).distinct(), "inner-stars")
+        discard(links, outer)
+        links = new
+    return ids.join(links, "n", "left").select(F.col("n").alias(node), F.coalesce("hub", "n").alias("component"))
 
 
 def group_hash(seed: str, ids: Column) -> Column:

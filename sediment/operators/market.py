@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .asof import latest, rank_at
-from .graph import settled
+from .tables import stored
 
 HORIZONS, WINDOW, ESTIMATION = (1, 5, 20), 20, 252
 
@@ -68,6 +68,38 @@ def factor_models(observations: DataFrame, least: int = 120, estimation: int = E
     return observations.groupBy("event_id").applyInPandas(fit, "event_id long, alpha double, beta_market double, beta_smb double, beta_hml double, n_obs long")
 
 
+def rolling_models(upto: DataFrame, matched: DataFrame, least: int, estimation: int) -> DataFrame:
+    """(event_id, alpha, beta_market, beta_smb, beta_hml, n_obs): for each event (event_id, security_id, upto) a least
+    squares fit over the security's last `estimation` matched sessions (numbered m) up to `upto`.
+
+    Sums of products run along a security's sessions once, and a window's are the difference of two running sums; an event
+    costs two look-ups, however long the window. Windows of under `least` sessions or dependent factors have no model.
+    """
+    x = ["mkt", "smb", "hml"]
+    y = F.col("ret") - F.col("rf")
+    terms = {"y": y, **{a: F.col(a) for a in x}, **{f"{a}_{b}": F.col(a) * F.col(b) for i, a in enumerate(x) for b in x[i:]}, **{f"{a}_y": F.col(a) * y for a in x}}
+    along = Window.partitionBy("security_id").orderBy("m").rowsBetween(Window.unboundedPreceding, 0)
+    sums = matched.select("security_id", "m", F.struct(*[F.sum(t).over(along).alias(n) for n, t in terms.items()]).alias("s"))
+    ends = upto.select("event_id", "security_id", F.col("upto").alias("m"), (F.col("upto") - estimation).alias("start"))
+    last = ends.join(sums, ["security_id", "m"])
+    both = last.join(sums.select("security_id", F.col("m").alias("start"), F.col("s").alias("s0")), ["security_id", "start"], "left")
+    n = F.least(F.col("m"), F.lit(estimation))
+    mean = {t: (F.col("s")[t] - F.coalesce(F.col("s0")[t], F.lit(0.0))) / n for t in terms}
+    told = both.where(n >= least).select("event_id", n.cast("long").alias("n_obs"), *[v.alias(f"e_{t}") for t, v in mean.items()])
+    e = lambda t: F.col(f"e_{t}")
+    cov = lambda a, b: e(f"{a}_{b}") - e(a) * e(b)
+    moments = {f"c{i}{j}": cov(a, b) for i, a in enumerate(x) for j, b in enumerate(x) if i <= j} | {f"r{i}": cov(a, "y") for i, a in enumerate(x)}
+    told = told.select("event_id", "n_obs", "e_y", *[f"e_{a}" for a in x], *[v.alias(k) for k, v in moments.items()])
+    c = lambda i, j: F.col(f"c{min(i, j)}{max(i, j)}")
+    minor = lambda i, j: c((i + 1) % 3, (j + 1) % 3) * c((i + 2) % 3, (j + 2) % 3) - c((i + 1) % 3, (j + 2) % 3) * c((i + 2) % 3, (j + 1) % 3)
+    det = sum((c(0, j) * minor(0, j) for j in range(1, 3)), c(0, 0) * minor(0, 0))
+    told = told.withColumn("det", det).where(F.col("det") > c(0, 0) * c(1, 1) * c(2, 2) * 1e-12)
+    beta = [sum((F.col(f"r{j}") * minor(i, j) for j in range(1, 3)), F.col("r0") * minor(i, 0)) / F.col("det") for i in range(3)]
+    told = told.withColumns({f"b{i}": v for i, v in enumerate(beta)})
+    alpha = F.col("e_y") - F.col("b0") * F.col("e_mkt") - F.col("b1") * F.col("e_smb") - F.col("b2") * F.col("e_hml")
+    return told.select("event_id", alpha.alias("alpha"), F.col("b0").alias("beta_market"), F.col("b1").alias("beta_smb"), F.col("b2").alias("beta_hml"), "n_obs")
+
+
 def halted(statuses: Column) -> Column:
     """true if any status is halted, false if all are normal, else null."""
     return F.when(F.max(F.when(statuses == "halted", 1).otherwise(0)) == 1, True).when(F.min(F.when(statuses == "normal", 1).otherwise(0)) == 1, False)
@@ -93,10 +125,11 @@ def outcome_labels(events: DataFrame, bars: DataFrame, benchmark: DataFrame, sec
     benchmark: (session_date, open, close); sectors: the same with sector; factors: (session_date, mkt, smb, hml, rf).
     All measures are null where the event has no bar at or after tradable_at.
     """
-    ranked = settled(ranked_bars(bars))
+    ranked = stored(ranked_bars(bars), "ranked-bars")
     # Factors are matched before the window is cut: the model uses the last 252 matched sessions, not bars.
+    # (Factors have one row a session of the calendar, about 252 a year, which bounds what is broadcast.)
     known = ranked.join(F.broadcast(factors), "session_date", "left")
-    wide = settled(event_windows(events, ranked, WINDOW, WINDOW))  # read by four aggregates
+    wide = stored(event_windows(events, ranked, WINDOW, WINDOW), "event-windows")  # read by four aggregates
     after, prior = F.col("k") >= 0, F.col("k") < 0
     at = lambda c, k: F.max(F.when(F.col("k") == k, F.col(c)))
     day = F.when(F.col("k") == 0, F.try_divide("close", "open") - 1).when(after, F.col("ret"))
@@ -145,9 +178,7 @@ def residuals(events, ranked, known, wide, factors, least, estimation) -> tuple[
     matched = known.where("mkt is not null and ret is not null").withColumn("m", F.row_number().over(w))
     started = rank_at(events, ranked, ["security_id"], "tradable_at", "ts").select("event_id", "security_id", F.col("start_rank").alias("r"))
     upto = rank_at(started, matched, ["security_id"], "r", "rank").select("event_id", "security_id", (F.col("start_rank") - 1).alias("upto"))
-    wanted = upto.withColumn("k", F.explode(F.sequence(F.lit(-estimation), F.lit(-1)))).withColumn("m", F.col("upto") + F.col("k") + 1)
-    obs = wanted.join(matched.select("security_id", "m", "ret", "mkt", "smb", "hml", "rf"), ["security_id", "m"])
-    models = settled(factor_models(obs.select("event_id", "k", "ret", "mkt", "smb", "hml", "rf"), least, estimation))
+    models = stored(rolling_models(upto, matched, least, estimation), "factor-models")
     days = wide.where(F.col("k") >= 0).join(F.broadcast(factors), "session_date", "left").join(models, "event_id")
     r = F.when(F.col("k") == 0, F.try_divide("close", "open") - 1).otherwise(F.col("ret"))
     left = r - F.col("rf") - F.col("alpha") - F.col("beta_market") * F.col("mkt") - F.col("beta_smb") * F.col("smb") - F.col("beta_hml") * F.col("hml")
