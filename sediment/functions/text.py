@@ -7,29 +7,21 @@ import re
 import unicodedata
 from hashlib import sha256
 from html import unescape
-from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Characters folded, boilerplate marks, stop words, penalties and event terms.
-FOLDED = {" ": " ", "‘": "'", "’": "'", "“": '"', "”": '"', "–": "-", "—": "-"}
-BOILERPLATE = ("forward-looking statements", "safe harbor", "pursuant to the requirements", "incorporated by reference")
-STOP_WORDS = frozenset("the and of to in for with".split())
-PENALTIES = {"low_text_density": 0.20, "malformed_html": 0.25, "missing_headings": 0.15, "no_text": 1.00}
-SKIPPED = frozenset("script style head title noscript template".split())
-BLOCKS = frozenset("p div h1 h2 h3 h4 h5 h6 li td th tr table section article center blockquote br hr ul ol body".split())
-HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-ITEM = re.compile(r"^\s*item\s+\d+[A-Za-z]?(?:\.\d+)?\b", re.I)
-#: A document's sections, as the normaliser returns them.
-SECTIONS = "array<struct<section_id string, heading string, text string, source_start int, source_end int, is_table boolean, is_boilerplate boolean>>"
-
-
-def clean(text: str) -> str:
-    """Character references decoded, NFKC, quotes and dashes plain, white space collapsed and trimmed."""
+# Characters folded (by the cleaner, and beyond them by quote alignment), stop words of the language test.
+FOLDED = {"\xa0": " ", "\u2018": "'", "\u2019": "'", "\u201c": '"', "\u201d": '"'}
+FOLDED_IN_QUOTES = FOLDED | {"\u2013": "-", "\u2014": "-"}
+STOP_WORDS = frozenset(("and", "company", "for", "in", "of", "the", "to"))
+
+
+def clean(text: str, folded: dict[str, str] = FOLDED) -> str:
+    """Character references decoded, NFKC, quotes plain, white space collapsed and trimmed."""
     text = unicodedata.normalize("NFKC", unescape(text))
-    return " ".join(text.translate(str.maketrans(FOLDED)).split())
+    return " ".join(text.translate(str.maketrans(folded)).split())
 
 
 def clean_text():
@@ -42,179 +34,30 @@ def clean_text():
     return run
 
 
-class _Filing(HTMLParser):
-    """Blocks (text, start byte, end byte, heading?, table?) of a filing; bytes are read as Latin-1, so offsets are bytes."""
-
-    def __init__(self, raw: bytes):
-        super().__init__(convert_charrefs=False)
-        self.blocks: list[tuple[str, int, int, bool, bool]] = []
-        self.open: list[str] = []
-        self.parts: list[str] = []
-        self.span: list[int] = []
-        self.skip = self.table = 0
-        self.heading = self.malformed = False
-        self.rows: list[list[str]] = []
-        text = raw.decode("latin-1")
-        self.lines = [0]
-        for m in re.finditer("\n", text):
-            self.lines.append(m.end())
-        self.feed(text)
-        self.close()
-        self.flush()
-        self.malformed |= any(t in ("div", "table", "section") for t in self.open)
-
-    def byte_at(self) -> int:
-        line, column = self.getpos()
-        return self.lines[line - 1] + column
-
-    def flush(self) -> None:
-        text = clean("".join(self.parts).encode("latin-1", "replace").decode("utf-8", "replace"))
-        if text and self.table:
-            self.rows[-1].append(text) if self.rows else self.rows.append([text])
-        elif text:
-            self.blocks.append((text, self.span[0], self.span[-1], self.heading or bool(ITEM.match(text)) and len(text) <= 180, False))
-        self.parts = []
-        if not self.table:
-            self.span = []
-
-    def handle_starttag(self, tag, attrs):
-        hidden = any(k == "style" and v and re.search(r"display\s*:\s*none", v, re.I) or k == "hidden" for k, v in attrs) or tag == "ix:header"
-        if tag in SKIPPED or hidden or self.skip:
-            if tag not in ("br", "hr", "img", "input", "meta", "link"):
-                self.skip += 1
-                self.open.append(tag)
-            return
-        if tag in BLOCKS:
-            self.flush()
-        if tag == "table":
-            self.table += 1
-            if self.table == 1:
-                self.rows, self.span = [], [self.byte_at()]
-        if tag == "tr" and self.table:
-            self.rows.append([])
-        if tag in HEADINGS:
-            self.heading = True
-        if tag not in ("br", "hr", "img", "input", "meta", "link"):
-            self.open.append(tag)
-
-    def handle_endtag(self, tag):
-        if self.skip:
-            if tag in self.open:
-                while self.open and self.skip:
-                    self.skip -= 1
-                    if self.open.pop() == tag:
-                        break
-            return
-        if tag not in self.open:
-            self.malformed |= tag not in ("p", "br", "li", "td", "tr", "th")
-        else:
-            while self.open:
-                last = self.open.pop()
-                if last == tag:
-                    break
-                self.malformed |= last not in ("p", "li", "td", "tr", "th")
-        if tag in BLOCKS:
-            self.flush()
-        if tag in HEADINGS:
-            self.heading = False
-        if tag == "table" and self.table:
-            self.table -= 1
-            if not self.table:
-                text = "\n".join("\t".join(r) for r in self.rows if r)
-                if text:
-                    self.blocks.append((text, self.span[0], self.byte_at(), False, True))
-                self.span = []
-
-    def handle_data(self, data):
-        if not self.skip and data.strip():
-            start = self.byte_at()
-            self.span += [start, start + len(data)]
-        if not self.skip:
-            self.parts.append(data)
-
-    def handle_entityref(self, name):
-        if not self.skip:
-            self.parts.append(unescape(f"&{name};").encode("utf-8").decode("latin-1"))
-
-    def handle_charref(self, name):
-        if not self.skip:
-            self.parts.append(unescape(f"&#{name};").encode("utf-8").decode("latin-1"))
-
-
-def boilerplate(text: str) -> bool:
-    low = text.casefold()
-    return any(b in low for b in BOILERPLATE)
-
-
 def language(text: str) -> str:
     """unknown under five words, en with two stop words or more, else unknown."""
-    words = re.findall(r"[a-z]+", text.lower())
+    words = re.findall(r"[a-z]+", text.casefold())
     return "en" if len(words) >= 5 and sum(w in STOP_WORDS for w in words) >= 2 else "unknown"
 
 
-def quality(warnings: list[str]) -> float:
-    return max(0.0, 1.0 - sum(PENALTIES[w] for w in warnings))
-
-
-def normalized(raw: bytes, kind: str) -> dict:
-    """One filing document as sections: a heading opens a section, tables are sections of their own."""
-    parser = _Filing(raw)
-    sections, heading, texts, span = [], "", [], []
-
-    def close():
-        if texts:
-            body = "\n\n".join(texts)
-            sections.append({"section_id": f"s{len(sections):04d}", "heading": heading, "text": body, "source_start": span[0], "source_end": span[-1], "is_table": False, "is_boilerplate": boilerplate(body)})
-            texts.clear()
-            span.clear()
-
-    for text, start, stop, head, table in parser.blocks:
-        if table:
-            close()
-            sections.append({"section_id": f"s{len(sections):04d}", "heading": heading, "text": text, "source_start": start, "source_end": stop, "is_table": True, "is_boilerplate": boilerplate(text)})
-        elif head:
-            close()
-            heading = text
-        else:
-            texts.append(text)
-            span += [start, stop]
-    if heading and not sections and not texts:
-        texts.append(heading)
-        span += [0, len(raw)]
-    close()
-    whole = " ".join(s["text"] for s in sections)
-    warnings = [w for w, on in (("no_text", not whole), ("malformed_html", parser.malformed), ("missing_headings", bool(whole) and not any(s["heading"] for s in sections)), ("low_text_density", bool(raw) and len(whole) / len(raw) < 0.005)) if on]
-    return {"is_exhibit": kind.upper().startswith("EX-"), "language": language(whole), "parsing_quality": quality(warnings), "warnings": warnings, "sections": sections}
-
-
-def normalize_filings(df: DataFrame, raw: str = "raw", kind: str = "document_type") -> DataFrame:
-    """df (raw BINARY, document_type) with is_exhibit, language, parsing_quality, warnings and sections."""
-
-    @F.pandas_udf(f"is_exhibit boolean, language string, parsing_quality double, warnings array<string>, sections {SECTIONS}")
-    def run(raws: pd.Series, kinds: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([normalized(bytes(r or b""), k or "") for r, k in zip(raws, kinds)], columns=["is_exhibit", "language", "parsing_quality", "warnings", "sections"])
-
-    return df.withColumn("_n", run(raw, kind)).select("*", "_n.*").drop("_n")
-
-
 def align(source: str, quote: str) -> tuple[int, int] | None:
     """Code-point range of the quote in the source after folding of width, punctuation and white space.
 
     Retried without a leading bullet, then without a trailing mark."""
     folded, places, blank = [], [], True
     for i, c in enumerate(source):
-        for f in unicodedata.normalize("NFKC", FOLDED.get(c, c)):
+        for f in unicodedata.normalize("NFKC", FOLDED_IN_QUOTES.get(c, c)):
             if f.isspace():
                 if not blank:
                     folded.append(" ")
                     places.append(i)
                 blank = True
             else:
-                folded.append(FOLDED.get(f, f))
+                folded.append(FOLDED_IN_QUOTES.get(f, f))
                 places.append(i)
                 blank = False
     text = "".join(folded)
-    base = clean(quote)
+    base = clean(quote, FOLDED_IN_QUOTES)
     for q in dict.fromkeys((base, re.sub(r"^[\s•*\-·]+", "", base), base.rstrip(".;:"), re.sub(r"^[\s•*\-·]+", "", base).rstrip(".;:"))):
         if q and (at := text.find(q)) >= 0:
             return places[at], places[at + len(q) - 1] + 1
@@ -241,18 +84,21 @@ def near(a: Column, b: Column, most: int = 2) -> Column:
     return F.levenshtein(a, b, most) >= 0
 
 
-def token_span(offsets: list[tuple[int, int]], sequence: list[int | None], start: int, stop: int, text: str | None = None) -> tuple[int, int] | None:
-    """(first, last + 1) of the tokens of sequence 0 that overlap the half-open span; None if its edges are cut off.
+def token_span(offsets: list[tuple[int, int]], sequence: list[int | None], start: int, stop: int, text: str, quote: str | None = None) -> tuple[int, int] | None:
+    """(first, last + 1) of the tokens of sequence 0 that overlap text[start:stop]; None where that is not exact.
 
-    White space at the span's edges may be left out of the tokens."""
-    own = [(i, a, b) for i, ((a, b), s) in enumerate(zip(offsets, sequence)) if s == 0 and b > a]
-    hit = [(i, a, b) for i, a, b in own if a < stop and b > start]
-    if not hit:
+    Exact means: the bounds lie in the text (and hold the quote, where one is given), the tokens cover the whole span, and
+    what they cover beyond it is white space.
+    """
+    if not 0 <= start < stop <= len(text) or quote is not None and text[start:stop] != quote:
+        return None
+    own = [i for i, ((a, b), s) in enumerate(zip(offsets, sequence, strict=True)) if s == 0 and a < b and a < stop and b > start]
+    if not own:
         return None
-    blank = lambda i, j: text is not None and i < j and not text[i:j].strip()
-    if (hit[0][1] > start and not blank(start, hit[0][1])) or (hit[-1][2] < stop and not blank(hit[-1][2], stop)):
+    left, right = offsets[own[0]][0], offsets[own[-1]][1]
+    if left > start or right < stop or text[left:start].strip() or text[stop:right].strip():
         return None
-    return hit[0][0], hit[-1][0] + 1
+    return own[0], own[-1] + 1
 
 
 def canonical(value: object, ascii_only: bool = False, sort: bool = True) -> str:

@@ -90,7 +90,9 @@ def first_wins(frames: list[DataFrame], key: str) -> DataFrame:
 
 
 def sgml_tag(block: Column, name: str) -> Column:
-    return F.nullif(F.trim(F.regexp_extract(block, rf"(?im)^<{name}>([^\r\n<]*)", 1)), F.lit(""))
+    """What follows a tag up to the end of its line or the next one, read as UTF-8, from a block of one character a byte."""
+    value = F.encode(F.regexp_extract(block, rf"(?i)<{name}>\s*([^\r\n<]*)", 1), "ISO-8859-1")
+    return F.nullif(F.btrim(F.regexp_replace(value.cast("string"), r"^\s+|\s+$", "")), F.lit(""))
 
 
 def submission_documents(df: DataFrame, raw: str, key: str) -> DataFrame:

@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from sediment.functions import filing
 from sediment.functions import text as T
 from sediment.operators import annotation, baselines, graph, probe
 from sediment.sources import filings as S
@@ -19,32 +20,43 @@ from sediment.sources import sinks as K
 
 def test_normalised_filings(spark):
     cases = {
-        "ordinary": (b"<html><body><h1>Item 1.01 Material Agreement</h1><p>The company and the counterparty agreed to terms.</p></body></html>", "8-K"),
-        "malformed": (b"<div><p>Item 2.02 Results</p><p>Revenue rose</div></section>", "8-K"),
-        "table": (b"<h2>Item 9</h2><table><tr><td>Metric</td><td>Value</td></tr><tr><td>Revenue</td><td>100</td></tr></table>", "8-K"),
-        "exhibit": (b"<p>Press release text</p>", "EX-99.1"),
-        "missing": (b"<p>Only a paragraph of text.</p>", "8-K"),
+        "ordinary": (b"<html><head><title>no</title></head><body><h1>Item 1.01 Lease Signed</h1><p>The company and the landlord agreed to terms.</p></body></html>", "8-K"),
+        "malformed": (b"<h2>Item 2.02 Numbers<p>Sales rose", "8-K"),
+        "table": (b"<h2>Item 9</h2><table><tr><th>Year</th><th>Units</th></tr><tr><td> 2023 </td><td>7</td></tr><tr><td></td></tr></table>", "8-K"),
+        "exhibit": (b"<p>Text of a letter</p>", "ex-99.1"),
         "long": (b"<h1>Item 1.01 X</h1>" + b"<p>Paragraph of some length.</p>" * 2000, "10-Q"),
-        "hidden": (b"<h1>Item 5</h1><p style='display:none'>no</p><p>Revenue was <ix:nonfraction>100</ix:nonfraction> million.</p>", "8-K"),
+        "hidden": (b"<nav><p>menu</p></nav><h1>Item 5</h1><p style='display: none'>no</p><ix:hidden><p>no</p></ix:hidden><div style='visibility:hidden'><div>no</div>no</div><p>Sales were <ix:nonfraction>12</ix:nonfraction> million.</p><footer>no</footer>", "8-K"),
         "empty": (b"", "8-K"),
+        "styled": (b"<p>Item 3.01 short</p><p><b>Bold line</b></p><p>one</p><div style='font-weight: 700'>Other</div><p>safe harbor</p>", "8-K"),
+        "bold": (b"<p><strong>Risks</strong></p><p>one<br>two &amp;amp; three</p><p style='font-weight:bold'>Signatures</p><p>end</p>", "8-K"),
+        "cp1252": (b"<h1>T</h1><p>caf\xe9 \x93quoted\x94 a \x96 b</p>", "8-K"),
+        "loose": (b"loose <p>in</p> loose <div>outer <p>inner</p> lost</div>", "8-K"),
+        "item_table": (b"<table><tr><td>Item 8.01</td><td>Other</td></tr></table><p>after</p>", "8-K"),
+        "many_words": (b"<p>Item 1 " + b"word " * 60 + b"</p><p>x</p>", "8-K"),
     }
     df = spark.createDataFrame([(k, bytearray(v), d) for k, (v, d) in cases.items()], "k string, raw binary, document_type string")
-    out = {r.k: r for r in T.normalize_filings(df).collect()}
-    assert out["ordinary"].sections[0].heading == "Item 1.01 Material Agreement" and out["ordinary"].language == "en" and out["ordinary"].parsing_quality == 1
-    assert "malformed_html" in out["malformed"].warnings
-    table = [s for s in out["table"].sections if s.is_table]
-    assert len(table) == 1 and table[0].text == "Metric\tValue\nRevenue\t100"
-    assert out["exhibit"].is_exhibit and "missing_headings" in out["missing"].warnings
+    out = {r.k: r for r in filing.normalize_filings(df).collect()}
+    texts = lambda k: [(s.heading, s.text) for s in out[k].sections]
+    assert texts("ordinary") == [("Item 1.01 Lease Signed", "The company and the landlord agreed to terms.")]
+    assert out["ordinary"].language == "en" and out["ordinary"].parsing_quality == 1 and out["ordinary"].sections[0].section_id == "section_001"
+    raw, s = cases["ordinary"][0], out["ordinary"].sections[0]
+    assert raw[s.source_start : s.source_end].startswith(b"<h1>Item") and raw[s.source_start : s.source_end].endswith(b"terms.</p>")
+    assert out["malformed"].warnings == ["malformed_html"] and texts("malformed") == [("Item 2.02 Numbers", "Sales rose")]
+    assert texts("table") == [("Item 9", "Year\tUnits\n2023\t7")] and out["table"].sections[0].is_table
+    assert out["exhibit"].is_exhibit and out["exhibit"].warnings == ["missing_headings"]
     assert out["long"].sections[0].text.count("Paragraph") == 2000
-    assert out["hidden"].sections[0].text == "Revenue was 100 million."
-    assert out["empty"].warnings == ["no_text"] and out["empty"].parsing_quality == 0
-    raw = cases["ordinary"][0]
-    s = out["ordinary"].sections[0]
-    assert raw[s.source_start : s.source_end].startswith(b"The company")
+    assert texts("hidden") == [("Item 5", "Sales were 12 million.")] and not out["hidden"].warnings
+    assert out["empty"].warnings == ["missing_headings", "no_text"] and out["empty"].parsing_quality == 0
+    assert texts("styled") == [("Item 3.01 short", "Bold line\n\none"), ("Item 3.01 short", "Other\n\nsafe harbor")] and out["styled"].sections[1].is_boilerplate
+    assert texts("bold") == [("Risks", "one two & three"), ("Signatures", "end")] and [x.is_boilerplate for x in out["bold"].sections] == [False, True]
+    assert texts("cp1252") == [("T", 'caf\xe9 "quoted" a \u2013 b')]
+    assert texts("loose") == [(None, "in\n\nouter\n\ninner")] and out["loose"].warnings == ["missing_headings"]
+    assert texts("item_table") == [("Item 8.01 Other", "Item 8.01\tOther"), ("Item 8.01 Other", "after")]
+    assert texts("many_words")[0][0] is None
 
 
 def test_clean_and_align():
-    assert T.clean("“A b”\n — ﬁn &amp; co") == '"A b" - fin & co'
+    assert T.clean("“A b”\n — ﬁn &amp; co") == '"A b" — fin & co'
     source = "Heading\n\nThe board—acting  today—approved a “buyback”."
     quote = '- The board-acting today-approved a "buyback";'
     at = T.align(source, quote)
@@ -53,9 +65,14 @@ def test_clean_and_align():
 
 
 def test_token_spans():
-    assert T.token_span([(0, 0), (0, 4), (4, 10), (10, 15)], [None, 0, 0, 0], 4, 15) == (2, 4)
-    assert T.token_span([(0, 4), (4, 10)], [0, 0], 4, 15) is None
-    assert T.token_span([(0, 3), (4, 8)], [0, 0], 3, 8, "abc defg") == (1, 2)
+    text = "head body of it "
+    assert T.token_span([(0, 0), (0, 4), (4, 10), (10, 15)], [None, 0, 0, 0], 4, 15, text) == (2, 4)
+    assert T.token_span([(0, 0), (0, 4), (4, 10), (10, 15)], [None, 0, 0, 0], 5, 15, text) == (2, 4)  # a blank more
+    assert T.token_span([(0, 4), (4, 10)], [0, 0], 6, 10, text) is None  # begins inside a token
+    assert T.token_span([(0, 4), (4, 10)], [0, 0], 4, 15, text) is None  # cut off
+    assert T.token_span([(0, 3), (5, 9)], [0, 0], 4, 9, text) is None  # a blank that no token covers
+    assert T.token_span([(0, 4)], [1], 0, 4, text) is None and T.token_span([(0, 4)], [0], 0, 0, text) is None and T.token_span([(0, 4)], [0], 0, 99, text) is None
+    assert T.token_span([(0, 4)], [0], 0, 4, text, "head") == (0, 1) and T.token_span([(0, 4)], [0], 0, 4, text, "tail") is None
 
 
 def test_canonical():
