@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 NEW_YORK = ZoneInfo("America/New_York")
 #: Full-day closures outside the yearly rules.
-CLOSED = {date(2001, 9, d) for d in (11, 12, 13, 14)} | {date(2004, 6, 11), date(2007, 1, 2), date(2012, 10, 29), date(2012, 10, 30), date(2018, 12, 5), date(2025, 1, 9)}
+CLOSED = {date(2001, 9, d) for d in (11, 12, 13, 14)} | {date(1994, 4, 27), date(2004, 6, 11), date(2007, 1, 2), date(2012, 10, 29), date(2012, 10, 30), date(2018, 12, 5), date(2025, 1, 9)}
+#: Early closes outside the yearly rules.
+SHORT = {date(1997, 12, 26), date(1999, 12, 31), date(2003, 12, 26)}
 SCHEMA = "calendar_date date, session_date date, open_utc timestamp, close_utc timestamp, next_session_date date, next_open_utc timestamp"
 
 
@@ -45,12 +47,24 @@ def holidays(year: int) -> set[date]:
     return {d for d in out if d}
 
 
+def early_closes(year: int) -> set[date]:
+    """Days that close at 13:00, from 1993: the one after Thanksgiving and the 24th of December; from 1995 the 3rd of July
+    on a Monday, Tuesday or Thursday, and before 2013 a Friday after the holiday, since then a Wednesday before it."""
+    out = {_nth(year, 11, 3, 4) + timedelta(1), date(year, 12, 24)} | SHORT if year >= 1993 else set()
+    third = date(year, 7, 3)
+    if year >= 1995 and third.weekday() in (0, 1, 3) or year >= 2013 and third.weekday() == 2:
+        out.add(third)
+    if 1995 <= year < 2013 and third.weekday() == 2:
+        out.add(date(year, 7, 5))
+    return out
+
+
 def sessions(first: int, last: int) -> list[tuple[date, datetime, datetime]]:
     """(session, open, close) in UTC of the years first..last by the exchange's yearly rules."""
     out = []
     for year in range(first, last + 1):
         off = holidays(year) | CLOSED
-        short = {_nth(year, 11, 3, 4) + timedelta(1), date(year, 12, 24), date(year, 7, 3)}
+        short = early_closes(year)
         d = date(year, 1, 1)
         while d.year == year:
             if d.weekday() < 5 and d not in off:
