@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import annotation, graph
+from ..operators import annotation, graph, ranking
 from . import bindings as B
 from .registry import query
 
@@ -90,9 +89,9 @@ def a12(spark, sf_dir):
     return cur.agg(F.count("*").alias("events"), F.avg(F.when(F.col("n") > 1, 1.0).otherwise(0.0)).alias("double_fraction"), F.count(F.when((F.col("n") > 1) & (F.col("v") == 1), 1)).alias("agreed"))
 
 
-@query("A13", "WITH o AS (SELECT unnest(['click', 'view', 'signup', 'purchase', 'refund']) AS label), l AS (SELECT event_type AS label, count(*) AS n FROM events WHERE event_id % 97 = 0 GROUP BY 1) SELECT label, coalesce(n, 0) AS n, coalesce(n, 0) < 20 AS rare FROM o LEFT JOIN l USING (label)")
+@query("A13", "WITH o AS (SELECT unnest(['click', 'view', 'signup', 'purchase', 'refund']) AS label), l AS (SELECT event_type AS label, count(*) AS n FROM events GROUP BY 1) SELECT label, coalesce(n, 0) AS n, coalesce(n, 0) < 20 AS rare FROM o LEFT JOIN l USING (label)")
 def a13(spark, sf_dir):
-    labelled = B.table(spark, sf_dir, "events").where("event_id % 97 = 0").select(F.array("event_type").alias("labels"))
+    labelled = B.table(spark, sf_dir, "events").select(F.array("event_type").alias("labels"))
     return annotation.label_report(labelled, spark.createDataFrame([(x,) for x in ("click", "view", "signup", "purchase", "refund")], "label string"), 20)
 
 
@@ -120,20 +119,23 @@ def j13(spark, sf_dir):
     return annotation.prior_disclosure(c).select("task_id", "prior")
 
 
-NODES_SQL = "nodes AS (SELECT o_orderkey AS event_id, o_custkey, CAST(o_orderdate AS DATE) AS d FROM orders WHERE o_orderkey % 25 = 0)"
+# An order's entity is its customer in one year; its related group is the orders of one day and priority.
+NODES_SQL = "nodes AS (SELECT o_orderkey AS event_id, o_custkey || '/' || year(o_orderdate) AS entity, strftime(o_orderdate, '%Y-%m-%d') || '/' || o_orderpriority AS related FROM orders)"
 COMPONENT_SQL = f"""WITH RECURSIVE {NODES_SQL},
-edges AS (SELECT DISTINCT a.event_id AS a, b.event_id AS b FROM nodes a JOIN nodes b ON a.o_custkey = b.o_custkey OR a.d = b.d),
+edges AS (SELECT a.event_id AS a, b.event_id AS b FROM nodes a JOIN nodes b USING (entity) UNION SELECT a.event_id, b.event_id FROM nodes a JOIN nodes b USING (related)),
 reach(a, b) AS (SELECT a, b FROM edges UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a),
 parts AS (SELECT a AS event_id, min(b) AS component FROM reach GROUP BY 1)"""
+KEYS = ["entity", "related"]
 
 
 def nodes(spark, sf_dir):
-    return B.table(spark, sf_dir, "orders").where("o_orderkey % 25 = 0").select(F.col("o_orderkey").alias("event_id"), "o_custkey", F.col("o_orderdate").cast("date").alias("d"))
+    o, day = B.table(spark, sf_dir, "orders"), F.col("o_orderdate").cast("date")
+    return o.select(F.col("o_orderkey").alias("event_id"), F.concat_ws("/", F.col("o_custkey").cast("string"), F.year(day).cast("string")).alias("entity"), F.concat_ws("/", day.cast("string"), "o_orderpriority").alias("related"))
 
 
 @query("U4", COMPONENT_SQL + " SELECT event_id, component FROM parts")
 def u4(spark, sf_dir):
-    return graph.components(nodes(spark, sf_dir), ["o_custkey", "d"])
+    return graph.components(nodes(spark, sf_dir), KEYS)
 
 
 SPLIT_SQL = COMPONENT_SQL + """, g AS (SELECT component, count(*) AS size, sha256('sediment:' || string_agg(event_id::VARCHAR, '|' ORDER BY event_id::VARCHAR)) AS h FROM parts GROUP BY 1),
@@ -143,21 +145,21 @@ t AS (SELECT greatest(1, round_even(count(*) * 0.2, 0)) AS target FROM parts)"""
 
 @query("F12", SPLIT_SQL + " SELECT component, h AS hash, size FROM g")
 def f12(spark, sf_dir):
-    parts = graph.components(nodes(spark, sf_dir), ["o_custkey", "d"])
+    parts = graph.components(nodes(spark, sf_dir), KEYS)
     return parts.groupBy("component").agg(graph.group_hash("sediment", F.collect_list("event_id")).alias("hash"), F.count("*").alias("size"))
 
 
 @query("W11", SPLIT_SQL + " SELECT event_id, component, CASE WHEN before < target THEN 'eval' ELSE 'train' END AS part FROM parts JOIN o USING (component), t")
 def w11(spark, sf_dir):
-    return graph.split(nodes(spark, sf_dir), ["o_custkey", "d"], "sediment", 0.2)
+    return graph.split(nodes(spark, sf_dir), KEYS, "sediment", 0.2)
 
 
-@query("U2", SPLIT_SQL + ", p AS (SELECT n.*, CASE WHEN before < target THEN 'eval' ELSE 'train' END AS part FROM parts JOIN o USING (component) JOIN nodes n USING (event_id), t) SELECT (SELECT count(*) FROM (SELECT o_custkey FROM p WHERE part = 'eval' INTERSECT SELECT o_custkey FROM p WHERE part = 'train')) AS entities, (SELECT count(*) FROM (SELECT d FROM p WHERE part = 'eval' INTERSECT SELECT d FROM p WHERE part = 'train')) AS groups")
+@query("U2", SPLIT_SQL + ", p AS (SELECT n.*, CASE WHEN before < target THEN 'eval' ELSE 'train' END AS part FROM parts JOIN o USING (component) JOIN nodes n USING (event_id), t) SELECT (SELECT count(*) FROM (SELECT entity FROM p WHERE part = 'eval' INTERSECT SELECT entity FROM p WHERE part = 'train')) AS entities, (SELECT count(*) FROM (SELECT related FROM p WHERE part = 'eval' INTERSECT SELECT related FROM p WHERE part = 'train')) AS groups")
 def u2(spark, sf_dir):
     n = nodes(spark, sf_dir)
-    p = graph.split(n, ["o_custkey", "d"], "sediment", 0.2).join(n, "event_id")
+    p = graph.split(n, KEYS, "sediment", 0.2).join(n, "event_id")
     both = lambda c, name: p.groupBy(c).agg(F.countDistinct("part").alias("n")).agg(F.count(F.when(F.col("n") > 1, 1)).alias(name))
-    return both("o_custkey", "entities").join(both("d", "groups"), F.lit(True))
+    return both("entity", "entities").join(both("related", "groups"), F.lit(True))
 
 
 @query("U1", "SELECT count(*) AS leaked FROM (SELECT sha256(text) FROM documents WHERE doc_id % 5 = 0 INTERSECT SELECT sha256(text) FROM documents WHERE doc_id % 5 <> 0)")
@@ -206,18 +208,9 @@ def j14(spark, sf_dir):
     return w.where("test").join(train, (F.col("k") == F.col("r_k")) & (F.col("s") < F.col("r_e")) & (F.col("r_s") < F.col("e")), "left_semi").select("id")
 
 
-@query("C8", SPLIT_SQL + ", p AS (SELECT CASE WHEN before < target THEN 'eval' ELSE 'train' END AS part FROM parts JOIN o USING (component), t) SELECT part, count(*) AS n FROM p GROUP BY 1")
-def c8(spark, sf_dir):
-    return graph.split(nodes(spark, sf_dir), ["o_custkey", "d"], "sediment", 0.2).groupBy("part").agg(F.count("*").alias("n"))
-
-
-@query("T1", "SELECT event_id, row_number() OVER (ORDER BY user_id, ts, event_id) AS i FROM events WHERE user_id < 20")
+@query("T1", "SELECT event_id, row_number() OVER (ORDER BY user_id, ts, event_id) AS i FROM events")
 def t1(spark, sf_dir):
-    e = B.table(spark, sf_dir, "events").where("user_id < 20")
-    # numbered by user, then shifted by what earlier users have: no single sort of all rows
-    n = e.groupBy("user_id").agg(F.count("*").alias("c")).withColumn("b", F.sum("c").over(Window.orderBy("user_id")) - F.col("c"))
-    i = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    return e.withColumn("i", i).join(n, "user_id").select("event_id", (F.col("i") + F.col("b")).alias("i"))
+    return ranking.numbered(B.table(spark, sf_dir, "events").select("event_id", "user_id", "ts"), ["user_id", "ts", "event_id"], "i").select("event_id", "i")
 
 
 @query("T4", "SELECT event_id, value FROM events ORDER BY value DESC, event_id LIMIT 50")

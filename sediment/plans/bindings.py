@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.calendar import calendar, calendar_rows
+from ..operators.calendar import calendar
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,7 +62,7 @@ def factors(ranked: DataFrame) -> DataFrame:
     return out.dropna().withColumn("rf", F.lit(0.0001))
 
 
-# --- events of outcomes: every 50th order, on a security by customer --------------------------------------------------
+# --- events of outcomes: orders, on a security by customer --------------------------------------------------
 
 
 def order_days(spark: SparkSession) -> DataFrame:
@@ -73,18 +73,42 @@ def event_days(spark: SparkSession) -> DataFrame:
     return calendar(spark, 2023, 2024)
 
 
+# The exchange's closed days and early closes of the years that the queries use, for their SQL alone.
+CLOSED_DAYS = """
+1994-02-21 1994-04-01 1994-04-27 1994-05-30 1994-07-04 1994-09-05 1994-11-24 1994-12-26
+1995-01-02 1995-02-20 1995-04-14 1995-05-29 1995-07-04 1995-09-04 1995-11-23 1995-12-25
+1996-01-01 1996-02-19 1996-04-05 1996-05-27 1996-07-04 1996-09-02 1996-11-28 1996-12-25
+1997-01-01 1997-02-17 1997-03-28 1997-05-26 1997-07-04 1997-09-01 1997-11-27 1997-12-25
+1998-01-01 1998-01-19 1998-02-16 1998-04-10 1998-05-25 1998-07-03 1998-09-07 1998-11-26 1998-12-25
+1999-01-01 1999-01-18 1999-02-15 1999-04-02 1999-05-31 1999-07-05 1999-09-06 1999-11-25 1999-12-24
+2000-01-17 2000-02-21 2000-04-21 2000-05-29 2000-07-04 2000-09-04 2000-11-23 2000-12-25
+2001-01-01 2001-01-15 2001-02-19 2001-04-13 2001-05-28 2001-07-04 2001-09-03 2001-09-11 2001-09-12 2001-09-13 2001-09-14 2001-11-22 2001-12-25
+2002-01-01 2002-01-21 2002-02-18 2002-03-29 2002-05-27 2002-07-04 2002-09-02 2002-11-28 2002-12-25 2003-01-01
+2023-01-02 2023-01-16 2023-02-20 2023-04-07 2023-05-29 2023-06-19 2023-07-04 2023-09-04 2023-11-23 2023-12-25
+2024-01-01 2024-01-15 2024-02-19 2024-03-29 2024-05-27 2024-06-19 2024-07-04 2024-09-02 2024-11-28 2024-12-25 2025-01-01"""
+SHORT_DAYS = """
+1994-11-25 1995-07-03 1995-11-24 1996-07-05 1996-11-29 1996-12-24 1997-07-03 1997-11-28 1997-12-24 1997-12-26 1998-11-27 1998-12-24
+1999-11-26 1999-12-31 2000-07-03 2000-11-24 2001-07-03 2001-11-23 2001-12-24 2002-07-05 2002-11-29 2002-12-24
+2023-07-03 2023-11-24 2024-07-03 2024-11-29 2024-12-24"""
+
+
 def days_sql(first: int, last: int) -> str:
-    ts = lambda t: f"TIMESTAMP '{t:%Y-%m-%d %H:%M:%S}'"
-    rows = ",".join(f"(DATE '{d}',DATE '{s}',{ts(o)},{ts(c)},DATE '{n}',{ts(no)})" for d, s, o, c, n, no in calendar_rows(first, last))
-    return f"days(calendar_date, session_date, open_utc, close_utc, next_session_date, next_open_utc) AS (VALUES {rows})"
+    listed = lambda days: ", ".join(f"DATE '{d}'" for d in days.split())
+    at = lambda d, time: f"timezone('UTC', timezone('America/New_York', {d} + INTERVAL '{time}'))"
+    return f"""
+dates AS (SELECT CAST(range AS DATE) AS d FROM range(DATE '{first}-01-01', DATE '{last + 1}-01-15', INTERVAL 1 DAY)),
+open_days AS (
+  SELECT d AS session_date, {at("d", "9 hours 30 minutes")} AS open_utc, CASE WHEN d IN ({listed(SHORT_DAYS)}) THEN {at("d", "13 hours")} ELSE {at("d", "16 hours")} END AS close_utc
+  FROM dates WHERE isodow(d) < 6 AND d NOT IN ({listed(CLOSED_DAYS)})),
+chained AS (SELECT *, lag(session_date) OVER o AS previous, lead(session_date) OVER o AS next_session_date, lead(open_utc) OVER o AS next_open_utc FROM open_days WINDOW o AS (ORDER BY session_date)),
+days AS (SELECT d AS calendar_date, c.* EXCLUDE previous FROM dates JOIN chained c ON d <= session_date AND (previous IS NULL OR d > previous) WHERE year(d) <= {last})"""
 
 
 def outcome_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.calendar import tradable_at
 
     n = table(spark, sf_dir, "supplier").count()
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 50 = 0")
-    e = o.select(F.col("o_orderkey").alias("event_id"), (F.col("o_custkey") % n).alias("security_id"), (utc("o_orderdate") + F.make_dt_interval(hours=(F.col("o_orderkey") % 24).cast("int"))).alias("published"), (F.col("o_orderkey") % 3 + 1).alias("same_day_filings"))
+    e = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("event_id"), (F.col("o_custkey") % n).alias("security_id"), (utc("o_orderdate") + F.make_dt_interval(hours=(F.col("o_orderkey") % 24).cast("int"))).alias("published"), (F.col("o_orderkey") % 3 + 1).alias("same_day_filings"))
     e = tradable_at(e, order_days(spark), "published")
     return e.withColumn("sector", F.col("security_id") % 5)
 
@@ -94,7 +118,7 @@ def outcome_events_sql() -> str:
 {days_sql(1994, 2002)},
 pub AS (
   SELECT o_orderkey AS event_id, o_custkey % (SELECT count(*) FROM supplier) AS security_id, o_orderkey % 3 + 1 AS same_day_filings,
-         CAST(o_orderdate AS TIMESTAMP) + to_hours(CAST(o_orderkey % 24 AS INTEGER)) AS published FROM orders WHERE o_orderkey % 50 = 0),
+         CAST(o_orderdate AS TIMESTAMP) + to_hours(CAST(o_orderkey % 24 AS INTEGER)) AS published FROM orders),
 local AS (SELECT *, CAST(timezone('America/New_York', timezone('UTC', published)) AS DATE) AS d FROM pub),
 outcome_events AS (
   SELECT l.*, l.security_id % 5 AS sector,
@@ -141,7 +165,7 @@ securities AS (SELECT c_custkey AS entity_id, c_custkey * 10 AS security_id, c_m
                       CASE WHEN c_custkey % 5 = 0 THEN DATE '1999-01-01' END AS delisted_at FROM customer),
 membership AS (SELECT o_custkey * 10 AS security_id, o_orderstatus AS universe_name, d1 AS membership_start, d1 + INTERVAL 90 DAY AS membership_end
                FROM (SELECT o_custkey, o_orderstatus, CAST(min(o_orderdate) AS DATE) AS d1 FROM orders GROUP BY 1, 2)),
-filings AS (SELECT o_orderkey AS query_id, CAST(o_custkey AS VARCHAR) AS raw_cik, CAST(o_orderdate AS DATE) + CAST(o_orderkey % 60 AS INTEGER) AS as_of FROM orders WHERE o_orderkey % 5 = 0)"""
+filings AS (SELECT o_orderkey AS query_id, CAST(o_custkey AS VARCHAR) AS raw_cik, CAST(o_orderdate AS DATE) + CAST(o_orderkey % 60 AS INTEGER) AS as_of FROM orders)"""
 
 
 def master(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
@@ -159,7 +183,7 @@ def master(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         "entities": c.select(F.col("c_custkey").alias("entity_id"), cik("c_custkey").alias("cik"), day("1996-01-01").alias("valid_from"), F.when(F.col("c_custkey") % 7 == 0, day("2000-01-01")).alias("valid_to")),
         "securities": c.select(F.col("c_custkey").alias("entity_id"), (F.col("c_custkey") * 10).alias("security_id"), F.col("c_mktsegment").alias("ticker"), day("1995-06-01").alias("valid_from"), none.alias("valid_to"), F.when(F.col("c_custkey") % 5 == 0, day("1999-01-01")).alias("delisted_at")),
         "membership": start.select((F.col("o_custkey") * 10).alias("security_id"), F.col("o_orderstatus").alias("universe_name"), F.col("d1").alias("membership_start"), F.date_add("d1", 90).alias("membership_end")),
-        "filings": o.where("o_orderkey % 5 = 0").select(F.col("o_orderkey").alias("query_id"), F.col("o_custkey").cast("string").alias("cik"), F.date_add(F.col("o_orderdate").cast("date"), (F.col("o_orderkey") % 60).cast("int")).alias("as_of")),
+        "filings": o.select(F.col("o_orderkey").alias("query_id"), F.col("o_custkey").cast("string").alias("cik"), F.date_add(F.col("o_orderdate").cast("date"), (F.col("o_orderkey") % 60).cast("int")).alias("as_of")),
     }
 
 

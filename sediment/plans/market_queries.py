@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import asof, calendar, market, master
-from ..operators.graph import settled
+from ..operators.tables import stored
 from . import bindings as B
 from .registry import query
 
@@ -78,9 +78,9 @@ def p2(spark, sf_dir):
     return h.where(asof.valid_at(F.lit("1998-03-01").cast("date"), "valid_from", "valid_to")).select("entity_id", "identifier_value")
 
 
-@query("P3", "WITH s AS (SELECT o_custkey AS k, o_orderkey AS id, CAST(o_orderdate AS DATE) AS a, CAST(o_orderdate AS DATE) + 60 AS b FROM orders WHERE o_custkey % 10 = 0) SELECT DISTINCT y.k, y.id FROM s x JOIN s y ON x.k = y.k AND (x.a, x.b, x.id) < (y.a, y.b, y.id) AND x.b > y.a")
+@query("P3", "WITH s AS (SELECT o_custkey AS k, o_orderkey AS id, CAST(o_orderdate AS DATE) AS a, CAST(o_orderdate AS DATE) + 60 AS b FROM orders) SELECT DISTINCT y.k, y.id FROM s x JOIN s y ON x.k = y.k AND (x.a, x.b, x.id) < (y.a, y.b, y.id) AND x.b > y.a")
 def p3(spark, sf_dir):
-    o = B.table(spark, sf_dir, "orders").where("o_custkey % 10 = 0")
+    o = B.table(spark, sf_dir, "orders")
     s = o.select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("id"), F.col("o_orderdate").cast("date").alias("a"), F.date_add(F.col("o_orderdate").cast("date"), 60).alias("b"))
     w = Window.partitionBy("k").orderBy("a", "b", "id").rowsBetween(Window.unboundedPreceding, -1)
     return s.withColumn("far", F.max("b").over(w)).where("far > a").select("k", "id")
@@ -116,11 +116,11 @@ def c1(spark, sf_dir):
 
 # --- bars, versions, outcomes ----------------------------------------------------------------------------------------
 
-VERSIONS_SQL = "versions AS (SELECT l_suppkey AS security_id, CAST(l_shipdate AS DATE) AS session_date, l_orderkey * 10 + l_linenumber AS bar_id, l_partkey AS received, l_extendedprice AS close FROM lineitem WHERE l_suppkey % 4 = 0)"
+VERSIONS_SQL = "versions AS (SELECT l_suppkey AS security_id, CAST(l_shipdate AS DATE) AS session_date, l_orderkey * 10 + l_linenumber AS bar_id, l_partkey AS received, l_extendedprice AS close FROM lineitem)"
 
 
 def versions(spark, sf_dir):
-    l = B.table(spark, sf_dir, "lineitem").where("l_suppkey % 4 = 0")  # noqa: E741
+    l = B.table(spark, sf_dir, "lineitem")  # noqa: E741
     return l.select(F.col("l_suppkey").alias("security_id"), F.col("l_shipdate").cast("date").alias("session_date"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("bar_id"), F.col("l_partkey").alias("source_received_at"), F.col("l_extendedprice").alias("close"))
 
 
@@ -236,7 +236,7 @@ def w13(spark, sf_dir):
 
 
 def labels(spark, sf_dir):
-    bars = settled(B.bars(spark, sf_dir))  # the benchmark, sectors, factors and windows all read it
+    bars = stored(B.bars(spark, sf_dir), "bars")  # the benchmark, sectors, factors and windows all read it
     return market.outcome_labels(B.outcome_events(spark, sf_dir), bars, B.benchmark(bars), B.sectors(bars), B.factors(market.ranked_bars(bars)))
 
 
@@ -271,14 +271,14 @@ m AS (
 """
 
 
-@query("C5", lambda: LABELS_SQL() + """SELECT e.event_id, strftime(start_session, '%Y-%m-%d') AS start_session, round(r1, 6) AS raw_return_1d, round(r5, 6) AS raw_return_5d, round(r20, 6) AS raw_return_20d,
-  round(r1 - b1, 6) AS market_adjusted_return_1d, round(r5 - b5, 6) AS market_adjusted_return_5d, round(r20 - b20, 6) AS market_adjusted_return_20d, round(r5 - s5, 6) AS sector_adjusted_return_5d, round(vol, 6) AS realized_volatility_20d,
-  round(mae, 6) AS mae_20d, round(mfe, 6) AS mfe_20d, round(vab, 6) AS volume_abnormality_5d, CASE WHEN m.n >= 20 THEN round(ln(abs(1 + residual)), 4) END AS factor_residual_log, CASE WHEN m.n > 0 THEN dollars < 5e6 END AS low_liquidity, abs(b1) >= 0.03 AS extreme_market_move,
+@query("C5", lambda: LABELS_SQL() + """SELECT e.event_id, strftime(start_session, '%Y-%m-%d') AS start_session, round(r1, 6) + 0 AS raw_return_1d, round(r5, 6) + 0 AS raw_return_5d, round(r20, 6) + 0 AS raw_return_20d,
+  round(r1 - b1, 6) + 0 AS market_adjusted_return_1d, round(r5 - b5, 6) + 0 AS market_adjusted_return_5d, round(r20 - b20, 6) + 0 AS market_adjusted_return_20d, round(r5 - s5, 6) + 0 AS sector_adjusted_return_5d, round(vol, 6) + 0 AS realized_volatility_20d,
+  round(mae, 6) + 0 AS mae_20d, round(mfe, 6) + 0 AS mfe_20d, round(vab, 6) + 0 AS volume_abnormality_5d, CASE WHEN m.n >= 20 THEN round(ln(abs(1 + residual)), 4) END AS factor_residual_log, CASE WHEN m.n > 0 THEN dollars < 5e6 END AS low_liquidity, abs(b1) >= 0.03 AS extreme_market_move,
   CASE WHEN m.n > 0 THEN halt END AS trading_halt, (coalesce(m.n, 0) < 20 OR b1 IS NULL OR b5 IS NULL OR b20 IS NULL OR s5 IS NULL) AS missing_price_data, same_day_filings > 1 AS multiple_same_day_filings
 FROM outcome_events e LEFT JOIN m USING (event_id) LEFT JOIN res USING (event_id)""")
 def c5(spark, sf_dir):
     out = labels(spark, sf_dir)
-    return out.select("event_id", F.col("start_session").cast("string").alias("start_session"), *[F.round(c, 6).alias(c) for c in MEASURES if "residual" not in c], F.round(F.log(F.abs(1 + F.col("factor_residual_return_20d"))), 4).alias("factor_residual_log"), "low_liquidity", "extreme_market_move", "trading_halt", "missing_price_data", "multiple_same_day_filings")
+    return out.select("event_id", F.col("start_session").cast("string").alias("start_session"), *[(F.round(c, 6) + 0.0).alias(c) for c in MEASURES if "residual" not in c], F.round(F.log(F.abs(1 + F.col("factor_residual_return_20d"))), 4).alias("factor_residual_log"), "low_liquidity", "extreme_market_move", "trading_halt", "missing_price_data", "multiple_same_day_filings")
 
 
 @query("A19", lambda: LABELS_SQL() + "SELECT event_id, n AS n_obs, round(alpha, 5) AS alpha, round(b1, 4) AS beta_market, round(b2, 4) AS beta_smb, round(b3, 4) AS beta_hml FROM model")

@@ -23,4 +23,4 @@ def query(name: str, sql: str | Callable[[], str] | None = None):
     return add
 
 
-from . import annotation_queries, market_queries, review_queries, source_queries, text_queries  # noqa: E402,F401
+from . import annotation_queries, market_queries, release_queries, review_queries, source_queries, text_queries  # noqa: E402,F401

@@ -39,7 +39,7 @@ def t2(spark, sf_dir):
 @query("T3")
 def t3(spark, sf_dir):
     top = sections(spark, sf_dir).withColumn("top", review.top_sections(F.col("sections"), 6, TERMS))
-    return top.select("doc_id", review.review_text(F.col("top"), 1000).alias("review")).withColumn("n", F.length("review"))
+    return top.select("doc_id", review.review_text(F.col("top")).alias("review")).withColumn("n", F.length("review"))
 
 
 @query("P10", "SELECT p_partkey, ['application/json', 'text/html', 'image/png', 'x/y'][p_partkey % 4 + 1] AS media_type, ['.json', '.html', '.png', '.bin'][p_partkey % 4 + 1] AS extension FROM part")
@@ -50,20 +50,6 @@ def p10(spark, sf_dir):
     return B.table(spark, sf_dir, "part").select("p_partkey", kind.alias("media_type"), review.extension(kind, pick("http://h/a", "http://h/b.htm", "http://h/c.PNG?x=.zip", "http://h/d.averylongsuffix")).alias("extension"))
 
 
-@query("P9", "SELECT c_custkey, c_custkey % 5 <> 0 OR DATE '1998-01-01' < DATE '1999-01-01' - CAST(c_custkey % 900 AS INTEGER) AS tradable FROM customer")
-def p9(spark, sf_dir):
-    gone = F.when(F.col("c_custkey") % 5 == 0, F.date_sub(F.lit("1999-01-01").cast("date"), (F.col("c_custkey") % 900).cast("int")))
-    return B.table(spark, sf_dir, "customer").select("c_custkey", (gone.isNull() | (F.lit("1998-01-01").cast("date") < gone)).alias("tradable"))
-
-
-@query("P12", "SELECT doc_id, lang AS filing_type, sha256(text) AS text_hash FROM documents")
-def p12(spark, sf_dir):
-    d = B.table(spark, sf_dir, "documents")
-    row = F.to_json(F.struct("text", F.col("lang").alias("filing_type")))
-    back = F.from_json(row, "text string, filing_type string")
-    return d.select("doc_id", back["filing_type"].alias("filing_type"), F.sha2(back["text"], 256).alias("text_hash"))
-
-
 @query("F13", "SELECT event_id, event_id % 6 IN (0, 1, 3) OR event_id % 6 = 2 AND value > 20 AS ok FROM events")
 def f13(spark, sf_dir):
     e, i = B.table(spark, sf_dir, "events"), F.col("event_id") % 6
@@ -106,17 +92,3 @@ def j16(spark, sf_dir):
     tokens = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.struct((i * 4).alias("start"), (i * 4 + 4).alias("stop")))
     s = e.select("event_id", tokens.alias("t"), (F.col("event_id") % 30).alias("a"), (F.col("event_id") % 30 + 1 + F.col("event_id") % 7).alias("b"))
     return review.tokens_over(s, "t", "a", "b").select("event_id", F.col("first_token").cast("long").alias("first_token"), F.col("stop_token").cast("long").alias("stop_token"))
-
-
-def C3_SQL():
-    from .market_queries import KNOWN_SQL
-
-    return KNOWN_SQL() + "SELECT 'knowledge_' || sha256(record_id || ':v1') AS id, entity_id, epoch_us(tradable_at) AS tradable_us FROM known WHERE knowledge_key IS NOT NULL"
-
-
-@query("C3", C3_SQL)
-def c3(spark, sf_dir):
-    from .market_queries import knowledge
-
-    k = knowledge(spark, sf_dir).where("knowledge_key is not null and tradable_at is not null")
-    return k.select(F.concat(F.lit("knowledge_"), F.sha2(F.concat(F.col("record_id").cast("string"), F.lit(":v1")), 256)).alias("id"), "entity_id", F.unix_micros("tradable_at").alias("tradable_us"))

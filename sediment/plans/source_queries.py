@@ -116,10 +116,10 @@ def p7(spark, sf_dir):
     return B.table(spark, sf_dir, "orders").select("o_orderkey", S.archive_url(F.lpad(F.col("o_custkey").cast("string"), 10, "0"), accession).alias("url"))
 
 
-@query("K2", "SELECT o_custkey, min(o_orderkey) AS o_orderkey FROM orders WHERE o_orderkey % 2 = 1 AND o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 20 = 0) GROUP BY 1")
+@query("K2", "SELECT o_custkey, min(o_orderkey) AS o_orderkey FROM orders WHERE o_orderkey % 20 <> 0 AND o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 20 = 0) GROUP BY 1")
 def k2(spark, sf_dir):
     o = B.table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey")
-    return K.insert_or_ignore(o.where("o_orderkey % 20 = 0"), o.where("o_orderkey % 2 = 1"), ["o_custkey"], "o_orderkey")
+    return K.insert_or_ignore(o.where("o_orderkey % 20 = 0"), o.where("o_orderkey % 20 != 0"), ["o_custkey"], "o_orderkey")
 
 
 UPSERT = "SELECT o_custkey, arg_max(o_totalprice, (o_orderkey % 2, o_orderkey)) AS price, arg_max(o_orderkey, (o_orderkey % 2, o_orderkey)) AS o_orderkey, min(o_orderdate) AS first_seen FROM orders GROUP BY 1"

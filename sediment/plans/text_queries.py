@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import filing
 from ..functions import text as T
 from ..operators import baselines, probe
 from . import bindings as B
@@ -107,26 +108,19 @@ def a10(spark, sf_dir):
     return m.select(*[F.round(c, 8).alias(c) for c in ("precision", "recall", "f1")], F.round("exact", 8).alias("record_exact"))
 
 
-@query("C10", BAYES_SQL + ", g2 AS (SELECT doc_id, label FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round(logp, 6) DESC, label) = 1) SELECT round(avg(CASE WHEN e.label = g2.label THEN 1.0 ELSE 0 END), 8)::DOUBLE AS exact, count(*) AS rows FROM g2 JOIN examples e USING (doc_id)")
-def c10(spark, sf_dir):
-    from ..operators.asof import first_of
-
-    best = first_of(bayes(spark, sf_dir), ["doc_id"], [F.round("logp", 6).desc(), F.asc("label")]).select("doc_id", F.col("label").alias("guess"))
-    e = B.examples(spark, sf_dir).select("doc_id", "label").join(best, "doc_id")
-    return e.agg(F.round(F.avg(F.when(F.col("label") == F.col("guess"), 1.0).otherwise(0.0)), 8).alias("exact"), F.count("*").alias("rows"))
-
-
 @query("F8", "SELECT p_partkey, levenshtein(p_name, 'small ring') <= 2 AS near FROM part")
 def f8(spark, sf_dir):
     return B.table(spark, sf_dir, "part").select("p_partkey", T.near(F.col("p_name"), F.lit("small ring")).alias("near"))
 
 
-@query("F5", "SELECT doc_id, contains(lower(text), 'general public license') AS boilerplate FROM documents")
+@query("F5", "SELECT doc_id, lower(coalesce(source, '') || ['', ' Safe HARBOR', 'x', ' signatures'][doc_id % 4 + 1] || ' ' || coalesce(text, '')) SIMILAR TO '(.|\n)*(safe harbor|signature|forward-looking statement|pursuant to the requirements)(.|\n)*' AS boilerplate FROM documents")
 def f5(spark, sf_dir):
-    return B.table(spark, sf_dir, "documents").select("doc_id", F.lower("text").contains("general public license").alias("boilerplate"))
+    extra = F.element_at(F.array(*map(F.lit, ("", " Safe HARBOR", "x", " signatures"))), (F.col("doc_id") % 4 + 1).cast("int"))
+    heading = F.concat(F.coalesce("source", F.lit("")), extra)
+    return B.table(spark, sf_dir, "documents").select("doc_id", filing.is_boilerplate(heading, F.col("text")).alias("boilerplate"))
 
 
-@query("F6", "WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM documents) SELECT doc_id, CASE WHEN len(w) < 5 THEN 'unknown' WHEN len(list_filter(w, lambda x: x IN ('the', 'and', 'of', 'to', 'in', 'for', 'with'))) >= 2 THEN 'en' ELSE 'unknown' END AS language FROM w")
+@query("F6", "WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM documents) SELECT doc_id, CASE WHEN len(w) < 5 THEN 'unknown' WHEN len(list_filter(w, lambda x: x IN ('and', 'company', 'for', 'in', 'of', 'the', 'to'))) >= 2 THEN 'en' ELSE 'unknown' END AS language FROM w")
 def f6(spark, sf_dir):
     w = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))
     d = B.table(spark, sf_dir, "documents").select("doc_id", w.alias("w"))
@@ -140,11 +134,6 @@ def f11(spark, sf_dir):
     return e.select("event_id", F.concat(F.lit("knowledge_"), F.sha2(F.concat(F.lit("events"), F.col("event_id").cast("string"), F.lit(":v1")), 256)).alias("id"))
 
 
-@query("F16", "SELECT p_partkey, split_part(p_type, 'O', 1) AS family FROM part")
-def f16(spark, sf_dir):
-    return B.table(spark, sf_dir, "part").select("p_partkey", F.split_part("p_type", F.lit("O"), F.lit(1)).alias("family"))
-
-
 @query("F22", r"SELECT conv_id, turn, list_filter(string_split_regex(text, '\n\s*\n'), lambda x: trim(x) <> '')[1] AS first_paragraph FROM conversations")
 def f22(spark, sf_dir):
     return B.table(spark, sf_dir, "conversations").select("conv_id", "turn", T.first_paragraph(F.col("text")).alias("first_paragraph"))
@@ -156,12 +145,6 @@ def p13(spark, sf_dir):
     return B.table(spark, sf_dir, "documents").select("doc_id", F.concat(head, "text").alias("input"), F.length(head).cast("long").alias("text_start"))
 
 
-@query("P11", "SELECT event_id, value > 0 AND value < 300 AND ts < TIMESTAMP '2024-01-30' AS ok FROM events")
-def p11(spark, sf_dir):
-    ok = (F.col("value") > 0) & (F.col("value") < 300) & (B.utc("ts") < F.lit("2024-01-30").cast("timestamp"))
-    return B.table(spark, sf_dir, "events").select("event_id", ok.alias("ok"))
-
-
 @query("F1")
 def f1(spark, sf_dir):
     return B.table(spark, sf_dir, "conversations").select("conv_id", "turn", T.clean_text()("text").alias("clean"))
@@ -170,7 +153,7 @@ def f1(spark, sf_dir):
 @query("F2")
 def f2(spark, sf_dir):
     p = B.table(spark, sf_dir, "pages").select("page_id", F.encode("html", "UTF-8").alias("raw"), F.lit("8-K").alias("document_type"))
-    return T.normalize_filings(p).select("page_id", "language", "parsing_quality", F.size("sections").alias("n_sections"), F.sha2(F.to_json("sections"), 256).alias("sections_hash"))
+    return filing.normalize_filings(p).select("page_id", "language", "parsing_quality", F.size("sections").alias("n_sections"), F.sha2(F.to_json("sections"), 256).alias("sections_hash"))
 
 
 @query("F9")
