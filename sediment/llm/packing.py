@@ -23,7 +23,7 @@ REMEMBERED = 120_000
 class Tokens:
     """Ids of texts by a public tokenizer, word by word: its pattern never spans ASCII white space, so a text's ids are
     its words' ids. Each word is encoded once and remembered. Words of ASCII and Latin-1 letters go straight to the
-    vocabulary's merges; every other word goes through the whole tokenizer."""
+    vocabulary's merges; every other word, and any that holds an added token, goes through the whole tokenizer."""
 
     #: The pattern and the byte table of the tokenizer, for the characters that PLAIN admits.
     PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
@@ -33,7 +33,8 @@ class Tokens:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
+        added = sorted((t.content for t in self.whole.get_added_tokens_decoder().values()), key=lambda t: (-len(t), t))
+        self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)")
         self.model = self.whole.model
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in printable]
@@ -50,7 +51,7 @@ class Tokens:
         return ids
 
     def word(self, w: str) -> bytes:
-        if self.PLAIN.fullmatch(w):
+        if self.PLAIN.fullmatch(w) and not self.added.search(w):
             ids = b"".join([self.piece(p) for p in self.PIECES.findall(w.lower())])
         else:
             ids = array("I", self.whole.encode(w, add_special_tokens=False).ids).tobytes()

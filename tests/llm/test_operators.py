@@ -7,6 +7,8 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
+from pyspark.sql import functions as F
 
 from sediment.llm import queries
 
@@ -25,7 +27,7 @@ def test_packing(docs, empty):
 
     path = str(public_tokenizers.path("word_bpe_49k.json"))
     plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
+    docs = docs.unionByName(docs.where("doc_id = 403").withColumns({"doc_id": F.lit(800).cast("long"), "text": F.lit("a <|endoftext|> b x<|startoftext|>y <|endoftext|><|ENDOFTEXT|>z < |endoftext|>")}))
     out = rows(pack(docs, path))
     ids = [(r.doc_id, np.array([*plain.encode(r.text or "", add_special_tokens=False).ids, 1], "<u4").tobytes()) for r in docs.select("doc_id", "text").collect()]
     assert sum(r["length"] for r in out) == sum(len(b) // 4 for _, b in ids)
@@ -41,6 +43,10 @@ def test_packing(docs, empty):
             at += r["length"]
             assert r["ids_crc32"] == zlib.crc32(b[r["start"] * 4 : at * 4])
         assert at == len(b) // 4
+    for doc in (None, 500):  # rows that share an id: each is cut whole, by itself
+        own = [b for d, b in ids if d == doc]
+        assert sum(r["length"] for r in pieces[doc]) == sum(len(b) // 4 for b in own) and sum(r["start"] == 0 for r in pieces[doc]) == len(own)
+        assert all(any(len(b) // 4 == r["doc_tokens"] and zlib.crc32(b[r["start"] * 4 : (r["start"] + r["length"]) * 4]) == r["ids_crc32"] for b in own) for r in pieces[doc])
     by = defaultdict(list)
     for r in out:
         by[r["sequence_id"]].append((r["offset"], r["length"]))
@@ -131,6 +137,11 @@ def test_sharding(docs, empty):
     for s in by.values():
         assert sorted(r["slot"] for r in s) == list(range(len(s)))
     assert shard(empty, 8).count() == 0
+    # By (hash of the text, id), shards and slots run on from one row to the next.
+    key = lambda r: (xxhash.xxh64_intdigest((r["text"] or "").encode(), 42) + (1 << 63)) % (1 << 64)
+    order = sorted(out, key=lambda r: (r["shard"], r["slot"]))
+    places = [(key(r), r["doc_id"] is not None, r["doc_id"] or 0) for r in order]
+    assert places == sorted(places)
     even = rows(shard(docs.where("length(text) < 3000 or text is null"), 3))
     share = Counter()
     for r in even:
@@ -261,6 +272,32 @@ def test_jaccard_join_of_small_sets(spark, num):
     assert out == groups_of(data, 1, num, 100)
 
 
+def test_jaccard_join_around_leaders(spark, monkeypatch):
+    """Groups of near copies with edits of all sizes beside texts that share a passage, with several rounds of leaders."""
+    import random
+
+    from sediment.llm import jaccard_join
+
+    monkeypatch.setattr(jaccard_join, "SHORT", 2)
+    monkeypatch.setattr(jaccard_join, "SHORT_OF_DIFFERENCES", 3)
+    monkeypatch.setattr(jaccard_join, "FEW_PAIRS", 0)
+    monkeypatch.setattr(jaccard_join, "LEADERS", 4)
+    rng = random.Random(12)
+    bases = [[f"b{b}w{i}" for i in range(70)] for b in range(2)]
+    passage = [f"p{i}" for i in range(9)]
+    data = []
+    for i in range(160):
+        w = list(bases[i % 2]) if i % 5 else [f"u{i}w{j}" for j in range(40)] + passage
+        for _ in range(rng.randint(0, 7)):
+            at = rng.randrange(len(w))
+            w[at : at + rng.randint(0, 2)] = [f"e{rng.randrange(25)}" for _ in range(rng.randint(0, 2))]
+        data.append((i, " ".join(w)))
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    for num in (90, 75):
+        out = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in rows(jaccard_join.similar_groups(df, 3, num, 100)))
+        assert out == groups_of(data, 3, num, 100)
+
+
 def test_components_of_long_chains(spark):
     """Chains whose labels fall away from the smallest node, or stand in random order; a hub, a pair and a lone node."""
     import random
@@ -344,17 +381,80 @@ def test_cross_parsing_is_longest_match():
         return n
 
     rng = np.random.default_rng(5)
-    of = rng.integers(1, 5, 300, dtype=np.uint8).tobytes()
-    a = Automaton(of, 8)
+    of = rng.integers(1, 5, 300).tolist()
+    a = Automaton(of)
+    a.table = np.r_[a.table, np.zeros(8, np.int64)]
+    a.plain = memoryview(a.table)
     for n in (0, 1, 5, 200):
-        text = rng.integers(0, 7, n, dtype=np.uint8).tobytes()
-        assert a.phrases(text) == plain(text, of)
+        text = rng.integers(0, 7, n).tolist()
+        assert a.phrases(text) == plain(bytes(text), bytes(of))
     p = Parser((("a", "abab cdcd abcd " * 9), ("b", "xyz zyx yyxx " * 9)))
     texts = ["".join(rng.choice(list("abcdxyz "), rng.integers(1, 90))) for _ in range(200)]
     codes = sorted((p.coded(t) for t in texts), key=len, reverse=True)
     size = np.array([len(c) for c in codes])
-    got = p.all_phrases(np.frombuffer(b"".join(codes), np.uint8), np.cumsum(size) - size, size)
-    assert got.tolist() == [[a.phrases(c) for c in codes] for a, _, _ in p.parts]
+    got = p.all_phrases(np.concatenate(codes), np.cumsum(size) - size, size)
+    assert got.tolist() == [[a.phrases(c.tolist()) for c in codes] for a, _, _ in p.parts]
+
+
+def plain_language(model, text):
+    """The cross-parsing by its definition: longest matches in the text as a string, phrase rates of the held-back fifth."""
+    import math
+
+    def phrases(codes, of):
+        n = i = 0
+        while i < len(codes):
+            j = i + 1
+            while j <= len(codes) and codes[i:j] in of:
+                j += 1
+            i = max(j - 1, i + 1)
+            n += 1
+        return n
+
+    if text is None or not re.search(r"[^\W\d_]", text):
+        return "und", 0.0
+    letters = re.sub(r"[\W\d_]+", " ", text.lower())
+    raw = []
+    for lang, own in model:
+        cut = len(own) * 4 // 5
+        of, rest = own[:cut], own[cut:] or own
+        rate = max(phrases(rest, of), 1) / max(len(rest), 1)
+        raw.append((phrases(letters, of) / rate, lang, rate, math.log2(max(cut, 2))))
+    best, lang, rate, bits = min(raw)
+    return lang, 1 / sum(2.0 ** -min(1000.0, (n - best) * rate * bits) for n, *_ in raw)
+
+
+def test_language_id_against_plain_version(spark):
+    """Scripts with thousands of characters beside Latin ones; prediction and score of every text."""
+    import random
+
+    from sediment.llm.language_id import identify, train
+
+    rng = random.Random(4)
+    ranges = {"zh": (0x4E00, 1500), "ja": (0x3041, 80), "ko": (0xAC00, 2000), "xa": (0x61, 26), "xb": (0x61, 26), "ru": (0x430, 32), "jz": (0x4E00, 1500), "cu": (0x12000, 700)}
+    words = {k: ["".join(chr(a + int(n * rng.random() ** 2)) for _ in range(rng.randint(1, 4))) for _ in range(500)] for k, (a, n) in ranges.items()}
+    words["jz"] += words["ja"] * 2
+    text = lambda k, n: " ".join(words[k][int(500 * rng.random() ** 2) % len(words[k])] for _ in range(n))
+    rows_ = [(i, k, text(k, rng.randint(5, 60))) for k in words for i in range(60)]
+    df = spark.createDataFrame(rows_, "i long, lang string, text string")
+    model = train(df.where("i < 40"), F.lit(True), chars=3000)
+    held = [r for r in rows(identify(df, model)) if r["i"] >= 40]
+    assert sum(r["lang"] == r["lang_pred"] for r in held) > 0.9 * len(held)
+    odd = [(0, "x", "123 ..."), (1, "x", None), (2, "x", "Ωμέγα"), (3, "x", "")] + [(4 + i, "x", text("zh", 3) + " " + text("xa", i)) for i in range(60)]
+    for r in [*held, *rows(identify(spark.createDataFrame(odd, "i long, lang string, text string"), model))]:
+        lang, score = plain_language(model, r["text"])
+        assert r["lang_pred"] == lang and r["score"] == pytest.approx(score, rel=1e-9), r
+
+
+def test_many_languages():
+    import random
+
+    from sediment.llm.language_id import Parser
+
+    rng = random.Random(9)
+    words = [["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 6))) for _ in range(90)] for _ in range(150)]
+    text = lambda k, n: " ".join(rng.choice(words[k]) for _ in range(n))
+    p = Parser(tuple((f"l{k:03}", text(k, 300)) for k in range(150)))
+    assert [lang for lang, _ in p.predict([text(k, 40) for k in range(150)])] == [f"l{k:03}" for k in range(150)]
 
 
 def test_fingerprints(docs, empty):
@@ -385,6 +485,54 @@ def test_fingerprints(docs, empty):
     assert len(one) == 1 and one[0]["near_next"] == 1
 
 
+def plain_fingerprint(text, k=16, keep=64):
+    """The whole text's hash and the hashes of its spans, by the definition: sums of code point times base to the place."""
+    if not text:
+        return "", set()
+
+    def mixed(codes):
+        h = 0
+        for p, b in ((2147483647, 911382323), (2147483629, 972663749)):
+            h = h << 31 | sum(c * pow(b, i, p) for i, c in enumerate(codes)) % p
+        h = h * 0x9E3779B97F4A7C15 % (1 << 64)
+        h ^= h >> 32
+        h = h * 0xD6E8FEB86659FD93 % (1 << 64)
+        return h ^ h >> 32
+
+    codes = [ord(c) + 1 for c in text]
+    n = min(k, len(codes))
+    low = sorted({mixed(codes[i : i + n]) for i in range(len(codes) - n + 1)})[:keep]
+    return f"{mixed(codes):016x}" + "".join(f"{h >> 32:08x}" for h in low), {f"{h >> 32:08x}" for h in low}
+
+
+def test_fingerprints_against_plain_version(spark):
+    import random
+
+    from sediment.llm.fingerprints import fingerprints
+
+    rng = random.Random(2)
+    base = "".join(rng.choice("abcdefgh é\U0001d49c") for _ in range(300))
+    texts = ["", "x", "short text", base, base[:150] + "another end of the text", base, base[:7] * 30, None, "y" * 400]
+    texts += ["".join(rng.choice("ab") for _ in range(rng.randint(10, 200))) for _ in range(12)]
+    out = {r.doc_id: r for r in fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()}
+
+    def likeness(a, b):
+        (x, s), (y, t) = a, b
+        if x == y:
+            return 1.0
+        both = sorted(s | t)[:64]
+        j = sum(v in s and v in t for v in both) / max(len(both), 1)
+        return 2 * j / (1 + j)
+
+    for d in range(len(texts)):
+        t, following = texts[d] or "", texts[d - 1] or ""  # the next one in descending id; after the last the first
+        half = len(t) // 2
+        own, edited, nxt = (plain_fingerprint(x) for x in (t, t[: len(t) - half] + following[:half], following))
+        r = out[d]
+        assert (r.fingerprint, r.edited_fingerprint) == (own[0], edited[0])
+        assert r.near_edited == pytest.approx(likeness(own, edited)) and r.near_next == pytest.approx(likeness(own, nxt))
+
+
 def test_spans_and_extensions():
     from sediment.llm.fingerprints import Prefixes
 
@@ -472,6 +620,52 @@ def test_html_runs_of_a_large_host(spark):
             assert out[i].split() == want, (group, i)
 
 
+def test_html_marks(spark):
+    """Wrappers that only look like chrome, elements that are never closed, and boilerplate inside articles."""
+    from sediment.llm.html_text import blocks, extract
+
+    text = lambda h: [t for k, t in blocks(h) if k == 2]
+    assert text('<div class="layout has-sidebar"><article><p>body</p></article></div>') == ["body"]
+    assert text('<article class="post comments-open"><p>body</p></article>') == ["body"]
+    assert text("<article><p>one</p><svg><path d='x'/><p>two</p></article>") == ["one", "two"]
+    assert text("<article><p>one</p><svg><text>no</text></svg><p>two</p></article>") == ["one", "two"]
+    assert text('<div class="page-header"><article><p>body</p></article></div>') == ["body"]
+    assert text('<article><p>body</p><div id="comments"><article><p>reader</p></article></div></article>') == ["body"]
+    assert text('<article><p>body</p><aside><article><p>teaser</p></article></aside><p>more</p></article>') == ["body", "more"]
+    assert text('<body class="sidebar-open"><main><p>body</p></main></body>') == ["body"]
+    notice, licence = "this site uses small files to remember what you read", "all may copy this text under the same terms"
+    page = lambda i: f"<body><div class='x{i}'>{notice}</div><article><p>own words {i} of this page</p><p>{notice}</p><p>{licence}</p></article></body>"
+    df = spark.createDataFrame([(i, f"https://h.example/{i}", page(i)) for i in range(40)] + [(90, "https://other.example/1", page(90))], "page_id long, url string, html string")
+    for group in (1000, 5):
+        out = {r["page_id"]: r["text"] for r in rows(extract(df, group_pages=group))}
+        assert all(out[i] == f"own words {i} of this page\n{licence}" for i in range(40))
+        assert out[90] == f"own words 90 of this page\n{notice}\n{licence}"
+
+
+def test_covered_tokens():
+    """Covered tokens, block by block, against a plain search of token strings."""
+    from sediment.llm.html_text import covered, group_runs
+
+    rng = np.random.default_rng(3)
+    streams = [[f"t{x}" for x in rng.integers(0, 3, rng.integers(0, 40))] for _ in range(25)]
+    page, outside = np.arange(25) // 2, np.arange(25) % 3 > 0
+    for n in (2, 5):
+        h, pages = group_runs(streams, page, outside, n)
+        on = defaultdict(set)
+        for p, out, s in zip(page, outside, streams):
+            for i in range(len(s) - n + 1):
+                if out:
+                    on[tuple(s[i : i + n])].add(p)
+        assert sorted(pages.tolist()) == sorted(map(len, on.values())) and len(np.unique(h, axis=0)) == len(on)
+        marks = covered(streams, h[pages >= 3], n)
+        for s, m in zip(streams, marks):
+            want = [False] * len(s)
+            for i in range(len(s) - n + 1):
+                if len(on.get(tuple(s[i : i + n]), ())) >= 3:
+                    want[i : i + n] = [True] * n
+            assert m.tolist() == want
+
+
 def test_suffix_array():
     from sediment.llm.html_text import common_prefixes, suffix_array
 
@@ -487,6 +681,98 @@ def test_suffix_array():
             assert lcp[k] == next((i for i in range(m) if a[i] != b[i]), m)
 
 
+def test_no_name_clashes(docs):
+    """Columns named as the operators' own come through unchanged."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    from sediment.llm import language_id, line_dedup, mixing, sharding
+
+    own = ["_p", "pair", "_i", "i", "_k", "k", "_id", "_rk", "rk", "_gone", "gone", "_source", "_s", "_o", "_row", "row", "_b", "b", "_k1", "_k2", "_k3", "_r", "_n", "c0", "takes", "words", "path", "at", "number", "order"]
+    base = docs.where("doc_id < 30").select("doc_id", "text", "source", "lang", F.col("n_chars"))
+    odd = base.select("*", *[F.concat(F.lit(f"{c}/"), F.col("doc_id").cast("string")).alias(c) for c in own])
+    model = language_id.train(base, F.lit(True))
+    for f in (lambda d: language_id.identify(d, model), line_dedup.dedup_lines, mixing.mix, lambda d: sharding.shard(d, 4)):
+        plain, found = rows(f(base)), rows(f(odd))
+        kept = [c for c in own if c != "takes" or "takes" not in plain[0]]
+        assert len(found) == len(plain) and all(r[c] == f"{c}/{r['doc_id']}" for r in found for c in kept)
+        one = lambda r: tuple((k, str(r[k])) for k in sorted(plain[0]) if k not in ("slot", "shard"))  # noqa: B023, E731
+        assert Counter(map(one, found)) == Counter(map(one, plain))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(docs.sparkSession, odd, "")
+        assert out.columns == odd.columns, name
+        assert all(r[c] == f"{c}/{r['doc_id']}" for r in rows(out) for c in own), name
+
+
+def plain_pipeline(data):
+    """(id, text, source) rows to the documents that the pipeline packs, a row each time one is taken."""
+    low = lambda t: re.sub(r"[A-Z]", lambda m: m[0].lower(), t)
+    big = (1 << 62, "")
+    data = [r for r in data if r[1] is not None and re.search(r"[^\W\d_]", r[1])]
+    key = lambda x: low(x.strip(" \t\n\x0b\x0c\r"))
+    owner = {}
+    for d, t, _ in data:
+        for x in t.split("\n"):
+            owner[key(x)] = min(owner.get(key(x), big[0]), big[0] if d is None else d)
+    kept = []
+    for d, t, s in data:
+        lines = [x for x in t.split("\n") if len(key(x)) < 10 or owner[key(x)] >= (big[0] if d is None else d)]
+        if len(lines) == len(t.split("\n")) or WORD.search("\n".join(lines)):
+            kept.append((d, "\n".join(lines), s))
+    group = {}
+    for i, _, part in groups_of([(i, t) for i, (_, t, _) in enumerate(kept)], 5, 80, 100):
+        group.setdefault(part, []).append(i)
+    first = [min(g, key=lambda i: (kept[i][0] is None, kept[i][0] or 0, i)) for g in group.values()]
+    kept = [kept[i] for i in first]
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    size = defaultdict(int)
+    for _, t, s in kept:
+        size[s] += len(WORD.findall(t))
+    names = sorted(size, key=lambda s: (s is None, s or ""))
+    weight, left, total, target = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}, set(names), 1.5 * sum(size.values()), {}
+    while left:
+        rate = total / sum(weight[s] for s in left)
+        full = {s for s in left if weight[s] * rate > 2 * size[s]}
+        if not full:
+            target |= {s: weight[s] * rate for s in left}
+            break
+        target |= {s: 2 * size[s] for s in full}
+        total -= sum(2 * size[s] for s in full)
+        left -= full
+    out = []
+    for s in names:
+        rest = int(target[s] + 1e-6)
+        own = sorted((r for r in kept if r[2] == s), key=lambda r: md5(f"{'' if r[0] is None else r[0]}/{md5(r[1])}"))
+        for d, t, _ in own * 2:
+            words = WORD.findall(t)
+            take = min(rest, len(words))
+            rest -= take
+            if take:
+                out.append((d, t if take == len(words) else " ".join(words[:take])))
+    return out
+
+
+def test_pipeline_run(docs, spark, tmp_path):
+    """run() as a whole against the plain version: every document it packs, and every piece's ids."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    source = docs.where("doc_id is null or doc_id < 200 or doc_id >= 300").select("doc_id", "text", "lang", "source", "n_chars")
+    near = docs.where("doc_id between 200 and 204 or doc_id = 300").select("doc_id", "text", "lang", "source", "n_chars")
+    source.unionByName(near).repartition(3).write.parquet(f"file://{tmp_path}/documents.parquet")
+    out = rows(corpus_pipeline.run(spark, f"file://{tmp_path}"))
+    data = [(r.doc_id, r.text, r.source) for r in spark.read.parquet(f"file://{tmp_path}/documents.parquet").collect()]
+    plain = Tokenizer.from_file(str(public_tokenizers.path("word_bpe_49k.json")))
+    ids = [(d, np.array([*plain.encode(t, add_special_tokens=False).ids, 1], "<u4").tobytes()) for d, t in plain_pipeline(data)]
+    assert Counter((r["doc_id"], r["doc_tokens"]) for r in out if r["start"] == 0) == Counter((d, len(b) // 4) for d, b in ids)
+    assert sum(r["length"] for r in out) == sum(len(b) // 4 for _, b in ids)
+    pieces = Counter((r["doc_id"], r["doc_tokens"], r["start"], r["ids_crc32"]) for r in out)
+    for d, b in ids:
+        for r in out:
+            if (r["doc_id"], r["doc_tokens"]) == (d, len(b) // 4) and zlib.crc32(b[4 * r["start"] : 4 * (r["start"] + r["length"])]) == r["ids_crc32"]:
+                pieces.pop((r["doc_id"], r["doc_tokens"], r["start"], r["ids_crc32"]), None)
+    assert not pieces
+
+
 def test_pipeline_stages(docs, empty, spark):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     names = docs.columns
