@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import trim
+from .common import fresh, trim
 
 LETTER = re.compile(r"[^\W\d_]")
 APART = re.compile(r"[\W\d_]+")
@@ -23,9 +23,13 @@ UNKNOWN = "und"
 FEW = 48
 
 
+#: Characters of texts that are coded and walked at a time, about; a longer text is alone.
+AT_A_TIME = 6_000_000
+
+
 def alphabet(texts: list[str]) -> dict[int, int]:
-    """Codes 1 to 255 for the commonest characters of the texts, for str.translate; every other character is 0."""
-    return _Coding({ord(c): i for i, (c, _) in enumerate(sorted(Counter("".join(texts)).items(), key=lambda x: (-x[1], x[0]))[:255], 1)})
+    """Codes from 1 for all characters of the texts, common ones first, for str.translate; every other character is 0."""
+    return _Coding({ord(c): i for i, (c, _) in enumerate(sorted(Counter("".join(texts)).items(), key=lambda x: (-x[1], x[0])), 1)})
 
 
 class _Coding(dict):
@@ -34,9 +38,13 @@ class _Coding(dict):
 
 
 class Automaton:
-    """Suffix automaton of a coded text as one table: state offset + code gives the next state's offset, 0 for none."""
+    """Suffix automaton of a coded text as one sparse table, however many characters there are.
+
+    A state is a number of its own, and its step by a code is the table's entry at state + code, if that entry's upper
+    half names the state; the lower half is the next state. States share the table's rows where their codes leave room.
+    """
 
-    def __init__(self, codes: bytes, width: int):
+    def __init__(self, codes):
         nexts: list[dict[int, int]] = [{}]
         link, length, last = [-1], [0], 0
         for c in codes:
@@ -64,28 +72,74 @@ class Automaton:
                         p = link[p]
                     link[q] = link[cur] = clone
             last = cur
-        self.width = width
-        table = np.zeros((len(nexts), width), np.int32)
+        number, size = self.placed(nexts)
+        self.root = number[0]
+        self.table = np.zeros(size, np.int64)
         for s, own in enumerate(nexts):
             for c, t in own.items():
-                table[s, c] = t * width
-        self.table = table.ravel()
+                self.table[number[s] + c] = (number[s] << 32) | number[t]
         self.plain = memoryview(self.table)
 
-    def phrases(self, codes: bytes, s: int = 0, n: int = 0) -> int:
+    @staticmethod
+    def placed(nexts: list[dict[int, int]]) -> tuple[list[int], int]:
+        """A number above 0 for each state such that no two steps fall on one entry, and the table's size. States with many
+        steps are placed first, at the first number that fits; those with one step fill what entries are free."""
+        width = max((c for own in nexts for c in own), default=0) + 1
+        most = 4 * len(nexts) + 2 * width + 64
+        full, named = bytearray(most), bytearray(most)
+        number, start, slot = [0] * len(nexts), 1, 1
+        for s in sorted(range(len(nexts)), key=lambda s: (-len(nexts[s]), s)):
+            own = nexts[s]
+            if len(own) > 1:
+                at = start
+                while True:
+                    if at + width >= len(full):
+                        full += bytes(len(full))
+                        named += bytes(len(named))
+                    if not named[at]:
+                        for c in own:
+                            if full[at + c]:
+                                break
+                        else:
+                            break
+                    at += 1
+                if at - start > 400:
+                    start = at - 200
+            else:
+                c = next(iter(own), 0)
+                slot = max(slot, c + 1)
+                while True:
+                    if slot + width >= len(full):
+                        full += bytes(len(full))
+                        named += bytes(len(named))
+                    if not (own and full[slot]) and not named[slot - c]:
+                        break
+                    slot += 1
+                at = slot - c
+            number[s] = at
+            named[at] = 1
+            for c in own:
+                full[at + c] = 1
+        return number, max(number) + width + 1
+
+    def phrases(self, codes, s: int | None = None, n: int = 0) -> int:
         """How many longest matches, one after another, cover the coded text; a character not in the text is one."""
-        table = self.plain
+        table, root = self.plain, self.root
+        s = root if s is None else s
         for c in codes:
-            t = table[s + c]
-            if t:
-                s = t
+            e = table[s + c]
+            if e >> 32 == s:
+                s = e & 0xFFFFFFFF
             else:
-                if s:
+                if s != root:
                     n += 1
-                s = table[c]
-                if not s:
+                e = table[root + c]
+                if e >> 32 == root:
+                    s = e & 0xFFFFFFFF
+                else:
+                    s = root
                     n += 1
-        return n + (s != 0)
+        return n + (s != root)
 
 
 class Parser:
@@ -94,18 +148,23 @@ class Parser:
     def __init__(self, model: tuple[tuple[str, str], ...]):
         self.langs = [lang for lang, _ in model]
         self.coding = alphabet([text for _, text in model])
-        self.parts = []
+        self.parts: list[tuple[Automaton, float, float]] = []
+        reach = 1
         for _, text in model:
             cut = len(text) * 4 // 5
-            a = Automaton(self.coded(text[:cut]), len(self.coding) + 1)
+            a = Automaton(self.coded(text[:cut]).tolist())
             own = text[cut:] or text
-            self.parts.append((a, max(a.phrases(self.coded(own)), 1) / max(len(own), 1), math.log2(max(cut, 2))))
-
-        self.width = len(self.coding) + 1
-        # All tables in one, after an empty row, so that 0 is no state; a language's root is its base.
+            self.parts.append((a, 0.0, math.log2(max(cut, 2))))
+            reach = max(reach, len(self.coding) + 1)
+            a.table = np.concatenate([a.table, np.zeros(max(0, a.root + reach - len(a.table)) + reach, np.int64)])
+            a.plain = memoryview(a.table)
+            self.parts[-1] = (a, max(a.phrases(self.coded(own).tolist()), 1) / max(len(own), 1), self.parts[-1][2])
+        # All tables in one, with the states' numbers moved on by where their table begins.
         sizes = [len(a.table) for a, _, _ in self.parts]
-        self.bases = self.width + np.cumsum([0, *sizes], dtype=np.int32)[:-1] if sizes else np.zeros(0, np.int32)
-        self.table = np.concatenate([np.zeros(self.width, np.int32), *(np.where(a.table > 0, a.table + b, 0).astype(np.int32) for (a, _, _), b in zip(self.parts, self.bases))])
+        self.bases = np.cumsum([0, *sizes], dtype=np.int64)[:-1]
+        moved = [np.where(a.table > 0, a.table + ((b << 32) | b), 0) for (a, _, _), b in zip(self.parts, self.bases.tolist())]
+        self.table = np.concatenate([*moved, np.zeros(1, np.int64)])
+        self.roots = np.array([b + a.root for (a, _, _), b in zip(self.parts, self.bases.tolist())], np.int64)
         trim()
 
     def all_phrases(self, flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -114,35 +173,38 @@ class Parser:
         Texts and languages are walked side by side, a character of each at a time, while at least FEW texts are left.
         """
         table, k = self.table, len(self.parts)
-        n, s = np.zeros((k, len(size)), np.int64), np.repeat(self.bases[:, None], len(size), 1)
-        pos, live = 0, int(np.count_nonzero(size))
+        n, s = np.zeros((k, len(size)), np.int64), np.repeat(self.roots[:, None], len(size), 1)
+        pos, live, low = 0, int(np.count_nonzero(size)), np.int64(0xFFFFFFFF)
         while live >= FEW:
             stop = int(size[live - 1])
-            state, count, base = s[:, :live].ravel(), n[:, :live].ravel(), np.repeat(self.bases, live)
+            state, count, base = s[:, :live].ravel(), n[:, :live].ravel(), np.repeat(self.roots, live)
             at = start[:live] + pos
             for _ in range(pos, stop):
                 c = np.tile(flat[at], k)
-                t = table[state + c]
-                lost = np.flatnonzero(t == 0)
+                e = table[state + c]
+                t = e & low
+                lost = np.flatnonzero(e >> 32 != state)
                 if len(lost):
                     root = base[lost]
-                    again = table[root + c[lost]]
-                    count[lost] += (state[lost] != root).astype(np.int64) + (again == 0)
-                    t[lost] = np.where(again == 0, root, again)
+                    e = table[root + c[lost]]
+                    again = e >> 32 == root
+                    count[lost] += (state[lost] != root).astype(np.int64) + ~again
+                    t[lost] = np.where(again, e & low, root)
                 state = t
                 at += 1
             s[:, :live], n[:, :live] = state.reshape(k, live), count.reshape(k, live)
             pos = stop
             live = int(np.searchsorted(-size, -pos, "left"))
-        out = n + (s != self.bases[:, None])
+        out = n + (s != self.roots[:, None])
         for i in range(live):
-            rest = flat[start[i] + pos : start[i] + size[i]].tobytes()
+            rest = flat[start[i] + pos : start[i] + size[i]].tolist()
             for j, (a, _, _) in enumerate(self.parts):
                 out[j, i] = a.phrases(rest, int(s[j, i] - self.bases[j]), int(n[j, i]))
         return out
 
-    def coded(self, text: str) -> bytes:
-        return text.translate(self.coding).encode("latin-1")
+    def coded(self, text: str) -> np.ndarray:
+        codes = np.frombuffer(text.translate(self.coding).encode("utf-32-le", "surrogatepass"), np.uint32)
+        return codes.astype(np.uint16 if len(self.coding) < 1 << 16 else np.uint32)
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         out: list[tuple[str, float]] = [(UNKNOWN, 0.0)] * len(texts)
@@ -152,7 +214,7 @@ class Parser:
         codes = [self.coded(APART.sub(" ", texts[i].lower())) for i in known]
         size = np.array([len(c) for c in codes], np.int64)
         order = np.argsort(-size, kind="stable")
-        flat = np.frombuffer(b"".join(codes), np.uint8)
+        flat = np.concatenate(codes)
         start = (np.cumsum(size) - size)[order]
         counts = np.empty((len(self.parts), len(known)))
         counts[:, order] = self.all_phrases(flat, start, size[order])
@@ -227,13 +289,19 @@ def identify(df: DataFrame, model: tuple[tuple[str, str], ...], text_col: str =
     @F.pandas_udf("lang_pred string, score double")
     def predicted(texts: pd.Series) -> pd.DataFrame:
         p, rows = parser(model), []
-        for i in range(0, len(texts), 5000):  # bounds what is held beside the batch
-            rows += p.predict(texts.iloc[i : i + 5000].tolist())
+        ends = np.cumsum([0, *(len(t) if t is not None else 0 for t in texts)])
+        i = 0
+        while i < len(texts):  # bounds what is held beside the batch
+            j = max(i + 1, int(np.searchsorted(ends, ends[i] + AT_A_TIME, "right")) - 1)
+            rows += p.predict(texts.iloc[i:j].tolist())
             trim()
+            i = j
         return pd.DataFrame(rows, columns=["lang_pred", "score"])
 
-    out = df.drop("lang_pred", "score").withColumn("_p", predicted(F.col(text_col)))
-    return out.select("*", "_p.lang_pred", "_p.score").drop("_p")
+    out = df.drop("lang_pred", "score")
+    (pair,) = fresh(out.columns, "pair")
+    out = out.withColumn(pair, predicted(F.col(text_col)))
+    return out.select("*", f"{pair}.lang_pred", f"{pair}.score").drop(pair)
 
 
 def lettered(text: Column) -> Column:
