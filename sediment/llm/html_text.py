@@ -1,8 +1,9 @@
-"""Main text of web pages: article mark-up, and host suffix arrays where a page has none."""
+"""Main text of web pages: mark-up says what may be the article, and host suffix arrays what repeats across pages."""
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from hashlib import blake2b
 from html import unescape
 
@@ -12,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, join_hot, stored
+from .common import join_hot, stored, trim
 from .words import mixed
 
 # Names of elements and words of class, id and role that mark what is not the article.
@@ -26,32 +27,50 @@ CHROME_WORDS = frozenset(
 IN_MENU = frozenset("nav ul ol li a span b p".split())
 CHROME_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 HEADER_WORDS = frozenset("header masthead topbar".split())
+#: First and last parts of class names that tell a page's or an element's state, and elements that no class makes chrome.
+STATES = frozenset("has no with without is not hide hides open closed on off active enabled disabled visible allowed layout page".split())
+NEVER = frozenset("html body main article".split())
+#: Words of regions in which an article is not the page's own.
+OTHERS_ARTICLES = frozenset("comment comments commentlist disqus replies reply respond related recommended teaser promo promoted promotion ad ads advert adverts advertisement sponsor sponsored widget widgets".split())
+#: Elements whose content is never text, up to the page's end where they are not closed; others count as closed there.
+OPEN_ENDED = frozenset("script style title textarea iframe noembed noframes noscript xmp".split())
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"']+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
-WORDS = re.compile(r"[A-Za-z]+")
+PART = re.compile(r"[A-Za-z]+")
 RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in RAW}
 MAIN, OPEN, OTHER = 2, 1, 0
 
 
-def _marks(name: str, attrs: str, inside: bool) -> int:
-    """OTHER, OPEN or MAIN for an element that starts, given whether it starts inside the article."""
+def _class_words(value: str) -> set[str]:
+    """First and last parts of each class name or id; none of one that tells a state (has-sidebar, comments-open)."""
+    out = set()
+    for name in value.lower().split():
+        parts = PART.findall(name)
+        if parts and not (len(parts) > 1 and (parts[0] in STATES or parts[-1] in STATES)):
+            out |= {parts[0], parts[-1]}
+    return out
+
+
+def _marks(name: str, attrs: str, inside: bool) -> tuple[int, bool]:
+    """OTHER, OPEN or MAIN for an element that starts, given whether it starts inside the article; and, for OTHER, whether
+    an article in it is another one (a comment, a teaser) or the page's own after all."""
     if name in CHROME or name == "header" and not inside:
-        return OTHER
+        return OTHER, name not in ("header", "form")
     kind = MAIN if name in ("article", "main") else OPEN
     if "=" not in attrs and "hidden" not in attrs:
-        return kind
+        return kind, False
     found = {m[1].lower(): unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(attrs)}
     bare = ATTRIBUTE.sub(" ", attrs).lower().split()
     if "hidden" in bare or "hidden" in found or found.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", ""), re.I):
-        return OTHER
+        return OTHER, True
     role = found.get("role", "").lower()
     if role in CHROME_ROLES:
-        return OTHER
-    words = {w.lower() for w in WORDS.findall(f"{found.get('class', '')} {found.get('id', '')}")} if name not in ("html", "body") else set()
+        return OTHER, True
+    words = _class_words(f"{found.get('class', '')} {found.get('id', '')}") if name not in NEVER else set()
     if words & CHROME_WORDS or not inside and words & HEADER_WORDS:
-        return OTHER
-    return MAIN if role in ("main", "article") or found.get("itemprop", "").lower() == "articlebody" else kind
+        return OTHER, bool(words & OTHERS_ARTICLES)
+    return MAIN if role in ("main", "article") or found.get("itemprop", "").lower() == "articlebody" else kind, False
 
 
 def blocks(html: str) -> list[tuple[int, str]]:
@@ -63,7 +82,7 @@ def blocks(html: str) -> list[tuple[int, str]]:
     out: list[tuple[int, str]] = []
     stack: list[tuple[str, int, int]] = []  # name, kind of what is inside, whether article (2) or main (1)
     parts: list[str] = []
-    kind, level, pos, top = OPEN, 0, 0, 0
+    kind, level, pos, top, foreign = OPEN, 0, 0, 0, False
 
     def close():
         if parts:
@@ -95,7 +114,7 @@ def blocks(html: str) -> list[tuple[int, str]]:
             continue
         if name in RAW:
             end = RAW_END[name].search(html, pos)
-            pos = end.end() if end else len(html)
+            pos = end.end() if end else len(html) if name in OPEN_ENDED else pos
             continue
         if name in VOID:
             if name == "br":
@@ -104,9 +123,12 @@ def blocks(html: str) -> list[tuple[int, str]]:
         if name == "article" and (i := next((i for i, s in enumerate(stack) if s[0] == "nav"), None)) is not None and all(s[0] in IN_MENU for s in stack[i:]):
             del stack[i:]  # a menu that was never closed
             kind, level = (stack[-1][1], stack[-1][2]) if stack else (OPEN, 0)
-        own = _marks(name, attrs, level > 0)
+        own, others = _marks(name, attrs, level > 0)
+        if kind == OTHER and own == MAIN and not foreign:  # a wrapper that only looked like chrome
+            kind = OPEN
         if own == OTHER and kind != OTHER or kind == OTHER:
             close()
+            foreign = others if kind != OTHER else foreign or others
             new = OTHER
         elif own == MAIN:
             close()
@@ -123,13 +145,14 @@ def blocks(html: str) -> list[tuple[int, str]]:
     return [(OTHER if x // 4 == OTHER else MAIN if top and x // 4 == MAIN and x % 4 == top else OPEN, t) for x, t in out]
 
 
-def suffix_array(tokens: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Suffix array of int tokens by prefix doubling, and the ranks by the first 1, 2, 4, ... tokens."""
+def suffix_array(tokens: np.ndarray, depth: int | None = None) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Suffix array of int tokens by prefix doubling, and the ranks by the first 1, 2, 4, ... tokens; with depth the
+    suffixes are ordered by that many tokens or more, and not by all."""
     n = len(tokens)
     rank = np.unique(tokens, return_inverse=True)[1].astype(np.int64)
     ranks, k = [rank], 1
     order = np.argsort(rank, kind="stable")
-    while k < n and rank[order[-1]] + 1 < n:
+    while k < min(n, depth or n) and rank[order[-1]] + 1 < n:
         second = np.zeros(n, np.int64)
         second[:-k] = rank[k:] + 1
         key = rank * (n + 1) + second
@@ -179,6 +202,12 @@ def run_hashes(tokens: np.ndarray, names: list[str], at: np.ndarray, min_tokens:
     return out.view(np.int64)
 
 
+def block_hashes(texts: list[str]) -> np.ndarray:
+    """128-bit hashes of whole blocks, as two longs a row."""
+    digests = b"".join(blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16, person=b"whole block").digest() for t in texts)
+    return np.frombuffer(digests, np.int64).reshape(-1, 2)
+
+
 def whole_runs(tokens: np.ndarray, min_tokens: int) -> np.ndarray:
     """Places from which `min_tokens` tokens of one page follow."""
     n = len(tokens)
@@ -188,24 +217,24 @@ def whole_runs(tokens: np.ndarray, min_tokens: int) -> np.ndarray:
     return np.flatnonzero(breaks[min_tokens:] == breaks[: n - min_tokens + 1])
 
 
-def group_runs(streams: list[list[str]], shown: np.ndarray, min_tokens: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each distinct run of `min_tokens` tokens in the pages' streams: its hashes, how many pages have it, and whether one
-    of the pages in `shown` does."""
-    tokens, page, names = flattened(streams)
+def group_runs(streams: list[list[str]], page: np.ndarray, outside: np.ndarray, min_tokens: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each distinct run of `min_tokens` tokens in the streams that a page has outside its article: its hashes, and how many
+    pages do. page and outside: each stream's page, and whether it stands outside the article."""
+    tokens, stream, names = flattened(streams)
     whole = np.zeros(len(tokens), bool)
     whole[whole_runs(tokens, min_tokens)] = True
     if not whole.any():
-        return np.zeros((0, 2), np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
-    order, ranks = suffix_array(tokens)
+        return np.zeros((0, 2), np.int64), np.zeros(0, np.int64)
+    order, ranks = suffix_array(tokens, min_tokens)
     lcp = common_prefixes(order, ranks)
     run = np.cumsum(lcp < min_tokens) - 1
-    keep = whole[order]  # all suffixes of a run, or none
-    at, run = order[keep], np.unique(run[keep], return_inverse=True)[1]
-    pairs = np.unique(run * len(streams) + page[at])
-    pages = np.bincount(pairs // len(streams))
-    seen = np.bincount(run, weights=shown[page[at]]) > 0
-    first = np.unique(run, return_index=True)[1]
-    return run_hashes(tokens, names, at[first], min_tokens), pages, seen
+    keep = whole[order] & outside[stream[order]]
+    at = order[keep]
+    found, first, run = np.unique(run[keep], return_index=True, return_inverse=True)
+    of = page[stream[at]].astype(np.int64)
+    pairs = np.unique(run * (int(page.max(initial=0)) + 1) + of)
+    pages = np.bincount(pairs // (int(page.max(initial=0)) + 1), minlength=len(found))
+    return run_hashes(tokens, names, at[first], min_tokens), pages
 
 
 def covered(streams: list[list[str]], hits: np.ndarray, min_tokens: int) -> list[np.ndarray]:
@@ -237,91 +266,97 @@ def unique_runs(block: list[str], inside: np.ndarray, min_tokens: int) -> list[s
     return [w for w, g in zip(block, gone) if not g]
 
 
-def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_tokens: int = 6, min_pages: int = 3, group_pages: int = 1000) -> DataFrame:
-    """The main text of each page: blocks in page order, joined by one \\n.
+def segments(kinds: list[int], texts: list[str]) -> list[tuple[bool, list[str]]]:
+    """A page's blocks as token streams, parted where the article begins or ends: (outside the article?, tokens)."""
+    out: list[tuple[bool, list[str]]] = []
+    for k, t in zip(kinds, texts):
+        if not out or out[-1][0] != (k != MAIN):
+            out.append((k != MAIN, []))
+        out[-1][1].extend(t.split(" "))
+    return out
 
-    Scripts, styles, comments, menus, headers, footers, sidebars, forms, adverts, notices and reader comments go by
-    their mark-up. Of a page that marks its article (article, else main), the article's blocks are the text. Of any
-    other page the open blocks are, less boilerplate: the streams of what stands outside articles on the pages of a
-    host are concatenated, suffix arrays find runs of `min_tokens` words or more that `min_pages` distinct pages
-    share, tokens they cover are removed and unique runs stay.
 
-    Columns: id, url, text, n_chars long. Hosts are dealt into groups of about `group_pages` pages by hash of the id, so
-    a host with a third of all pages is many groups. Each group's suffix array finds its runs and their pages; the pages
-    of a run are added up over all groups of the host by a 128-bit hash, so groups change the work and never the text.
-    Only streams outside articles and runs of hosts with pages without one are shuffled; the pages are parsed a second
-    time rather than kept.
+def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_tokens: int = 6, min_pages: int = 3, group_pages: int = 400, group_chars: int = 8_000_000) -> DataFrame:
+    """The main text of each page: blocks in page order, joined by one \\n.
 
-    Defined cases: null html is empty and gives an empty text; a null or odd url belongs to the host ''; pages with equal
-    id and html are equal; other columns are not read; an empty table gives an empty result.
+    Mark-up says what a block can be. Scripts, styles, comments, menus, headers, footers, sidebars, forms, adverts, notices
+    and reader comments go. Of a page that marks its article (article, else main), the article's blocks are candidates; of
+    any other page all open blocks are. The token streams of all pages of a host, articles and what goes included, are
+    concatenated, and suffix arrays find the runs of `min_tokens` words or more that `min_pages` distinct pages have outside
+    their articles: the host's boilerplate. It decides on every page: tokens it covers leave open blocks, and a block of an
+    article goes where the whole of it is a run that stands outside articles on so many pages. Passages that only articles
+    share (licences, quotes) stay.
+
+    Columns: id, url, text, n_chars long. Hosts are dealt into groups of about `group_pages` pages or `group_chars`
+    characters by hash of the id, so a host with a third of all pages is many groups. Each group's suffix array finds its
+    runs and their pages; the pages of a run are added up over all groups of the host by a 128-bit hash, so groups change
+    the work and never the text. Pages are parsed once; their texts are shuffled once.
+
+    Defined cases: null html is empty and gives an empty text; a null or odd url belongs to the host ''; repeated rows are
+    kept, each a page of its own; other columns are not read; an empty table gives an empty result.
     """
     html = F.coalesce(F.col(html_col), F.lit(""))
-    pages = df.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), html.alias("html"), F.xxhash64(html).alias("key"))
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
+    pages = df.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), html.alias("html")).select("id", "url", host.alias("host"), "html")
 
     def parse(batches):
         for b in batches:
-            found = [blocks(h.as_py()) for h in b.column(1)]
-            yield pa.record_batch(
-                [
-                    b.column(0), b.column(2), b.column(3),
-                    pa.array([any(k == MAIN for k, _ in f) for f in found], pa.bool_()),
-                    pa.array([[k for k, _ in f if k != MAIN] for f in found], pa.list_(pa.int32())),
-                    pa.array([[t for k, t in f if k != MAIN] for f in found], pa.list_(pa.string())),
-                ], ["id", "key", "host", "marked", "kinds", "texts"],
-            )
-
-    id_type = pages.schema["id"].dataType.simpleString()
-    streams = pages.select("id", "html", "key", host.alias("host")).mapInArrow(parse, f"id {id_type}, key long, host string, marked boolean, kinds array<int>, texts array<string>")
-    streams = stored(streams, "page-streams")
-    hosts = stored(streams.groupBy("host").agg(F.count("*").alias("pages"), F.count(F.when(~F.col("marked"), 1)).alias("bare")), "hosts")
-    groups = F.ceil(F.col("pages") / group_pages)
-    dealt = join_hot(streams, hosts, "host", "pages", "inner").where("bare > 0").withColumns({"g": F.pmod(F.xxhash64("id", "key"), groups), "alone": groups == 1})
+            for at in range(0, b.num_rows, 500):
+                part = b.slice(at, 500)
+                found = [blocks(h.as_py()) for h in part.column(3)]
+                kinds, texts = pa.array([[k for k, _ in f] for f in found], pa.list_(pa.int32())), pa.array([[t for _, t in f] for f in found], pa.list_(pa.string()))
+                chars = pa.array([sum(len(t) for _, t in f) for f in found], pa.int64())
+                yield pa.record_batch([part.column(0), part.column(1), part.column(2), kinds, texts, chars], ["id", "url", "host", "kinds", "texts", "chars"])
+        trim()
+
+    types = {c: pages.schema[c].dataType.simpleString() for c in ("id", "url")}
+    streams = stored(pages.mapInArrow(parse, f"id {types['id']}, url {types['url']}, host string, kinds array<int>, texts array<string>, chars long"), "page-streams")
+    hosts = stored(streams.groupBy("host").agg(F.count("*").alias("pages"), F.sum("chars").alias("chars_of_host")), "hosts")
+    groups = F.greatest(F.ceil(F.col("pages") / group_pages), F.ceil(F.col("chars_of_host") / group_chars))
+    dealt = join_hot(streams, hosts, "host", "pages", "inner").withColumns({"g": F.pmod(F.xxhash64("id", "url", "chars"), groups), "alone": groups == 1})
+    dealt = dealt.select("host", "g", "id", "url", "kinds", "texts", "alone")
 
     def find(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        streams = [[w for t in page for w in t.split(" ")] for page in pdf["texts"]]
-        h, n, seen = group_runs(streams, ~pdf["marked"].to_numpy(bool), min_tokens)
+        parts = [(i, outside, tokens) for i, (k, t) in enumerate(zip(pdf["kinds"], pdf["texts"])) for outside, tokens in segments(k, t)]
+        h, n = group_runs([p[2] for p in parts], np.array([p[0] for p in parts], np.int64), np.array([p[1] for p in parts], bool), min_tokens)
+        around, articles = Counter(), set()
+        for k, t in zip(pdf["kinds"], pdf["texts"]):
+            own = [x.count(" ") + 1 >= min_tokens for x in t]
+            around.update({x for kind, x, long in zip(k, t, own) if long and kind != MAIN})
+            articles.update(x for kind, x, long in zip(k, t, own) if long and kind == MAIN)
+        whole = sorted(around) + sorted(articles - around.keys())
+        h, n = np.concatenate([h, block_hashes(whole)]), np.concatenate([n, np.array([around[x] for x in whole], np.int64)])
         if pdf["alone"].iloc[0]:  # the group is the host
-            h, n, seen = (x[seen & (n >= min_pages)] for x in (h, n, seen))
-        return pd.DataFrame({"host": key[0], "g": key[1], "h1": h[:, 0], "h2": h[:, 1], "n": n, "seen": seen})
+            h, n = h[n >= min_pages], n[n >= min_pages]
+        trim()
+        return pd.DataFrame({"host": key[0], "g": key[1], "h1": h[:, 0], "h2": h[:, 1], "n": n})
 
-    runs = dealt.select("host", "g", "marked", "texts", "alone").groupBy("host", "g").applyInPandas(find, "host string, g long, h1 long, h2 long, n long, seen boolean")
-    runs = stored(runs, "host-runs")
+    runs = stored(dealt.drop("id", "url").groupBy("host", "g").applyInPandas(find, "host string, g long, h1 long, h2 long, n long"), "host-runs")
     run = ["host", "h1", "h2"]
-    seen = F.count(F.when(F.col("seen"), 1)).alias("many")
-    hits = stored(runs.groupBy(*run).agg(F.sum("n").alias("n"), seen).where((F.col("n") >= min_pages) & (F.col("many") > 0)).select(*run, "many"), "shared-runs")
-    told = join_hot(runs.where("seen").select("g", *run), hits, run, "many", "inner").select("host", "g", "h1", "h2")
-
-    def keep(key: tuple, pdf: pd.DataFrame, hits: pd.DataFrame) -> pd.DataFrame:
-        texts = [list(t) for t in pdf["texts"]]
-        words = [[t.split(" ") for t in page] for page in texts]
-        inside = covered([[w for block in page for w in block] for page in words], hits[["h1", "h2"]].to_numpy(np.int64), min_tokens)
+    hits = runs.groupBy(*run).agg(F.sum("n").alias("n"), F.count("*").alias("many")).where(F.col("n") >= min_pages).select(*run, "many")
+    told = stored(join_hot(runs.drop("n"), stored(hits, "boilerplate-runs"), run, "many", "inner").select("host", "g", "h1", "h2"), "told-runs")
+
+    def keep(key: tuple, pdf: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        known = told[["h1", "h2"]].to_numpy(np.int64)
+        gone = set(map(tuple, known.tolist()))
+        kinds, texts = [list(k) for k in pdf["kinds"]], [list(t) for t in pdf["texts"]]
+        bare = [i for i, k in enumerate(kinds) if MAIN not in k]
+        marks = dict(zip(bare, covered([[w for t in texts[i] for w in t.split(" ")] for i in bare], known, min_tokens)))
         out = []
-        for i, kinds in enumerate(pdf["kinds"]):
-            at, lines = 0, []
-            for k, block in zip(kinds, words[i]):
-                left = unique_runs(block, inside[i][at : at + len(block)], min_tokens)
-                at += len(block)
-                if k == OPEN and left:
-                    lines.append(" ".join(left))
-            out.append((pdf["id"].iloc[i], pdf["key"].iloc[i], "\n".join(lines)))
-        return pd.DataFrame(out, columns=["_id", "_key", "_kept"])
-
-    bare = dealt.where(~F.col("marked")).select("host", "g", "id", "key", "kinds", "texts").groupBy("host", "g")
-    kept = bare.cogroup(told.groupBy("host", "g")).applyInPandas(keep, f"_id {id_type}, _key long, _kept string")
-    kept = stored(kept.dropDuplicates(["_id", "_key"]), "unmarked-pages")
-    discard(runs, hits)
-
-    @F.pandas_udf("string")
-    def article(htmls: pd.Series) -> pd.Series:
-        def main(h):
-            found = [t for k, t in blocks(h) if k == MAIN]
-            return "\n".join(found) if found else None
-
-        return pd.Series([main(h) for h in htmls], dtype=object)
-
-    told = pages.withColumn("_main", article("html")).select("id", "url", "key", "_main")
-    straight = told.where(F.col("_main").isNotNull()).select("id", "url", F.col("_main").alias("text"))
-    rest = told.where(F.col("_main").isNull()).join(kept, F.col("id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")), "left")
-    out = straight if kept.isEmpty() else straight.unionByName(rest.select("id", "url", F.coalesce("_kept", F.lit("")).alias("text")))
-    return out.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", F.char_length("text").cast("long").alias("n_chars"))
+        for i, (k, t) in enumerate(zip(kinds, texts)):
+            lines, at = [], 0
+            if i not in marks:
+                whole = [x for kind, x in zip(k, t) if kind == MAIN]
+                lines = [x for x, h in zip(whole, block_hashes(whole).tolist()) if tuple(h) not in gone]
+            else:
+                for kind, text in zip(k, t):
+                    block = text.split(" ")
+                    if kind == OPEN and (left := unique_runs(block, marks[i][at : at + len(block)], min_tokens)):
+                        lines.append(" ".join(left))
+                    at += len(block)
+            out.append("\n".join(lines))
+        trim()
+        return pd.DataFrame({"id": pdf["id"], "url": pdf["url"], "text": out})
+
+    kept = dealt.drop("alone").groupBy("host", "g").cogroup(told.groupBy("host", "g")).applyInPandas(keep, f"id {types['id']}, url {types['url']}, text string")
+    return kept.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", F.char_length("text").cast("long").alias("n_chars"))
