@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS, join_hot, stored
+from .common import WS, fresh, join_hot, shared_dir, stored
 
 #: Bits a row, and the most bits of one filter: larger inputs are filtered in slices of the hash space, one after another.
 BITS_A_ROW, MOST_BITS = 16, 1 << 28
@@ -64,8 +66,9 @@ def flag_repeated(keys: DataFrame, hash_col: str, rows: int) -> DataFrame:
 
     First pass: each task marks its hashes in a filter of bits met once and one of bits met twice, sends only the words
     it touched, and chunks of words are merged on the executors. Second pass: rows whose bits are all met twice are
-    flagged. A filter has 16 bits a row and 2^28 bits (32 MB) at most, and that bound is on what is broadcast; beyond it
-    the hash space is filtered in slices, one after another, each with a filter of its own.
+    flagged. A filter has 16 bits a row and 2^28 bits (32 MB) at most, and that bound is on what is broadcast. Beyond it
+    the keys are dealt once into slices of the hash space, each with a filter of its own and read by itself alone, so the
+    work stays in proportion to the keys.
     """
     spark = keys.sparkSession
     slices = max(1, -(-rows * BITS_A_ROW // MOST_BITS))
@@ -84,18 +87,26 @@ def flag_repeated(keys: DataFrame, hash_col: str, rows: int) -> DataFrame:
         bits[word - int(key[0]) * CHUNK] = two
         return pd.DataFrame({"chunk": [int(key[0])], "bits": [bits.tobytes()]})
 
-    out = None
-    for s in range(slices):
-        own = keys.where(F.pmod(F.col(hash_col), F.lit(slices)) == s) if slices > 1 else keys
+    def filtered(own: DataFrame):
         marks = own.select(hash_col).mapInArrow(mark, "chunk long, word long, one long, two long")
         full = np.zeros(-(-words // CHUNK) * CHUNK, np.uint64)
         for c in marks.groupBy("chunk").applyInPandas(merge, "chunk long, bits binary").toLocalIterator():
             full[c["chunk"] * CHUNK : (c["chunk"] + 1) * CHUNK] = np.frombuffer(c["bits"], np.uint64)
         bits = spark.sparkContext.broadcast(full)
-
-        flagged = own.withColumn("maybe", _tested(bits, words)(hash_col))
-        out = flagged if out is None else out.unionByName(flagged)
-    return out
+        return own.withColumn("maybe", _tested(bits, words)(hash_col)), bits
+
+    if slices == 1:
+        return filtered(keys)[0]
+    base = f"{shared_dir(spark)}/sediment/dedup-slices-{uuid.uuid4().hex}"
+    (number,) = fresh(keys.columns, "slice")
+    dealt = keys.withColumn(number, F.pmod(F.col(hash_col), F.lit(slices)).cast("int")).repartition(slices, number)
+    dealt.write.partitionBy(number).parquet(f"{base}/keys")
+    schema = keys.withColumn("maybe", F.lit(False)).schema
+    for s in sorted(r[0] for r in spark.read.parquet(f"{base}/keys").select(number).distinct().collect()):
+        flagged, bits = filtered(spark.read.schema(keys.schema).parquet(f"{base}/keys/{number}={s}"))
+        flagged.write.mode("append").parquet(f"{base}/flagged")
+        bits.destroy()
+    return spark.read.schema(schema).parquet(f"{base}/flagged")
 
 
 def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
