@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS_CHARS, discard, shared_dir, stored
+from .common import WS_CHARS, discard, fresh, shared_dir, stored
 
 #: Stands for a null id: such rows count as one document, after all others.
 LAST = (1 << 63) - 1
@@ -71,11 +71,11 @@ class Runs:
             self.drop(level)
 
 
-def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, batches: int = 4, fanout: int = 3) -> DataFrame:
+def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, batches: int | None = None, fanout: int = 3) -> DataFrame:
     """Drops from every document the lines whose key stands in a document with a smaller id.
 
     Lines are split at \\n; a line's key is line_key; keys under `min_chars` code points are never dropped. Documents
-    come in `batches` batches by id (quantiles): a batch's keys merge-anti-join the runs, those unseen are added as a
+    come in `batches` batches by id (quantiles; None: one for each 2^31 rows, 4 to 64): a batch's keys merge-anti-join the runs, those unseen are added as a
     new run with the smallest id that holds them, and every line whose (key, id) is not in its batch's new run is
     dropped. Keys are 128-bit hashes. A line that a third of all documents hold is shuffled as partial minima and as
     (key, id) pairs, which spread. Texts are shuffled once, to meet their dropped positions.
@@ -90,6 +90,7 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     df = df.drop("n_lines", "n_dropped", "kept_text")
     text = F.coalesce(F.col(text_col), F.lit(""))
     rid = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))
+    batches = batches or min(64, max(4, df.count() >> 31))
     cuts = df.agg(F.percentile_approx(F.col(id_col).cast("long"), [i / batches for i in range(1, batches)], 10000)).first()[0] or []
     cuts = sorted(set(cuts))
     batch = sum([F.when(rid > c, 1).otherwise(0) for c in cuts], F.lit(0))
@@ -97,27 +98,30 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     found = df.select(rid.alias("id"), F.xxhash64(text).alias("rk"), batch.alias("batch"), F.posexplode(keys).alias("pos", "key"))
     lines = stored(found.where(F.char_length("key") >= min_chars).select("batch", "id", "rk", "pos", F.unhex(F.md5("key")).alias("h")), "lines")
     runs, dropped = Runs(spark, fanout), []
-    for b in range(len(cuts) + 1):
-        part = lines.where(F.col("batch") == b)
-        first = part.groupBy("h").agg(F.min("id").alias("id"))
-        new = runs.add(runs.unseen(first))
-        dropped.append(stored(part.join(new, ["h", "id"], "left_anti").select("id", "rk", "pos"), "dropped-lines"))
-        runs.compact()
-    runs.drop(runs.all())
+    try:
+        for b in range(len(cuts) + 1):
+            part = lines.where(F.col("batch") == b)
+            first = part.groupBy("h").agg(F.min("id").alias("id"))
+            new = runs.add(runs.unseen(first))
+            dropped.append(stored(part.join(new, ["h", "id"], "left_anti").select("id", "rk", "pos"), "dropped-lines"))
+            runs.compact()
+    finally:
+        runs.drop(runs.all())
     gone = dropped[0]
     for d in dropped[1:]:
         gone = gone.unionByName(d)
-    gone = gone.groupBy("id", "rk").agg(F.collect_set("pos").alias("_gone")).withColumnsRenamed({"id": "_id", "rk": "_rk"})
+    i, k, id_, rk, out = fresh(df.columns, "i", "k", "id", "rk", "gone")
+    gone = gone.groupBy("id", "rk").agg(F.collect_set("pos").alias(out)).withColumnsRenamed({"id": id_, "rk": rk})
     discard(lines)
     parts = F.split(text, "\n", -1)
-    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_gone")), lambda i: F.get(parts, i))
+    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(out)), lambda j: F.get(parts, j))
     return (
-        df.withColumns({"_i": rid, "_k": F.xxhash64(text)})
-        .join(gone, (F.col("_i") == F.col("_id")) & (F.col("_k") == F.col("_rk")), "left")
+        df.withColumns({i: rid, k: F.xxhash64(text)})
+        .join(gone, (F.col(i) == F.col(id_)) & (F.col(k) == F.col(rk)), "left")
         .withColumns({
             "n_lines": F.size(parts).cast("long"),
-            "n_dropped": F.coalesce(F.size("_gone"), F.lit(0)).cast("long"),
-            "kept_text": F.when(F.col("_gone").isNull(), text).otherwise(F.array_join(left, "\n")),
+            "n_dropped": F.coalesce(F.size(out), F.lit(0)).cast("long"),
+            "kept_text": F.when(F.col(out).isNull(), text).otherwise(F.array_join(left, "\n")),
         })
-        .drop("_i", "_k", "_id", "_rk", "_gone")
+        .drop(i, k, id_, rk, out)
     )

@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from .common import range_index, split_ranges, stored
 
 
-def shard(df: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, ranges: int = 512, points: int = 16384) -> DataFrame:
+def shard(df: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, ranges: int | None = None, points: int = 16384) -> DataFrame:
     """Puts every row into one of `shards` shards of near-equal size (law `bytes`), equal texts side by side.
 
     A row's size is its text's UTF-8 bytes plus 1. Rows are ordered by (hash of the text, id, place in the input); keys
-    are sampled in proportion to size, quantiles of the sample split the key space into `ranges` ranges, overfull ranges
+    are sampled in proportion to size, quantiles of the sample split the key space into `ranges` ranges (None: one for each
+    million rows, 512 to 4096), overfull ranges
     are subdivided, and runs of whole ranges make the shards, so a shard is off its share by about half a range, or by
     one row where single rows are larger. A group of equal texts stays in one shard unless it spans a boundary: no group,
     however large, lands in one task.
@@ -26,8 +27,9 @@ def shard(df: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "t
     """
     carry = [c for c in (carry or df.columns) if c not in ("size", "text_crc32", "law", "shard", "slot", "grown_shard")]
     text = F.coalesce(F.col(text_col), F.lit(""))
+    own = [f"c{i}" for i in range(len(carry))]  # no column of the caller's meets the names used here
     slim = df.select(
-        *carry,
+        *[F.col(f"`{c}`").alias(o) for c, o in zip(carry, own)],
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text).alias("text_crc32"),
         F.xxhash64(text).alias("_k1"),
@@ -36,6 +38,7 @@ def shard(df: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "t
     )
     keys = stored(slim, "shard-keys")
     cols = ["_k1", "_k2", "_k3"]
+    ranges = ranges or min(4096, max(512, keys.count() // 1_000_000))
     bounds, sizes = split_ranges(keys.select(*cols, "size"), cols, "size", ranges, points)
     total = sum(s for s, _ in sizes)
     before, first, where, filled = 0, [], [], [0] * shards
@@ -51,7 +54,7 @@ def shard(df: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "t
         keys.withColumn("_r", range_index(cols, bounds))
         .withColumn("_n", within.cast("long"))
         .select(
-            *carry, "size", "text_crc32", F.lit("bytes").alias("law"),
+            *[F.col(o).alias(c) for c, o in zip(carry, own)], "size", "text_crc32", F.lit("bytes").alias("law"),
             F.element_at(F.lit(where), r).cast("int").alias("shard"),
             (F.element_at(F.lit(first), r) + F.col("_n") - 1).cast("long").alias("slot"),
             F.lit(None).cast("int").alias("grown_shard"),
