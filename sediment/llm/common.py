@@ -9,6 +9,7 @@ import uuid
 from bisect import bisect_left
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,9 +24,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset (tests on one machine) a folder of our own, set there."""
+    """The folder in spark.checkpoint.dir; where it is unset and all runs on one machine, a folder of our own, set there."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='sediment-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -49,6 +52,37 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """The names, each led by as many underscores as it takes to be none of the columns (in any case of letters)."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
+#: Most files whose numbers are broadcast.
+FEW_FILES = 4096
+
+
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """df with a long of its own for each row, the same whenever it is read again: the file's number and the row's place
+    in it where df reads Parquet files; else, or with more than FEW_FILES files, df is written with its numbers first."""
+    path, at, number = fresh([*df.columns, name], "path", "at", "number")
+    try:
+        placed = df.select("*", F.col("_metadata.file_path").alias(path), F.col("_metadata.row_index").alias(at))
+        files = [r[0] for r in placed.select(path).distinct().limit(FEW_FILES + 1).collect()]
+    except AnalysisException:
+        files = None
+    if files is None or len(files) > FEW_FILES:
+        return stored(df.withColumn(name, F.monotonically_increasing_id()), "numbered")
+    numbers = df.sparkSession.createDataFrame(list(zip(sorted(files), range(len(files)))), f"{path} string, {number} long")
+    row = F.shiftleft(number, 40) + F.col(at)
+    return placed.join(F.broadcast(numbers), path).withColumn(name, row).drop(path, at, number)
+
+
 def trim() -> None:
     """Gives what a Python worker has freed back to the system, so that its next stage starts small."""
     pa.default_memory_pool().release_unused()

@@ -89,9 +89,11 @@ def mix(df: DataFrame, weights=(5.0, 2.0, 1.0), share: float = 1.5, most: float
     carry = [c for c in (carry or df.columns) if c not in ("size", "source_size", "target", "taken", "takes")]
     text = F.coalesce(F.col(text_col), F.lit(""))
     order = F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("/"), F.md5(text)))
-    slim = df.select(*carry, F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), F.col(source_col).alias("_source"), order.alias("_o"), F.monotonically_increasing_id().alias("_row"))
+    own = [f"c{i}" for i in range(len(carry))]  # no column of the caller's meets the names used here
+    slim = df.select(*[F.col(f"`{c}`").alias(o) for c, o in zip(carry, own)], F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), F.col(source_col).alias("_source"), order.alias("_o"), F.monotonically_increasing_id().alias("_row"))
     docs = stored(slim, "mix-docs")
-    return mixed(docs, source_targets(docs.groupBy(F.col("_source").alias("source")).agg(F.sum("size").alias("source_size")), list(weights), share, most), schedule, most, carry)
+    out = mixed(docs, source_targets(docs.groupBy(F.col("_source").alias("source")).agg(F.sum("size").alias("source_size")), list(weights), share, most), schedule, most, own)
+    return out.select(*[F.col(o).alias(c) for c, o in zip(carry, own)], "size", "source_size", "target", "taken", "takes")
 
 
 def mixed(docs: DataFrame, targets: DataFrame, schedule, most: float, carry: list[str]) -> DataFrame:
