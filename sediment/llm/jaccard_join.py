@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import lru_cache
 from itertools import combinations
 
@@ -16,9 +17,10 @@ from .words import U, blocks, mixed
 
 #: Sets larger than this are never enumerated; a boundary below it is chosen by cost.
 MOST_ENUMERATED = 28
-#: Documents whose shingles are counted for the order of elements, about; from how many of them a shingle counts as common;
-#: and how many common ones are put last, at most. They change the work, never the result.
-SAMPLE, OFTEN, COMMON = 16384, 3, 250_000
+#: The share of documents, and about how many at least, whose shingles are counted for the order of elements; from how many
+#: of them a shingle counts as common; and how many common ones are put last, at most (8 bytes each are broadcast). They
+#: change the work, never the result.
+SHARE, SAMPLE, OFTEN, COMMON = 1 / 8, 16384, 3, 2_000_000
 
 
 class Threshold:
@@ -26,6 +28,7 @@ class Threshold:
 
     def __init__(self, num: int, den: int):
         self.num, self.den = num, den
+        self.link = (den - num) / (den + num)  # linked sets of n and m elements differ in at most link * (n + m)
 
     def overlap(self, n: int, m: int) -> int:
         """Least intersection of linked sets of n and m elements."""
@@ -73,9 +76,9 @@ def _docs(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def common_shingles(docs: DataFrame, k: int) -> np.ndarray:
-    """Shingles that several of a sample of about SAMPLE documents have. They only come last in the order of elements,
-    which saves work; the join is exact under any order."""
-    rate = SAMPLE / max(docs.count(), 1)
+    """Shingles that several of a sample of the documents have. They only come last in the order of elements, which saves
+    work; the join is exact under any order."""
+    rate = max(SHARE, SAMPLE / max(docs.count(), 1))
     sample = docs.where(F.pmod(F.xxhash64("id", "rk"), F.lit(1 << 30)) < F.lit(int(min(1.0, rate) * (1 << 30))))
 
     def run(batches):
@@ -90,12 +93,14 @@ def common_shingles(docs: DataFrame, k: int) -> np.ndarray:
 
 def document_sets(docs: DataFrame, k: int, t: Threshold) -> DataFrame:
     """Per document: id, rk, n (size of its set), s1, s2 (the set's identity), elems: its first elements in the common
-    order (all of them in small sets), and lights: how many of these are not put last for being common."""
-    common = common_shingles(docs, k)
+    order (all of small sets, else twice its prefix and one more), lights: how many of these are not put last for being
+    common, and reach: its prefix and one more."""
+    told = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, k))
 
     def run(batches):
+        common = told.value
         for b in batches:
-            n, s1, s2, lights, elems = [], [], [], [], []
+            n, s1, s2, lights, reach, elems = [], [], [], [], [], []
             for i, j, block in blocks(b.column(2), True):
                 for r in range(i, j):
                     h = shingles(block, r - i, k)
@@ -109,14 +114,16 @@ def document_sets(docs: DataFrame, k: int, t: Threshold) -> DataFrame:
                         often = common[np.minimum(at, len(common) - 1)] == h
                         h = np.concatenate([h[~often], h[often]])
                         light -= int(often.sum())
-                    elems.append(h[: len(h) if len(h) <= MOST_ENUMERATED else t.prefixes(len(h))[0]].view(np.int64))
+                    most = t.prefixes(len(h))[0] + 1 if len(h) else 0
+                    elems.append(h[: len(h) if len(h) <= MOST_ENUMERATED else 2 * most].view(np.int64))
                     lights.append(min(light, len(elems[-1])))
+                    reach.append(most)
             ends = np.cumsum([0, *map(len, elems)]).astype(np.int32)
             flat = np.concatenate([*elems, np.zeros(0, np.int64)])
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(n, pa.int32()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(lights, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["id", "rk", "n", "s1", "s2", "lights", "elems"])
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(n, pa.int32()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(lights, pa.int32()), pa.array(reach, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["id", "rk", "n", "s1", "s2", "lights", "reach", "elems"])
         trim()
 
-    return stored(docs.mapInArrow(run, "id long, rk long, n int, s1 long, s2 long, lights int, elems array<long>"), "document-sets")
+    return stored(docs.mapInArrow(run, "id long, rk long, n int, s1 long, s2 long, lights int, reach int, elems array<long>"), "document-sets")
 
 
 def chosen_boundary(sets: DataFrame, t: Threshold) -> int:
@@ -175,26 +182,29 @@ def small_links(sets: DataFrame, t: Threshold, boundary: int) -> DataFrame:
 def repeated_postings(sets: DataFrame, t: Threshold, boundary: int) -> DataFrame:
     """(h, sid, n, pos, index): prefix elements that at least two sets have, one of them as an index entry.
 
-    Postings are dealt and sorted by element once and read in order; what stays is found from neighbours alone, so a
-    list of any length passes through in constant memory.
+    Rare elements' postings are dealt and sorted by element once and read in order; what stays is found from neighbours
+    alone. Common elements, whose lists may be long, all stay and are not dealt by element.
     """
     low = t.least(boundary + 1)
     lengths = [(0, 0)]
 
     def cut(batches):
         for b in batches:
-            sid, n = b.column(0).to_numpy(), b.column(1).to_numpy()
-            elems = b.column(2)
+            sid, n, lights = (b.column(i).to_numpy() for i in range(3))
+            elems = b.column(3)
             ends = elems.offsets.to_numpy()
             flat = elems.values.to_numpy()
             pre = np.array([t.prefixes(int(x)) for x in n] or lengths)[: len(n)]
             take = np.minimum(np.where(n > boundary, pre[:, 0], pre[:, 1]), np.diff(ends))
             row = np.repeat(np.arange(len(n)), take)
             pos = np.arange(len(row)) - np.repeat(np.cumsum(take) - take, take)
-            yield pa.record_batch([pa.array(flat[ends[:-1][row] + pos]), pa.array(sid[row]), pa.array(n[row]), pa.array(pos.astype(np.int32)), pa.array(pos < pre[row, 1])], ["h", "sid", "n", "pos", "index"])
+            yield pa.record_batch([pa.array(flat[ends[:-1][row] + pos]), pa.array(sid[row]), pa.array(n[row]), pa.array(pos.astype(np.int32)), pa.array(pos < pre[row, 1]), pa.array(pos >= lights[row])], ["h", "sid", "n", "pos", "index", "common"])
 
-    posts = sets.where(F.col("n") >= low).select("sid", "n", "elems").mapInArrow(cut, "h long, sid long, n int, pos int, index boolean")
-    return stored(_neighbours(posts), "postings")
+    posts = sets.where(F.col("n") >= low).select("sid", "n", "lights", "elems").mapInArrow(cut, "h long, sid long, n int, pos int, index boolean, common boolean")
+    posts = stored(posts, "all-postings")
+    out = stored(_neighbours(posts.where("not common").drop("common")).unionByName(posts.where("common").drop("common")), "postings")
+    discard(posts)
+    return out
 
 
 def _neighbours(posts: DataFrame) -> DataFrame:
@@ -223,11 +233,12 @@ def _neighbours(posts: DataFrame) -> DataFrame:
 FEW_SETS = 500_000
 
 
-def plausible(pairs: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
-    """The distinct pairs that their sets' first elements don't rule out.
+def plausible(pairs: DataFrame, sets: DataFrame, most: Callable[[int, int], float]) -> DataFrame:
+    """The distinct pairs whose sets a and b, of n and m elements, may differ in most(n, m) elements or fewer, as far as
+    their first elements tell.
 
-    Up to the smaller of two sets' last known elements both are known in full. If more elements differ there than linked
-    sets of these sizes differ in all, the pair cannot be linked. Only these short arrays travel.
+    Up to the smaller of two sets' last known elements both are known in full. If more elements differ there, the pair
+    goes. Only these short arrays travel.
     """
     side = lambda s: sets.select(F.col("sid").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("n", "lights", "elems")])
 
@@ -245,21 +256,19 @@ def plausible(pairs: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
                 upto = lambda e, k: int(np.searchsorted(e[:k], U(last[1]), "right")) if not last[0] else k + int(np.searchsorted(e[k:], U(last[1]), "right"))  # noqa: B023, E731
                 i, j = upto(x, p), upto(y, q)
                 same = len(set(x[:i].tolist()).intersection(y[:j].tolist()))
-                keep.append(i + j - 2 * same <= n + m - 2 * t.overlap(n, m))
+                keep.append(i + j - 2 * same <= most(n, m))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     both = pairs.distinct().join(side("a"), "a").join(side("b"), "b").select("a", "b", *[f"{c}_{s}" for c in ("n", "lights", "elems") for s in "ab"])
     return stored(both.mapInArrow(run, "a long, b long"), "plausible-pairs")
 
 
-def measured(pairs: DataFrame, sets: DataFrame, docs: DataFrame, k: int, t: Threshold) -> DataFrame:
-    """The plausible ones of pairs (a, b), with the sizes of their sets' intersection and union, counted on the whole sets.
+def whole_sets(used: DataFrame, sets: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """(sid, set): the whole sets of the sids in used, made again from one text of each.
 
-    Whole sets are made again from the texts of just the sets in a pair. The table that picks those texts is broadcast
-    where it has FEW_SETS rows or fewer, and joined by shuffle where it has more.
+    The table that picks those texts is broadcast where it has FEW_SETS rows or fewer, and joined by shuffle where it has
+    more.
     """
-    pairs = plausible(pairs, sets, t)
-    used = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
     where = stored(sets.select("sid", "id", "rk").join(used, "sid"), "used-sets")
     few = where.count() <= FEW_SETS
 
@@ -273,12 +282,26 @@ def measured(pairs: DataFrame, sets: DataFrame, docs: DataFrame, k: int, t: Thre
         trim()
 
     texts = docs.join(F.broadcast(where), ["id", "rk"]).select("sid", "text") if few else packed(docs).join(where, ["id", "rk"]).select("sid", "packed")
-    whole = stored(texts.mapInArrow(run, "sid long, set array<long>").dropDuplicates(["sid"]), "whole-sets")
+    out = stored(texts.mapInArrow(run, "sid long, set array<long>").dropDuplicates(["sid"]), "whole-sets")
+    discard(where)
+    return out
+
+
+def both_sets(pairs: DataFrame, whole: DataFrame) -> DataFrame:
+    """pairs (a, b) with their whole sets _a and _b."""
     left, right = whole.withColumnsRenamed({"sid": "a", "set": "_a"}), whole.withColumnsRenamed({"sid": "b", "set": "_b"})
-    both = pairs.join(left, "a").join(right, "b")
+    return pairs.join(left, "a").join(right, "b")
+
+
+def measured(pairs: DataFrame, sets: DataFrame, docs: DataFrame, k: int, t: Threshold) -> DataFrame:
+    """The linked ones of the pairs (a, b), counted on the whole sets of those that first elements don't rule out."""
+    pairs = plausible(pairs, sets, lambda n, m: n + m - 2 * t.overlap(n, m))
+    used = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
+    whole = whole_sets(used, sets, docs, k)
     inter = F.size(F.array_intersect("_a", "_b"))
-    out = stored(both.select("a", "b", inter.alias("inter"), (F.size("_a") + F.size("_b") - inter).alias("outer")), "measured-pairs")
-    discard(whole, pairs, where)
+    linked = inter * t.den >= (F.size("_a") + F.size("_b") - inter) * t.num
+    out = stored(both_sets(pairs, whole).where(linked).select("a", "b"), "measured-links")
+    discard(whole, pairs)
     return out
 
 
@@ -320,51 +343,226 @@ def close_enough(t: Threshold) -> Column:
     return (F.lit(t.den) * m >= F.lit(t.num) * n) & (rest >= need - F.least("x.pos", "y.pos")) & smaller
 
 
+#: Lists of at most so many sets are joined in pairs, longer ones around leaders: lists over elements of sets, and those
+#: over elements of differences, whose pairs are few.
+SHORT, SHORT_OF_DIFFERENCES = 64, 128
+#: Rounds around leaders end, and all lists left are joined in pairs, once that compares no more pairs than so many times
+#: the sets that stood in lists at first; or after so many rounds.
+FEW_PAIRS, LEADERS = 16, 8
+
+
+def merged(parts: DataFrame, links: DataFrame) -> DataFrame:
+    """parts (node, label) after further links (a, b): only the labels that links join are walked again."""
+    label = lambda c: parts.select(F.col("node").alias(c), F.col("label").alias(f"{c}_"))
+    both = links.join(label("a"), "a", "left").join(label("b"), "b", "left")
+    both = both.select(F.coalesce("a_", "a").alias("a"), F.coalesce("b_", "b").alias("b"))
+    new = components(both)
+    named = parts.unionByName(links.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(parts, "node", "left_anti").select("node", F.col("node").alias("label")))
+    return stored(named.join(new.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
+
+
+def apart(lists: DataFrame, parts: DataFrame, key: list[str]) -> DataFrame:
+    """lists (key, sid, n, w, ...) whose sets are in several components, with part, many (sets) and leader of each list.
+
+    Of lists over two elements, or over differences from one leader, that hold the same sets in the same way, one stays:
+    copies of a text share many elements, and would meet again in each.
+    """
+    told = lists.join(parts.withColumnRenamed("node", "sid"), "sid", "left").withColumn("part", F.coalesce("label", "sid")).drop("label")
+    told = stored(told, "told-lists")
+    sums = told.groupBy(*key).agg(
+        F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("many"), F.max_by("sid", F.struct("w", "n", "sid")).alias("leader"),
+        *([F.bit_xor(F.xxhash64(F.lit(i), "sid", "d", "s", "small")).alias(f"x{i}") for i in (1, 2)] if "small" in lists.columns else []),
+    ).where("lo < hi").drop("lo", "hi")
+    if "small" in lists.columns:
+        same = ["many", "x1", "x2", "of"]
+        sums = sums.withColumn("of", F.greatest("k1", F.lit(-1)))
+        sums = sums.groupBy(*same).agg(F.min_by(F.struct(*key, "leader"), F.struct(*key)).alias("one")).select("one.*", "many")
+    sums = stored(sums, "apart-lists")
+    out = stored(join_hot(told, sums, key, "many", "inner"), "apart-members")
+    discard(told, sums)
+    return out
+
+
+def short_pairs(members: DataFrame, t: Threshold) -> DataFrame:
+    """(a, b): the pairs of sets in different components that share a list and may be linked."""
+    x, y = members.alias("x"), members.alias("y")
+    joined = x.join(y, [F.col("x.h") == F.col("y.h"), F.col("x.sid") < F.col("y.sid"), F.col("x.part") != F.col("y.part"), close_enough(t)])
+    return joined.select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct()
+
+
+def pairs_once(members: DataFrame, alike: Column) -> DataFrame:
+    """(a, b): the pairs of sets in different components that share a list of two elements, or of differences from one
+    leader; once each, in the first list that can tell them: one in which the set nearer to the leader is `small`."""
+    rows = members.withColumns({"list": F.xxhash64("k1", "k2"), "of": F.greatest("k1", F.lit(-1))})
+    lists = rows.groupBy("of", "sid").agg(F.collect_list("list").alias("all"), F.collect_list(F.when(F.col("small"), F.col("list"))).alias("smalls"))
+    rows = stored(rows.join(lists, ["of", "sid"]).select("k1", "k2", "list", "sid", "n", "d", "s", "part", "all", "smalls"), "members-once")
+    x, y = rows.alias("x"), rows.alias("y")
+    nearer = F.col("x.d") <= F.col("y.d")
+    shared = F.array_intersect(F.when(nearer, F.col("x.smalls")).otherwise(F.col("y.smalls")), F.when(nearer, F.col("y.all")).otherwise(F.col("x.all")))
+    same = (F.col("x.k1") == F.col("y.k1")) & (F.col("x.k2") == F.col("y.k2")) & (F.col("x.sid") < F.col("y.sid")) & (F.col("x.part") != F.col("y.part"))
+    joined = x.join(y, same & alike & (F.array_min(shared) == F.col("x.list")))
+    out = stored(joined.select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct(), "short-pairs")
+    discard(rows)
+    return out
+
+
+def near_pairs(members: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
+    """(a, b, w): leaders and sets of their lists that may be near, as far as first elements tell."""
+    pairs = members.where("sid != leader").select(F.col("leader").alias("a"), F.col("sid").alias("b"), "w").distinct()
+    near = plausible(pairs.select("a", "b"), sets, lambda m, n: (2 * (n * t.den / t.num + m) + n * t.den / t.num + n) * t.link + 1e-6)
+    out = stored(near.join(pairs, ["a", "b"]), "near-pairs")
+    discard(near)
+    return out
+
+
+def differences(pairs: DataFrame, whole: DataFrame, t: Threshold, all_: bool = False) -> DataFrame:
+    """(leader, sid, n, w, m, size, apart) of the pairs (a, b, w): how many elements a set b (of n) and its leader a (of m)
+    don't share, and which, where the set is near enough for its links to be found there (or for all pairs): what is
+    linked with a set of n that differs from the leader in 2 * link * (n + m) elements or fewer."""
+    sized = both_sets(pairs, whole).withColumns({"m": F.size("_a"), "n": F.size("_b")})
+    sized = sized.withColumn("size", F.col("m") + F.col("n") - 2 * F.size(F.array_intersect("_a", "_b")))
+    link, back, n, m = t.link, t.den / t.num, F.col("n"), F.col("m")
+    near = F.lit(all_) | (F.col("size") <= (2 * (n * back + m) + n * back + n) * link + 1e-6)
+    only = F.when(near, F.concat(F.array_except("_a", "_b"), F.array_except("_b", "_a")))
+    return stored(sized.select(F.col("a").alias("leader"), F.col("b").alias("sid"), "n", "w", "m", "size", only.alias("apart")), "differences")
+
+
+def centred(found: DataFrame, long: DataFrame, whole: DataFrame, t: Threshold) -> DataFrame:
+    """found, with each leader's near sets told against the most central of them.
+
+    Elements that over half of a leader's near sets differ from it in are the leader's own peculiarities. The set nearest
+    to the leader without these becomes the leader of all near sets, the old leader included: differences from a central
+    set are small and seldom shared, so few sets meet again.
+    """
+    near = found.where("apart is not null")
+    rows = stored(near.select("leader", F.explode("apart").alias("e"), "sid"), "peculiar-elements")
+    cohort = near.groupBy("leader").agg(F.count("*").alias("all"))
+    common = rows.groupBy("leader", "e").agg(F.count("*").alias("many")).join(cohort.where(F.col("all") > SHORT), "leader")
+    common = stored(common.where("many * 2 > all").drop("all"), "peculiarities")
+    hits = join_hot(rows, common, ["leader", "e"], "many", "inner").groupBy("leader", "sid").agg(F.count("*").alias("hits"))
+    near = near.join(hits, ["leader", "sid"], "left").withColumn("d", F.col("size") - 2 * F.coalesce("hits", F.lit(0)))
+    best = near.groupBy("leader").agg(F.min(F.struct("d", "sid")).alias("best")).where("best.d < 0").select("leader", F.col("best.sid").alias("centre"))
+    best = stored(best, "centres")
+    moved = found.where("apart is not null").join(best, "leader").where("sid != centre").select(F.col("centre").alias("a"), F.col("sid").alias("b"), "w")
+    olds = best.join(long.where("sid = leader").select("leader", "w").distinct(), "leader").select(F.col("centre").alias("a"), F.col("leader").alias("b"), "w")
+    again = differences(moved.unionByName(olds).distinct(), whole, t, True)
+    stay = found.where("apart is not null").join(best.select("leader"), "leader", "left_anti")
+    out = stored(stay.unionByName(again), "centred-differences")
+    discard(rows, common, best, again)
+    return out
+
+
+def lists_of_differences(found: DataFrame, t: Threshold) -> DataFrame:
+    """(k1, k2, sid, n, w, d, s, small): lists over the elements k2 that sets and a leader k1 don't share.
+
+    If x and y differ from the leader in dx and dy elements, c of them common, they differ in dx + dy - 2 c from each
+    other, so linked ones share at least (dx + dy - link * (n + m)) / 2. As in prefixes of sets, only a set's seldomest
+    elements need lists then: fewer of them as the smaller of a pair (`small`) than as the larger. Elements in no other
+    difference are not common either: c is at most sx and at most sy, the numbers of those that others have, and a set
+    stays in a list where such sums, put together in steps of dy, don't rule out every y.
+    """
+    k = t.link
+    rows = stored(found.select(F.col("leader").alias("k1"), F.explode("apart").alias("k2"), "sid", "n", "w", F.col("size").alias("d")), "difference-elements")
+    many = stored(rows.groupBy("k1", "k2").agg(F.count("*").alias("many")).where("many > 1"), "difference-lists")
+    shared = join_hot(rows, many, ["k1", "k2"], "many", "inner").groupBy("k1", "sid", "n", "w", "d").agg(F.sort_array(F.collect_list(F.struct("many", "k2"))).alias("e"))
+    reach = F.col("n") * (k * (1 + t.den / t.num))  # at least link * (n + m) for any m
+    prefix = lambda part: F.col("d") - F.greatest(F.lit(1), F.ceil(F.col("d") - reach * part - 1e-6)) + 1
+    told = shared.select("k1", "sid", "n", "w", "d", F.size("e").alias("s"), F.posexplode("e").alias("i", "at"))
+    place = F.col("i") + F.col("d") - F.col("s")  # after the elements that no other set has
+    told = told.where(place < prefix(1.0)).select("k1", "at.k2", "sid", "n", "w", "d", "s", (place < prefix(0.5)).alias("small"))
+    told = stored(told.withColumns({"need": F.col("d") - F.col("n") * k, "can": F.col("s") * 2 - F.col("d") + F.col("n") * k}), "difference-bounds")
+    step = F.least(F.floor(F.col("need") * 8 / (F.col("n") * k)), F.lit(64)).alias("step")  # at most 73 a list
+    steps = told.groupBy("k1", "k2", step).agg(F.struct(F.min("need").alias("need"), F.max("can").alias("can")).alias("at"), F.count("*").alias("many"))
+    best = stored(steps.groupBy("k1", "k2").agg(F.collect_list("at").alias("steps"), F.sum("many").alias("many")).where("many > 1"), "difference-best")
+    able = F.exists("steps", lambda y: (F.col("need") <= y["can"] + 1e-6) & (F.col("need") + y["need"] <= F.col("s") * 2 + 1e-6))
+    out = join_hot(told, best, ["k1", "k2"], "many", "inner").where(able)
+    out = stored(out.select("k1", "k2", "sid", "n", "w", "d", "s", "small"), "lists")
+    discard(rows, many, told, best)
+    return out
+
+
+def around_leaders(members: DataFrame, sets: DataFrame, docs: DataFrame, parts: DataFrame, k: int, t: Threshold) -> tuple[DataFrame, list[DataFrame]]:
+    """Components after all links found around the leaders of long lists, and tables of the pairs (a, b) still to measure.
+
+    Each set of a list is measured against the list's leader. Sets x and y that differ from it in dx and dy elements and
+    are linked are either both linked with the leader (where dx + dy is at most what linked sets differ in), or share an
+    element of their differences: so near ones meet again in lists over these elements, which are short (copies of one
+    text differ from it in few places, each in its own). Far ones, whose partners are far too by the triangle inequality,
+    meet in lists over a second element, then once more without the leader. Lists of one component are dropped, short
+    ones become pairs, as do all that are left once that is little work.
+    """
+    is_long = F.col("many") > SHORT
+    pairs, n, m = [], F.col("n"), F.col("m")
+    budget = members.count() * FEW_PAIRS
+    alike = F.lit(t.den) * F.least("x.n", "y.n") >= F.lit(t.num) * F.greatest("x.n", "y.n")
+    alike &= F.col("x.d") + F.col("y.d") - 2 * F.least("x.s", "y.s") <= (F.col("x.n") + F.col("y.n")) * t.link + 1e-6
+    free = [F.lit(0).alias("d"), F.lit(0).alias("s"), F.lit(True).alias("small")]
+    for depth in range(LEADERS):
+        long = members.where(is_long)
+        if long.isEmpty():
+            break
+        close = near_pairs(long, sets, t)
+        used = close.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+        whole = whole_sets(used, sets, docs, k)
+        found = differences(close, whole, t)
+        told = centred(found, long, whole, t)
+        linked = F.col("size") * (t.den + t.num) <= (n + m) * (t.den - t.num)
+        links = stored(found.unionByName(told).where(linked).select(F.col("leader").alias("a"), F.col("sid").alias("b")).distinct(), "leader-links")
+        parts = merged(parts, links)
+        lists = lists_of_differences(told, t)
+        near = found.where(F.col("size") <= 2 * t.link * (n + m)).select("leader", "sid")
+        left = stored(long.where("sid != leader").join(near, ["leader", "sid"], "left_anti"), "far-members")
+        again = left.select(*lists.columns) if depth else by_two_elements(left, sets).select("*", *free)
+        new = apart(lists.unionByName(again), parts, ["k1", "k2"])
+        discard(close, whole, found, told, links, lists, left, members)
+        members, is_long = new, F.col("many") > F.when(F.col("k1") < 0, SHORT).otherwise(SHORT_OF_DIFFERENCES)
+        compared = members.agg(F.sum((F.col("many") - 1) / 2)).first()[0] or 0
+        last = compared <= budget or depth + 1 == LEADERS
+        pairs.append(pairs_once(members if last else members.where(~is_long), alike))
+        if last:
+            break
+    discard(members)
+    return parts, pairs
+
+
+def by_two_elements(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(k1, k2, sid, n, w): lists over pairs of elements, of a list's element and one after it. Linked sets that share h
+    first share a second element too, in prefixes longer by one."""
+    own = members.join(sets.select("sid", "elems", "reach"), "sid")
+    after = F.explode(F.slice("elems", F.col("pos") + 2, F.col("reach"))).alias("k2")
+    rows = own.select((F.xxhash64("h").bitwiseOR(F.lit(-(1 << 63)))).alias("k1"), after, "sid", "n", "w")
+    return rows.join(rows.groupBy("k1", "k2").agg(F.count("*").alias("many")).where("many > 1").select("k1", "k2"), ["k1", "k2"])
+
+
 def linked_sets(sets: DataFrame, docs: DataFrame, k: int, t: Threshold) -> DataFrame:
     """(node, label) over distinct sets: the components of the links.
 
     Small sets meet over enumerated subsets. Pairs with a larger set meet in inverted lists over prefixes of the sets in
     one order of elements. In each list a leader, the set with most of its prefix in lists, is measured against the
-    others first: a group of near copies is joined by one pair for each. Then pairs whose sets are still apart follow,
-    less those that the triangle inequality rules out (Jaccard distance is a metric: both distances to the leader are
-    known, and differ by more than a link's). So every link between two texts is either measured or its ends are
+    others first: a group of near copies is joined by one pair for each. Lists in which sets are still apart follow:
+    short ones in pairs, long ones around leaders. So every link between two texts is either measured or its ends are
     already connected by links.
     """
     boundary = chosen_boundary(sets, t)
     few = small_links(sets, t, boundary)
     posts = repeated_postings(sets, t, boundary)
     share = posts.groupBy("sid").agg((F.count("*") / F.first("n")).alias("w"))
-    size = posts.join(share, "sid").groupBy("h").agg(F.count("*").alias("many"), F.max_by("sid", F.struct("w", F.col("n"), F.col("sid"))).alias("leader"))
-    lists = stored(size, "lists")
-    led = stored(join_hot(posts, lists, "h", "many", "inner"), "led-postings")
-    sizes = led.where("sid = leader").select("h", F.col("n").alias("ln")).distinct()
-    sizes = stored(sizes.join(lists.select("h", "many"), "h"), "leaders")
-    star = join_hot(led.drop("many"), sizes, "h", "many", "inner").where("sid != leader").where((F.lit(t.den) * F.least("n", "ln") >= F.lit(t.num) * F.greatest("n", "ln")))
+    posts = stored(posts.join(share, "sid"), "ranked-postings")
+    size = posts.groupBy("h").agg(F.count("*").alias("many"), F.max_by(F.struct("sid", "n"), F.struct("w", "n", "sid")).alias("l"))
+    lists = stored(size.where("many > 1").select("h", "many", F.col("l.sid").alias("leader"), F.col("l.n").alias("ln")), "lists")
+    star = join_hot(posts, lists, "h", "many", "inner").where("sid != leader").where(F.lit(t.den) * F.least("n", "ln") >= F.lit(t.num) * F.greatest("n", "ln"))
     first = measured(star.select(F.col("leader").alias("a"), F.col("sid").alias("b")), sets, docs, k, t)
-    ok = F.col("inter") * t.den >= F.col("outer") * t.num
-    links = stored(first.where(ok).select("a", "b").unionByName(few), "links")
-    parts = components(links)
-    # what is left: lists in which sets are still apart
-    far = first.select(F.col("a").alias("leader"), F.col("b").alias("sid"), (1 - F.col("inter") / F.col("outer")).alias("d"))
-    told = led.join(parts.withColumnRenamed("node", "sid"), "sid", "left").withColumn("part", F.coalesce("label", "sid")).drop("label")
-    told = told.join(far, ["leader", "sid"], "left").withColumn("d", F.when(F.col("sid") == F.col("leader"), 0.0).otherwise(F.col("d")))
-    apart = told.groupBy("h").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("h")
-    told = stored(told.join(apart, "h", "left_semi").select("h", "sid", "n", "pos", "index", "part", "d", "leader"), "apart-postings")
-    top = told.where("sid = leader").select("h", F.col("part").alias("main")).distinct()
-    told = told.join(top, "h", "left")
-    outside = told.where("part != main or main is null")
-    x, y = outside.alias("x"), told.alias("y")
-    link = 1 - t.num / t.den
-    near = F.coalesce(F.abs(F.col("x.d") - F.col("y.d")) <= link + 1e-9, F.lit(True))
-    once = (F.col("y.part") == F.col("y.main")) | (F.col("x.sid") < F.col("y.sid")) | F.col("y.main").isNull()
-    more = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.part") != F.col("y.part")) & near & once & close_enough(t))
-    pairs = more.select(F.least("x.sid", "y.sid").alias("a"), F.greatest("x.sid", "y.sid").alias("b")).distinct()
-    known = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    second = measured(pairs.join(known, ["a", "b"], "left_anti"), sets, docs, k, t)
-    new = stored(second.where(ok).select("a", "b"), "late-links")
-    if new.isEmpty():
-        return parts
-    return components(links.unionByName(new))
+    parts = components(stored(first.unionByName(few), "links"))
+    members = apart(posts, parts, ["h"])
+    pairs = stored(short_pairs(members.where(F.col("many") <= SHORT), t), "short-pairs")
+    parts, more = around_leaders(members, sets, docs, parts, k, t)
+    for p in more:
+        pairs = pairs.unionByName(p)
+    label = lambda c: parts.select(F.col("node").alias(c), F.col("label").alias(f"{c}_"))
+    still = pairs.distinct().join(label("a"), "a", "left").join(label("b"), "b", "left")
+    still = still.where(F.coalesce("a_", "a") != F.coalesce("b_", "b")).select("a", "b")
+    late = measured(still, sets, docs, k, t)
+    return parts if late.isEmpty() else merged(parts, late)
 
 
 def similar_groups(df: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -383,8 +581,8 @@ def similar_groups(df: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_
     own = document_sets(docs, k, t)
     key = ["n", "s1", "s2"]
     best = F.min(F.struct("id", "rk")).alias("m")
-    classes = own.where("n > 0").groupBy(*key).agg(best, F.first("lights").alias("lights"), F.first("elems").alias("elems"), F.count("*").alias("copies"))
-    sets = stored(classes.select(F.monotonically_increasing_id().alias("sid"), *key, F.col("m.id").alias("id"), F.col("m.rk").alias("rk"), "lights", "elems", "copies"), "sets")
+    classes = own.where("n > 0").groupBy(*key).agg(best, F.first("lights").alias("lights"), F.first("reach").alias("reach"), F.first("elems").alias("elems"), F.count("*").alias("copies"))
+    sets = stored(classes.select(F.monotonically_increasing_id().alias("sid"), *key, F.col("m.id").alias("id"), F.col("m.rk").alias("rk"), "lights", "reach", "elems", "copies"), "sets")
     parts = linked_sets(sets, docs, k, t)
     labelled = stored(sets.select("sid", *key, "id", "copies").join(parts.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid")), "labelled-sets")
     least = labelled.groupBy("label").agg(F.min("id").alias("component"))
