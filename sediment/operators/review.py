@@ -95,3 +95,24 @@ def tokens_over(spans: DataFrame, offsets: str, start: str, stop: str) -> DataFr
     """spans with first and last + 1 of the tokens (array of struct start, stop) that overlap the half-open span."""
     hit = F.filter(F.transform(offsets, lambda t, i: F.struct(i.alias("i"), t["start"].alias("a"), t["stop"].alias("b"))), lambda t: (t["b"] > t["a"]) & (t["a"] < F.col(stop)) & (t["b"] > F.col(start)))
     return spans.withColumn("_h", hit).withColumn("first_token", F.get("_h", F.lit(0))["i"]).withColumn("stop_token", F.try_element_at("_h", F.lit(-1))["i"] + 1).drop("_h")
+
+
+def review_with_spans(ranked: Column, budget: int = 12_000, quote: int = 600, spans: int = 4) -> Column:
+    """struct(text, spans): the review text of the ranked sections, and where the first paragraphs of sections stand in it
+    (at most `quote` characters each, at most `spans` of them, only those that the budget leaves whole)."""
+    heading = lambda s: F.trim(F.coalesce(s["heading"], F.lit("")))
+    lead = lambda s: F.when(heading(s) != "", F.concat(heading(s), F.lit("\n\n"))).otherwise("")
+    empty = F.struct(F.lit("").alias("text"), F.array().cast("array<struct<start int, stop int, text string>>").alias("spans"))
+
+    def add(acc: Column, s: Column) -> Column:
+        head = F.when(acc["text"] == "", F.lit("")).otherwise(F.concat(acc["text"], F.lit(SEPARATOR)))
+        body = F.trim(s["text"])
+        block = F.rtrim(F.substring(F.concat(lead(s), body), F.lit(1), F.greatest(F.lit(budget) - F.length(head), F.lit(0))))
+        at = F.length(head) + F.length(lead(s))
+        said = F.rtrim(F.substring(F.trim(F.get(F.filter(F.split(body, r"\n\s*\n"), lambda p: F.trim(p) != ""), F.lit(0))), 1, quote))
+        fits = (said != "") & (at + F.length(said) <= F.length(head) + F.length(block))
+        one = F.array(F.struct(at.alias("start"), (at + F.length(said)).alias("stop"), said.alias("text")))
+        grown = F.struct(F.concat(head, block).alias("text"), F.when(fits, F.concat(acc["spans"], one)).otherwise(acc["spans"]).alias("spans"))
+        return F.when(F.length(acc["text"]) >= budget, acc).otherwise(grown)
+
+    return F.aggregate(ranked, empty, add, lambda acc: F.struct(acc["text"].alias("text"), F.slice(acc["spans"], 1, spans).alias("spans")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import baselines, collection, contracts, graph, releases
+from ..operators import baselines, collection, contracts, graph, panels, releases
 from ..sources import sinks
 from . import bindings as B
 from .annotation_queries import KEYS, SPLIT_SQL
@@ -213,3 +213,49 @@ def p9(spark, sf_dir):
     k = F.col("c_custkey")
     gone = F.when(k % 5 == 0, F.date_sub(F.lit("1999-01-01").cast("date"), (k % 900).cast("int")))
     return B.table(spark, sf_dir, "customer").select("c_custkey", contracts.tradable(F.date_add(F.lit("1998-01-01").cast("date"), (k % 31).cast("int")), gone).alias("tradable"))
+
+
+# --- queues and panels ------------------------------------------------------------------------------------------------
+
+
+@query("C7")
+def c7(spark, sf_dir):
+    from .review_queries import sections
+
+    d = B.table(spark, sf_dir, "documents").where("doc_id is not null").select("doc_id", "source", "lang")
+    usable = sections(spark, sf_dir).where(F.exists("sections", lambda s: ~s["is_table"] & (F.trim(s["text"]) != "")))
+    usable = usable.select(F.col("doc_id").alias("normalization_id"), "sections")
+    known = d.join(usable.select(F.col("normalization_id").alias("doc_id")), "doc_id").select(
+        F.col("doc_id").alias("normalization_id"), F.concat(F.lit("r"), F.col("doc_id").cast("string")).alias("record_id"), F.concat_ws("/", "source", (F.col("doc_id") % 50).cast("string")).alias("entity_id"), (F.col("doc_id") % 50).alias("cik"),
+        (F.col("doc_id") % 7).cast("string").alias("accession_number"), F.col("lang").alias("document_type"), F.floor(F.col("doc_id") / 100).alias("source_published_at"), F.floor(F.col("doc_id") / 100).alias("tradable_at"),
+    )
+    companies = spark.range(40).select(F.col("id").alias("cik"), F.concat(F.lit("Company "), F.col("id").cast("string")).alias("name"))
+    out = panels.calibration_tasks(usable, known, companies)
+    return out.withColumn("candidate_evidence", F.to_json("candidate_evidence"))
+
+
+@query("C9", """SELECT p_partkey AS task_number, 'task-' || p_partkey AS task_id, CASE WHEN p_partkey % 4 = 0 THEN 'A' ELSE 'A,B,C' END AS source_models,
+  CASE WHEN p_partkey % 4 = 0 THEN 0.9 WHEN p_size % 2 = 0 THEN 0.3 ELSE 0.5 END::DOUBLE AS confidence,
+  CASE WHEN p_partkey % 4 = 0 THEN p_size ELSE p_size + 1 END::BIGINT AS size, CASE WHEN p_partkey % 4 = 0 THEN 'unanimous' ELSE 'strict_majority' END AS rule,
+  CASE WHEN p_partkey % 4 = 0 THEN 0 ELSE length(split_part(p_name, ' ', 1)) + 1 END::BIGINT AS start, CASE WHEN p_partkey % 4 = 0 THEN length(split_part(p_name, ' ', 1)) ELSE length(split_part(p_name, ' ', 1)) + 1 + length(split_part(p_name, ' ', 2)) END::BIGINT AS stop,
+  CASE WHEN p_partkey % 4 <> 0 AND p_partkey % 9 = 1 THEN 'B=task_' || p_partkey ELSE '' END AS repairs, CASE WHEN p_partkey % 4 <> 0 AND p_partkey % 10 = 3 THEN 'other_labels' END AS error
+FROM part WHERE split_part(p_name, ' ', 1) <> split_part(p_name, ' ', 2)""")
+def c9(spark, sf_dir):
+    p = B.table(spark, sf_dir, "part").where("split_part(p_name, ' ', 1) != split_part(p_name, ' ', 2)")
+    key, name, one = F.col("p_partkey"), F.concat(F.lit("task-"), F.col("p_partkey").cast("string")), F.array(F.lit("deal.x"))
+    word = lambda i: F.split_part("p_name", F.lit(" "), F.lit(i))
+    decisions = p.select(key.alias("task_number"), name.alias("task_id"), one.alias("labels"), (key % 4 == 0).alias("adjudicated"), F.array(*map(F.lit, "ABC")).alias("supporters"))
+
+    def row(model, task_id, labels, confidence, size, quote):
+        cell, said = F.array(F.struct(F.lit("deal.x").alias("label"), F.lit("size").alias("field"), size.cast("long").alias("value"))), F.array(F.struct(F.lit("deal.x").alias("label"), quote.alias("quote")))
+        return p.select(F.lit(model).alias("model"), key.alias("task_number"), task_id.alias("task_id"), labels.alias("labels"), confidence.cast("double").alias("confidence"), (F.col("p_size") > 20).alias("ambiguity_flag"), cell.alias("attributes"), said.alias("evidence"))
+
+    rows = row("A", name, one, F.lit(0.9), F.col("p_size"), word(1))
+    rows = rows.unionByName(row("B", F.when(key % 9 == 1, F.translate(name, "-", "_")).otherwise(name), one, F.when(F.col("p_size") % 2 == 0, 0.3).otherwise(0.5), F.col("p_size") + 1, word(2)))
+    rows = rows.unionByName(row("C", name, F.when(key % 10 == 3, F.array(F.lit("deal.y"))).otherwise(one), F.lit(0.1), F.col("p_size") + 1, F.concat(word(2), F.lit("."))))
+    out = panels.synthesized(decisions, rows, p.select(name.alias("task_id"), F.col("p_name").alias("text")))
+    cell, span = F.get("attributes", F.lit(0)), F.get("evidence", F.lit(0))
+    return out.select(
+        "task_number", "task_id", F.array_join("source_models", ",").alias("source_models"), "confidence", cell["value"].alias("size"), cell["rule"].alias("rule"),
+        span["start"].cast("long").alias("start"), span["stop"].cast("long").alias("stop"), F.array_join("task_id_repairs", ",").alias("repairs"), "error",
+    )

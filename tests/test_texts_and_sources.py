@@ -188,3 +188,52 @@ def test_probe(spark):
     assert all((r.prob > 0.5) == (rows[r.id][0] == "yes") for r in out)
     w = probe.logistic(np.array([[1.0], [2.0], [-1.0], [-2.0]]), np.array([1, 1, 0, 0.0]))
     assert w[0] > 0 and w[1] == pytest.approx(0, abs=1e-6)
+
+
+def test_review_with_spans(spark):
+    """The review text and its spans against a plain version."""
+    from sediment.operators import review
+
+    def plain(sections, budget):
+        text, spans = "", []
+        for s in sections:
+            if len(text) >= budget:
+                break
+            heading, body = (s[0] or "").strip(), s[1].strip()
+            text += review.SEPARATOR if text else ""
+            block = (f"{heading}\n\n{body}" if heading else body)[: max(0, budget - len(text))].rstrip()
+            at = len(text) + (len(heading) + 2 if heading else 0)
+            said = next(p.strip() for p in body.split("\n\n") if p.strip())[:600].rstrip()
+            if at + len(said) <= len(text) + len(block):
+                spans.append((at, at + len(said), said))
+            text += block
+        return text, spans[:4]
+
+    found = [(f"H{i}" if i % 2 else "", f"order of section {i}. " * (i * 7 + 1) + "\n\nmore words " * i) for i in range(6)]
+    for budget in (50, 400, 12_000):
+        df = spark.createDataFrame([([(0, i, h, t) for i, (h, t) in enumerate(found)],)], "s array<struct<rank int, place int, heading string, text string>>")
+        got = df.select(review.review_with_spans(F.col("s"), budget).alias("r")).first().r
+        assert (got.text, [tuple(x) for x in got.spans]) == plain(found, budget)
+
+
+def test_releases(spark, tmp_path):
+    from sediment.operators import releases
+
+    tasks = spark.createDataFrame([(i, f"c{i // 2}", None, "gold", f"text {i}", "8-K", None, "2024-01-01", "2024-01-02") for i in range(10)], "event_id long, entity_id string, related_event_group string, annotation_round string, text string, filing_type string, prior string, source_published_at string, tradable_at string")
+    schema = "annotation_id long, event_id long, annotator_id string, status string, labels array<string>, created_at int, supersedes_annotation_id long"
+    good = [(i, i, "a", "submitted", ["x.a"], 1, None) for i in range(10)] + [(100, 0, "b", "submitted", ["x.b"], 1, None), (101, 0, "j", "adjudicated", ["x.b"], 2, None)]
+    out = {r.event_id: r for r in releases.release(tasks, spark.createDataFrame(good, schema), "s", 0.3).collect()}
+    assert len(out) == 10 and out[0].annotation_id == 101 and out[0].double and not out[0].exact and out[0].family
+    assert all(out[i].part == out[i + 1].part for i in range(0, 10, 2))
+    for bad in ([(100, 0, "b", "submitted", ["x.b"], 1, None)], [(100, 0, "a", "submitted", ["x.a"], 1, None)], [(100, 0, "a", "submitted", [], 2, 77)], [(100, 55, "a", "submitted", [], 2, None)]):
+        with pytest.raises(ValueError):
+            releases.release(tasks, spark.createDataFrame(good[:10] + bad, schema), "s", 0.3)
+    lines = releases.model_rows(releases.release(tasks, spark.createDataFrame(good, schema), "s", 0.3), tasks)
+    told = releases.write_package(lines, str(tmp_path / "all.jsonl"))
+    data = (tmp_path / "all.jsonl").read_bytes()
+    assert told == {"items": 10, "sha256": sha256(data).hexdigest()}
+    rows = [json.loads(x) for x in data.decode().splitlines()]
+    assert [r["event_id"] for r in rows] == list(range(10)) and rows[0]["target"] == {"labels": ["x.b"], "no_material_event": False} and "entity_id" not in data.decode()
+    assert [json.dumps(r, sort_keys=True, separators=(",", ":")) for r in rows] == data.decode().splitlines()
+    with pytest.raises(ValueError, match="b"):
+        releases.contract(a=True, b=False)
