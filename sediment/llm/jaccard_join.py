@@ -351,6 +351,10 @@ SHORT, SHORT_OF_DIFFERENCES = 64, 128
 FEW_PAIRS, LEADERS = 16, 8
 
 
+#: Stands for the leader in lists over elements of whole sets; others are numbers of sets, from 0.
+ELEMENTS = -1
+
+
 def merged(parts: DataFrame, links: DataFrame) -> DataFrame:
     """parts (node, label) after further links (a, b): only the labels that links join are walked again."""
     label = lambda c: parts.select(F.col("node").alias(c), F.col("label").alias(f"{c}_"))
@@ -361,46 +365,43 @@ def merged(parts: DataFrame, links: DataFrame) -> DataFrame:
     return stored(named.join(new.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
 
 
-def apart(lists: DataFrame, parts: DataFrame, key: list[str]) -> DataFrame:
-    """lists (key, sid, n, w, ...) whose sets are in several components, with part, many (sets) and leader of each list.
+def apart(lists: DataFrame, parts: DataFrame) -> DataFrame:
+    """lists (k1, k2, sid, n, w, ...) whose sets are in several components, with part, many (sets) and leader of each list.
 
-    Of lists over two elements, or over differences from one leader, that hold the same sets in the same way, one stays:
-    copies of a text share many elements, and would meet again in each.
+    Of lists over differences from one leader (k1 is no ELEMENTS) that hold the same sets in the same way, one stays: sets
+    that differ from it in the same elements would meet again in each.
     """
+    key = ["k1", "k2"]
     told = lists.join(parts.withColumnRenamed("node", "sid"), "sid", "left").withColumn("part", F.coalesce("label", "sid")).drop("label")
     told = stored(told, "told-lists")
-    sums = told.groupBy(*key).agg(
-        F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("many"), F.max_by("sid", F.struct("w", "n", "sid")).alias("leader"),
-        *([F.bit_xor(F.xxhash64(F.lit(i), "sid", "d", "s", "small")).alias(f"x{i}") for i in (1, 2)] if "small" in lists.columns else []),
-    ).where("lo < hi").drop("lo", "hi")
-    if "small" in lists.columns:
-        same = ["many", "x1", "x2", "of"]
-        sums = sums.withColumn("of", F.greatest("k1", F.lit(-1)))
-        sums = sums.groupBy(*same).agg(F.min_by(F.struct(*key, "leader"), F.struct(*key)).alias("one")).select("one.*", "many")
-    sums = stored(sums, "apart-lists")
+    ranks = [F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("many"), F.max_by("sid", F.struct("w", "n", "sid")).alias("leader")]
+    of_elements = told.where(F.col("k1") == ELEMENTS).groupBy(*key).agg(*ranks).where("lo < hi").select(*key, "many", "leader")
+    marks = [F.bit_xor(F.xxhash64(F.lit(i), "sid", "d", "s", "small")).alias(f"x{i}") for i in (1, 2)]
+    others = told.where(F.col("k1") != ELEMENTS).groupBy(*key).agg(*ranks, *marks).where("lo < hi")
+    others = others.groupBy("k1", "many", "x1", "x2").agg(F.min_by(F.struct("k2", "leader"), "k2").alias("one"))
+    sums = stored(of_elements.unionByName(others.select("k1", "one.k2", "many", "one.leader")), "apart-lists")
     out = stored(join_hot(told, sums, key, "many", "inner"), "apart-members")
     discard(told, sums)
     return out
 
 
-def short_pairs(members: DataFrame, t: Threshold) -> DataFrame:
+def short_pairs(members: DataFrame, close: Column) -> DataFrame:
     """(a, b): the pairs of sets in different components that share a list and may be linked."""
     x, y = members.alias("x"), members.alias("y")
-    joined = x.join(y, [F.col("x.h") == F.col("y.h"), F.col("x.sid") < F.col("y.sid"), F.col("x.part") != F.col("y.part"), close_enough(t)])
-    return joined.select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct()
+    joined = x.join(y, [F.col("x.k1") == F.col("y.k1"), F.col("x.k2") == F.col("y.k2"), F.col("x.sid") < F.col("y.sid"), F.col("x.part") != F.col("y.part"), close])
+    return stored(joined.select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct(), "short-pairs")
 
 
 def pairs_once(members: DataFrame, alike: Column) -> DataFrame:
-    """(a, b): the pairs of sets in different components that share a list of two elements, or of differences from one
-    leader; once each, in the first list that can tell them: one in which the set nearer to the leader is `small`."""
-    rows = members.withColumns({"list": F.xxhash64("k1", "k2"), "of": F.greatest("k1", F.lit(-1))})
-    lists = rows.groupBy("of", "sid").agg(F.collect_list("list").alias("all"), F.collect_list(F.when(F.col("small"), F.col("list"))).alias("smalls"))
-    rows = stored(rows.join(lists, ["of", "sid"]).select("k1", "k2", "list", "sid", "n", "d", "s", "part", "all", "smalls"), "members-once")
+    """(a, b): the pairs of sets in different components that share a list of differences from one leader; once each, in
+    the first list that can tell them: one in which the set nearer to the leader is `small`."""
+    lists = members.groupBy("k1", "sid").agg(F.collect_list("k2").alias("all"), F.collect_list(F.when(F.col("small"), F.col("k2"))).alias("smalls"))
+    rows = stored(members.join(lists, ["k1", "sid"]).select("k1", "k2", "sid", "n", "d", "s", "part", "all", "smalls"), "members-once")
     x, y = rows.alias("x"), rows.alias("y")
     nearer = F.col("x.d") <= F.col("y.d")
     shared = F.array_intersect(F.when(nearer, F.col("x.smalls")).otherwise(F.col("y.smalls")), F.when(nearer, F.col("y.all")).otherwise(F.col("x.all")))
     same = (F.col("x.k1") == F.col("y.k1")) & (F.col("x.k2") == F.col("y.k2")) & (F.col("x.sid") < F.col("y.sid")) & (F.col("x.part") != F.col("y.part"))
-    joined = x.join(y, same & alike & (F.array_min(shared) == F.col("x.list")))
+    joined = x.join(y, same & alike & (F.array_min(shared) == F.col("x.k2")))
     out = stored(joined.select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct(), "short-pairs")
     discard(rows)
     return out
@@ -488,19 +489,27 @@ def around_leaders(members: DataFrame, sets: DataFrame, docs: DataFrame, parts:
     are linked are either both linked with the leader (where dx + dy is at most what linked sets differ in), or share an
     element of their differences: so near ones meet again in lists over these elements, which are short (copies of one
     text differ from it in few places, each in its own). Far ones, whose partners are far too by the triangle inequality,
-    meet in lists over a second element, then once more without the leader. Lists of one component are dropped, short
-    ones become pairs, as do all that are left once that is little work.
+    stay in their list, less its leader. Lists of one component are dropped, short ones become pairs, as do all that are
+    left once that is little work. What is still long in the end, lists of sets that are far from each other, is parted by
+    a second element.
     """
-    is_long = F.col("many") > SHORT
     pairs, n, m = [], F.col("n"), F.col("m")
     budget = members.count() * FEW_PAIRS
-    alike = F.lit(t.den) * F.least("x.n", "y.n") >= F.lit(t.num) * F.greatest("x.n", "y.n")
-    alike &= F.col("x.d") + F.col("y.d") - 2 * F.least("x.s", "y.s") <= (F.col("x.n") + F.col("y.n")) * t.link + 1e-6
-    free = [F.lit(0).alias("d"), F.lit(0).alias("s"), F.lit(True).alias("small")]
-    for depth in range(LEADERS):
+    fit = F.lit(t.den) * F.least("x.n", "y.n") >= F.lit(t.num) * F.greatest("x.n", "y.n")
+    alike = fit & (F.col("x.d") + F.col("y.d") - 2 * F.least("x.s", "y.s") <= (F.col("x.n") + F.col("y.n")) * t.link + 1e-6)
+    of_elements = F.col("k1") == ELEMENTS
+    is_long = F.col("many") > F.when(of_elements, SHORT).otherwise(SHORT_OF_DIFFERENCES)
+    work = lambda rows: rows.agg(F.sum((F.col("many") - 1) / 2)).first()[0] or 0
+    pairs.append(short_pairs(members.where(~is_long), close_enough(t)))
+    for depth in range(LEADERS + 1):
         long = members.where(is_long)
         if long.isEmpty():
             break
+        if depth and work(long) <= budget or depth == LEADERS:
+            pairs.append(pairs_once(long.where(~of_elements), alike))
+            rest = long.where(of_elements)
+            pairs.append(short_pairs(rest, close_enough(t)) if work(rest) <= budget else by_two_elements(rest, sets, fit))
+            break
         close = near_pairs(long, sets, t)
         used = close.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
         whole = whole_sets(used, sets, docs, k)
@@ -512,26 +521,24 @@ def around_leaders(members: DataFrame, sets: DataFrame, docs: DataFrame, parts:
         lists = lists_of_differences(told, t)
         near = found.where(F.col("size") <= 2 * t.link * (n + m)).select("leader", "sid")
         left = stored(long.where("sid != leader").join(near, ["leader", "sid"], "left_anti"), "far-members")
-        again = left.select(*lists.columns) if depth else by_two_elements(left, sets).select("*", *free)
-        new = apart(lists.unionByName(again), parts, ["k1", "k2"])
+        new = apart(left.drop("leader", "many", "part").unionByName(lists, allowMissingColumns=True), parts)
         discard(close, whole, found, told, links, lists, left, members)
-        members, is_long = new, F.col("many") > F.when(F.col("k1") < 0, SHORT).otherwise(SHORT_OF_DIFFERENCES)
-        compared = members.agg(F.sum((F.col("many") - 1) / 2)).first()[0] or 0
-        last = compared <= budget or depth + 1 == LEADERS
-        pairs.append(pairs_once(members if last else members.where(~is_long), alike))
-        if last:
-            break
+        members = new
+        short = members.where(~is_long)
+        pairs.append(pairs_once(short.where(~of_elements), alike))
+        pairs.append(short_pairs(short.where(of_elements), close_enough(t)))
     discard(members)
     return parts, pairs
 
 
-def by_two_elements(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """(k1, k2, sid, n, w): lists over pairs of elements, of a list's element and one after it. Linked sets that share h
-    first share a second element too, in prefixes longer by one."""
+def by_two_elements(members: DataFrame, sets: DataFrame, fit: Column) -> DataFrame:
+    """(a, b): pairs that share a list's element and another one after it. Linked sets that share an element first share a
+    second one too, in prefixes longer by one."""
     own = members.join(sets.select("sid", "elems", "reach"), "sid")
     after = F.explode(F.slice("elems", F.col("pos") + 2, F.col("reach"))).alias("k2")
-    rows = own.select((F.xxhash64("h").bitwiseOR(F.lit(-(1 << 63)))).alias("k1"), after, "sid", "n", "w")
-    return rows.join(rows.groupBy("k1", "k2").agg(F.count("*").alias("many")).where("many > 1").select("k1", "k2"), ["k1", "k2"])
+    rows = stored(own.select(F.col("k2").alias("k1"), after, "sid", "n", "part"), "second-elements")
+    many = rows.groupBy("k1", "k2").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("k1", "k2")
+    return short_pairs(stored(rows.join(many, ["k1", "k2"]), "lists-of-two"), fit)
 
 
 def linked_sets(sets: DataFrame, docs: DataFrame, k: int, t: Threshold) -> DataFrame:
@@ -553,10 +560,11 @@ def linked_sets(sets: DataFrame, docs: DataFrame, k: int, t: Threshold) -> DataF
     star = join_hot(posts, lists, "h", "many", "inner").where("sid != leader").where(F.lit(t.den) * F.least("n", "ln") >= F.lit(t.num) * F.greatest("n", "ln"))
     first = measured(star.select(F.col("leader").alias("a"), F.col("sid").alias("b")), sets, docs, k, t)
     parts = components(stored(first.unionByName(few), "links"))
-    members = apart(posts, parts, ["h"])
-    pairs = stored(short_pairs(members.where(F.col("many") <= SHORT), t), "short-pairs")
-    parts, more = around_leaders(members, sets, docs, parts, k, t)
-    for p in more:
+    own = {"k1": F.lit(ELEMENTS), "d": F.lit(0), "s": F.lit(0), "small": F.lit(True)}
+    members = apart(posts.withColumnRenamed("h", "k2").withColumns(own), parts)
+    parts, found = around_leaders(members, sets, docs, parts, k, t)
+    pairs = found[0]
+    for p in found[1:]:
         pairs = pairs.unionByName(p)
     label = lambda c: parts.select(F.col("node").alias(c), F.col("label").alias(f"{c}_"))
     still = pairs.distinct().join(label("a"), "a", "left").join(label("b"), "b", "left")
