@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_hot, stored, trim
+from .common import discard, fresh, join_hot, numbered, stored, trim
 from .words import mixed
 
 # Names of elements and words of class, id and role that mark what is not the article.
@@ -217,10 +217,9 @@ def whole_runs(tokens: np.ndarray, min_tokens: int) -> np.ndarray:
     return np.flatnonzero(breaks[min_tokens:] == breaks[: n - min_tokens + 1])
 
 
-def group_runs(streams: list[list[str]], page: np.ndarray, outside: np.ndarray, min_tokens: int) -> tuple[np.ndarray, np.ndarray]:
-    """Each distinct run of `min_tokens` tokens in the streams that a page has outside its article: its hashes, and how many
-    pages do. page and outside: each stream's page, and whether it stands outside the article."""
-    tokens, stream, names = flattened(streams)
+def group_runs(streams: list[list[str]], min_tokens: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each distinct run of `min_tokens` tokens in the pages' streams: its hashes, and how many pages have it."""
+    tokens, page, names = flattened(streams)
     whole = np.zeros(len(tokens), bool)
     whole[whole_runs(tokens, min_tokens)] = True
     if not whole.any():
@@ -228,12 +227,10 @@ def group_runs(streams: list[list[str]], page: np.ndarray, outside: np.ndarray,
     order, ranks = suffix_array(tokens, min_tokens)
     lcp = common_prefixes(order, ranks)
     run = np.cumsum(lcp < min_tokens) - 1
-    keep = whole[order] & outside[stream[order]]
+    keep = whole[order]  # all suffixes of a run, or none
     at = order[keep]
     found, first, run = np.unique(run[keep], return_index=True, return_inverse=True)
-    of = page[stream[at]].astype(np.int64)
-    pairs = np.unique(run * (int(page.max(initial=0)) + 1) + of)
-    pages = np.bincount(pairs // (int(page.max(initial=0)) + 1), minlength=len(found))
+    pages = np.bincount(np.unique(run * len(streams) + page[at]) // len(streams), minlength=len(found))
     return run_hashes(tokens, names, at[first], min_tokens), pages
 
 
@@ -266,97 +263,111 @@ def unique_runs(block: list[str], inside: np.ndarray, min_tokens: int) -> list[s
     return [w for w, g in zip(block, gone) if not g]
 
 
-def segments(kinds: list[int], texts: list[str]) -> list[tuple[bool, list[str]]]:
-    """A page's blocks as token streams, parted where the article begins or ends: (outside the article?, tokens)."""
-    out: list[tuple[bool, list[str]]] = []
-    for k, t in zip(kinds, texts):
-        if not out or out[-1][0] != (k != MAIN):
-            out.append((k != MAIN, []))
-        out[-1][1].extend(t.split(" "))
-    return out
-
-
 def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_tokens: int = 6, min_pages: int = 3, group_pages: int = 400, group_chars: int = 8_000_000) -> DataFrame:
     """The main text of each page: blocks in page order, joined by one \\n.
 
     Mark-up says what a block can be. Scripts, styles, comments, menus, headers, footers, sidebars, forms, adverts, notices
     and reader comments go. Of a page that marks its article (article, else main), the article's blocks are candidates; of
-    any other page all open blocks are. The token streams of all pages of a host, articles and what goes included, are
-    concatenated, and suffix arrays find the runs of `min_tokens` words or more that `min_pages` distinct pages have outside
-    their articles: the host's boilerplate. It decides on every page: tokens it covers leave open blocks, and a block of an
-    article goes where the whole of it is a run that stands outside articles on so many pages. Passages that only articles
-    share (licences, quotes) stay.
+    any other page all open blocks are. The token streams of what all pages of a host have outside their articles, also of
+    what goes, are concatenated, and suffix arrays find the runs of `min_tokens` words or more that `min_pages` distinct
+    pages have there: the host's boilerplate. It decides on every page: tokens it covers leave open blocks, and a block of
+    an article goes where the whole of it stands outside articles on so many pages. Passages that only articles share
+    (licences, quotes) stay.
 
     Columns: id, url, text, n_chars long. Hosts are dealt into groups of about `group_pages` pages or `group_chars`
-    characters by hash of the id, so a host with a third of all pages is many groups. Each group's suffix array finds its
-    runs and their pages; the pages of a run are added up over all groups of the host by a 128-bit hash, so groups change
-    the work and never the text. Pages are parsed once; their texts are shuffled once.
+    characters by hash of the page's number, so a host with a third of all pages is many groups. Each group's suffix array
+    finds its runs and their pages; the pages of a run are added up over all groups of the host by a 128-bit hash, so
+    groups change the work and never the text. Only streams outside articles and hashes are shuffled; the pages are parsed
+    a second time rather than kept.
 
     Defined cases: null html is empty and gives an empty text; a null or odd url belongs to the host ''; repeated rows are
     kept, each a page of its own; other columns are not read; an empty table gives an empty result.
     """
+    (row,) = fresh(df.columns, "row")
     html = F.coalesce(F.col(html_col), F.lit(""))
+    pages = numbered(df, row).select(F.col(row).alias("row"), F.col(id_col).alias("id"), F.col(url_col).alias("url"), html.alias("html"))
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    pages = df.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), html.alias("html")).select("id", "url", host.alias("host"), "html")
 
     def parse(batches):
         for b in batches:
-            for at in range(0, b.num_rows, 500):
-                part = b.slice(at, 500)
-                found = [blocks(h.as_py()) for h in part.column(3)]
-                kinds, texts = pa.array([[k for k, _ in f] for f in found], pa.list_(pa.int32())), pa.array([[t for _, t in f] for f in found], pa.list_(pa.string()))
-                chars = pa.array([sum(len(t) for _, t in f) for f in found], pa.int64())
-                yield pa.record_batch([part.column(0), part.column(1), part.column(2), kinds, texts, chars], ["id", "url", "host", "kinds", "texts", "chars"])
+            found = [blocks(h.as_py()) for h in b.column(2)]
+            around = [[t for k, t in f if k != MAIN] for f in found]
+            own = [block_hashes([t for k, t in f if k == MAIN and t.count(" ") + 1 >= min_tokens]) for f in found]
+            ends = np.cumsum([0, *map(len, own)]).astype(np.int32)
+            flat = np.concatenate([np.zeros((0, 2), np.int64), *own])
+            whole = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(flat[:, i])) for i in range(2)], ["h1", "h2"]))
+            yield pa.record_batch(
+                [
+                    b.column(0), b.column(1), pa.array([any(k == MAIN for k, _ in f) for f in found], pa.bool_()),
+                    pa.array([[k for k, _ in f if k != MAIN] for f in found], pa.list_(pa.int32())), pa.array(around, pa.list_(pa.string())),
+                    pa.array([sum(map(len, t)) for t in around], pa.int64()), whole,
+                ], ["row", "host", "marked", "kinds", "texts", "chars", "whole"],
+            )
         trim()
 
-    types = {c: pages.schema[c].dataType.simpleString() for c in ("id", "url")}
-    streams = stored(pages.mapInArrow(parse, f"id {types['id']}, url {types['url']}, host string, kinds array<int>, texts array<string>, chars long"), "page-streams")
+    streams = pages.select("row", host.alias("host"), "html").mapInArrow(parse, "row long, host string, marked boolean, kinds array<int>, texts array<string>, chars long, whole array<struct<h1 long, h2 long>>")
+    streams = stored(streams, "page-streams")
     hosts = stored(streams.groupBy("host").agg(F.count("*").alias("pages"), F.sum("chars").alias("chars_of_host")), "hosts")
     groups = F.greatest(F.ceil(F.col("pages") / group_pages), F.ceil(F.col("chars_of_host") / group_chars))
-    dealt = join_hot(streams, hosts, "host", "pages", "inner").withColumns({"g": F.pmod(F.xxhash64("id", "url", "chars"), groups), "alone": groups == 1})
-    dealt = dealt.select("host", "g", "id", "url", "kinds", "texts", "alone")
+    dealt = join_hot(streams.drop("whole"), hosts, "host", "pages", "inner").withColumns({"g": F.pmod(F.xxhash64("row"), groups), "alone": groups == 1})
 
     def find(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = [(i, outside, tokens) for i, (k, t) in enumerate(zip(pdf["kinds"], pdf["texts"])) for outside, tokens in segments(k, t)]
-        h, n = group_runs([p[2] for p in parts], np.array([p[0] for p in parts], np.int64), np.array([p[1] for p in parts], bool), min_tokens)
-        around, articles = Counter(), set()
-        for k, t in zip(pdf["kinds"], pdf["texts"]):
-            own = [x.count(" ") + 1 >= min_tokens for x in t]
-            around.update({x for kind, x, long in zip(k, t, own) if long and kind != MAIN})
-            articles.update(x for kind, x, long in zip(k, t, own) if long and kind == MAIN)
-        whole = sorted(around) + sorted(articles - around.keys())
-        h, n = np.concatenate([h, block_hashes(whole)]), np.concatenate([n, np.array([around[x] for x in whole], np.int64)])
+        h, n = group_runs([[w for t in page for w in t.split(" ")] for page in pdf["texts"]], min_tokens)
+        around = Counter()
+        for page in pdf["texts"]:
+            around.update({t for t in page if t.count(" ") + 1 >= min_tokens})
+        h, n = np.concatenate([h, block_hashes(list(around))]), np.concatenate([n, np.array(list(around.values()), np.int64)])
         if pdf["alone"].iloc[0]:  # the group is the host
             h, n = h[n >= min_pages], n[n >= min_pages]
-        trim()
         return pd.DataFrame({"host": key[0], "g": key[1], "h1": h[:, 0], "h2": h[:, 1], "n": n})
 
-    runs = stored(dealt.drop("id", "url").groupBy("host", "g").applyInPandas(find, "host string, g long, h1 long, h2 long, n long"), "host-runs")
+    runs = stored(dealt.select("host", "g", "texts", "alone").groupBy("host", "g").applyInPandas(find, "host string, g long, h1 long, h2 long, n long"), "host-runs")
     run = ["host", "h1", "h2"]
     hits = runs.groupBy(*run).agg(F.sum("n").alias("n"), F.count("*").alias("many")).where(F.col("n") >= min_pages).select(*run, "many")
-    told = stored(join_hot(runs.drop("n"), stored(hits, "boilerplate-runs"), run, "many", "inner").select("host", "g", "h1", "h2"), "told-runs")
+    hits = stored(hits, "boilerplate-runs")
+    told = join_hot(runs.drop("n"), hits, run, "many", "inner").select("host", "g", "h1", "h2")
 
     def keep(key: tuple, pdf: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
-        known = told[["h1", "h2"]].to_numpy(np.int64)
-        gone = set(map(tuple, known.tolist()))
-        kinds, texts = [list(k) for k in pdf["kinds"]], [list(t) for t in pdf["texts"]]
-        bare = [i for i, k in enumerate(kinds) if MAIN not in k]
-        marks = dict(zip(bare, covered([[w for t in texts[i] for w in t.split(" ")] for i in bare], known, min_tokens)))
+        if pdf.empty:  # a group in which all pages mark their article
+            return pd.DataFrame([], columns=["row", "kept"])
+        words = [[t.split(" ") for t in page] for page in pdf["texts"]]
+        marks = covered([[w for block in page for w in block] for page in words], told[["h1", "h2"]].to_numpy(np.int64), min_tokens)
         out = []
-        for i, (k, t) in enumerate(zip(kinds, texts)):
-            lines, at = [], 0
-            if i not in marks:
-                whole = [x for kind, x in zip(k, t) if kind == MAIN]
-                lines = [x for x, h in zip(whole, block_hashes(whole).tolist()) if tuple(h) not in gone]
-            else:
-                for kind, text in zip(k, t):
-                    block = text.split(" ")
-                    if kind == OPEN and (left := unique_runs(block, marks[i][at : at + len(block)], min_tokens)):
-                        lines.append(" ".join(left))
-                    at += len(block)
+        for kinds, page, inside in zip(pdf["kinds"], words, marks):
+            at, lines = 0, []
+            for kind, block in zip(kinds, page):
+                if kind == OPEN and (left := unique_runs(block, inside[at : at + len(block)], min_tokens)):
+                    lines.append(" ".join(left))
+                at += len(block)
             out.append("\n".join(lines))
-        trim()
-        return pd.DataFrame({"id": pdf["id"], "url": pdf["url"], "text": out})
-
-    kept = dealt.drop("alone").groupBy("host", "g").cogroup(told.groupBy("host", "g")).applyInPandas(keep, f"id {types['id']}, url {types['url']}, text string")
-    return kept.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", F.char_length("text").cast("long").alias("n_chars"))
+        return pd.DataFrame({"row": pdf["row"], "kept": out})
+
+    bare = dealt.where(~F.col("marked")).select("host", "g", "row", "kinds", "texts").groupBy("host", "g")
+    kept = stored(bare.cogroup(told.groupBy("host", "g")).applyInPandas(keep, "row long, kept string"), "unmarked-pages")
+    # Blocks of articles that are boilerplate as a whole; a notice in a third of all articles is a hot key.
+    own = stored(streams.select("row", "host", F.explode("whole").alias("w")).select("row", "host", "w.*").join(hits.select(*run), run, "left_semi"), "article-boilerplate")
+    gone = own.groupBy("row").agg(F.collect_set(F.struct("h1", "h2")).alias("gone"))
+    discard(runs, hosts)
+
+    @F.pandas_udf("string")
+    def article(htmls: pd.Series, gone: pd.Series) -> pd.Series:
+        def main(h, gone):
+            found = [t for k, t in blocks(h) if k == MAIN]
+            if found and gone is not None:
+                out = {(g["h1"], g["h2"]) for g in gone}
+                long = [t.count(" ") + 1 >= min_tokens for t in found]
+                found = [t for t, big, x in zip(found, long, block_hashes(found).tolist()) if not (big and tuple(x) in out)]
+                return "\n".join(found)
+            return "\n".join(found) if found else None
+
+        return pd.Series([main(h, g) for h, g in zip(htmls, gone)], dtype=object)
+
+    if own.isEmpty():
+        pages = pages.withColumn("gone", F.lit(None).cast("array<struct<h1 long, h2 long>>"))
+    else:
+        pages = pages.join(gone, "row", "left")
+    out = pages.withColumn("main", article("html", "gone")).select("row", "id", "url", "main")
+    if not kept.isEmpty():
+        out = out.join(kept, "row", "left").withColumn("main", F.coalesce("main", "kept"))
+    out = out.select("id", "url", F.coalesce("main", F.lit("")).alias("text"))
+    return out.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", F.char_length("text").cast("long").alias("n_chars"))

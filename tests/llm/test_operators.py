@@ -648,20 +648,18 @@ def test_covered_tokens():
 
     rng = np.random.default_rng(3)
     streams = [[f"t{x}" for x in rng.integers(0, 3, rng.integers(0, 40))] for _ in range(25)]
-    page, outside = np.arange(25) // 2, np.arange(25) % 3 > 0
     for n in (2, 5):
-        h, pages = group_runs(streams, page, outside, n)
+        h, pages = group_runs(streams, n)
         on = defaultdict(set)
-        for p, out, s in zip(page, outside, streams):
+        for p, s in enumerate(streams):
             for i in range(len(s) - n + 1):
-                if out:
-                    on[tuple(s[i : i + n])].add(p)
+                on[tuple(s[i : i + n])].add(p)
         assert sorted(pages.tolist()) == sorted(map(len, on.values())) and len(np.unique(h, axis=0)) == len(on)
         marks = covered(streams, h[pages >= 3], n)
         for s, m in zip(streams, marks):
             want = [False] * len(s)
             for i in range(len(s) - n + 1):
-                if len(on.get(tuple(s[i : i + n]), ())) >= 3:
+                if len(on[tuple(s[i : i + n])]) >= 3:
                     want[i : i + n] = [True] * n
             assert m.tolist() == want
 
