@@ -31,6 +31,20 @@ def test_holidays():
     assert sum(d.year == 2024 for d in days) == 252
 
 
+def test_early_closes():
+    """Half days against a plain list of them, and the calendar's rows against the one that the SQL uses."""
+    import duckdb
+
+    from sediment.plans import bindings
+
+    short = lambda a, b: {str(d) for d, opened, closed in calendar.sessions(a, b) if (closed - opened).seconds < 4 * 3600}
+    assert short(1994, 2002) | short(2023, 2024) == set(bindings.SHORT_DAYS.split())
+    for a, b in ((1994, 2002), (2023, 2024)):
+        rows = duckdb.sql(f"WITH {bindings.days_sql(a, b)} SELECT calendar_date, session_date, open_utc, close_utc, next_session_date, next_open_utc FROM days ORDER BY 1").fetchall()
+        bare = lambda row: tuple(x.replace(tzinfo=None) if isinstance(x, datetime) else x for x in row)
+        assert rows == [bare(r) for r in calendar.calendar_rows(a, b)]
+
+
 def test_visibility_is_inclusive_and_latest_wins(spark):
     rows = [(1, "e", "sector", "Tech", ts("2024-01-03T14:30:00")), (2, "e", "sector", "Industry", ts("2024-01-08T14:30:00")), (3, "e", "sector", "Technology", ts("2024-01-03T14:30:00"))]
     df = spark.createDataFrame(rows, "record_id int, entity_id string, knowledge_key string, v string, tradable_at timestamp")
