@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .common import WS_CHARS, stored, trim
 
 #: Words whose ids a worker remembers, at most (about 200 bytes each); beyond it the memory starts afresh.
-REMEMBERED = 120_000
+REMEMBERED = 250_000
 
 
 class Tokens:
