@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents
+from .oracles import COLLOCATIONS, LICENSES, MERKLE
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,6 +76,24 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .phrases import collocations
+
+    return collocations(documents(spark, sf_dir))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .merkle import manifest
+
+    return manifest(documents(spark, sf_dir))
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import scan
+
+    return scan(documents(spark, sf_dir)).drop("found")
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_mixing": op2_mixing,
@@ -86,6 +105,9 @@ QUERIES = {
     "op8_fingerprints": op8_fingerprints,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_html_text": op10_html_text,
+    "op11_collocations": op11_collocations,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_license_scan": op13_license_scan,
 }
 
 ORACLE_SQL = {
@@ -137,4 +159,7 @@ x AS (
 SELECT doc_id, size, source_size, target, (w1 + w2)::BIGINT AS taken, CASE WHEN w1 > 0 THEN p1 WHEN w2 > 0 THEN p2 END AS first_position,
        CASE WHEN w1 > 0 THEN p2 END AS second_position FROM x
 """,
+    "op11_collocations": COLLOCATIONS,
+    "op12_merkle_manifest": MERKLE,
+    "op13_license_scan": LICENSES,
 }
