@@ -11,7 +11,7 @@ import pyarrow as pa
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
 #: Bytes of text that are coded at a time.
-STRETCH = 4 << 20
+STRETCH = 2 << 20
 
 
 def byte_class(*ranges: tuple[int, int]) -> np.ndarray:

@@ -19,9 +19,12 @@ BREAKS = byte_class((0x0A, 0x0D)) | byte_class(*((ord(c), ord(c)) for c in ".,;:
 BLANKS = byte_class((0x20, 0x20), (0x09, 0x09))
 IN_WORD = ~(BREAKS | BLANKS)
 
-ROWS = 3
-#: Cells in each row of a sketch at most: 2 bytes a cell in a worker, a bit a cell once merged.
-MOST_CELLS = 1 << 25
+#: Few wide rows: what matters is how much other runs add to a cell, not how seldom that is beyond all bounds.
+ROWS = 2
+#: Cells in each row of a sketch at most: a byte a cell in a worker, a bit a cell once merged.
+MOST_CELLS = 1 << 26
+#: Cells that are counted together before they are added to the sketch.
+TOGETHER = 1 << 16
 #: Cells of a merged sketch's row that one task sums at a time.
 CHUNK = 1 << 20
 #: Splits of the input that share a sketch at most.
@@ -31,8 +34,7 @@ LONGEST = 4
 
 def cells(h: np.ndarray, row: int, mask: int) -> np.ndarray:
     """The cell of each hash in a row of the sketch."""
-    h = (h, h >> U(32), mixed(h ^ U(0x9E3779B97F4A7C15)))[row]
-    return (h & U(mask)).astype(np.int64)
+    return ((h >> U(32) if row else h) & U(mask)).astype(np.int64)
 
 
 def grams(raw: np.ndarray, lang: str, longest: int, size: int = STRETCH):
@@ -73,9 +75,9 @@ def sketch(docs: DataFrame, least: int, width: int, longest: int) -> np.ndarray:
 
     Each task counts its part of the input in a sketch of its own, in cells that stop at `least`: a sum of stopped
     counts reaches `least` if and only if the sum of the counts does. Sketches are merged chunk by chunk, and ROWS * width
-    / 8 bytes (12 MB at most) come to the driver, whatever the input's size.
+    / 8 bytes (16 MB at most) come to the driver, whatever the input's size.
     """
-    kind, mask, chunk = (np.uint16 if least <= 5000 else np.uint32), width - 1, min(CHUNK, width)
+    kind, mask, chunk = (np.uint8 if least < 256 else np.uint32), width - 1, min(CHUNK, width)
 
     def count(batches):
         table = np.zeros((ROWS, width), kind)
@@ -85,16 +87,14 @@ def sketch(docs: DataFrame, least: int, width: int, longest: int) -> np.ndarray:
                     h = np.concatenate([h[fresh:][same[fresh:]] for h, same, fresh in found])
                     for row in range(ROWS):
                         at = cells(h, row, mask)
-                        for i in range(0, len(at), 50_000):
-                            some = at[i : i + 50_000]
-                            np.add.at(table[row], some, kind(1))
-                            table[row][some] = np.minimum(table[row][some], kind(least))
+                        for i in range(0, len(at), TOGETHER):
+                            some, n = np.unique(at[i : i + TOGETHER], return_counts=True)
+                            table[row][some] = np.minimum(table[row][some] + n, least)
         zip_ = zstandard.ZstdCompressor(level=1)
         for row in range(ROWS):
             for c in range(0, width, chunk):
                 part = table[row, c : c + chunk]
                 if part.any():
-                    part = part.astype(np.uint8) if least < 256 else part
                     yield pa.record_batch([pa.array([row], pa.int32()), pa.array([c // chunk], pa.int32()), pa.array([zip_.compress(part.tobytes())], pa.binary())], ["row", "chunk", "counts"])
         del table
         trim()
@@ -109,7 +109,7 @@ def sketch(docs: DataFrame, least: int, width: int, longest: int) -> np.ndarray:
                     if at is not None:
                         yield out()
                     at, sums = key, np.zeros(chunk, np.uint32)
-                sums += np.frombuffer(back.decompress(counts.as_py()), np.uint8 if least < 256 else kind)
+                sums += np.frombuffer(back.decompress(counts.as_py()), kind)
                 np.minimum(sums, least, out=sums)
         if at is not None:
             yield out()
