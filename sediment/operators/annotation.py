@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import ranking
 from .asof import first_of
+from .running import Running, ranged, running
 
 #: The order in which models break ties.
 MODELS = ["A", "B", "C", "D", "E"]
@@ -84,10 +85,10 @@ def evidence(quotes: DataFrame, item: list[str]) -> DataFrame:
 def prior_disclosure(tasks: DataFrame, chars: int = 1200) -> DataFrame:
     """tasks (task_id, entity_id, published, text) with the text of the entity's last task published strictly before."""
     # One row a moment first: at equal times the largest task id speaks, and its peers don't see each other.
-    moment = tasks.groupBy("entity_id", "published").agg(F.max_by("text", "task_id").alias("t"))
-    w = Window.partitionBy("entity_id").orderBy("published")
-    before = moment.select("entity_id", "published", F.substring(F.lag("t").over(w), 1, chars).alias("prior"))
-    return tasks.join(before, ["entity_id", "published"])
+    moment = tasks.groupBy("entity_id", "published").agg(F.substring(F.max_by("text", "task_id"), 1, chars).alias("t"))
+    key, order = ["entity_id"], ["published"]
+    before = running(ranged(moment, key, order), key, order, {"_last": Running("last", F.struct("t"), before=True)})
+    return tasks.join(before.select("entity_id", "published", F.col("_last")["t"].alias("prior")), ["entity_id", "published"])
 
 
 def round_robin(df: DataFrame, stratum: Column, order: str, n: int) -> DataFrame:

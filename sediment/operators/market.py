@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .asof import latest, rank_at
+from .running import RANGE, Running, ranged, running
 from .tables import stored
 
 HORIZONS, WINDOW, ESTIMATION = (1, 5, 20), 20, 252
@@ -28,20 +29,32 @@ def paired_bars(raw: DataFrame, adjusted: DataFrame) -> DataFrame:
 
 def ranked_bars(bars: DataFrame) -> DataFrame:
     """bars with rank in their security by time, the previous close and the simple return from it."""
-    w = Window.partitionBy("security_id").orderBy("ts", "session_date")
-    prev = F.lag("close").over(w)
-    return bars.withColumn("rank", F.row_number().over(w)).withColumn("prev_close", prev).withColumn("ret", F.try_divide(F.col("close"), prev) - 1)
+    return ranked_in_ranges(bars).drop(RANGE)
+
+
+def ranked_in_ranges(bars: DataFrame) -> DataFrame:
+    """ranked_bars with the range that each bar was dealt to, for further running aggregates in the same order."""
+    key, order = ["security_id"], ["ts", "session_date"]
+    found = running(ranged(bars, key, order), key, order, {"rank": Running("sum", F.lit(1)), "_prev": Running("last", F.struct("close"), before=True)})
+    prev = F.col("_prev")["close"]
+    return found.withColumn("prev_close", prev).withColumn("ret", F.try_divide(F.col("close"), prev) - 1).drop("_prev")
 
 
 def event_windows(events: DataFrame, ranked: DataFrame, before: int, after: int) -> DataFrame:
     """One row for each event and bar from `before` bars before its start to `after` - 1 after, with offset k (0: start).
 
-    The start is the first bar at or after tradable_at, found by union and window; the bars then meet the event by
-    equality on (security, rank), so no event is matched against all of its security's bars.
+    The start is the first bar at or after tradable_at, found by ranges; the bars then meet the event by equality on
+    (security, rank), so no event is matched against all of its security's bars, and no security is one task.
     """
-    started = rank_at(events, ranked, ["security_id"], "tradable_at", "ts")
+    return bars_around(rank_at(events, ranked, ["security_id"], "tradable_at", "ts"), ranked, before, after)
+
+
+BAR = ["session_date", "ts", "open", "high", "low", "close", "volume", "trading_status", "ret"]
+
+
+def bars_around(started: DataFrame, ranked: DataFrame, before: int, after: int, more: list[str] | None = None) -> DataFrame:
     wanted = started.withColumn("k", F.explode(F.sequence(F.lit(-before), F.lit(after - 1)))).withColumn("rank", F.col("start_rank") + F.col("k"))
-    return wanted.join(ranked.select("security_id", "rank", "session_date", "ts", "open", "high", "low", "close", "volume", "trading_status", "ret"), ["security_id", "rank"])
+    return wanted.join(ranked.select("security_id", "rank", *BAR, *(more or [])), ["security_id", "rank"])
 
 
 def fitted(pdf: pd.DataFrame, least: int) -> tuple | None:
@@ -72,20 +85,29 @@ def rolling_models(upto: DataFrame, matched: DataFrame, least: int, estimation:
     """(event_id, alpha, beta_market, beta_smb, beta_hml, n_obs): for each event (event_id, security_id, upto) a least
     squares fit over the security's last `estimation` matched sessions (numbered m) up to `upto`.
 
-    Sums of products run along a security's sessions once, and a window's are the difference of two running sums; an event
-    costs two look-ups, however long the window. Windows of under `least` sessions or dependent factors have no model.
+    Sessions stand in blocks of `estimation`. Sums of products run from each block's start and, backwards, from its end, so a
+    window is the end of one block and the start of the next: two look-ups an event, no differences, and what is not
+    finite spoils only windows that hold it. A security's blocks are tasks of their own. Windows of under `least` sessions,
+    with a value that is not finite, or with dependent factors have no model.
     """
     x = ["mkt", "smb", "hml"]
     y = F.col("ret") - F.col("rf")
     terms = {"y": y, **{a: F.col(a) for a in x}, **{f"{a}_{b}": F.col(a) * F.col(b) for i, a in enumerate(x) for b in x[i:]}, **{f"{a}_y": F.col(a) * y for a in x}}
-    along = Window.partitionBy("security_id").orderBy("m").rowsBetween(Window.unboundedPreceding, 0)
-    sums = matched.select("security_id", "m", F.struct(*[F.sum(t).over(along).alias(n) for n, t in terms.items()]).alias("s"))
-    ends = upto.select("event_id", "security_id", F.col("upto").alias("m"), (F.col("upto") - estimation).alias("start"))
-    last = ends.join(sums, ["security_id", "m"])
-    both = last.join(sums.select("security_id", F.col("m").alias("start"), F.col("s").alias("s0")), ["security_id", "start"], "left")
+    rows = matched.withColumn("_block", F.floor((F.col("m") - 1) / estimation))
+    along = Window.partitionBy("security_id", "_block").orderBy("m")
+    sums = lambda frame: F.struct(*[F.sum(t).over(frame).alias(n) for n, t in terms.items()])
+    up, down = sums(along.rowsBetween(Window.unboundedPreceding, 0)), sums(along.rowsBetween(0, Window.unboundedFollowing))
+    rows = stored(rows.select("security_id", "m", up.alias("s"), down.alias("s0")), "block-sums")
+    # A window that is a block, or all there is so far, needs no other block's end.
+    start = F.when((F.col("upto") > estimation) & (F.col("upto") % estimation != 0), F.col("upto") - (estimation - 1))
+    ends = upto.select("event_id", "security_id", F.col("upto").alias("m"), start.alias("start"))
+    last = ends.join(rows.select("security_id", "m", "s"), ["security_id", "m"])
+    both = last.join(rows.select("security_id", F.col("m").alias("start"), "s0"), ["security_id", "start"], "left")
     n = F.least(F.col("m"), F.lit(estimation))
-    mean = {t: (F.col("s")[t] - F.coalesce(F.col("s0")[t], F.lit(0.0))) / n for t in terms}
+    mean = {t: (F.col("s")[t] + F.coalesce(F.col("s0")[t], F.lit(0.0))) / n for t in terms}
     told = both.where(n >= least).select("event_id", n.cast("long").alias("n_obs"), *[v.alias(f"e_{t}") for t, v in mean.items()])
+    for t in terms:
+        told = told.where(F.abs(f"e_{t}") < float("inf"))
     e = lambda t: F.col(f"e_{t}")
     cov = lambda a, b: e(f"{a}_{b}") - e(a) * e(b)
     moments = {f"c{i}{j}": cov(a, b) for i, a in enumerate(x) for j, b in enumerate(x) if i <= j} | {f"r{i}": cov(a, "y") for i, a in enumerate(x)}
@@ -125,16 +147,20 @@ def outcome_labels(events: DataFrame, bars: DataFrame, benchmark: DataFrame, sec
     benchmark: (session_date, open, close); sectors: the same with sector; factors: (session_date, mkt, smb, hml, rf).
     All measures are null where the event has no bar at or after tradable_at.
     """
-    ranked = stored(ranked_bars(bars), "ranked-bars")
-    # Factors are matched before the window is cut: the model uses the last 252 matched sessions, not bars.
-    # (Factors have one row a session of the calendar, about 252 a year, which bounds what is broadcast.)
-    known = ranked.join(F.broadcast(factors), "session_date", "left")
-    wide = stored(event_windows(events, ranked, WINDOW, WINDOW), "event-windows")  # read by four aggregates
+    known = sessions_known(bars, factors, benchmark)
+    started = stored(rank_at(events, known, ["security_id"], "tradable_at", "ts"), "event-starts")
+    models = models_at(started, known, least, estimation)
+    s = sectors.select("sector", "session_date", F.col("open").alias("s_open"), F.col("close").alias("s_close"))
+    wide = bars_around(started, known, WINDOW, WINDOW, [*FACTORS, "b_open", "b_close"]).join(s, ["sector", "session_date"], "left").join(models, "event_id", "left")
     after, prior = F.col("k") >= 0, F.col("k") < 0
     at = lambda c, k: F.max(F.when(F.col("k") == k, F.col(c)))
     day = F.when(F.col("k") == 0, F.try_divide("close", "open") - 1).when(after, F.col("ret"))
     first5 = F.when(F.col("k").between(0, 4), F.col("volume"))
-    agg = wide.withColumn("day", day).groupBy("event_id").agg(
+    # Of another series: close of the h-th session over open of the first, if it has all of them.
+    other = lambda c, h: F.when(F.count(F.when(F.col("k").between(0, h - 1), F.col(f"{c}_close"))) == h, F.try_divide(at(f"{c}_close", h - 1), at(f"{c}_open", 0)) - 1)
+    left = F.col("day") - F.col("rf") - F.col("alpha") - F.col("beta_market") * F.col("mkt") - F.col("beta_smb") * F.col("smb") - F.col("beta_hml") * F.col("hml")
+    model = ["alpha", "beta_market", "beta_smb", "beta_hml", "n_obs"]
+    agg = wide.withColumn("day", day).withColumn("left", F.when(after, left)).groupBy("event_id").agg(
         F.count(F.when(after, 1)).alias("n_after"), F.count(F.when(prior, 1)).alias("n_prior"),
         at("session_date", 0).alias("start_session"), at("ts", 0).alias("start_price_timestamp"), at("open", 0).alias("open0"),
         *[at("close", h - 1).alias(f"close_{h}") for h in HORIZONS],
@@ -143,15 +169,10 @@ def outcome_labels(events: DataFrame, bars: DataFrame, benchmark: DataFrame, sec
         F.avg(first5).alias("vol5"), F.avg(F.when(prior, F.col("volume"))).alias("vol20"),
         F.avg(F.when(prior, F.col("close") * F.col("volume"))).alias("dollars"),
         halted(F.when(after, F.col("trading_status")).otherwise("normal")).alias("trading_halt"),
+        *[other("b", h).alias(f"bench_{h}") for h in HORIZONS], other("s", 5).alias("sector_5"), *[F.max(c).alias(c) for c in model],
+        F.when(F.count("left") == WINDOW, F.product(1 + F.col("left")) - 1).alias("residual"),
     )
-    bench = aligned_returns(wide, benchmark, "bench")
-    sector_days = wide.where("k between 0 and 4").select("event_id", "sector", "k", "session_date")
-    s = sectors.select("sector", "session_date", F.col("open").alias("_o"), F.col("close").alias("_c"))
-    sector5 = sector_days.join(s, ["sector", "session_date"], "left").groupBy("event_id").agg(
-        F.when(F.count("_c") == 5, F.try_divide(F.max(F.when(F.col("k") == 4, F.col("_c"))), F.max(F.when(F.col("k") == 0, F.col("_o")))) - 1).alias("sector_5")
-    )
-    models, residual = residuals(events, ranked, known, wide, factors, least, estimation)
-    out = events.join(agg, "event_id", "left").join(bench, "event_id", "left").join(sector5, "event_id", "left").join(models, "event_id", "left").join(residual, "event_id", "left")
+    out = events.join(agg, "event_id", "left")
     raw = lambda h: F.when(F.col("n_after") >= h, F.try_divide(F.col(f"close_{h}"), F.col("open0")) - 1)
     n = F.coalesce("n_after", F.lit(0))
     return out.select(
@@ -171,16 +192,31 @@ def outcome_labels(events: DataFrame, bars: DataFrame, benchmark: DataFrame, sec
     )
 
 
-def residuals(events, ranked, known, wide, factors, least, estimation) -> tuple[DataFrame, DataFrame]:
-    """(models, residual): models over the last matched sessions before the start, residual compounded over the 20 after."""
-    # Number the matched sessions of a security, so that "the last 252 before the start" is a range of numbers.
-    w = Window.partitionBy("security_id").orderBy("rank")
-    matched = known.where("mkt is not null and ret is not null").withColumn("m", F.row_number().over(w))
-    started = rank_at(events, ranked, ["security_id"], "tradable_at", "ts").select("event_id", "security_id", F.col("start_rank").alias("r"))
-    upto = rank_at(started, matched, ["security_id"], "r", "rank").select("event_id", "security_id", (F.col("start_rank") - 1).alias("upto"))
-    models = stored(rolling_models(upto, matched, least, estimation), "factor-models")
-    days = wide.where(F.col("k") >= 0).join(F.broadcast(factors), "session_date", "left").join(models, "event_id")
-    r = F.when(F.col("k") == 0, F.try_divide("close", "open") - 1).otherwise(F.col("ret"))
-    left = r - F.col("rf") - F.col("alpha") - F.col("beta_market") * F.col("mkt") - F.col("beta_smb") * F.col("smb") - F.col("beta_hml") * F.col("hml")
-    residual = days.withColumn("left", left).groupBy("event_id").agg(F.when(F.count("left") == WINDOW, F.product(1 + F.col("left")) - 1).alias("residual"))
-    return models, residual
+FACTORS = ["mkt", "smb", "hml", "rf"]
+
+
+def sessions_known(bars: DataFrame, factors: DataFrame, benchmark: DataFrame | None = None) -> DataFrame:
+    """Ranked bars with their session's factors (and the benchmark's b_open and b_close), and m: how many of the security's
+    sessions so far have a return and factors. A stored table.
+
+    Sessions are matched with factors before a window is cut: a model uses the last 252 matched sessions, not bars.
+    """
+    ranked = ranked_in_ranges(bars).join(factors.select("session_date", *FACTORS), "session_date", "left")
+    if benchmark is not None:
+        ranked = ranked.join(benchmark.select("session_date", F.col("open").alias("b_open"), F.col("close").alias("b_close")), "session_date", "left")
+    ranked = stored(ranked.withColumn("matched", (F.col("mkt").isNotNull() & F.col("ret").isNotNull()).cast("int")), "ranked-bars")
+    return stored(running(ranked, ["security_id"], ["rank"], {"m": Running("sum", F.col("matched"))}), "known-bars")
+
+
+def models_at(started: DataFrame, known: DataFrame, least: int = 120, estimation: int = ESTIMATION) -> DataFrame:
+    """(event_id, alpha, beta_market, beta_smb, beta_hml, n_obs) of events with their start_rank: a model over the last
+    matched sessions before the bar at which they start; events that start at no bar have none."""
+    first = known.select("security_id", F.col("rank").alias("start_rank"), (F.col("m") - F.col("matched")).alias("upto"))
+    upto = started.select("event_id", "security_id", "start_rank").join(first, ["security_id", "start_rank"])
+    return stored(rolling_models(upto, known.where("matched = 1"), least, estimation), "factor-models")
+
+
+def event_models(events: DataFrame, bars: DataFrame, factors: DataFrame, least: int = 120, estimation: int = ESTIMATION) -> DataFrame:
+    """The models of outcome_labels alone."""
+    known = sessions_known(bars, factors)
+    return models_at(rank_at(events, known, ["security_id"], "tradable_at", "ts"), known, least, estimation)

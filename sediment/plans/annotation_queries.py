@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import annotation, graph, ranking
+from ..operators import annotation, asof, graph, ranking
 from . import bindings as B
 from .registry import query
 
@@ -201,11 +201,15 @@ def j7(spark, sf_dir):
     return a.join(b, "doc_id", "left_anti").withColumn("only_right", F.lit(False)).unionByName(b.join(a, "doc_id", "left_anti").withColumn("only_right", F.lit(True)))
 
 
-@query("J14", "WITH w AS (SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS s, CAST(o_orderdate AS DATE) + 10 AS e, o_custkey AS k, o_orderkey % 4 = 0 AS test FROM orders) SELECT DISTINCT t.id FROM w t JOIN w r ON t.k = r.k AND t.test AND NOT r.test AND t.s < r.e AND r.s < t.e")
+# The test fold holds the orders of every seventh month, each with a window of 1 to 10 days from its date.
+FOLDS_SQL = "w AS (SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS s, CAST(o_orderdate AS DATE) + CAST(1 + o_orderkey % 10 AS INTEGER) AS e, (year(o_orderdate) * 12 + month(o_orderdate)) % 7 = 0 AS test FROM orders)"
+
+
+@query("J14", f"WITH {FOLDS_SQL}, r AS (SELECT DISTINCT s, e FROM w WHERE NOT test) SELECT id FROM w t WHERE test AND EXISTS (SELECT 1 FROM r WHERE t.s < r.e AND r.s < t.e)")
 def j14(spark, sf_dir):
-    w = B.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").cast("date").alias("s"), F.date_add(F.col("o_orderdate").cast("date"), 10).alias("e"), F.col("o_custkey").alias("k"), (F.col("o_orderkey") % 4 == 0).alias("test"))
-    train = w.where("not test").toDF("r_id", "r_s", "r_e", "r_k", "r_test")
-    return w.where("test").join(train, (F.col("k") == F.col("r_k")) & (F.col("s") < F.col("r_e")) & (F.col("r_s") < F.col("e")), "left_semi").select("id")
+    day = F.col("o_orderdate").cast("date")
+    w = B.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), day.alias("s"), F.date_add(day, (1 + F.col("o_orderkey") % 10).cast("int")).alias("e"), ((F.year(day) * 12 + F.month(day)) % 7 == 0).alias("test"))
+    return asof.crossing(w, F.col("test"), "s", "e").select("id")
 
 
 @query("T1", "SELECT event_id, row_number() OVER (ORDER BY user_id, ts, event_id) AS i FROM events")

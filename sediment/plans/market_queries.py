@@ -240,6 +240,11 @@ def labels(spark, sf_dir):
     return market.outcome_labels(B.outcome_events(spark, sf_dir), bars, B.benchmark(bars), B.sectors(bars), B.factors(market.ranked_bars(bars)))
 
 
+def models(spark, sf_dir):
+    bars = stored(B.bars(spark, sf_dir), "bars")
+    return market.event_models(B.outcome_events(spark, sf_dir), bars, B.factors(market.ranked_bars(bars)))
+
+
 MEASURES = [*[f"raw_return_{h}d" for h in market.HORIZONS], *[f"market_adjusted_return_{h}d" for h in market.HORIZONS], "sector_adjusted_return_5d", "realized_volatility_20d", "mae_20d", "mfe_20d", "volume_abnormality_5d", "factor_residual_return_20d"]
 
 
@@ -283,10 +288,10 @@ def c5(spark, sf_dir):
 
 @query("A19", lambda: LABELS_SQL() + "SELECT event_id, n AS n_obs, round(alpha, 5) AS alpha, round(b1, 4) AS beta_market, round(b2, 4) AS beta_smb, round(b3, 4) AS beta_hml FROM model")
 def a19(spark, sf_dir):
-    out = labels(spark, sf_dir).where("n_obs is not null")
+    out = models(spark, sf_dir)
     return out.select("event_id", "n_obs", F.round("alpha", 5).alias("alpha"), *[F.round(c, 4).alias(c) for c in ("beta_market", "beta_smb", "beta_hml")])
 
 
 @query("W9", lambda: LABELS_SQL() + "SELECT event_id, count(*) AS n FROM obs GROUP BY 1 HAVING count(*) >= 120")
 def w9(spark, sf_dir):
-    return labels(spark, sf_dir).where("n_obs is not null").select("event_id", F.col("n_obs").alias("n"))
+    return models(spark, sf_dir).select("event_id", F.col("n_obs").alias("n"))
