@@ -69,6 +69,17 @@ def agreement(decisions: DataFrame, family: Column | None = None) -> DataFrame:
     return pair.agg(F.count("*").alias("events"), share(F.col("v") == 1).alias("leaf_agreement"), share(F.col("f") == 1).alias("family_agreement"), F.count(F.when(F.col("v") > 1, 1)).alias("disagreements"))
 
 
+def calibration_agreement(pairs: DataFrame) -> DataFrame:
+    """(measure, n, event_id) of pairs (event_id, a, b), two annotators' decisions or null: a row each for tasks, completed_a,
+    completed_b, paired and agreed with its count, and a row for each disagreed and each incomplete event with its id."""
+    both = F.col("a").isNotNull() & F.col("b").isNotNull()
+    count = lambda name, c: F.struct(F.lit(name).alias("measure"), F.count(F.when(c, 1)).alias("n"))
+    sums = pairs.agg(F.array(count("tasks", F.lit(True)), count("completed_a", F.col("a").isNotNull()), count("completed_b", F.col("b").isNotNull()), count("paired", both), count("agreed", F.col("a") == F.col("b"))).alias("m"))
+    told = sums.select(F.inline("m")).withColumn("event_id", F.lit(None).cast(pairs.schema["event_id"].dataType))
+    named = pairs.withColumn("measure", F.when(~both, "incomplete").when(F.col("a") != F.col("b"), "disagreed")).where("measure is not null")
+    return told.unionByName(named.select("measure", F.lit(1).cast("long").alias("n"), "event_id"))
+
+
 def label_report(labelled: DataFrame, ontology: DataFrame, threshold: int) -> DataFrame:
     """(label, n, rare) for every label of the ontology, absent ones with 0."""
     counts = labelled.select(F.explode("labels").alias("label")).groupBy("label").agg(F.count("*").alias("n"))

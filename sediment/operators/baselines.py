@@ -83,11 +83,25 @@ def calibration(df: DataFrame, prob: str, truth: str) -> DataFrame:
     return bins.agg(F.sum("n").alias("rows"), ratio(F.sum("sq"), F.sum("n")).alias("brier"), ratio(F.sum(F.col("n") * F.abs(F.col("p") - F.col("y"))), F.sum("n")).alias("ece"))
 
 
+def covered(spans: Column) -> Column:
+    """How many positions lie in a union of half-open spans (an array of start, stop): one walk over the spans in order of
+    their starts, each of which adds what lies beyond the furthest stop so far. Null and empty spans cover nothing."""
+    kept = F.filter(F.coalesce(spans, F.array().cast("array<struct<start:bigint,stop:bigint>>")), lambda s: s["stop"] > s["start"])
+    kept = F.array_sort(F.transform(kept, lambda s: F.struct(s["start"].cast("long").alias("start"), s["stop"].cast("long").alias("stop"))))
+    least = F.lit(-(1 << 63)).cast("long")
+    step = lambda acc, s: F.struct((acc["n"] + F.greatest(s["stop"] - F.greatest(s["start"], acc["far"]), F.lit(0))).alias("n"), F.greatest(acc["far"], s["stop"]).alias("far"))
+    return F.aggregate(kept, F.struct(F.lit(0).cast("long").alias("n"), least.alias("far")), step, lambda acc: acc["n"])
+
+
 def span_overlap(df: DataFrame, truth: str, guess: str) -> DataFrame:
-    """Character precision, recall and F1 over the union of each side's half-open spans (arrays of start, stop)."""
-    chars = lambda c: F.array_distinct(F.flatten(F.transform(F.filter(c, lambda s: s["stop"] > s["start"]), lambda s: F.sequence(s["start"], s["stop"] - 1))))
-    d = df.select(chars(truth).alias("a"), chars(guess).alias("b"))
-    s = d.agg(F.sum(F.size(F.array_intersect("a", "b"))).alias("tp"), F.sum(F.size("a")).alias("na"), F.sum(F.size("b")).alias("nb"))
+    """Character precision, recall and F1 over the union of each side's half-open spans (arrays of start, stop).
+
+    What both sides cover is what each covers less what they cover together, so the cost is that of the spans, not of
+    the characters.
+    """
+    same = lambda c: F.transform(F.coalesce(F.col(c), F.array().cast("array<struct<start:bigint,stop:bigint>>")), lambda s: F.struct(s["start"].cast("long").alias("start"), s["stop"].cast("long").alias("stop")))
+    d = df.select(covered(F.col(truth)).alias("a"), covered(F.col(guess)).alias("b"), covered(F.concat(same(truth), same(guess))).alias("all"))
+    s = d.agg(F.sum(F.col("a") + F.col("b") - F.col("all")).alias("tp"), F.sum("a").alias("na"), F.sum("b").alias("nb"))
     p, r = ratio(F.col("tp"), F.col("nb")), ratio(F.col("tp"), F.col("na"))
     return s.select(p.alias("precision"), r.alias("recall"), f1(p, r).alias("f1"))
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .folds import ordered_digest
+from .running import Running, ranged, running
 from .tables import discard, stored
 
 
@@ -39,25 +41,26 @@ def components(nodes: DataFrame, keys: list[str], node: str = "event_id") -> Dat
     return ids.join(links, "n", "left").select(F.col("n").alias(node), F.coalesce("hub", "n").alias("component"))
 
 
-def group_hash(seed: str, ids: Column) -> Column:
-    """sha256 of `seed:id|id|...` over a component's sorted ids."""
-    return F.sha2(F.concat(F.lit(f"{seed}:"), F.array_join(F.sort_array(ids.cast("array<string>")), "|")), 256)
+def group_hashes(parts: DataFrame, seed: str, node: str = "event_id") -> DataFrame:
+    """(component, hash, size) of (node, component): sha256 of `seed:id|id|...` over a component's ids sorted as strings."""
+    name = F.col(node).cast("string")
+    return ordered_digest(parts, ["component"], [name], name, start=f"{seed}:", sep="|").withColumnRenamed("n", "size")
 
 
 def split(nodes: DataFrame, keys: list[str], seed: str, fraction: float, node: str = "event_id") -> DataFrame:
-    """(node, component, part): whole components go to `eval`, in the order of their hashes, until they hold the fraction.
+    """(node, component, part): whole components go to `eval`, in the order of their hashes, until they hold the fraction."""
+    return split_components(stored(components(nodes, keys, node), "components"), seed, fraction, node)
 
-    The cumulative sizes are taken over one row a component. The target is max(1, half-even round of n * fraction).
+
+def split_components(parts: DataFrame, seed: str, fraction: float, node: str = "event_id") -> DataFrame:
+    """split() of nodes whose components (node, component) are known.
+
+    The cumulative sizes are taken over one row a component, by ranges. The target is max(1, half-even round of
+    n * fraction).
     """
-    parts = components(nodes, keys, node)
-    groups = parts.groupBy("component").agg(F.count("*").alias("size"), group_hash(seed, F.collect_list(node)).alias("hash"))
-    n = parts.count()
+    groups = ranged(group_hashes(parts, seed, node), [], ["hash", "component"])
+    n = groups.agg(F.sum("size")).first()[0] or 0
     target = max(1, round(n * fraction))
-    # Coarse sums by the hash's first digits come first, so that only one row a bucket is summed in one place.
-    groups = groups.withColumn("b", F.substring("hash", 1, 3))
-    sums = groups.groupBy("b").agg(F.sum("size").alias("s"))
-    sums = sums.withColumn("start", F.sum("s").over(Window.orderBy("b")) - F.col("s")).drop("s")
-    w = Window.partitionBy("b").orderBy("hash").rowsBetween(Window.unboundedPreceding, 0)
-    told = groups.join(F.broadcast(sums), "b").withColumn("before", F.col("start") + F.sum("size").over(w) - F.col("size"))
-    told = told.select("component", F.when(F.col("before") < target, "eval").otherwise("train").alias("part"))
+    sums = running(groups, [], ["hash", "component"], {"upto": Running("sum", F.col("size"))})
+    told = sums.select("component", F.when(F.col("upto") - F.col("size") < target, "eval").otherwise("train").alias("part"))
     return parts.join(told, "component").select(node, "component", "part")

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from hashlib import sha256
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import annotation, graph
 from .baselines import ratio
+from .folds import ordered_digest
+from .running import RANGE, ranged
 from .tables import stored
 
 #: The label that stands for none, and how far an annotation has come.
@@ -75,7 +75,7 @@ def release(tasks: DataFrame, records: DataFrame, seed: str, fraction: float) ->
         raise ValueError(f"annotations cannot be released: {told}")
     kept = tasks.join(found.select("event_id"), "event_id", "left_semi")
     parts = graph.split(kept, ["entity_id", "related_event_group"], seed, fraction)
-    return found.drop("error").join(parts, "event_id")
+    return stored(found.drop("error").join(parts, "event_id"), "release-members")  # read by every report of it
 
 
 def leakage(members: DataFrame, tasks: DataFrame) -> DataFrame:
@@ -115,13 +115,28 @@ def model_rows(members: DataFrame, tasks: DataFrame) -> DataFrame:
     return told.select("event_id", "part", line.alias("line"))
 
 
-def write_package(rows: DataFrame, path: str, order: str = "event_id") -> dict:
-    """Writes the lines of a bounded package in order to one file, a partition at a time; its items and sha256."""
-    n, digest = 0, sha256()
-    with open(path, "wb") as f:
-        for r in rows.orderBy(order).select("line").toLocalIterator():
-            data = (r["line"] + "\n").encode()
-            digest.update(data)
-            f.write(data)
-            n += 1
-    return {"items": n, "sha256": digest.hexdigest()}
+def write_lines(rows: DataFrame, path: str, order: str = "event_id", line: str = "line") -> DataFrame:
+    """Writes the lines as ordered text files under path, a file a range of `order`, and tells (part, items, sha256): of each
+    file by its number, and of all lines in order with part null.
+
+    No line passes the driver: ranges are written side by side, each file's digest is taken over its range, and the
+    whole digest is one task's stream of the ranges in order. The files' names sort as their numbers do, so that digest is
+    that of the files one after another.
+    """
+    lines = ranged(rows.select(order, F.concat(F.col(line), F.lit("\n")).alias("_line")), [], [order])
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    out = lines.repartitionById(parts, F.col(RANGE)).sortWithinPartitions(order).select(F.expr("left(_line, char_length(_line) - 1)").alias("value"))
+    out.write.text(path)
+    each = ordered_digest(lines.withColumnRenamed(RANGE, "part"), ["part"], [F.col(order)], F.col("_line"), name="sha256")
+    whole = ordered_digest(lines.withColumn("part", F.lit(None).cast("int")), ["part"], [F.col(order)], F.col("_line"), name="sha256")
+    return whole.unionByName(each).select("part", F.col("n").alias("items"), "sha256")
+
+
+def write_package(rows: DataFrame, path: str, names: list[str], order: str = "event_id") -> DataFrame:
+    """write_lines of each named part of rows (event_id, part, line) under path/<name>.jsonl, as (name, part, items, sha256);
+    a part without rows writes nothing and has no row."""
+    out = None
+    for name in names:
+        own = write_lines(rows.where(F.col("part") == name), f"{path}/{name}.jsonl", order).select(F.lit(name).alias("name"), "*")
+        out = own if out is None else out.unionByName(own)
+    return out

@@ -68,12 +68,13 @@ def j15(spark, sf_dir):
     return pairs(spark, sf_dir).select("event_id", "a", "b")
 
 
-@query("A15", CUR + f", {TASKS_SQL}" + PAIRS + ", p AS (SELECT event_id, a, b FROM tasks LEFT JOIN x USING (event_id) LEFT JOIN y USING (event_id)) SELECT count(*) AS tasks, count(a) AS completed_a, count(b) AS completed_b, count(*) FILTER (WHERE a IS NOT NULL AND b IS NOT NULL) AS paired, count(*) FILTER (WHERE a = b) AS agreed, coalesce(string_agg(event_id::VARCHAR, ',' ORDER BY event_id) FILTER (WHERE a <> b), '') AS disagreed, coalesce(string_agg(event_id::VARCHAR, ',' ORDER BY event_id) FILTER (WHERE a IS NULL OR b IS NULL), '') AS incomplete FROM p")
+P15_SQL = CUR + f", {TASKS_SQL}" + PAIRS + ", p AS (SELECT event_id, a, b FROM tasks LEFT JOIN x USING (event_id) LEFT JOIN y USING (event_id))"
+
+
+@query("A15", P15_SQL + """ SELECT unnest(['tasks', 'completed_a', 'completed_b', 'paired', 'agreed']) AS measure, unnest([count(*), count(a), count(b), count(*) FILTER (WHERE a IS NOT NULL AND b IS NOT NULL), count(*) FILTER (WHERE a = b)])::BIGINT AS n, NULL::BIGINT AS event_id FROM p
+UNION ALL SELECT 'disagreed', 1, event_id FROM p WHERE a <> b UNION ALL SELECT 'incomplete', 1, event_id FROM p WHERE a IS NULL OR b IS NULL""")
 def a15(spark, sf_dir):
-    p = pairs(spark, sf_dir)
-    ids = lambda c: F.array_join(F.sort_array(F.collect_list(F.when(c, F.col("event_id")))), ",")
-    both = F.col("a").isNotNull() & F.col("b").isNotNull()
-    return p.agg(F.count("*").alias("tasks"), F.count("a").alias("completed_a"), F.count("b").alias("completed_b"), F.count(F.when(both, 1)).alias("paired"), F.count(F.when(F.col("a") == F.col("b"), 1)).alias("agreed"), ids(F.col("a") != F.col("b")).alias("disagreed"), ids(~both).alias("incomplete"))
+    return annotation.calibration_agreement(pairs(spark, sf_dir))
 
 
 @query("A11", "WITH d AS (SELECT item_id AS event_id, 1 AS who, CASE WHEN item_id % 9 = 0 THEN 'guidance.x' WHEN item_id % 4 = 0 THEN 'earnings.b' ELSE 'earnings.a' END AS t FROM benchmark UNION ALL SELECT item_id, 2, 'earnings.a' FROM benchmark), p AS (SELECT event_id, count(DISTINCT t) AS v, count(DISTINCT split_part(t, '.', 1)) AS f FROM d GROUP BY 1) SELECT count(*) AS events, avg(CASE WHEN v = 1 THEN 1.0 ELSE 0 END)::DOUBLE AS leaf_agreement, avg(CASE WHEN f = 1 THEN 1.0 ELSE 0 END)::DOUBLE AS family_agreement, count(*) FILTER (WHERE v > 1) AS disagreements FROM p")
@@ -146,7 +147,7 @@ t AS (SELECT greatest(1, round_even(count(*) * 0.2, 0)) AS target FROM parts)"""
 @query("F12", SPLIT_SQL + " SELECT component, h AS hash, size FROM g")
 def f12(spark, sf_dir):
     parts = graph.components(nodes(spark, sf_dir), KEYS)
-    return parts.groupBy("component").agg(graph.group_hash("sediment", F.collect_list("event_id")).alias("hash"), F.count("*").alias("size"))
+    return graph.group_hashes(parts, "sediment")
 
 
 @query("W11", SPLIT_SQL + " SELECT event_id, component, CASE WHEN before < target THEN 'eval' ELSE 'train' END AS part FROM parts JOIN o USING (component), t")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import baselines, collection, contracts, graph, panels, releases
+from ..operators.tables import shared_dir, stored
 from ..sources import sinks
 from . import bindings as B
 from .annotation_queries import KEYS, SPLIT_SQL
@@ -58,7 +61,7 @@ SELECT count(*) AS events, count(*) FILTER (WHERE part = 'train') AS train, coun
   round(count(*) FILTER (WHERE "double") / count(*)::DOUBLE, 8) AS double_fraction, round(count(*) FILTER (WHERE exact) / (count(*) FILTER (WHERE "double"))::DOUBLE, 8) AS exact_agreement,
   round(count(*) FILTER (WHERE family) / (count(*) FILTER (WHERE "double"))::DOUBLE, 8) AS family_agreement, count(*) FILTER (WHERE "double" AND NOT exact) AS adjudicated,
   (SELECT string_agg(label || '=' || n, ',' ORDER BY label || '=' || n) FROM ont WHERE n > 0) AS classes, (SELECT string_agg(label || '=' || n, ',' ORDER BY label || '=' || n) FROM ont WHERE n < 200) AS rare_labels,
-  0 AS entities, 0 AS groups, count(*) BETWEEN 100 AND 100000000 AND count(*) FILTER (WHERE "double") / count(*)::DOUBLE >= 0.2 AND count(*) FILTER (WHERE part = 'train') > 0 AS contract_passed FROM m""")
+  (SELECT count(*) FROM (SELECT entity FROM m JOIN nodes USING (event_id) GROUP BY 1 HAVING count(DISTINCT part) > 1)) AS entities, (SELECT count(*) FROM (SELECT related FROM m JOIN nodes USING (event_id) GROUP BY 1 HAVING count(DISTINCT part) > 1)) AS groups, count(*) BETWEEN 100 AND 100000000 AND count(*) FILTER (WHERE "double") / count(*)::DOUBLE >= 0.2 AND count(*) FILTER (WHERE part = 'train') > 0 AS contract_passed FROM m""")
 def c8(spark, sf_dir):
     ontology = spark.createDataFrame([("guidance.raised",), ("guidance.lowered",), ("earnings.beat",), ("earnings.miss",)], "label string")
     out = releases.release_report(members(spark, sf_dir), tasks(spark, sf_dir), ontology, 200, 100, 100_000_000, 0.2)
@@ -76,18 +79,32 @@ def p12(spark, sf_dir):
     return releases.model_rows(found, tasks(spark, sf_dir)).select("event_id", "line")
 
 
-@query("C11", MEMBERS_SQL + f""", train AS (SELECT * FROM m WHERE part = 'train'),
+PACKAGE_SQL = MEMBERS_SQL + f""", train AS (SELECT * FROM m WHERE part = 'train'),
 g2 AS (SELECT component, count(*) AS size, sha256('development:' || string_agg(event_id::VARCHAR, '|' ORDER BY event_id::VARCHAR)) AS h FROM train GROUP BY 1),
 o2 AS (SELECT *, sum(size) OVER (ORDER BY h ROWS UNBOUNDED PRECEDING) - size AS before FROM g2), t2 AS (SELECT greatest(1, round_even(count(*) * 0.2, 0)) AS target FROM train),
-r AS (SELECT event_id, CASE WHEN o2.before < t2.target THEN 'validation' ELSE 'train' END AS part FROM train JOIN o2 USING (component), t2)
-SELECT event_id, part, sha256({LINE_SQL}) AS line_sha256 FROM r JOIN orders ON event_id = o_orderkey""")
+r AS (SELECT event_id, CASE WHEN o2.before < t2.target THEN 'validation' ELSE 'train' END AS part FROM train JOIN o2 USING (component), t2),
+lines AS (SELECT event_id, part, {LINE_SQL} AS line FROM r JOIN orders ON event_id = o_orderkey)"""
+
+
+def package(spark, sf_dir):
+    """The development package: the release's training part, which is whole components, split again by these; sealed rows
+    are kept out."""
+    train = members(spark, sf_dir).where("part = 'train'").drop("part")
+    parts = graph.split_components(train.select("event_id", "component"), "development", 0.2)
+    named = train.drop("component").join(parts.withColumn("part", F.when(F.col("part") == "eval", "validation").otherwise("train")), "event_id")
+    return releases.model_rows(named, tasks(spark, sf_dir))
+
+
+@query("C11", PACKAGE_SQL + " SELECT event_id, part, sha256(line) AS line_sha256 FROM lines")
 def c11(spark, sf_dir):
-    """The development package: the release's training part split again by components, sealed rows kept out."""
-    known = tasks(spark, sf_dir)
-    train = members(spark, sf_dir).where("part = 'train'").drop("part", "component")
-    parts = graph.split(known.join(train.select("event_id"), "event_id", "left_semi"), ["entity_id", "related_event_group"], "development", 0.2)
-    named = train.join(parts.withColumn("part", F.when(F.col("part") == "eval", "validation").otherwise("train")), "event_id")
-    return releases.model_rows(named, known).select("event_id", "part", F.sha2("line", 256).alias("line_sha256"))
+    return package(spark, sf_dir).select("event_id", "part", F.sha2("line", 256).alias("line_sha256"))
+
+
+@query("K7", PACKAGE_SQL + " SELECT part AS name, count(*) AS items, sha256(string_agg(line || chr(10), '' ORDER BY event_id)) AS sha256 FROM lines GROUP BY 1")
+def k7(spark, sf_dir):
+    path = f"{shared_dir(spark)}/sediment/package-{uuid.uuid4().hex}"
+    rows = stored(package(spark, sf_dir), "package-rows")
+    return releases.write_package(rows, path, ["train", "validation"]).where("part is null").drop("part")
 
 
 @query("F16", "SELECT event_id, array_to_string(list_sort(list_distinct([event_type, 'guidance', 'guidance', split_part(event_type || 's', '.', 1)])), ',') AS families FROM events")

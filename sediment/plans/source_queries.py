@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import folds
 from ..sources import filings as S
 from ..sources import sinks as K
 from . import bindings as B
@@ -148,7 +149,7 @@ def k5(spark, sf_dir):
 
 @query("A27", "SELECT user_id, sha256(string_agg(event_type, '' ORDER BY event_id)) AS hash FROM events GROUP BY 1")
 def a27(spark, sf_dir):
-    return K.ordered_hash(B.table(spark, sf_dir, "events"), ["user_id"], "event_type", "event_id")
+    return folds.ordered_digest(B.table(spark, sf_dir, "events"), ["user_id"], [F.col("event_id")], F.col("event_type")).drop("n")
 
 
 @query("A25", "SELECT l_orderkey, min(l_linenumber)::BIGINT AS first_line FROM lineitem GROUP BY 1")

@@ -162,9 +162,22 @@ def f9(spark, sf_dir):
     return c.withColumn("a", T.align_quote()("text", "quote")).select("conv_id", "turn", "a.start", "a.stop")
 
 
-@query("A26")
-def a26(spark, sf_dir):
+def probed(spark, sf_dir):
+    """Heads on four vectors of five, and what they say of the fifth."""
     e = B.table(spark, sf_dir, "embeddings")
     heads = probe.fit_heads(e.where("vec_id % 5 != 0"), "label", "embedding")
-    out = probe.predict_heads(e.where("vec_id % 5 = 0"), heads, "vec_id", "embedding")
-    return out.select("vec_id", "label", F.round("prob", 6).alias("prob"))
+    test = e.where("vec_id % 5 = 0")
+    return test, probe.predict_heads(test, heads, "vec_id", "embedding")
+
+
+@query("A26")
+def a26(spark, sf_dir):
+    return probed(spark, sf_dir)[1].select("vec_id", "label", F.round("prob", 6).alias("prob"))
+
+
+@query("C12")
+def c12(spark, sf_dir):
+    """The probe's report; the frozen encoder's vectors are given."""
+    test, told = probed(spark, sf_dir)
+    cells = told.join(test.select("vec_id", F.col("label").cast("string").alias("own")), "vec_id")
+    return probe.probe_report(cells, F.col("label") == F.col("own"))

@@ -1,10 +1,7 @@
-"""Sinks: insert-or-ignore, upserts, checked inserts and canonical files."""
+"""Sinks: insert-or-ignore, upserts and checked inserts."""
 
 from __future__ import annotations
 
-import json
-from hashlib import sha256
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,17 +35,3 @@ def checked_insert(existing: DataFrame, new: DataFrame, key: str, content: str)
     if clash:
         raise ValueError(f"stored with other content: {[r[0] for r in clash]}")
     return both.where(F.col("_old").isNull()).drop("_old")
-
-
-def write_jsonl(rows: list[dict], path: str) -> str:
-    """Canonical JSON lines (sorted keys, non-ASCII kept) of a bounded package; returns the file's sha256."""
-    data = "".join(json.dumps(r, sort_keys=True, ensure_ascii=False, separators=(",", ":"), default=str) + "\n" for r in rows).encode()
-    with open(path, "wb") as f:
-        f.write(data)
-    return sha256(data).hexdigest()
-
-
-def ordered_hash(df: DataFrame, groups: list[str], value: str, order: str) -> DataFrame:
-    """sha256 of the concatenated values of each group in order."""
-    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).alias("v")))), lambda x: x["v"]), "")
-    return df.groupBy(*groups).agg(F.sha2(joined, 256).alias("hash"))

@@ -117,7 +117,6 @@ def test_sinks(spark, tmp_path):
     assert K.checked_insert(old, old, "k", "h").count() == 0
     with pytest.raises(ValueError):
         K.checked_insert(old, new.limit(1), "k", "h")
-    assert K.write_jsonl([{"b": 1, "a": "é"}], str(tmp_path / "x")) == sha256('{"a":"é","b":1}\n'.encode()).hexdigest()
 
 
 def test_stream_of_versions(spark, tmp_path):
@@ -186,8 +185,6 @@ def test_probe(spark):
     heads = probe.fit_heads(df, "label", "v")
     out = probe.predict_heads(df, heads, "id", "v").where("label = 'yes'").collect()
     assert all((r.prob > 0.5) == (rows[r.id][0] == "yes") for r in out)
-    w = probe.logistic(np.array([[1.0], [2.0], [-1.0], [-2.0]]), np.array([1, 1, 0, 0.0]))
-    assert w[0] > 0 and w[1] == pytest.approx(0, abs=1e-6)
 
 
 def test_review_with_spans(spark):
@@ -229,9 +226,10 @@ def test_releases(spark, tmp_path):
         with pytest.raises(ValueError):
             releases.release(tasks, spark.createDataFrame(good[:10] + bad, schema), "s", 0.3)
     lines = releases.model_rows(releases.release(tasks, spark.createDataFrame(good, schema), "s", 0.3), tasks)
-    told = releases.write_package(lines, str(tmp_path / "all.jsonl"))
-    data = (tmp_path / "all.jsonl").read_bytes()
-    assert told == {"items": 10, "sha256": sha256(data).hexdigest()}
+    told = {r.part: (r["items"], r.sha256) for r in releases.write_lines(lines, str(tmp_path / "all.jsonl")).collect()}
+    files = {int(p.name.split("-")[1]): p.read_bytes() for p in (tmp_path / "all.jsonl").glob("part-*")}
+    data = b"".join(files[i] for i in sorted(files))
+    assert told == {None: (10, sha256(data).hexdigest())} | {i: (len(f.splitlines()), sha256(f).hexdigest()) for i, f in files.items()} and len(files) > 1
     rows = [json.loads(x) for x in data.decode().splitlines()]
     assert [r["event_id"] for r in rows] == list(range(10)) and rows[0]["target"] == {"labels": ["x.b"], "no_material_event": False} and "entity_id" not in data.decode()
     assert [json.dumps(r, sort_keys=True, separators=(",", ":")) for r in rows] == data.decode().splitlines()
