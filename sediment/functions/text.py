@@ -7,6 +7,7 @@ import re
 import unicodedata
 from hashlib import sha256
 from html import unescape
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import Column
@@ -14,10 +15,26 @@ from pyspark.sql import functions as F
 
 # Characters folded (by the cleaner, and beyond them by quote alignment), stop words of the language test.
 FOLDED = {"\xa0": " ", "\u2018": "'", "\u2019": "'", "\u201c": '"', "\u201d": '"'}
-FOLDED_IN_QUOTES = FOLDED | {"\u2013": "-", "\u2014": "-"}
+FOLDED_IN_QUOTES = FOLDED | {"\u2013": "-", "\u2014": "-", "\u2212": "-"}
+BULLETS, ENDS = "\ufffd\u2022*- ", ".;:"
 STOP_WORDS = frozenset(("and", "company", "for", "in", "of", "the", "to"))
 
 
+#: All white space there is, and as a class of regular expressions.
+WHITE = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
+WHITE_CLASS = f"[{''.join(f'\\x{{{ord(c):x}}}' for c in WHITE)}]"
+BLANK_LINE = f"\n{WHITE_CLASS}*\n"
+
+
+def strip(text: Column) -> Column:
+    """Text without white space at both ends."""
+    return F.btrim(text, F.lit(WHITE))
+
+
+def rstrip(text: Column) -> Column:
+    return F.rtrim(text, F.lit(WHITE))
+
+
 def clean(text: str, folded: dict[str, str] = FOLDED) -> str:
     """Character references decoded, NFKC, quotes plain, white space collapsed and trimmed."""
     text = unicodedata.normalize("NFKC", unescape(text))
@@ -40,25 +57,27 @@ def language(text: str) -> str:
     return "en" if len(words) >= 5 and sum(w in STOP_WORDS for w in words) >= 2 else "unknown"
 
 
+def folded(text: str) -> tuple[str, list[int]]:
+    """The text with each character's width and punctuation folded, runs of white space as one space and none at the ends;
+    and the place in the text that each character comes from."""
+    marks = ((FOLDED_IN_QUOTES.get(f, f), i) for i, c in enumerate(text) for f in unicodedata.normalize("NFKC", c))
+    out: list[tuple[str, int]] = []
+    for blank, run in groupby(marks, key=lambda m: m[0].isspace()):
+        out += [(" ", next(run)[1])] if blank else run
+    if out and out[0][0] == " ":
+        del out[0]
+    if out and out[-1][0] == " ":
+        del out[-1]
+    return "".join(c for c, _ in out), [i for _, i in out]
+
+
 def align(source: str, quote: str) -> tuple[int, int] | None:
-    """Code-point range of the quote in the source after folding of width, punctuation and white space.
-
-    Retried without a leading bullet, then without a trailing mark."""
-    folded, places, blank = [], [], True
-    for i, c in enumerate(source):
-        for f in unicodedata.normalize("NFKC", FOLDED_IN_QUOTES.get(c, c)):
-            if f.isspace():
-                if not blank:
-                    folded.append(" ")
-                    places.append(i)
-                blank = True
-            else:
-                folded.append(FOLDED_IN_QUOTES.get(f, f))
-                places.append(i)
-                blank = False
-    text = "".join(folded)
-    base = clean(quote, FOLDED_IN_QUOTES)
-    for q in dict.fromkeys((base, re.sub(r"^[\s•*\-·]+", "", base), base.rstrip(".;:"), re.sub(r"^[\s•*\-·]+", "", base).rstrip(".;:"))):
+    """Code-point range of the quote in the source, both folded alike; None where it isn't found or nothing is quoted.
+
+    A quote is looked for as it is, then without leading bullets, then without one closing mark (and with its bullets)."""
+    text, places = folded(source)
+    base, _ = folded(quote)
+    for q in (base, base.lstrip(BULLETS), base[:-1] if base.endswith(tuple(ENDS)) else ""):
         if q and (at := text.find(q)) >= 0:
             return places[at], places[at + len(q) - 1] + 1
     return None
@@ -76,7 +95,9 @@ def align_quote():
 
 
 def first_paragraph(text: Column) -> Column:
-    return F.get(F.filter(F.split(text, r"\n\s*\n"), lambda p: F.trim(p) != ""), F.lit(0))
+    """The first paragraph that is not blank, stripped; empty if there is none. Paragraphs end at blank lines."""
+    said = F.filter(F.transform(F.split(text, BLANK_LINE), strip), lambda p: p != "")
+    return F.when(text.isNotNull(), F.coalesce(F.get(said, F.lit(0)), F.lit("")))
 
 
 def near(a: Column, b: Column, most: int = 2) -> Column:
@@ -84,21 +105,58 @@ def near(a: Column, b: Column, most: int = 2) -> Column:
     return F.levenshtein(a, b, most) >= 0
 
 
-def token_span(offsets: list[tuple[int, int]], sequence: list[int | None], start: int, stop: int, text: str, quote: str | None = None) -> tuple[int, int] | None:
-    """(first, last + 1) of the tokens of sequence 0 that overlap text[start:stop]; None where that is not exact.
+def token_span(text: Column, offsets: Column, start: Column, stop: Column, quote: Column | None = None) -> Column:
+    """struct(first, stop) of the tokens that text[start:stop] is made of, by index in offsets; null where that is not exact.
 
-    Exact means: the bounds lie in the text (and hold the quote, where one is given), the tokens cover the whole span, and
-    what they cover beyond it is white space.
+    offsets: array of struct start, stop in code points, in the order of the text; a field `sequence` may say which text a
+    token is of (0: this one, null: none). Both ends are found by binary search among the tokens that hold text of
+    sequence 0. Exact means: the bounds lie in the text (and hold the quote, where one is given), the tokens cover the whole
+    span, and what they cover beyond it is white space.
     """
-    if not 0 <= start < stop <= len(text) or quote is not None and text[start:stop] != quote:
-        return None
-    own = [i for i, ((a, b), s) in enumerate(zip(offsets, sequence, strict=True)) if s == 0 and a < b and a < stop and b > start]
-    if not own:
-        return None
-    left, right = offsets[own[0]][0], offsets[own[-1]][1]
-    if left > start or right < stop or text[left:start].strip() or text[stop:right].strip():
-        return None
-    return own[0], own[-1] + 1
+    own = F.transform(offsets, lambda t, i: F.struct(i.alias("i"), t["start"].cast("int").alias("a"), t["stop"].cast("int").alias("b")))
+    return _token_span(text, F.filter(own, lambda t: t["a"] < t["b"]), start, stop, quote)
+
+
+def own_tokens(offsets: Column) -> Column:
+    """offsets (array of struct start, stop, sequence) with the tokens of other texts emptied, so that they count for none."""
+    return F.transform(offsets, lambda t: F.struct(t["start"].alias("start"), F.when(t["sequence"] == 0, t["stop"]).otherwise(t["start"]).alias("stop")))
+
+
+def _token_span(text: Column, own: Column, start: Column, stop: Column, quote: Column | None) -> Column:
+    def search(before) -> Column:
+        """How many tokens in a row, from the first, are `before`: an array of n tokens is halved 31 times at most."""
+
+        def step(acc: Column, _: Column) -> Column:
+            mid = F.floor((acc["lo"] + acc["hi"]) / 2).cast("int")
+            yes = before(F.get(own, mid))
+            open_ = acc["lo"] < acc["hi"]
+            return F.struct(F.when(open_ & yes, mid + 1).otherwise(acc["lo"]).alias("lo"), F.when(open_ & ~yes, mid).otherwise(acc["hi"]).alias("hi"))
+
+        halvings = F.sequence(F.lit(0), F.floor(F.log2(F.size(own) + 1)).cast("int"))
+        return F.aggregate(halvings, F.struct(F.lit(0).alias("lo"), F.size(own).alias("hi")), step, lambda acc: acc["lo"])
+
+    first, after = search(lambda t: t["b"] <= start), search(lambda t: t["a"] < stop)
+    left, right = F.get(own, first)["a"], F.get(own, after - 1)["b"]
+    part = lambda a, b: F.substring(text, a + 1, b - a)
+    ok = (start >= 0) & (start < stop) & (stop <= F.char_length(text)) & (first < after) & (left <= start) & (right >= stop)
+    ok &= (strip(part(left, start)) == "") & (strip(part(stop, right)) == "")
+    if quote is not None:
+        ok &= quote.isNull() | (part(start, stop) == quote)
+    return F.when(ok, F.struct(F.get(own, first)["i"].alias("first"), (F.get(own, after - 1)["i"] + 1).alias("stop")))
+
+
+def tokenizer_offsets(path: str):
+    """A function of a string column: array of struct start, stop of the tokens that a tokenizer file makes of the text."""
+
+    @F.pandas_udf("array<struct<start:int,stop:int>>")
+    def run(texts: pd.Series) -> pd.Series:
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(path)
+        found = tokenizer.encode_batch(["" if t is None else t for t in texts], add_special_tokens=False)
+        return pd.Series([None if t is None else [{"start": a, "stop": b} for a, b in e.offsets] for t, e in zip(texts, found)])
+
+    return run
 
 
 def canonical(value: object, ascii_only: bool = False, sort: bool = True) -> str:

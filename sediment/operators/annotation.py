@@ -51,9 +51,10 @@ def next_task(tasks: DataFrame, records: DataFrame, annotators: DataFrame) -> Da
 def vote(votes: DataFrame, item: list[str], value: str = "value", model: str = "model") -> DataFrame:
     """One row an item: the value with most votes, ties by the first model in priority that chose it, then by value.
 
-    rule: unanimous, strict_majority (over half of those who voted on the item) or model_priority_tiebreak.
+    A model without a place in the priority is an error. rule: unanimous, strict_majority (over half of those who voted on the item) or model_priority_tiebreak.
     """
-    priority = F.array_position(F.lit(MODELS), F.col(model))
+    place = F.array_position(F.lit(MODELS), F.col(model))
+    priority = F.when(place > 0, place).otherwise(F.raise_error(F.concat(F.lit("no such model: "), F.coalesce(F.col(model), F.lit("null")))))
     by = votes.groupBy(*item, value).agg(F.count("*").alias("n"), F.min(priority).alias("p"), F.array_join(F.sort_array(F.collect_list(model)), ",").alias("supporters"))
     total = F.sum("n").over(Window.partitionBy(*item))
     best = first_of(by.withColumn("voters", total), item, [F.desc("n"), F.asc("p"), F.asc(value)])

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import first_paragraph, rstrip, strip
+
 # Terms that mark an event, and extensions of media types.
 EVENT_TERMS = [
     "acquisition", "agreement", "approval", "award", "backlog", "buyback", "chief executive", "chief financial", "contract", "credit facility",
@@ -26,7 +28,7 @@ def top_sections(sections: Column, n: int = 6, terms: list[str] = EVENT_TERMS) -
 
     Tables and blank sections don't count, boilerplate only where there is nothing else. Scores read the first 2000
     characters of a text."""
-    usable = F.filter(sections, lambda s: ~F.coalesce(s["is_table"], F.lit(False)) & (F.trim(s["text"]) != ""))
+    usable = F.filter(sections, lambda s: ~F.coalesce(s["is_table"], F.lit(False)) & (strip(s["text"]) != ""))
     preferred = F.filter(usable, lambda s: ~F.coalesce(s["is_boilerplate"], F.lit(False)))
     chosen = F.when(F.size(preferred) > 0, preferred).otherwise(usable)
     score = lambda s: term_score(F.concat(F.coalesce(s["heading"], F.lit("")), F.lit(" "), F.substring(s["text"], 1, 2000)), terms)
@@ -36,11 +38,11 @@ def top_sections(sections: Column, n: int = 6, terms: list[str] = EVENT_TERMS) -
 
 def review_text(ranked: Column, budget: int = 12_000) -> Column:
     """Headings and texts of the ranked sections, parted by a rule, cut where the budget of characters ends."""
-    block = lambda s: F.concat(F.when(F.trim(F.coalesce(s["heading"], F.lit(""))) != "", F.concat(F.trim(s["heading"]), F.lit("\n\n"))).otherwise(""), F.trim(s["text"]))
+    block = lambda s: F.concat(F.when(strip(F.coalesce(s["heading"], F.lit(""))) != "", F.concat(strip(s["heading"]), F.lit("\n\n"))).otherwise(""), strip(s["text"]))
 
     def add(acc: Column, s: Column) -> Column:
         head = F.when(acc == "", F.lit("")).otherwise(F.concat(acc, F.lit(SEPARATOR)))
-        return F.when(F.length(acc) >= budget, acc).otherwise(F.concat(head, F.rtrim(F.substring(block(s), F.lit(1), F.greatest(F.lit(budget) - F.length(head), F.lit(0))))))
+        return F.when(F.length(acc) >= budget, acc).otherwise(F.concat(head, rstrip(F.substring(block(s), F.lit(1), F.greatest(F.lit(budget) - F.length(head), F.lit(0))))))
 
     return F.aggregate(ranked, F.lit(""), add)
 
@@ -56,18 +58,29 @@ def extension(kind: Column, url: Column) -> Column:
     return F.coalesce(known, F.when(F.length(suffix).between(2, 10), suffix), F.lit(".bin"))
 
 
+def iso_date(text: Column) -> Column:
+    """Whether the text is a date of ISO 8601: with or without dashes, by month and day or by week (and day)."""
+    plain = F.regexp_replace(text, r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3")
+    day = plain.rlike(r"^\d{4}-\d{2}-\d{2}$") & F.try_to_date(F.when(plain.rlike(r"^\d{4}-\d{2}-\d{2}$"), plain)).isNotNull()
+    week = r"^(\d{4})(-?)W(\d{2})(?:\2([1-7]))?$"
+    n = F.regexp_extract(text, week, 3).try_cast("int")
+    last = F.make_date(F.regexp_extract(text, week, 1).try_cast("int"), F.lit(12), F.lit(28))  # always in the year's last week
+    by_week = text.rlike(week) & n.between(1, F.weekofyear(last))
+    return ~F.startswith(text, F.lit("0000")) & (day | by_week)
+
+
 def valid_attribute(kind: Column, value: Column, allowed: Column) -> Column:
     """Whether a JSON value is of the kind: string, number (finite, no boolean), boolean, date, enum or string_list."""
     text = F.when(value.rlike(r'^"'), F.from_json(F.concat(F.lit("["), value, F.lit("]")), "array<string>")[0])
     items = F.when(value.rlike(r"^\["), F.from_json(value, "array<string>"))
     quoted = value.rlike(r'^\[\s*("(?:[^"\\]|\\.)*"\s*(,\s*"(?:[^"\\]|\\.)*"\s*)*)?\]$')
     ok = (
-        F.when(kind == "string", F.trim(text) != "")
-        .when(kind == "number", value.rlike(r"^-?\d+(\.\d+)?([eE][+-]?\d+)?$"))
+        F.when(kind == "string", strip(text) != "")
+        .when(kind == "number", value.rlike(r"^-?\d+(\.\d+)?([eE][+-]?\d+)?$") & (F.abs(value.try_cast("double")) < float("inf")))
         .when(kind == "boolean", value.isin("true", "false"))
-        .when(kind == "date", text.rlike(r"^\d{4}-\d{2}-\d{2}$") & F.try_to_date(text).isNotNull())
+        .when(kind == "date", iso_date(text))
         .when(kind == "enum", F.array_contains(allowed, text))
-        .when(kind == "string_list", quoted & F.forall(items, lambda i: F.trim(i) != ""))
+        .when(kind == "string_list", quoted & F.forall(items, lambda i: strip(i) != ""))
     )
     return F.coalesce(ok, F.lit(False))
 
@@ -100,16 +113,16 @@ def tokens_over(spans: DataFrame, offsets: str, start: str, stop: str) -> DataFr
 def review_with_spans(ranked: Column, budget: int = 12_000, quote: int = 600, spans: int = 4) -> Column:
     """struct(text, spans): the review text of the ranked sections, and where the first paragraphs of sections stand in it
     (at most `quote` characters each, at most `spans` of them, only those that the budget leaves whole)."""
-    heading = lambda s: F.trim(F.coalesce(s["heading"], F.lit("")))
+    heading = lambda s: strip(F.coalesce(s["heading"], F.lit("")))
     lead = lambda s: F.when(heading(s) != "", F.concat(heading(s), F.lit("\n\n"))).otherwise("")
     empty = F.struct(F.lit("").alias("text"), F.array().cast("array<struct<start int, stop int, text string>>").alias("spans"))
 
     def add(acc: Column, s: Column) -> Column:
         head = F.when(acc["text"] == "", F.lit("")).otherwise(F.concat(acc["text"], F.lit(SEPARATOR)))
-        body = F.trim(s["text"])
-        block = F.rtrim(F.substring(F.concat(lead(s), body), F.lit(1), F.greatest(F.lit(budget) - F.length(head), F.lit(0))))
+        body = strip(s["text"])
+        block = rstrip(F.substring(F.concat(lead(s), body), F.lit(1), F.greatest(F.lit(budget) - F.length(head), F.lit(0))))
         at = F.length(head) + F.length(lead(s))
-        said = F.rtrim(F.substring(F.trim(F.get(F.filter(F.split(body, r"\n\s*\n"), lambda p: F.trim(p) != ""), F.lit(0))), 1, quote))
+        said = rstrip(F.substring(first_paragraph(body), 1, quote))
         fits = (said != "") & (at + F.length(said) <= F.length(head) + F.length(block))
         one = F.array(F.struct(at.alias("start"), (at + F.length(said)).alias("stop"), said.alias("text")))
         grown = F.struct(F.concat(head, block).alias("text"), F.when(fits, F.concat(acc["spans"], one)).otherwise(acc["spans"]).alias("spans"))

@@ -180,12 +180,12 @@ def w10(spark, sf_dir):
     return annotation.round_robin(B.table(spark, sf_dir, "events"), F.col("user_id") % 13, "event_id", 100).select("event_id", F.col("turn").cast("long").alias("turn"))
 
 
-@query("J4", "SELECT o_orderkey, count(*) AS n, round(sum(l_quantity), 4) AS q FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment = 'MACHINERY' GROUP BY 1")
+@query("J4", "SELECT o_orderkey, c_mktsegment, count(*) AS n, round(sum(l_quantity), 4) AS q FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2")
 def j4(spark, sf_dir):
-    c = B.table(spark, sf_dir, "customer").where("c_mktsegment = 'MACHINERY'").select("c_custkey")
+    c = B.table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
     o = B.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(c, F.col("o_custkey") == F.col("c_custkey"))
     l = B.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_quantity")  # noqa: E741
-    return l.join(o, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_orderkey").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 4).alias("q"))
+    return l.join(o, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_orderkey", "c_mktsegment").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 4).alias("q"))
 
 
 @query("J6", "SELECT CASE WHEN c.c_custkey IS NULL THEN 'missing_source' WHEN c.c_acctbal < 0 THEN 'missing_acceptance' ELSE 'ok' END AS reason, count(*) AS n FROM orders o LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 6 <> 0) c ON o.o_custkey = c.c_custkey GROUP BY 1")

@@ -141,9 +141,9 @@ def w2(spark, sf_dir):
     return asof.latest(o, ["day"], ["o_orderkey"]).select("day", "mkt")
 
 
-@query("W4", "SELECT o_orderkey AS action_id, o_custkey AS security_id FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderdate <= TIMESTAMP '1997-06-30'")
+@query("W4", "SELECT o_orderkey AS action_id, o_custkey AS security_id FROM orders WHERE o_orderdate <= TIMESTAMP '1997-06-30'")
 def w4(spark, sf_dir):
-    o = B.table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'")
+    o = B.table(spark, sf_dir, "orders")
     return asof.known_at(o, F.expr("timestamp_ntz '1997-06-30 00:00:00'"), "o_orderdate").select(F.col("o_orderkey").alias("action_id"), F.col("o_custkey").alias("security_id"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import review
 from . import bindings as B
 from .registry import query
+from .text_queries import WHITE_SQL
 
 TERMS = ["the", "and", "license", "de", "la"]
 
@@ -23,7 +24,7 @@ def SCORE(x):
 
 
 RANKED_SQL = f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
-u AS (SELECT *, contains(lower(x), 'license') AS b FROM l WHERE trim(x) <> '' AND NOT contains(x, '|')),
+u AS (SELECT *, contains(lower(x), 'license') AS b FROM l WHERE trim(x, {WHITE_SQL}) <> '' AND NOT contains(x, '|')),
 p AS (SELECT * FROM u WHERE NOT b OR doc_id NOT IN (SELECT doc_id FROM u WHERE NOT b)),
 s AS (SELECT *, lower(' ' || substr(x, 1, 2000)) AS c FROM p),
 r AS (SELECT doc_id, x, {SCORE('c')} AS score, row_number() OVER (PARTITION BY doc_id ORDER BY {SCORE('c')} DESC, i) AS k FROM s QUALIFY k <= 6)
@@ -50,12 +51,21 @@ def p10(spark, sf_dir):
     return B.table(spark, sf_dir, "part").select("p_partkey", kind.alias("media_type"), review.extension(kind, pick("http://h/a", "http://h/b.htm", "http://h/c.PNG?x=.zip", "http://h/d.averylongsuffix")).alias("extension"))
 
 
-@query("F13", "SELECT event_id, event_id % 6 IN (0, 1, 3) OR event_id % 6 = 2 AND value > 20 AS ok FROM events")
+# Kinds of values and whether each is valid: numbers must be finite, dates may be compact or by week.
+VALUES = [
+    ("number", "12.5", True), ("number", "-3e2", True), ("number", "1e999", False), ("number", "true", False), ("string", '"click"', True), ("string", '"\\t\\n"', False), ("boolean", "true", True),
+    ("boolean", "1", False), ("date", '"2024-02-29"', True), ("date", '"2023-02-29"', False), ("date", '"20240229"', True), ("date", '"2024-W09-4"', True), ("date", '"2024W09"', True), ("date", '"2024-W094"', False),
+    ("date", '"2023-W53"', False), ("date", '"2020-W53-7"', True), ("date", '"0000-01-01"', False), ("date", '"2024-2-9"', False), ("enum", '"one"', True), ("enum", '"other"', False), ("string_list", '["a", "b"]', True),
+    ("string_list", '["a", 1]', False), ("string_list", '["a", " "]', False), ("string_list", "[]", True),
+]
+
+
+@query("F13", f"SELECT event_id, {[ok for _, _, ok in VALUES]!r}[event_id % {len(VALUES)} + 1] AND NOT (event_id % {len(VALUES)} = 0 AND value IS NULL) AS ok FROM events")
 def f13(spark, sf_dir):
-    e, i = B.table(spark, sf_dir, "events"), F.col("event_id") % 6
-    kind = F.element_at(F.array(*map(F.lit, ("number", "string", "boolean", "date", "enum", "string_list"))), (i + 1).cast("int"))
-    value = F.when(i == 0, F.col("value").cast("string")).when(i == 1, F.concat(F.lit('"'), F.col("event_type"), F.lit('"'))).when((i == 2) & (F.col("value") > 20), "true").when(i == 2, "1").when(i == 3, '"2024-02-29"').when(i == 4, '"other"').otherwise('["a", 1]')
-    return e.select("event_id", review.valid_attribute(kind, value, F.array(F.lit("one"), F.lit("two"))).alias("ok"))
+    e, i = B.table(spark, sf_dir, "events"), (F.col("event_id") % len(VALUES) + 1).cast("int")
+    pick = lambda k: F.element_at(F.array(*[F.lit(v[k]) for v in VALUES]), i)
+    value = F.when(i == 1, F.col("value").cast("string")).otherwise(pick(1))
+    return e.select("event_id", review.valid_attribute(pick(0), value, F.array(F.lit("one"), F.lit("two"))).alias("ok"))
 
 
 @query("F14", "SELECT event_id, CASE WHEN event_type IN ('click', 'view') THEN '' ELSE event_type END AS unknown, CASE WHEN event_type = 'click' AND value > 10 THEN 'view' WHEN event_type = 'view' AND value > 10 THEN 'click' ELSE 'click,view' END AS missing FROM events")

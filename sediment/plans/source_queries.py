@@ -35,7 +35,7 @@ def submissions(spark, sf_dir):
     return r.select(F.col("o_custkey").cast("string").alias("cik"), F.when(F.col("o_custkey") % 2 == 0, F.to_json(F.struct(F.struct(flat.alias("recent"), files.alias("files")).alias("filings")))).otherwise(F.to_json(flat)).alias("payload"))
 
 
-@query("S5", "SELECT o_orderkey::VARCHAR AS accession_number, o_custkey::VARCHAR AS cik, strftime(o_orderdate, '%Y-%m-%d') AS filing_date, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE epoch_us(o_orderdate + INTERVAL 10 HOUR) END AS acceptance_us, ['8-K', '8-K/A', '4', '10-Q'][o_orderkey % 4 + 1] AS form, CASE WHEN o_orderkey % 2 = 0 THEN 2 ELSE 0 END::BIGINT AS n_items, o_orderkey % 4 = 1 AS is_amendment, epoch_us(CASE WHEN o_orderkey % 3 = 0 THEN o_orderdate ELSE o_orderdate + INTERVAL 10 HOUR END) AS sort_us FROM orders WHERE o_orderkey % 4 <> 2 AND o_orderdate BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '1998-12-31'")
+@query("S5", "SELECT o_orderkey::VARCHAR AS accession_number, lpad(o_custkey::VARCHAR, 10, '0') AS cik, strftime(o_orderdate, '%Y-%m-%d') AS filing_date, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE epoch_us(o_orderdate + INTERVAL 10 HOUR) END AS acceptance_us, ['8-K', '8-K/A', '4', '10-Q'][o_orderkey % 4 + 1] AS form, CASE WHEN o_orderkey % 2 = 0 THEN 2 ELSE 0 END::BIGINT AS n_items, o_orderkey % 4 = 1 AS is_amendment, epoch_us(CASE WHEN o_orderkey % 3 = 0 THEN o_orderdate ELSE o_orderdate + INTERVAL 10 HOUR END) AS sort_us FROM orders WHERE o_orderkey % 4 <> 2 AND o_orderdate BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '1998-12-31'")
 def s5(spark, sf_dir):
     out = S.submission_filings(submissions(spark, sf_dir), "payload", "cik", "1996-01-01", "1998-12-31", ["8-K", "8-K/A", "10-Q"])
     return out.select("accession_number", "cik", F.col("filing_date").cast("string").alias("filing_date"), F.unix_micros("acceptance_at").alias("acceptance_us"), "form", F.size("items").cast("long").alias("n_items"), "is_amendment", F.unix_micros("sort_at").alias("sort_us"))
@@ -46,10 +46,10 @@ def s6(spark, sf_dir):
     return S.history_files(submissions(spark, sf_dir), "payload", "1996-01-01", "1998-12-31").groupBy("name").agg(F.count("*").alias("n"))
 
 
-@query("S7", "SELECT o_orderkey, min(p) AS p FROM (SELECT o_orderkey, 0 AS p FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT o_orderkey, 1 FROM orders WHERE o_orderkey % 3 = 0) GROUP BY 1")
+@query("S7", "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 0 WHEN o_orderkey % 3 = 0 THEN 1 ELSE 2 END AS p FROM orders")
 def s7(spark, sf_dir):
     o = B.table(spark, sf_dir, "orders").select("o_orderkey")
-    return S.first_wins([o.where("o_orderkey % 2 = 0").withColumn("p", F.lit(0)), o.where("o_orderkey % 3 = 0").withColumn("p", F.lit(1))], "o_orderkey")
+    return S.first_wins([o.where("o_orderkey % 2 = 0").withColumn("p", F.lit(0)), o.where("o_orderkey % 3 = 0").withColumn("p", F.lit(1)), o.withColumn("p", F.lit(2))], "o_orderkey")
 
 
 DOC = "'<DOCUMENT>' || chr(10) || '<TYPE>8-K' || chr(10) || '<SEQUENCE>' || turn || chr(10) || '<FILENAME>f' || turn || '.htm' || chr(10) || '<TEXT>' || conv_id || '</TEXT>' || chr(10) || '</DOCUMENT>'"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import filing
@@ -134,9 +135,40 @@ def f11(spark, sf_dir):
     return e.select("event_id", F.concat(F.lit("knowledge_"), F.sha2(F.concat(F.lit("events"), F.col("event_id").cast("string"), F.lit(":v1")), 256)).alias("id"))
 
 
-@query("F22", r"SELECT conv_id, turn, list_filter(string_split_regex(text, '\n\s*\n'), lambda x: trim(x) <> '')[1] AS first_paragraph FROM conversations")
+# All white space, for the SQL alone.
+WHITE_SQL = " || ".join(f"chr({i})" for i in (9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 133, 160, 5760, 8192, 8193, 8194, 8195, 8196, 8197, 8198, 8199, 8200, 8201, 8202, 8232, 8233, 8239, 8287, 12288))
+BLANK_SQL = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+# Every third text is led by blank paragraphs and padded; every seventh has nothing else.
+PADDED_SQL = "SELECT conv_id, turn, CASE WHEN (conv_id + turn) % 7 = 0 THEN chr(9) || chr(10) || chr(160) || chr(10) WHEN (conv_id + turn) % 3 = 0 THEN chr(9) || chr(10) || chr(10) || '  ' || text || chr(12) || chr(10) || ' ' || chr(10) || 'more' ELSE text END AS text FROM conversations"
+
+
+@query("F22", f"SELECT conv_id, turn, coalesce(list_filter(list_transform(string_split_regex(text, '\n{BLANK_SQL}*\n'), lambda x: trim(x, {WHITE_SQL})), lambda x: x <> '')[1], '') AS first_paragraph FROM ({PADDED_SQL})")
 def f22(spark, sf_dir):
-    return B.table(spark, sf_dir, "conversations").select("conv_id", "turn", T.first_paragraph(F.col("text")).alias("first_paragraph"))
+    c, i = B.table(spark, sf_dir, "conversations"), F.col("conv_id") + F.col("turn")
+    text = F.when(i % 7 == 0, F.lit("\t\n\xa0\n")).when(i % 3 == 0, F.concat(F.lit("\t\n\n  "), "text", F.lit("\f\n \nmore"))).otherwise(F.col("text"))
+    return c.select("conv_id", "turn", T.first_paragraph(text).alias("first_paragraph"))
+
+
+# Tokens of a text: its words and the single characters of other kinds, white space being part of none. Every second span
+# begins inside a word and every third ends with white space, so some can't be told in whole tokens.
+SPANS_SQL = """WITH d AS (SELECT doc_id, text, doc_id % 90 AS a, doc_id % 90 + 5 + doc_id % 41 AS b FROM documents),
+t AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9]+|[ \t\n]+|[^A-Za-z0-9 \t\n]')) AS x, generate_subscripts(regexp_extract_all(text, '[A-Za-z0-9]+|[ \t\n]+|[^A-Za-z0-9 \t\n]'), 1) AS k FROM d),
+o AS (SELECT *, CAST(sum(length(x)) OVER (PARTITION BY doc_id ORDER BY k) AS BIGINT) AS e FROM t),
+w AS (SELECT doc_id, e - length(x) AS s, e, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS i FROM o WHERE NOT regexp_matches(x, '^[ \t\n]')),
+h AS (SELECT d.doc_id, min(i) AS first_token, max(i) + 1 AS stop_token, min(s) AS l, max(e) AS r, any_value(a) AS a, any_value(b) AS b, any_value(text) AS text FROM d JOIN w ON w.doc_id = d.doc_id AND s < b AND e > a GROUP BY 1),
+g AS (SELECT doc_id, first_token, stop_token FROM h WHERE l <= a AND r >= b AND b <= length(text) AND trim(substr(text, l + 1, a - l), ' ' || chr(9) || chr(10)) = '' AND trim(substr(text, b + 1, r - b), ' ' || chr(9) || chr(10)) = '')"""
+
+
+@query("F17", SPANS_SQL + " SELECT doc_id, first_token::BIGINT AS first_token, stop_token::BIGINT AS stop_token FROM d LEFT JOIN g USING (doc_id)")
+def f17(spark, sf_dir):
+    d = B.table(spark, sf_dir, "documents").select("doc_id", "text", (F.col("doc_id") % 90).cast("int").alias("a"), (F.col("doc_id") % 90 + 5 + F.col("doc_id") % 41).cast("int").alias("b"))
+    pieces = F.regexp_extract_all("text", F.lit(r"[A-Za-z0-9]+|[ \t\n]+|[^A-Za-z0-9 \t\n]"), F.lit(0))
+    w = d.select("doc_id", F.posexplode(pieces).alias("k", "x"))
+    ends = w.withColumn("stop", F.sum(F.char_length("x")).over(Window.partitionBy("doc_id").orderBy("k")).cast("int")).where("not x rlike '^[ \\t\\n]'")
+    offsets = ends.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct((F.col("stop") - F.char_length("x")).cast("int").alias("start"), "stop"))).alias("offsets"))
+    span = T.token_span(F.col("text"), F.col("offsets"), F.col("a"), F.col("b"))
+    return d.join(offsets, "doc_id", "left").withColumn("s", span).select("doc_id", F.col("s.first").cast("long").alias("first_token"), F.col("s.stop").cast("long").alias("stop_token"))
 
 
 @query("P13", "SELECT doc_id, 'Filing type: ' || coalesce(nullif(lang, ''), 'unknown') || chr(10) || chr(10) || text AS input, length('Filing type: ' || coalesce(nullif(lang, ''), 'unknown')) + 2 AS at FROM documents".replace(" AS at ", " AS text_start "))

@@ -54,23 +54,40 @@ def decoded_body():
     return run
 
 
+def normalized_cik(cik: Column) -> Column:
+    """Ten digits with leading zeros; anything but up to ten digits is an error."""
+    bare = F.btrim(cik.cast("string"))
+    return F.when(bare.rlike(r"^\d{1,10}$"), F.lpad(bare, 10, "0")).when(cik.isNotNull(), F.raise_error(F.concat(F.lit("no CIK: "), bare)))
+
+
 def submission_filings(df: DataFrame, payload: str, cik: str, start: str, end: str, forms: list[str]) -> DataFrame:
     """Columnar filing JSON (recent or flat shape) to one row a filing in the date range and forms.
 
-    acceptance_at is null where blank; is_amendment: the form ends in /A. Sort by (acceptance or midnight of the filing
-    date, accession) where an order is needed: sort_at has it.
+    acceptance_at is null where blank; is_amendment: the form ends in /A. Sort by (acceptance or midnight UTC of the filing
+    date, accession) where an order is needed: sort_at has it. Required columns that are missing or unequally long, dates
+    that are none and a range that ends before it starts are errors; acceptances and items may be short or missing.
     """
+    if end < start:
+        raise ValueError("end date must not precede start date")
     p = F.from_json(F.col(payload), SUBMISSIONS)
-    got = lambda c: F.coalesce(p["filings"]["recent"][c], p[c])
-    rows = df.select(F.col(cik).alias("cik"), F.explode(F.arrays_zip(*[got(c).alias(c) for c in COLUMNS])).alias("f"))
+    got = lambda c: F.when(p["filings"].isNotNull(), p["filings"]["recent"][c]).otherwise(p[c])
+    required = [got(c) for c in ("accessionNumber", "filingDate", "form", "primaryDocument")]
+    equal = F.size(required[0]) == F.size(required[1])
+    for c in required[2:]:
+        equal &= F.size(c) == F.size(required[0])
+    n = F.when(F.coalesce(equal & required[0].isNotNull(), F.lit(False)), F.size(required[0])).otherwise(F.raise_error(F.lit("filing columns are missing or unequally long")).cast("int"))
+    zipped = F.slice(F.arrays_zip(*[F.coalesce(got(c), F.array().cast("array<string>")).alias(c) for c in COLUMNS]), F.lit(1), n)
+    rows = df.where(F.col(payload).isNotNull()).select(normalized_cik(F.col(cik)).alias("cik"), F.explode(zipped).alias("f"))
     f = lambda c: F.nullif(F.trim(F.col("f")[c]), F.lit(""))
+    day = F.try_to_date(f("filingDate"))
     out = rows.select(
-        f("accessionNumber").alias("accession_number"), "cik", F.try_to_date(f("filingDate")).alias("filing_date"), F.try_to_timestamp(f("acceptanceDateTime")).alias("acceptance_at"),
+        f("accessionNumber").alias("accession_number"), "cik", F.when(day.isNotNull(), day).otherwise(F.raise_error(F.lit("no filing date")).cast("date")).alias("filing_date"), F.try_to_timestamp(f("acceptanceDateTime")).alias("acceptance_at"),
         f("form").alias("form"), f("primaryDocument").alias("primary_document"),
         F.filter(F.transform(F.split(F.coalesce(F.col("f")["items"], F.lit("")), ","), lambda i: F.trim(i)), lambda i: i != "").alias("items"),
     )
     out = out.where(F.col("filing_date").between(F.lit(start).cast("date"), F.lit(end).cast("date")) & F.col("form").isin(forms))
-    return out.withColumn("is_amendment", F.endswith("form", F.lit("/A"))).withColumn("sort_at", F.coalesce("acceptance_at", F.col("filing_date").cast("timestamp")))
+    midnight = F.timestamp_seconds(F.unix_date("filing_date").cast("long") * 86400)
+    return out.withColumn("is_amendment", F.endswith("form", F.lit("/A"))).withColumn("sort_at", F.coalesce("acceptance_at", midnight))
 
 
 def history_files(df: DataFrame, payload: str, start: str, end: str) -> DataFrame:

@@ -58,21 +58,116 @@ def test_normalised_filings(spark):
 def test_clean_and_align():
     assert T.clean("“A b”\n — ﬁn &amp; co") == '"A b" — fin & co'
     source = "Heading\n\nThe board—acting  today—approved a “buyback”."
-    quote = '- The board-acting today-approved a "buyback";'
-    at = T.align(source, quote)
-    assert source[at[0] : at[1]] == "The board—acting  today—approved a “buyback”"
-    assert T.align(source, "not there") is None
+    whole = source[9:-1]
+    at = lambda q: (lambda r: r and source[r[0] : r[1]])(T.align(source, q))
+    assert at('The board-acting today-approved a "buyback"') == whole == at('- The board-acting today-approved a "buyback"') == at('The board-acting today-approved a "buyback";')
+    assert at('- The board-acting today-approved a "buyback";') is None and at("not there") is None and at("") is None and at(" ") is None
 
 
-def test_token_spans():
+def test_align_folds_both_sides_alike():
+    same = lambda t: T.align(t, t) == (0, len(t))
+    assert same("cafe\u0301 noir") and same("A &amp; B") and same("ﬁne − print")
+    assert T.align("a − b", "a - b") == (0, 5) and T.align("ﬁne", "fine") == (0, 3) and T.align("  a\u3000\u2003b ", "a b") == (2, 6)
+    assert T.align("revenue rose", "revenue rose...") is None and T.align("revenue rose", "revenue rose.") == (0, 12)
+    assert T.align("it fell", "\ufffd it fell") == (0, 7) == T.align("it fell", "• * it fell") and T.align("it fell", "· it fell") is None
+    assert T.align("", "a") is None and T.align("a", ".") is None and T.align("x &amp; y", "x & y") is None
+
+
+def test_paragraphs_and_white_space(spark):
+    cases = {"  lead\n\nx": "lead", "\t": "", "": "", "\n\xa0\n\u2003a \x1c\n\x1f\nb": "a", "a\nb\n \n c": "a\nb", None: None}
+    df = spark.createDataFrame(list(cases.items()), "t string, want string")
+    assert df.where(~T.first_paragraph(F.col("t")).eqNullSafe(F.col("want"))).collect() == []
+    assert spark.createDataFrame([("\u3000\x85x\u2029",)], "t string").select(T.strip(F.col("t"))).first()[0] == "x" and len(T.WHITE) == 29
+
+
+def test_blank_sections_do_not_count(spark):
+    from sediment.operators import review
+
+    rows = [("\n\t\n", False), ("the order text", True)]
+    df = spark.createDataFrame([([(None, t, False, b) for t, b in rows],)], "s array<struct<heading:string,text:string,is_table:boolean,is_boilerplate:boolean>>")
+    top = df.withColumn("top", review.top_sections(F.col("s")))
+    assert [r["text"] for r in top.first()["top"]] == ["the order text"]
+    padded = spark.createDataFrame([([("\u3000Head\t", "\n body \x1f\n\n\nmore", False, False), ("\t", "second", False, False)],)], df.schema).withColumn("top", review.top_sections(F.col("s"), 2, []))
+    r = padded.select(review.review_text(F.col("top")).alias("t"), review.review_with_spans(F.col("top")).alias("s")).first()
+    assert r.t == r.s["text"] == "Head\n\nbody \x1f\n\n\nmore\n\n---\n\nsecond" and [x["text"] for x in r.s["spans"]] == ["body", "second"]
+
+
+def test_attribute_values(spark):
+    from datetime import date
+
+    from sediment.operators import review
+
+    dates = ["2024-01-15", "20240115", "2024-W03", "2024W031", "2024-W03-1", "2024W03-1", "2024-W031", "2024-W00-1", "2024-W54-1", "2020-W53-7", "2021-W53-1", "2024-02-30", "20240230", "2024-1-5", "0000-01-01", "0001-01-01", "", " 2024-01-15", "2024-01-15T00:00", "2024-W03-8", "9999-12-31"]
+
+    def valid(t):
+        try:
+            return date.fromisoformat(t) is not None
+        except ValueError:
+            return False
+
+    df = spark.createDataFrame([("date", json.dumps(t), valid(t)) for t in dates] + [("number", v, ok) for v, ok in (("1e308", True), ("1e309", False), ("-1e999", False), ("0", True), ("NaN", False), ("9" * 400, False))], "k string, v string, want boolean")
+    assert df.where(review.valid_attribute(F.col("k"), F.col("v"), F.array(F.lit(""))) != F.col("want")).collect() == []
+
+
+def test_models_without_priority_cannot_vote(spark):
+    from sediment.operators import annotation
+
+    votes = spark.createDataFrame([(1, "A", "x"), (1, "Z", "y")], "i int, model string, value string")
+    assert annotation.vote(votes.where("model = 'A'"), ["i"]).first()["value"] == "x"
+    with pytest.raises(Exception, match="no such model: Z"):
+        annotation.vote(votes, ["i"]).collect()
+
+
+def test_unequal_filing_columns_are_refused(spark):
+    flat = {"accessionNumber": ["1", "2"], "filingDate": ["2024-01-02", "2024-01-03"], "form": ["8-K", "8-K"], "primaryDocument": ["a", "b"], "items": ["1.01"]}
+    read = lambda p, cik="42", a="2024-01-01", b="2024-12-31": S.submission_filings(spark.createDataFrame([(cik, json.dumps(p))], "cik string, payload string"), "payload", "cik", a, b, ["8-K"]).collect()
+    out = sorted(read(flat), key=lambda r: r.accession_number)
+    assert [(r.cik, r["items"], r.acceptance_at) for r in out] == [("0000000042", ["1.01"], None), ("0000000042", [], None)]
+    for bad in ({**flat, "form": ["8-K"]}, {k: v for k, v in flat.items() if k != "form"}, {**flat, "filingDate": ["x", "2024-01-02"]}):
+        with pytest.raises(Exception, match="unequally long|no filing date"):
+            read(bad)
+    with pytest.raises(Exception, match="no CIK"):
+        read(flat, cik="4x2")
+    with pytest.raises(ValueError, match="precede"):
+        read(flat, a="2025-01-01")
+
+
+def test_token_spans(spark):
+    """Spans against a walk over all tokens, with tokens of other texts and without text between."""
     text = "head body of it "
-    assert T.token_span([(0, 0), (0, 4), (4, 10), (10, 15)], [None, 0, 0, 0], 4, 15, text) == (2, 4)
-    assert T.token_span([(0, 0), (0, 4), (4, 10), (10, 15)], [None, 0, 0, 0], 5, 15, text) == (2, 4)  # a blank more
-    assert T.token_span([(0, 4), (4, 10)], [0, 0], 6, 10, text) is None  # begins inside a token
-    assert T.token_span([(0, 4), (4, 10)], [0, 0], 4, 15, text) is None  # cut off
-    assert T.token_span([(0, 3), (5, 9)], [0, 0], 4, 9, text) is None  # a blank that no token covers
-    assert T.token_span([(0, 4)], [1], 0, 4, text) is None and T.token_span([(0, 4)], [0], 0, 0, text) is None and T.token_span([(0, 4)], [0], 0, 99, text) is None
-    assert T.token_span([(0, 4)], [0], 0, 4, text, "head") == (0, 1) and T.token_span([(0, 4)], [0], 0, 4, text, "tail") is None
+
+    def plain(offsets, sequence, start, stop, quote):
+        if not 0 <= start < stop <= len(text) or quote is not None and text[start:stop] != quote:
+            return None
+        own = [i for i, ((a, b), s) in enumerate(zip(offsets, sequence)) if s == 0 and a < b and a < stop and b > start]
+        if not own:
+            return None
+        left, right = offsets[own[0]][0], offsets[own[-1]][1]
+        return None if left > start or right < stop or text[left:start].strip() or text[stop:right].strip() else (own[0], own[-1] + 1)
+
+    tokens = [([(0, 0), (0, 4), (4, 10), (10, 15), (0, 0), (0, 4)], [None, 0, 0, 0, None, 1]), ([(0, 4), (5, 5), (5, 9), (10, 12), (13, 15)], [0] * 5), ([(0, 2), (2, 4), (4, 5), (5, 9)], [0] * 4), ([], [])]
+    rows = []
+    for offsets, sequence in tokens:
+        for a in range(-1, 17):
+            for b in range(-1, 18):
+                for quote in (None, "body of"):
+                    rows.append((text, [(x, y, s) for (x, y), s in zip(offsets, sequence)], a, b, quote, plain(offsets, sequence, a, b, quote)))
+    df = spark.createDataFrame(rows, "t string, o array<struct<start:int,stop:int,sequence:int>>, a int, b int, q string, want struct<first:int,stop:int>")
+    got = df.withColumn("got", T.token_span(F.col("t"), T.own_tokens(F.col("o")), F.col("a"), F.col("b"), F.col("q")))
+    assert got.where(~F.col("got").eqNullSafe(F.col("want"))).collect() == [] and got.where("got is not null").count() > 20
+
+
+def test_offsets_of_a_real_tokenizer(spark):
+    import os
+
+    path = "/opt/tokenizers/word_bpe_49k.json"
+    if not os.path.exists(path):
+        pytest.skip("no tokenizer files")
+    text = "Le café 𝒜 est né — a tokenizer's text.\n\nSecond"
+    df = spark.createDataFrame([(text, text.index("est né"), text.index("est né") + 6), (None, 0, 1)], "t string, a int, b int").withColumn("o", T.tokenizer_offsets(path)("t"))
+    r = df.withColumn("s", T.token_span(F.col("t"), F.col("o"), F.col("a"), F.col("b"))).where("t is not null").first()
+    assert r.s is not None and text[r.o[r.s["first"]]["start"] : r.o[r.s["stop"] - 1]["stop"]].strip() == "est né"
+
 
 
 def test_canonical():
