@@ -167,11 +167,11 @@ def digest(value: object, ascii_only: bool = False) -> str:
     return sha256(canonical(value, ascii_only).encode()).hexdigest()
 
 
-def canonical_json(ascii_only: bool = False):
-    """A function of a JSON string column: keys sorted, no spaces."""
+def canonical_json(ascii_only: bool = False, sort: bool = True):
+    """A function of a JSON string column: no spaces, keys sorted (or as given), other characters kept (or escaped)."""
 
     @F.pandas_udf("string")
     def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else canonical(json.loads(t), ascii_only))
+        return texts.map(lambda t: None if t is None else canonical(json.loads(t), ascii_only, sort))
 
     return run

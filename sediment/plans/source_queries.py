@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..operators import folds
+from ..operators.tables import shared_dir, stored
+from ..sources import content_store, sqlite_tables
 from ..sources import filings as S
 from ..sources import sinks as K
 from . import bindings as B
@@ -156,3 +161,101 @@ def a27(spark, sf_dir):
 def a25(spark, sf_dir):
     l = B.table(spark, sf_dir, "lineitem")  # noqa: E741
     return l.groupBy("l_orderkey").agg(F.min_by(F.col("l_linenumber"), F.struct(F.col("l_linenumber").cast("int"), F.col("l_linenumber").cast("string"))).cast("long").alias("first_line"))
+
+
+# --- bodies, archives and stores -------------------------------------------------------------------------------------
+
+
+@query("S4", "SELECT page_id, sha256(coalesce(html, '')) AS sha, (CASE page_id % 3 WHEN 0 THEN 'gzip' WHEN 1 THEN 'Deflate' ELSE 'none' END) AS encoding FROM pages WHERE html IS NOT NULL")
+def s4(spark, sf_dir):
+    """Pages sent with gzip, deflate or neither, and decoded."""
+    kind = F.when(F.col("page_id") % 3 == 0, "gzip").when(F.col("page_id") % 3 == 1, "Deflate").otherwise("none")
+    sent = B.table(spark, sf_dir, "pages").where("html is not null").select("page_id", kind.alias("encoding"), S.encoded_body()(F.encode("html", "UTF-8"), kind).alias("body"))
+    return sent.select("page_id", F.sha2(S.decoded_body()("body", "encoding"), 256).alias("sha"), "encoding")
+
+
+@query("S9", "SELECT p_partkey, p_type AS type, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE p_name END AS description, NULL::VARCHAR AS sequence FROM part")
+def s9(spark, sf_dir):
+    """Tags in any case, padded, blank (null) and missing."""
+    name = F.when(F.col("p_partkey") % 3 == 0, "  ").otherwise(F.col("p_name"))
+    block = F.concat(F.lit("<DOCUMENT>\n<type> "), "p_type", F.lit("  \r\n<DESCRIPTION>"), name, F.lit("<FILENAME>x.htm\n</DOCUMENT>"))
+    tag = lambda t: S.sgml_tag(F.decode(F.encode(block, "UTF-8"), "ISO-8859-1"), t)
+    return B.table(spark, sf_dir, "part").select("p_partkey", tag("TYPE").alias("type"), tag("DESCRIPTION").alias("description"), tag("SEQUENCE").alias("sequence"))
+
+
+@query("K1", "SELECT path, any_value(n) AS n_bytes FROM (SELECT substr(sha256(html), 1, 2) || '/' || sha256(html) || '.html' AS path, strlen(html) AS n FROM pages WHERE html <> '') GROUP BY 1")
+def k1(spark, sf_dir):
+    """Pages into a content-addressed store, each body twice, and what the store has then."""
+    root = f"{shared_dir(spark)}/sediment/store-{uuid.uuid4().hex}"
+    pages = B.table(spark, sf_dir, "pages").where("html != ''").select(F.encode("html", "UTF-8").alias("body"), F.lit(".html").alias("suffix"))
+    content_store.store_bodies(pages.unionAll(pages), root)
+    return content_store.stored_bodies(spark, root).select("path", "n_bytes")
+
+
+@query("S16", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderkey > 1000 AND o_orderstatus IN ('F', 'O') AND o_totalprice <= 150000")
+def s16(spark, sf_dir):
+    """Orders in SQLite files, a file a task; the scan reads three columns, and SQLite filters."""
+    root = f"{shared_dir(spark)}/sediment/sqlite-{uuid.uuid4().hex}"
+    o = B.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", F.col("o_totalprice").cast("double").alias("o_totalprice"))
+    sqlite_tables.write_sqlite(o, root, "orders")
+    found = sqlite_tables.read_sqlite(spark, root, "orders", "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double")
+    return found.where("o_orderkey > 1000 and o_orderstatus in ('F', 'O') and o_totalprice <= 150000").drop("o_orderstatus")
+
+
+# --- a walk over downloaded files: each customer is a company; orders up to 1995 stand in a history file ---------------
+
+
+def downloads(spark, sf_dir):
+    """(companies, requests, bodies). Customers divisible by 5 name no history file; complete submissions of orders divisible
+    by 3 were not downloaded; each index was downloaded twice, an empty one first and at last in vain."""
+    o = B.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.col("o_orderdate").cast("date").alias("d"))
+    cik = F.lpad(F.col("o_custkey").cast("string"), 10, "0")
+    row = F.struct("o_orderkey", F.col("o_orderkey").cast("string").alias("accessionNumber"), F.col("d").cast("string").alias("filingDate"), F.lit("").alias("acceptanceDateTime"), F.when(F.col("o_orderkey") % 4 == 0, "8-K/A").otherwise("8-K").alias("form"), F.lit("d.htm").alias("primaryDocument"), F.lit("").alias("items"))
+    late = F.col("d") >= F.lit("1996-01-01").cast("date")
+    sorted_ = lambda when: F.sort_array(F.collect_list(F.when(when, row)))
+    by = o.groupBy("o_custkey").agg(sorted_(late).alias("new"), sorted_(~late).alias("old"))
+    flat = lambda c: F.struct(*[c[k].alias(k) for k in S.COLUMNS])
+    name = F.concat(F.lit("CIK"), cik, F.lit("-old.json"))
+    none = F.array().cast("array<struct<name:string,filingFrom:string,filingTo:string>>")
+    files = lambda c: F.when(F.col("o_custkey") % 5 == 0, none).otherwise(F.array(F.struct(name.alias("name"), F.lit("1992-01-01").alias("filingFrom"), F.lit("1995-12-31").alias("filingTo")), F.struct(F.lit("missing.json").alias("name"), F.lit("1980-01-01").alias("filingFrom"), F.lit("1981-12-31").alias("filingTo"))))
+    index = F.concat(F.lit("https://data.example/submissions/CIK"), cik, F.lit(".json"))
+    main = by.select(F.col("o_custkey").alias("i"), index.alias("url"), F.to_json(F.struct(F.struct(flat(F.col("new")).alias("recent"), files(None).alias("files")).alias("filings"))).alias("t"))
+    old = by.select(F.col("o_custkey").alias("i"), F.concat(F.lit("https://data.example/submissions/"), name).alias("url"), F.to_json(flat(F.col("old"))).alias("t"))
+    folder = F.concat(F.lit("https://archive.example/"), F.col("o_custkey").cast("string"), F.lit("/"), F.col("o_orderkey").cast("string"), F.lit("/"), F.col("o_orderkey").cast("string"))
+    text = F.concat(F.lit("<DOCUMENT>\n<TYPE>8-K\n<TEXT>"), F.col("o_orderkey").cast("string"), F.lit("</TEXT>\n</DOCUMENT>\n<DOCUMENT>\n<TYPE>EX-99.1\n</DOCUMENT>"))
+    whole = o.where("o_orderkey % 3 != 0").select(F.col("o_orderkey").alias("i"), F.concat(folder, F.lit(".txt")).alias("url"), text.alias("t"))
+    empty = by.select(F.col("o_custkey").alias("i"), index.alias("url"), F.lit("{}").alias("t"))
+    made = lambda d, k: d.select((F.col("i") * 10 + k).alias("request_id"), "url", F.lit(200).alias("status"), F.sha2("t", 256).alias("content_hash"), F.encode("t", "UTF-8").alias("body"))
+    all_ = stored(made(empty, 1).unionByName(made(main, 2)).unionByName(made(old, 3)).unionByName(made(whole, 4)), "downloads")
+    failed = by.select((F.col("o_custkey") * 10 + 9).alias("request_id"), index.alias("url"), F.lit(503).alias("status"), F.lit(None).cast("string").alias("content_hash"))
+    requests = all_.drop("body").unionByName(failed)
+    return by.select(F.col("o_custkey").cast("string").alias("cik")), requests, all_.select("content_hash", "body").dropDuplicates(["content_hash"])
+
+
+WALK_SQL = """WITH f AS (
+  SELECT o_orderkey AS k, o_custkey AS c, CAST(o_orderdate AS DATE) AS d, CASE WHEN o_orderdate >= TIMESTAMP '1996-01-01' THEN 'submissions' ELSE 'historical_submissions' END AS found_in FROM orders
+  WHERE o_orderdate >= TIMESTAMP '1995-06-01' AND o_orderdate < TIMESTAMP '1998-01-01' AND o_orderkey % 4 <> 0 AND (o_orderdate >= TIMESTAMP '1996-01-01' OR o_custkey % 5 <> 0))"""
+
+
+def walked(spark, sf_dir):
+    companies, requests, bodies = downloads(spark, sf_dir)
+    return S.collect_companies(requests, bodies, companies, "1995-06-01", "1997-12-31", ["8-K"])
+
+
+@query("C14", WALK_SQL + """ SELECT k::VARCHAR AS accession_number, lpad(c::VARCHAR, 10, '0') AS cik, strftime(d, '%Y-%m-%d') AS filing_date, found_in, 3 AS pages, CASE WHEN k % 3 = 0 THEN 0 ELSE 1 END AS found, CASE WHEN k % 3 = 0 THEN '' ELSE '8-K,EX-99.1' END AS documents FROM f""")
+def c14(spark, sf_dir):
+    found = walked(spark, sf_dir)
+    key = ["cik", "accession_number"]
+    pages = found["sources"].where("accession_number is not null").groupBy(*key).agg(F.count("*").alias("pages"), F.count("request_id").alias("found"))
+    documents = found["documents"].groupBy(*key).agg(F.array_join(F.array_sort(F.collect_list("type")), ",").alias("documents"))  # a filing's documents
+    out = found["filings"].join(pages, key).join(documents, key, "left")
+    return out.select("accession_number", "cik", F.col("filing_date").cast("string").alias("filing_date"), "found_in", "pages", "found", F.coalesce("documents", F.lit("")).alias("documents"))
+
+
+@query("F10", """SELECT event_id, sha256('{"a":[1,' || event_id || '],"é":"' || event_type || '"}') AS plain, sha256('{"a":[1,' || event_id || '],"' || chr(92) || 'u00e9":"' || event_type || '"}') AS ascii, sha256('{"é":"' || event_type || '","a":[1,' || event_id || ']}') AS as_given FROM events""")
+def f10(spark, sf_dir):
+    """The three canonical forms: keys sorted, the same in ASCII, and keys as given."""
+    e = B.table(spark, sf_dir, "events")
+    given = F.concat(F.lit('{ "é" : "'), "event_type", F.lit('", "a": [1, '), F.col("event_id").cast("string"), F.lit("]}"))
+    sha = lambda f: F.sha2(f(given), 256)
+    return e.select("event_id", sha(T.canonical_json()).alias("plain"), sha(T.canonical_json(ascii_only=True)).alias("ascii"), sha(T.canonical_json(sort=False)).alias("as_given"))

@@ -188,6 +188,22 @@ def f2(spark, sf_dir):
     return filing.normalize_filings(p).select("page_id", "language", "parsing_quality", F.size("sections").alias("n_sections"), F.sha2(F.to_json("sections"), 256).alias("sections_hash"))
 
 
+def normalized_pages(spark, sf_dir):
+    p = B.table(spark, sf_dir, "pages").select("page_id", F.encode("html", "UTF-8").alias("raw"), F.when(F.col("page_id") % 2 == 0, "EX-99.1").otherwise("8-K").alias("document_type"))
+    return filing.normalize_filings(p)
+
+
+@query("F3")
+def f3(spark, sf_dir):
+    out = normalized_pages(spark, sf_dir).select("page_id", F.posexplode("sections").alias("position", "s"))
+    return out.select("page_id", "position", F.col("s.section_id").alias("section_id"), F.col("s.heading").alias("heading"), F.col("s.is_table").alias("is_table"), F.col("s.is_boilerplate").alias("is_boilerplate"), F.sha2("s.text", 256).alias("text_sha256"))
+
+
+@query("F4")
+def f4(spark, sf_dir):
+    return normalized_pages(spark, sf_dir).select("page_id", "is_exhibit", F.array_join("warnings", ",").alias("warnings"), "parsing_quality")
+
+
 @query("F9")
 def f9(spark, sf_dir):
     c = B.table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", F.substring("text", 10, 40).alias("quote"))

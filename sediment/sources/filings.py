@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.tables import stored
+
 COLUMNS = ["accessionNumber", "filingDate", "acceptanceDateTime", "form", "primaryDocument", "items"]
 FLAT = ", ".join(f"{c}: array<string>" for c in COLUMNS)
 SUBMISSIONS = f"filings struct<recent: struct<{FLAT}>, files: array<struct<name: string, filingFrom: string, filingTo: string>>>, " + ", ".join(f"{c} array<string>" for c in COLUMNS)
@@ -54,6 +56,20 @@ def decoded_body():
     return run
 
 
+def encoded_body():
+    """A function of (body, encoding) columns: bodies as a server sends them, with gzip or deflate."""
+
+    def one(body, encoding):
+        e = (encoding or "").lower()
+        return body if body is None else gzip.compress(body, mtime=0) if e == "gzip" else zlib.compress(body) if e == "deflate" else body
+
+    @F.pandas_udf("binary")
+    def run(bodies: pd.Series, encodings: pd.Series) -> pd.Series:
+        return pd.Series([one(b, e) for b, e in zip(bodies, encodings)])
+
+    return run
+
+
 def normalized_cik(cik: Column) -> Column:
     """Ten digits with leading zeros; anything but up to ten digits is an error."""
     bare = F.btrim(cik.cast("string"))
@@ -190,3 +206,40 @@ def archive_url(cik: Column, accession: Column, base: str = "https://archive.exa
 def content_path(raw: bytes, suffix: str, root: str = "sec") -> str:
     h = sha256(raw).hexdigest()
     return f"{root}/{h[:2]}/{h}{suffix}"
+
+
+def collect_companies(requests: DataFrame, bodies: DataFrame, companies: DataFrame, start: str, end: str, forms: list[str], base: str = "https://data.example", archive: str = "https://archive.example") -> dict[str, DataFrame]:
+    """Walks downloaded files from companies (cik) to their filings' documents.
+
+    requests: request_id, url, status, content_hash; bodies: content_hash, body (BINARY). Of each URL the latest success
+    counts. A company's index names its recent filings and its history files; only history files whose dates meet the range
+    are read, in a second scan, and filings of the index win over theirs. Each filing has a primary document, a complete
+    submission and an index page; complete submissions are split into documents.
+
+    Returns filings (with found_in), sources (cik, accession_number, role, url, request_id, content_hash; the last two null
+    where nothing was downloaded: also of a company's index and of history files) and documents. Bodies are joined by
+    hash, one file's body to a task's row at a time; nothing is kept for one company.
+    """
+    good = latest_success(requests).select("url", "request_id", "content_hash")
+    wanted = companies.select(normalized_cik(F.col("cik")).alias("cik")).distinct()
+    index = wanted.select("cik", F.lit(None).cast("string").alias("accession_number"), F.lit("submissions").alias("role"), F.concat(F.lit(f"{base}/submissions/CIK"), "cik", F.lit(".json")).alias("url"))
+    index = stored(index.join(good, "url", "left"), "collect-index")
+    read = lambda files: files.join(bodies, "content_hash").select("cik", F.decode("body", "UTF-8").alias("payload"))
+    first = stored(read(index), "collect-payloads")
+    named = first.select("cik", F.explode(F.from_json("payload", SUBMISSIONS)["filings"]["files"]).alias("f")).select("cik", "f.*").where((F.col("filingFrom") <= end) & (F.col("filingTo") >= start))
+    history = named.select("cik", F.lit(None).cast("string").alias("accession_number"), F.lit("historical_submissions").alias("role"), F.concat(F.lit(f"{base}/submissions/"), "name").alias("url")).distinct()
+    history = stored(history.join(good, "url", "left"), "collect-history")
+    parsed = lambda payloads: submission_filings(payloads, "payload", "cik", start, end, forms)
+    both = [parsed(first).withColumn("found_in", F.lit("submissions")), parsed(read(history)).withColumn("found_in", F.lit("historical_submissions"))]
+    once = [f.dropDuplicates(["cik", "accession_number"]) for f in both]
+    filings = stored(once[0].unionByName(once[1].join(once[0].select("cik", "accession_number"), ["cik", "accession_number"], "left_anti")), "collect-filings")
+    folder = archive_url(F.col("cik"), F.col("accession_number"), archive)
+    part = lambda role, name: F.struct(F.lit(role).alias("role"), F.concat(folder, F.lit("/"), name).alias("url"))
+    parts = F.array(part("primary_document", F.col("primary_document")), part("complete_submission", F.concat("accession_number", F.lit(".txt"))), part("filing_index", F.concat("accession_number", F.lit("-index.html"))))
+    pages = filings.select("cik", "accession_number", F.explode(parts).alias("p")).select("cik", "accession_number", "p.*")
+    pages = stored(pages.join(good, "url", "left"), "collect-pages")
+    cols = ["cik", "accession_number", "role", "url", "request_id", "content_hash"]
+    sources = index.select(*cols).unionByName(history.select(*cols)).unionByName(pages.select(*cols))
+    complete = pages.where("role = 'complete_submission'").join(bodies, "content_hash").select(F.struct("cik", "accession_number").alias("filing"), "body")
+    documents = submission_documents(complete, "body", "filing").select("filing.*", "position", "type", "sequence", "filename", "description", F.col("content_hash"))
+    return {"filings": filings, "sources": sources, "documents": documents}
