@@ -20,11 +20,20 @@ def latest_bars(bars: DataFrame, as_of: Column | None = None) -> DataFrame:
     return latest(seen, ["security_id", "session_date"], ["source_received_at", "bar_id"])
 
 
-def paired_bars(raw: DataFrame, adjusted: DataFrame) -> DataFrame:
-    """Raw bars with their adjusted twin by (symbol, timestamp) and its factor; unmatched bars drop, later twins win."""
+def paired_bars(raw: DataFrame, adjusted: DataFrame, days: DataFrame | None = None) -> DataFrame:
+    """Raw bars with their adjusted twin by (symbol, timestamp) and its factor; unmatched bars drop, later twins win.
+
+    With the calendar's days (calendar_date, session_date, open_utc) a bar's session_open is told too, and a bar that
+    stands on no session (or on a date outside the calendar) is an error.
+    """
     twin = latest(adjusted, ["symbol", "ts"], ["seq"]).select("symbol", "ts", F.col("open").alias("adjusted_open"), F.col("high").alias("adjusted_high"), F.col("low").alias("adjusted_low"), F.col("close").alias("adjusted_close"))
     out = raw.join(twin, ["symbol", "ts"])
-    return out.withColumn("adjustment_factor", F.col("adjusted_close") / F.col("close")).withColumn("session_date", F.to_date(F.from_utc_timestamp("ts", "America/New_York")))
+    out = out.withColumn("adjustment_factor", F.col("adjusted_close") / F.col("close")).withColumn("session_date", F.to_date(F.from_utc_timestamp("ts", "America/New_York")))
+    if days is None:
+        return out
+    opens = days.where("calendar_date = session_date").select("session_date", F.col("open_utc").alias("_open"))
+    none = F.raise_error(F.concat(F.lit("no session on "), F.col("session_date").cast("string"))).cast("timestamp")
+    return out.join(opens, "session_date", "left").withColumn("session_open", F.when(F.col("_open").isNotNull(), F.col("_open")).otherwise(none)).drop("_open")
 
 
 def ranked_bars(bars: DataFrame) -> DataFrame:

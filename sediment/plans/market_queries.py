@@ -157,6 +157,22 @@ def j5(spark, sf_dir):
     return out.select(F.col("symbol").alias("user_id"), F.unix_micros("ts").alias("us"), F.round("adjustment_factor", 6).alias("adjustment_factor"))
 
 
+# A raw bar a supplier and session of its parts' dates, one hour into the session; the adjusted one is half of it, and
+# missing for every seventh supplier.
+P8_SQL = f"""WITH {B.days_sql(1994, 2002)}, s AS (SELECT DISTINCT l_suppkey AS symbol, session_date, open_utc FROM lineitem JOIN days ON CAST(l_shipdate AS DATE) = calendar_date WHERE year(l_shipdate) BETWEEN 1994 AND 2001)
+SELECT symbol, strftime(session_date, '%Y-%m-%d') AS day, epoch_us(open_utc) AS open_us, epoch_us(open_utc + INTERVAL 1 HOUR) AS source_us, 0.5::DOUBLE AS adjustment_factor FROM s WHERE symbol % 7 <> 0"""
+
+
+@query("P8", P8_SQL)
+def p8(spark, sf_dir):
+    days = B.order_days(spark)
+    ship = B.table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("symbol"), F.col("l_shipdate").cast("date").alias("calendar_date")).where("year(calendar_date) between 1994 and 2001")
+    at = ship.join(days, "calendar_date").select("symbol", (F.col("open_utc") + F.expr("interval 1 hour")).alias("ts")).distinct()
+    ohlc = lambda d, k: d.select("symbol", "ts", F.lit(1).alias("seq"), *[F.lit(100.0 * k).alias(c) for c in ("open", "high", "low", "close")])
+    out = market.paired_bars(ohlc(at, 1), ohlc(at.where("symbol % 7 != 0"), 0.5), days)
+    return out.select("symbol", F.col("session_date").cast("string").alias("day"), F.unix_micros("session_open").alias("open_us"), F.unix_micros("ts").alias("source_us"), "adjustment_factor")
+
+
 @query("W7", f"WITH {B.BARS_SQL} SELECT security_id, strftime(session_date, '%Y-%m-%d') AS day, round(close / lag(close) OVER (PARTITION BY security_id ORDER BY ts) - 1, 8) AS ret FROM bars")
 def w7(spark, sf_dir):
     return market.ranked_bars(B.bars(spark, sf_dir)).select("security_id", F.col("session_date").cast("string").alias("day"), F.round("ret", 8).alias("ret"))

@@ -72,6 +72,18 @@ def test_estimation_window_takes_the_last_252(spark):
     assert r.n_obs == 252 and r.alpha == pytest.approx(1e-4) and r.beta_market == pytest.approx(1)
 
 
+def test_bars_outside_sessions_are_refused(spark):
+    from sediment.operators.calendar import calendar
+
+    bar = lambda *at: spark.createDataFrame([("X", datetime(*a), 1, 10.0, 12.0, 9.0, 11.0) for a in at], "symbol string, ts timestamp, seq int, open double, high double, low double, close double")
+    days = calendar(spark, 2024, 2024)
+    (r,) = market.paired_bars(bar((2024, 1, 2, 5)), bar((2024, 1, 2, 5)), days).collect()
+    assert (r.session_date.isoformat(), r.session_open, r.adjustment_factor) == ("2024-01-02", datetime(2024, 1, 2, 14, 30), 1.0)
+    for off in ((2024, 1, 6, 15), (2024, 1, 1, 15), (2031, 1, 2, 15)):
+        with pytest.raises(Exception, match="no session on"):
+            market.paired_bars(bar(off), bar(off), days).collect()
+
+
 def test_latest_versions(spark):
     t = datetime(2024, 1, 1)
     df = spark.createDataFrame([(1, t.date(), t + timedelta(k), k, s) for k, s in ((1, "a"), (3, "b"), (2, "a"))], "security_id long, session_date date, source_received_at timestamp, bar_id long, source string")
