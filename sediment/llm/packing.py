@@ -16,10 +16,31 @@ from pyspark.sql import functions as F
 
 from .common import WS_CHARS, stored, trim
 
-#: Words whose ids a worker remembers, at most (about 200 bytes each); beyond it the memory starts afresh.
+#: Words, and pieces of words, whose ids a worker remembers in each of two generations (about 200 bytes each).
 REMEMBERED = 250_000
 
 
+class Memory(dict):
+    """What a worker has met: when the younger generation is full it becomes the older one, and what that held and nobody
+    has asked for since is forgotten. Common words are met again soon, so they stay."""
+
+    def __init__(self, make):
+        self.make, self.older = make, {}
+
+    def __missing__(self, key: str) -> bytes:
+        if (found := self.older.get(key)) is None:
+            found = self.make(key)
+        if len(self) >= REMEMBERED:
+            self.older = dict(self)
+            self.clear()
+        self[key] = found
+        return found
+
+    def forget(self) -> None:
+        self.clear()
+        self.older = {}
+
+
 class Tokens:
     """Ids of texts by a public tokenizer, word by word: its pattern never spans ASCII white space, so a text's ids are
     its words' ids. Each word is encoded once and remembered. Words of ASCII and Latin-1 letters go straight to the
@@ -40,34 +61,24 @@ class Tokens:
         rest = [b for b in range(256) if b not in printable]
         table = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(rest)}
         self.bytes = [table[b] for b in range(256)]
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-        self.blank = str.maketrans(WS_CHARS, " " * len(WS_CHARS))
+        self.words, self.pieces = Memory(self.word), Memory(self.piece)
 
     def piece(self, p: str) -> bytes:
-        if (ids := self.pieces.get(p)) is None:
-            mapped = p if p.isascii() else "".join([self.bytes[b] for b in p.encode()])
-            ids = self.pieces[p] = array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
-        return ids
+        mapped = p if p.isascii() else "".join([self.bytes[b] for b in p.encode()])
+        return array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
 
     def word(self, w: str) -> bytes:
         if self.PLAIN.fullmatch(w) and not self.added.search(w):
-            ids = b"".join([self.piece(p) for p in self.PIECES.findall(w.lower())])
-        else:
-            ids = array("I", self.whole.encode(w, add_special_tokens=False).ids).tobytes()
-        self.words[w] = ids
-        return ids
+            pieces = self.pieces
+            return b"".join([pieces[p] for p in self.PIECES.findall(w.lower())])
+        return array("I", self.whole.encode(w, add_special_tokens=False).ids).tobytes()
 
     def ids(self, text: str) -> bytes:
         for c in WS_CHARS[1:]:
             if c in text:
                 text = text.replace(c, " ")
-        if len(self.words) > REMEMBERED:
-            self.words.clear()
-        if len(self.pieces) > REMEMBERED:
-            self.pieces.clear()
-        get, word = self.words.get, self.word
-        return b"".join([word(w) if (i := get(w)) is None else i for w in text.split(" ") if w])
+        words = self.words
+        return b"".join([words[w] for w in text.split(" ") if w])
 
 
 @lru_cache(maxsize=2)
@@ -134,8 +145,8 @@ def pack(df: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, pie
     A document's ids are its text's by the tokenizer file and end_id. Whole windows of a document are sequences of
     their own; its rest is cut into near-equal pieces of at most `piece` ids, or of `crumb` ids for one document in
     `crumbled`, whose small pieces let the differencing end nearly level. Pieces are dealt into groups of about
-    `group_windows` windows by a hash of their number, and each group is packed by differencing; groups are all the
-    driver or a task ever holds. Only (id, start, length, crc) rows are shuffled, never texts or ids.
+    `group_windows` windows by a hash of their number, and each group is packed by differencing; groups are all that a
+    task ever holds. Only (id, start, length, crc) rows of such pieces are shuffled, never whole windows, texts or ids.
 
     Per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset (all long). Sequences are padded by the
     consumer: 2048 less the sum of their lengths.
@@ -161,27 +172,21 @@ def pack(df: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, pie
                     start = e
             cols = list(zip(*out)) or [[]] * 5
             yield pa.record_batch([pa.array(c, pa.int64()) for c in cols], ["id", "start", "length", "ids_crc32", "doc_tokens"])
-        enc.words.clear()  # the worker may go on to another stage
-        enc.pieces.clear()
+        enc.words.forget()  # the worker may go on to another stage
+        enc.pieces.forget()
         trim()
 
     slim = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     cuts = slim.mapInArrow(cut, "id long, start long, length long, ids_crc32 long, doc_tokens long")
     pieces = stored(cuts.withColumn("n", F.monotonically_increasing_id()), "pieces")
-    total = pieces.where(F.col("length") < window).agg(F.sum("length")).first()[0] or 0
+    parts = pieces.where(F.col("length") < window)
+    total = parts.agg(F.sum("length")).first()[0] or 0
     groups = max(1, round(total / (window * group_windows)))
 
     def windows(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("n", kind="stable").reset_index(drop=True)
         sizes = pdf["length"].to_numpy()
-        part = np.flatnonzero(sizes < window)
-        seq = np.zeros(len(pdf), np.int64)
-        k = 0
-        if len(part):
-            seq[part] = balanced(sizes[part], window)
-            k = int(seq[part].max()) + 1
-        whole = np.flatnonzero(sizes >= window)
-        seq[whole] = k + np.arange(len(whole))
+        seq = balanced(sizes, window)
         order = np.argsort(seq, kind="stable")
         run = np.cumsum(sizes[order]) - sizes[order]
         s = seq[order]
@@ -192,6 +197,9 @@ def pack(df: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, pie
         pdf["offset"] = offset
         return pdf.drop(columns=["n", "g"])
 
-    grouped = pieces.withColumn("g", F.pmod(F.xxhash64("n"), F.lit(groups))).groupBy("g")
-    out = grouped.applyInPandas(windows, "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    kinds = "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+    grouped = parts.withColumn("g", F.pmod(F.xxhash64("n"), F.lit(groups))).groupBy("g").applyInPandas(windows, kinds)
+    # A whole window is a sequence by itself, numbered beyond all those of groups.
+    whole = pieces.where(F.col("length") >= window).withColumn("sequence_id", F.col("n") + F.lit(1 << 62)).withColumn("offset", F.lit(0).cast("long"))
+    out = grouped.unionByName(whole.drop("n"))
     return out.withColumnRenamed("id", id_col)
