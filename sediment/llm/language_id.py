@@ -9,12 +9,13 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh, trim
 
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 APART = re.compile(r"[\W\d_]+")
 UNKNOWN = "und"
 
@@ -207,7 +208,14 @@ class Parser:
         return codes.astype(np.uint16 if len(self.coding) < 1 << 16 else np.uint32)
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        out: list[tuple[str, float]] = [(UNKNOWN, 0.0)] * len(texts)
+        """(language, score) of each text."""
+        return [t[:2] for t in self.judge(texts, [None] * len(texts))]
+
+    def judge(self, texts: list[str | None], labels: list[str | None]) -> list[tuple[str, float, float | None]]:
+        """(language, score, against) of each text: against is how many times as many normalised phrases the text needs in
+        its label's language as in the one predicted; None where the label is none that was learned."""
+        out: list[tuple[str, float, float | None]] = [(UNKNOWN, 0.0, None)] * len(texts)
+        at = {lang: k for k, lang in enumerate(self.langs)}
         known = [i for i, t in enumerate(texts) if t is not None and self.langs and LETTER.search(t)]
         if not known:
             return out
@@ -223,7 +231,8 @@ class Parser:
             best = min(range(len(raw)), key=lambda k: (raw[k], self.langs[k]))
             _, rate, bits = self.parts[best]
             spread = sum(2.0 ** -min(1000.0, (n - raw[best]) * rate * bits) for n in raw)
-            out[i] = (self.langs[best], 1.0 / spread)
+            k = at.get(labels[i])
+            out[i] = (self.langs[best], 1.0 / spread, None if k is None else float(raw[k] / raw[best]) if raw[best] else 1.0)
         return out
 
 
@@ -273,8 +282,9 @@ def hash_order(text: str) -> tuple:
     return hashlib.md5(text.encode()).digest(), text
 
 
-def identify(df: DataFrame, model: tuple[tuple[str, str], ...], text_col: str = "text") -> DataFrame:
-    """df with lang_pred string and score double.
+def identify(df: DataFrame, model: tuple[tuple[str, str], ...], text_col: str = "text", label_col: str | None = None) -> DataFrame:
+    """df with lang_pred string and score double, and with label_col also against double: how many times as many phrases
+    the text needs in its label's language as in the one predicted (null for labels that were not learned).
 
     Letters alone are compared, lower-cased; whatever stands between them counts as one space. The whole text is cut, for each language, into the longest phrases that the language's labelled text holds (walked
     on its suffix automaton); the phrases are divided by those the language needs on text of its own that its automaton
@@ -286,22 +296,26 @@ def identify(df: DataFrame, model: tuple[tuple[str, str], ...], text_col: str =
     the language first by name; empty tables give empty results; columns named as the results are replaced.
     """
 
-    @F.pandas_udf("lang_pred string, score double")
-    def predicted(texts: pd.Series) -> pd.DataFrame:
+    told = ["lang_pred", "score", "against"]
+
+    @F.pandas_udf("lang_pred string, score double, against double")
+    def predicted(texts: pd.Series, labels: pd.Series) -> pd.DataFrame:
         p, rows = parser(model), []
         ends = np.cumsum([0, *(len(t) if t is not None else 0 for t in texts)])
         i = 0
         while i < len(texts):  # bounds what is held beside the batch
             j = max(i + 1, int(np.searchsorted(ends, ends[i] + AT_A_TIME, "right")) - 1)
-            rows += p.predict(texts.iloc[i:j].tolist())
+            rows += p.judge(texts.iloc[i:j].tolist(), labels.iloc[i:j].tolist())
             trim()
             i = j
-        return pd.DataFrame(rows, columns=["lang_pred", "score"])
+        return pd.DataFrame(rows, columns=told)
 
-    out = df.drop("lang_pred", "score")
+    kept = told if label_col else told[:2]
+    label = F.col(label_col).cast("string") if label_col else F.lit(None).cast("string")
+    out = df.drop(*kept) if label_col not in kept else df
     (pair,) = fresh(out.columns, "pair")
-    out = out.withColumn(pair, predicted(F.col(text_col)))
-    return out.select("*", f"{pair}.lang_pred", f"{pair}.score").drop(pair)
+    out = out.withColumn(pair, predicted(F.col(text_col), label)).drop(*kept)
+    return out.select("*", *[f"{pair}.{c}" for c in kept]).drop(pair)
 
 
 def lettered(text: Column) -> Column:

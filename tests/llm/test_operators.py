@@ -1,7 +1,9 @@
 """Each operator against a plain version, on odd rows, and on an empty table."""
 
 import hashlib
+import random
 import re
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
@@ -357,6 +359,56 @@ def test_language_id_learns_from_copies(spark):
     assert all(r["lang"] == r["lang_pred"] for r in pred)
 
 
+def test_letters_alone_make_a_language(spark):
+    """Number signs are no letters; ordinals, modifiers and letters of any script are."""
+    from sediment.llm.language_id import identify, lettered
+
+    odd = {"½ ² Ⅷ": False, "①": False, "٣ १": False, "_ - \u0301": False, "": False, None: False, "ª": True, "漢": True, "1a": True, "ʰ": True, "ǅ": True, "12 \U00010400": True}
+    df = spark.createDataFrame(list(odd.items()), "text string, want boolean")
+    model = (("aa", "some words of a language " * 40), ("bb", "autres mots d une langue " * 40))
+    assert [r["text"] for r in rows(identify(df, model)) if (r["lang_pred"] != "und") != r["want"]] == []
+    assert df.where(lettered(F.col("text")) != F.col("want")).count() == 0
+
+
+#: Ids of rows from which nothing is learned.
+UNTAUGHT = [i for i in range(900, 1000) if zlib.crc32(str(i).encode()) % 4 == 2][:7]
+
+
+def two_languages(spark):
+    rng = random.Random(8)
+    made = {k: ["".join(rng.choice(abc) for _ in range(rng.randint(2, 6))) for _ in range(150)] for k, abc in (("en", "abcdefghij"), ("fr", "klmnopqrst"))}
+    text = lambda k, n: " ".join(rng.choice(made[k]) for _ in range(n))
+    data = [(i, text(k, 120), k) for i, k in enumerate(["en", "fr"] * 60)]
+    odd = [(text("fr", 120), "en"), (text("en", 120), "fr"), (text("en", 60) + " " + text("fr", 60), "en"), (text("fr", 90), None), (text("en", 90), "xx"), ("12", "en"), (None, "fr")]
+    data += [(i, *r) for i, r in zip(UNTAUGHT, odd)]
+    return spark.createDataFrame([(*r, "s", 1) for r in data], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+
+
+def test_pipeline_rejects_wrong_languages(spark):
+    """A text in another language than its label's goes; one of two languages stays; null labels are told, unknown ones kept."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    docs = two_languages(spark)
+    out = {r.doc_id: r for r in corpus_pipeline.language_id(spark, docs, "").collect()}
+    both, null, unknown = UNTAUGHT[2:5]
+    assert set(out) == {*range(120), both, null, unknown}
+    assert out[both].lang == "en" and out[null].lang == "fr" and out[unknown].lang == "xx" and all(out[i].lang == ("en", "fr")[i % 2] for i in range(120))
+    clash = docs.withColumns({c: F.lit(c) for c in ("lang_pred", "score", "against", "row", "of", "label")})
+    told = corpus_pipeline.language_id(spark, clash, "")
+    assert told.columns == clash.columns and {r.doc_id for r in told.collect()} == set(out) and told.where("row != 'row' or against != 'against'").count() == 0
+
+
+def test_judged_against_the_label(spark):
+    from sediment.llm.language_id import identify, train
+
+    docs = two_languages(spark)
+    model = train(docs.where("doc_id < 120"), F.lit(True))
+    told = {r["doc_id"]: r for r in rows(identify(docs, model, "text", "lang"))}
+    fr, en, both, null, unknown, digits, nothing = (told[i] for i in UNTAUGHT)
+    assert all(told[i]["against"] == 1.0 for i in range(120)) and fr["against"] > 2 < en["against"] and 1 <= both["against"] < 2
+    assert null["against"] is None and unknown["against"] is None and digits["lang_pred"] == nothing["lang_pred"] == "und"
+    assert "against" not in identify(docs, model).columns
+
+
 def test_pipeline_language_id_without_labels(docs, spark):
     from pyspark.sql import functions as F
 
@@ -410,7 +462,7 @@ def plain_language(model, text):
             n += 1
         return n
 
-    if text is None or not re.search(r"[^\W\d_]", text):
+    if text is None or not any(unicodedata.category(c)[0] == "L" for c in text):
         return "und", 0.0
     letters = re.sub(r"[\W\d_]+", " ", text.lower())
     raw = []
@@ -700,11 +752,37 @@ def test_no_name_clashes(docs):
         assert all(r[c] == f"{c}/{r['doc_id']}" for r in rows(out) for c in own), name
 
 
+def test_a_full_memory_changes_nothing(spark, monkeypatch):
+    """Ids with room for three words and pieces in a generation."""
+    import public_tokenizers
+
+    from sediment.llm import packing
+
+    texts = ["to be, or not to be: that's it. " * 5, "né À l'été <|endoftext|> 12 12", "one two three four five one two six one"]
+    path = str(public_tokenizers.path("word_bpe_49k.json"))
+    want = [packing.Tokens(path).ids(t) for t in texts]
+    monkeypatch.setattr(packing, "REMEMBERED", 3)
+    few = packing.Tokens(path)
+    assert [few.ids(t) for t in texts] == want and len(few.words) <= 3 and len(few.words.older) <= 3
+
+
+def test_whole_windows_skip_the_groups(spark):
+    import public_tokenizers
+
+    from sediment.llm.packing import pack
+
+    df = spark.createDataFrame([(i, "word " * (2047 if i % 2 else 4100)) for i in range(12)], "doc_id long, text string").repartition(3)
+    out = rows(pack(df, str(public_tokenizers.path("word_bpe_49k.json"))))
+    whole = [r for r in out if r["length"] == 2048]
+    assert len(whole) == 6 + 12 and len({r["sequence_id"] for r in whole}) == 18 and {r["offset"] for r in whole} == {0}
+    assert not {r["sequence_id"] for r in whole} & {r["sequence_id"] for r in out if r["length"] < 2048}
+
+
 def plain_pipeline(data):
     """(id, text, source) rows to the documents that the pipeline packs, a row each time one is taken."""
     low = lambda t: re.sub(r"[A-Z]", lambda m: m[0].lower(), t)
     big = (1 << 62, "")
-    data = [r for r in data if r[1] is not None and re.search(r"[^\W\d_]", r[1])]
+    data = [r for r in data if r[1] is not None and any(unicodedata.category(c)[0] == "L" for c in r[1])]
     key = lambda x: low(x.strip(" \t\n\x0b\x0c\r"))
     owner = {}
     for d, t, _ in data:
