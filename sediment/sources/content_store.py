@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import time
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -39,7 +41,9 @@ class ContentStore(DataSource):
 
     Tasks write new bodies into a staging folder of the job. When all have ended the driver moves each into place, if no
     other task's twin stands there: a rename a new body, no byte passes the driver. A failed or killed job, and attempts
-    of tasks that were given up, leave nothing but what stood there before; a rerun finds all bodies and writes none.
+    of tasks that were given up, leave nothing but what stood there before: the staging folder is made before tasks start
+    and goes when the job ends, and a task that is still at work then has nowhere to write. A rerun finds all bodies and
+    writes none.
     """
 
     @classmethod
@@ -58,6 +62,8 @@ class ContentStore(DataSource):
 class ContentWriter(DataSourceWriter):
     def __init__(self, root: str):
         self.root, self.job = root, uuid.uuid4().hex
+        fs, path = filesystem(root)
+        fs.create_dir(f"{path}/_staging/{self.job}", recursive=True)
 
     def write(self, rows: Iterator) -> Staged:
         from pyarrow.fs import FileType
@@ -72,7 +78,7 @@ class ContentWriter(DataSourceWriter):
             if name in names or fs.get_file_info(f"{root}/{name}").type != FileType.NotFound:
                 continue
             if not names:
-                fs.create_dir(folder, recursive=True)
+                fs.create_dir(folder, recursive=False)
             names[name] = True
             with fs.open_output_stream(f"{folder}/{name.replace('/', '_')}") as f:
                 f.write(body)
@@ -95,10 +101,15 @@ class ContentWriter(DataSourceWriter):
     def clean(self, fs, root: str) -> None:
         from pyarrow.fs import FileSelector, FileType
 
-        if fs.get_file_info(f"{root}/_staging/{self.job}").type != FileType.NotFound:
-            fs.delete_dir(f"{root}/_staging/{self.job}")
-        if fs.get_file_info(f"{root}/_staging").type != FileType.NotFound and not fs.get_file_info(FileSelector(f"{root}/_staging")):
-            fs.delete_dir(f"{root}/_staging")
+        for wait in (0, 0.1, 0.5, 2):  # a task that has not heard of the end may have written meanwhile
+            time.sleep(wait)
+            with contextlib.suppress(OSError):
+                if fs.get_file_info(f"{root}/_staging/{self.job}").type == FileType.NotFound:
+                    break
+                fs.delete_dir(f"{root}/_staging/{self.job}")
+        with contextlib.suppress(OSError):  # another job's is left alone
+            if not fs.get_file_info(FileSelector(f"{root}/_staging")):
+                fs.delete_dir(f"{root}/_staging")
 
 
 def store_bodies(df: DataFrame, path: str, body: str = "body", suffix: str = "suffix") -> None:

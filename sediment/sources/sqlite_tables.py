@@ -5,7 +5,9 @@ from __future__ import annotations
 import contextlib
 import glob
 import os
+import shutil
 import sqlite3
+import time
 import uuid
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -154,6 +156,7 @@ class SqliteWriter(D.DataSourceWriter):
             raise ValueError(f"SQLite has no type for {wrong}")
         self.root, self.table, self.job = local(options["path"]).rstrip("/"), options["table"], uuid.uuid4().hex
         self.columns = [(f.name, AFFINITY[type(f.dataType)]) for f in schema]
+        os.makedirs(self.staging)  # goes when the job ends; a task that is still at work then has nowhere to write
 
     @property
     def staging(self) -> str:
@@ -163,7 +166,6 @@ class SqliteWriter(D.DataSourceWriter):
         first = next(rows, None)
         if first is None:
             return PartFile(None)
-        os.makedirs(self.staging, exist_ok=True)
         path = f"{self.staging}/part-{uuid.uuid4().hex}.sqlite"
         with contextlib.closing(sqlite3.connect(path)) as c:
             c.execute(f"CREATE TABLE {quoted(self.table)} ({', '.join(f'{quoted(n)} {t}' for n, t in self.columns)})")
@@ -180,10 +182,11 @@ class SqliteWriter(D.DataSourceWriter):
         self.abort(messages)
 
     def abort(self, messages: list[PartFile | None]) -> None:
-        if os.path.isdir(self.staging):
-            for name in os.listdir(self.staging):
-                os.remove(f"{self.staging}/{name}")
-            os.rmdir(self.staging)
+        for wait in (0, 0.1, 0.5, 2):  # a task that has not heard of the end may have opened a file meanwhile
+            time.sleep(wait)
+            shutil.rmtree(self.staging, ignore_errors=True)
+            if not os.path.isdir(self.staging):
+                break
 
 
 def read_sqlite(spark, path: str, table: str, schema: str | StructType | None = None, partitions: int = 4) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import os
 import sqlite3
+import time
 from hashlib import sha256
 from pathlib import Path
 
@@ -36,6 +37,8 @@ def test_a_failed_write_leaves_nothing(spark, tmp_path):
     with pytest.raises(Exception, match="broken row"):
         content_store.store_bodies(fails, str(tmp_path))
     assert names(tmp_path) == before and not (tmp_path / "_staging").exists()
+    time.sleep(3)  # tasks that were still at work have ended
+    assert names(tmp_path) == before
     with pytest.raises(Exception, match="append"):
         df.write.format(content_store.FORMAT).mode("overwrite").option("path", str(tmp_path)).save()
 
@@ -60,6 +63,14 @@ def test_tables_go_and_come_back(spark, folder):
     assert dict(found.dtypes) == {"id": "bigint", "name": "string", "amount": "double", "raw": "binary", "even": "bigint"} and found.count() == 1000
 
 
+def test_a_failed_table_leaves_nothing(spark, tmp_path):
+    bad = spark.range(0, 400, 1, 8).withColumn("x", F.when(F.col("id") == 333, F.raise_error(F.lit("broken row"))).otherwise("x"))
+    with pytest.raises(Exception, match="broken row"):
+        sqlite_tables.write_sqlite(bad, str(tmp_path), "t")
+    time.sleep(2)
+    assert os.listdir(tmp_path) == []
+
+
 @pytest.mark.parametrize("condition", ["id > 990", "id >= 10 and id < 20", "name = 'name 3'", "name in ('name 1', 'name 2') and amount <= 30.25", "name is null", "name is not null and length(name) = 6", "id = 5 or id = 7", "name <=> null"])
 def test_filters_and_columns_are_sqlites(spark, folder, condition):
     got = sqlite_tables.read_sqlite(spark, folder, "t", "id long, name string, amount double").where(condition)
