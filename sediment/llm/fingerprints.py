@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import range_index, split_ranges, stored
+from .common import fresh, numbered, range_index, split_ranges, stored
 
 #: Two primes near 2^31 and a base for each.
 PRIMES = (2147483647, 2147483629)
@@ -106,14 +106,16 @@ def likeness(a: str, b: str, keep: int = 64) -> float:
 
 
 def successors(df: DataFrame, id_col: str, text_col: str, range_bytes: int = 4 << 20, most_ranges: int = 4096) -> DataFrame:
-    """Rows (r, marker, _k1, _k2, id, text) dealt by ranges in descending id and sorted: the next row of a range is the
+    """Rows (r, marker, _k1, _k2, _k3, id, text) dealt by ranges in descending id and sorted: the next row of a range is the
     next document, and each range ends with a marker, a copy of the next range's first document (after the last: of the
-    first). Ranges come from size-weighted sampled splitters over (id, hash of text), so texts are shuffled once and
-    neither a null id nor any id that a third of the rows hold makes one task larger."""
+    first). Ranges come from size-weighted sampled splitters over (id, hash of text, the row's place), so texts are
+    shuffled once, and neither a null id, nor an id, nor a row that a third of the rows repeat makes one task larger."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = df.select(F.coalesce(F.bitwise_not(F.col(id_col).cast("long")), F.lit((1 << 63) - 1)).alias("_k1"), F.xxhash64(text).alias("_k2"), F.col(id_col).cast("long").alias("id"), text.alias("text"))
-    keys = stored(rows.select("_k1", "_k2", (F.octet_length("text") + 1).cast("long").alias("size")), "fingerprint-keys")
-    cols = ["_k1", "_k2"]
+    (place,) = fresh(df.columns, "place")
+    keyed = [F.coalesce(F.bitwise_not(F.col(id_col).cast("long")), F.lit((1 << 63) - 1)).alias("_k1"), F.xxhash64(text).alias("_k2"), F.col(place).alias("_k3")]
+    rows = numbered(df, place).select(*keyed, F.col(id_col).cast("long").alias("id"), text.alias("text"))
+    cols = ["_k1", "_k2", "_k3"]
+    keys = stored(rows.select(*cols, (F.octet_length("text") + 1).cast("long").alias("size")), "fingerprint-keys")
     total = keys.agg(F.sum("size")).first()[0] or 0
     parts = int(min(most_ranges, max(1, total // range_bytes)))
     bounds, sizes = split_ranges(keys, cols, "size", parts, max(4096, 4 * parts))
@@ -121,9 +123,9 @@ def successors(df: DataFrame, id_col: str, text_col: str, range_bytes: int = 4 <
     full = sorted(heads)
     before = {r: full[i - 1] for i, r in enumerate(full)}
     lit = lambda k: f"struct({', '.join(f'bigint({v!r}) as {c}' if v > -(1 << 63) else f'-9223372036854775808L as {c}' for c, v in zip(cols, k))})"
-    table = f"array({', '.join(lit(heads.get(r, (0, 0))) for r in range(len(sizes)))})"
+    table = f"array({', '.join(lit(heads.get(r, (0, 0, 0))) for r in range(len(sizes)))})"
     last = f"array({', '.join(str(before.get(r, 0)) for r in range(len(sizes)))})"
-    target = F.expr(f"if(struct(_k1, _k2) = get({table}, r), array(struct(r as r, 0 as marker), struct(get({last}, r) as r, 1 as marker)), array(struct(r as r, 0 as marker)))")
+    target = F.expr(f"if(struct({", ".join(cols)}) = get({table}, r), array(struct(r as r, 0 as marker), struct(get({last}, r) as r, 1 as marker)), array(struct(r as r, 0 as marker)))")
     dealt = rows.withColumn("r", range_index(cols, bounds)).withColumn("_t", F.explode(target)).select("_t.r", "_t.marker", *cols, "id", "text")
     # Several small ranges meet in a task, so that hashing deals them evenly; past the most ranges each has its own.
     tasks = len(full) if parts == most_ranges else -(-len(full) // 4)
@@ -140,18 +142,18 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Defined cases: null text is empty; an empty text has an empty fingerprint, at likeness 1 to another empty one and 0
     to others; null ids come last, in order of their texts' hashes, as do rows of equal ids; repeated rows each have a
-    row; a single document is its own next one; an empty table gives an empty result; other columns are not read.
+    row, in order of their places; a single document is its own next one; an empty table gives an empty result; other columns are not read.
     """
 
     def run(batches):
-        held = None  # (range, id, text) that waits for its next document
+        held = None  # (range, id, text, its prefixes and fingerprint) that waits for its next document
         out: list[tuple] = []
 
-        def told(doc, text, following):
+        def told(doc, text, a, own, following, nxt):
             half = len(text) // 2
             edited = text[: len(text) - half] + following[:half]
-            a, b = Prefixes(text), Prefixes(edited)
-            own, new, nxt = fingerprint(a, k, keep), fingerprint(b, k, keep), fingerprint(Prefixes(following), k, keep)
+            b = Prefixes(edited)
+            new = fingerprint(b, k, keep)
             out.append((doc, a.n, hashlib.sha256(edited.encode()).hexdigest(), own, new, likeness(own, new, keep), likeness(own, nxt, keep), a.extension(0, b, 0)))
 
         def batch():
@@ -164,9 +166,11 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 if held and held[0] != r:
                     held = None
                 text = text.as_py()
+                prefixes = Prefixes(text)
+                own = fingerprint(prefixes, k, keep)
                 if held:
-                    told(held[1], held[2], text)
-                held = None if marker else (r, doc, text)
+                    told(*held[1:], text, own)
+                held = None if marker else (r, doc, text, prefixes, own)
                 if len(out) >= 1000:
                     yield batch()
         yield batch()
