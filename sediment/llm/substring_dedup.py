@@ -19,7 +19,8 @@ SEED = 10
 
 
 def anchors(block: Block, length: int, seed: int = SEED):
-    """Winnowed anchors of a block: (document, first window, windows, seed hash, span hash), arrays of one entry each.
+    """Winnowed anchors of a block: (document, first window, windows, seed hash, span hash, its second lane), arrays of
+    one entry each.
 
     Every window of `length` words picks the smallest hash among its runs of `seed` words, the last of equals, so equal
     windows pick the same run wherever they stand. Windows in a row that pick the same run share one anchor; its span,
@@ -51,7 +52,7 @@ def anchors(block: Block, length: int, seed: int = SEED):
     windows = np.diff(np.r_[first, len(at)])
     start, seeds, doc = at[first], pick[first], doc[first]
     span = block.runs(start, windows + length - 1) ^ ((seeds - start).astype(U) * U(0x9E3779B97F4A7C15))
-    return doc, start - block.first[doc], windows, g[seeds], span
+    return doc, start - block.first[doc], windows, g[seeds], span, block.check(start, windows + length - 1)
 
 
 def repeated_runs(df: DataFrame, length: int, id_col: str, text_col: str) -> DataFrame:
@@ -61,7 +62,8 @@ def repeated_runs(df: DataFrame, length: int, id_col: str, text_col: str) -> Dat
     the same whole span are one class, and all its windows are repeated in every document but its first. Where a seed
     extends differently in several classes (at the ends of shared passages and around edits), the extension is followed
     window by window for the first document of each class. Nothing lists pairs: a passage in a third of all documents
-    costs one row an anchor and document, and its minima are aggregated before they are shuffled.
+    costs one row an anchor and document, and its minima are aggregated before they are shuffled. Spans and windows are
+    equal where two hashes of their own kinds are (126 bits); a seed's hash alone only says where to look.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), F.xxhash64(text).alias("rk"), text.alias("text"))
@@ -71,18 +73,18 @@ def repeated_runs(df: DataFrame, length: int, id_col: str, text_col: str) -> Dat
             ids, rks = b.column(0).to_numpy(), b.column(1).to_numpy()
             for i, _, block in blocks(b.column(2), False):
                 if (found := anchors(block, length)) is not None:
-                    doc, start, windows, g, span = found
-                    yield pa.record_batch([pa.array(x) for x in (g.view(np.int64), span.view(np.int64), ids[i + doc], rks[i + doc], start.astype(np.int32), windows.astype(np.int32))], ["g", "s", "id", "rk", "start", "windows"])
+                    doc, start, windows, g, span, lane = found
+                    yield pa.record_batch([pa.array(x) for x in (g.view(np.int64), span.view(np.int64), lane.view(np.int64), ids[i + doc], rks[i + doc], start.astype(np.int32), windows.astype(np.int32))], ["g", "s", "t", "id", "rk", "start", "windows"])
         trim()
 
-    found = stored(docs.mapInArrow(seeds, "g long, s long, id long, rk long, start int, windows int"), "anchors")
+    found = stored(docs.mapInArrow(seeds, "g long, s long, t long, id long, rk long, start int, windows int"), "anchors")
     shared = found.groupBy("g").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("many")).where("lo < hi").select("g", "many")
     shared = stored(shared, "shared-seeds")
     found_again = stored(join_hot(found, shared, "g", "many", "inner").drop("many"), "shared-anchors")
     discard(found)
-    classes = stored(found_again.groupBy("g", "s").agg(F.min("id").alias("owner"), F.count("*").alias("n")), "anchor-classes")
+    classes = stored(found_again.groupBy("g", "s", "t").agg(F.min("id").alias("owner"), F.count("*").alias("n")), "anchor-classes")
     several = stored(classes.groupBy("g").agg(F.count("*").alias("classes"), F.sum("n").alias("many")).where("classes > 1").select("g", "many"), "open-seeds")
-    owned = join_hot(found_again.withColumn("c", F.xxhash64("g", "s")), classes.select(F.xxhash64("g", "s").alias("c"), "owner", "n"), "c", "n", "inner")
+    owned = join_hot(found_again, classes, ["g", "s", "t"], "n", "inner")
     stop = (F.col("start") + F.col("windows") + F.lit(length - 1)).cast("int").alias("stop")
     whole = owned.where("id > owner").select("id", "rk", "start", stop)
     owners = stored(owned.where("id = owner").select("g", "id", "rk", "start", "windows"), "class-owners")
@@ -99,13 +101,13 @@ def repeated_runs(df: DataFrame, length: int, id_col: str, text_col: str) -> Dat
                     row.append(np.full(len(own), r))
                 at, row = np.concatenate(at), np.concatenate(row)
                 h = block.runs(at, length)
-                yield pa.record_batch([pa.array(x) for x in (h.view(np.int64), b.column(0).to_numpy()[row], b.column(1).to_numpy()[row], (at - block.first[row - i]).astype(np.int32))], ["h", "id", "rk", "start"])
+                yield pa.record_batch([pa.array(x) for x in (h.view(np.int64), block.check(at, length).view(np.int64), b.column(0).to_numpy()[row], b.column(1).to_numpy()[row], (at - block.first[row - i]).astype(np.int32))], ["h", "t", "id", "rk", "start"])
         trim()
 
     texts = open_.join(packed(docs), ["id", "rk"]).select("id", "rk", "packed", "spans")
-    each = stored(texts.mapInArrow(windows, "h long, id long, rk long, start int").distinct(), "windows")
-    first = stored(each.groupBy("h").agg(F.min("id").alias("owner"), F.max("id").alias("hi"), F.count("*").alias("n")).where("owner < hi").drop("hi"), "window-owners")
-    partly = join_hot(each, first, "h", "n", "inner").where("id > owner").select("id", "rk", "start", (F.col("start") + length).cast("int").alias("stop"))
+    each = stored(texts.mapInArrow(windows, "h long, t long, id long, rk long, start int").distinct(), "windows")
+    first = stored(each.groupBy("h", "t").agg(F.min("id").alias("owner"), F.max("id").alias("hi"), F.count("*").alias("n")).where("owner < hi").drop("hi"), "window-owners")
+    partly = join_hot(each, first, ["h", "t"], "n", "inner").where("id > owner").select("id", "rk", "start", (F.col("start") + length).cast("int").alias("stop"))
     return whole.unionByName(partly)
 
 

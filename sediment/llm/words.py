@@ -7,6 +7,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
+from .fingerprints import POWERS, PRIMES
+
 U = np.uint64
 #: Bytes of text that are hashed at a time (a longer document is a block of its own).
 BLOCK = 1 << 20
@@ -64,7 +66,8 @@ class Block:
         s = sums((FOLDED if folded else VALUES)[data], up[: len(data)])
         self.hashes = mixed((s[self.ends] - s[self.starts]) * down[self.starts] + (self.ends - self.starts).astype(U))
         self.first = np.r_[0, np.searchsorted(self.starts, ends)]
-        self.sums = None
+        self.data, self.folded = data, folded
+        self.sums = self.checks = None
 
     def runs(self, start: np.ndarray, n) -> np.ndarray:
         """Hashes of the runs of n words from the word numbers `start`."""
@@ -74,6 +77,28 @@ class Block:
         n = np.broadcast_to(np.asarray(n), start.shape)
         return mixed((self.sums[start + n] - self.sums[start]) * down[start] + n.astype(U) * U(0x9E3779B97F4A7C15))
 
+    def check(self, start: np.ndarray, n) -> np.ndarray:
+        """62-bit hashes of the same runs, by two primes and from the bytes of their words with a zero between words: a
+        second lane that texts built against a power of two (Thue-Morse words) do not defeat."""
+        if self.checks is None:
+            size = self.ends - self.starts
+            at = np.r_[0, np.cumsum(size)]  # where each word starts among the bytes of words
+            codes = self.data[~BLANK[self.data]].astype(U)
+            if self.folded:
+                codes[(codes >= 65) & (codes <= 90)] += U(32)
+            power = np.arange(len(codes)) + np.repeat(np.arange(len(size)), size)
+            POWERS.grow(len(codes) + len(size) + 1)
+            self.checks = at, []
+            for p, up in zip(PRIMES, POWERS.up):
+                s = sums((codes + U(1)) * up[power] % U(p), U(1))
+                self.checks[1].append(s % U(p))
+        at, prefixes = self.checks
+        i, j = at[start], at[start + n]
+        out = np.zeros(len(start), U)
+        for p, s, down in zip(PRIMES, prefixes, POWERS.down):
+            out = (out << U(31)) | ((s[j] + U(p) - s[i]) % U(p) * down[i + start] % U(p))
+        return out
+
 
 def blocks(text: pa.Array, folded: bool) -> Iterator[tuple[int, int, Block]]:
     """(first row, row after the last, Block) over an Arrow column of strings or binaries without nulls."""

@@ -585,6 +585,20 @@ def test_fingerprints_against_plain_version(spark):
         assert r.near_edited == pytest.approx(likeness(own, edited)) and r.near_next == pytest.approx(likeness(own, nxt))
 
 
+def test_repeated_rows_are_dealt_over_ranges(spark):
+    """A third of the rows repeat one row with a null id: no range is much larger than the others, and each row is told once."""
+    from sediment.llm.fingerprints import fingerprints, successors
+
+    data = [(None, "the same row again and again " * 3)] * 600 + [(i, f"text number {i} " * 6) for i in range(1200)]
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(5)
+    dealt = Counter(r.r for r in successors(docs, "doc_id", "text", range_bytes=6000).where("marker = 0").select("r").collect())
+    assert sum(dealt.values()) == len(data) and len(dealt) > 12
+    assert max(dealt.values()) <= 2.5 * len(data) / len(dealt)
+    out = rows(fingerprints(docs))
+    assert Counter(r["doc_id"] for r in out) == Counter(d for d, _ in data)
+    assert sum(r["near_next"] == 1 for r in out if r["doc_id"] is None) == 599
+
+
 def test_spans_and_extensions():
     from sediment.llm.fingerprints import Prefixes
 
@@ -620,6 +634,40 @@ def test_substring_dedup(docs, empty):
     assert remove_repeats(empty).count() == 0
 
 
+def thue_morse(n, a, b):
+    return "".join(b if bin(i).count("1") % 2 else a for i in range(n))
+
+
+def test_second_lane_of_word_runs():
+    """Words built so that polynomials modulo a power of two agree are told apart by the prime lane; it is the same wherever
+    a run stands and however its words are parted."""
+    import pyarrow as pa
+
+    from sediment.llm.words import blocks
+
+    texts = [thue_morse(4096, "a", "b"), thue_morse(4096, "b", "a"), "x  y\tz one two", "y z", "yz", "one two\nx y z"]
+    ((_, _, block),) = blocks(pa.array([t.encode() for t in texts], pa.large_binary()), False)
+    assert block.hashes[0] == block.hashes[1] and block.runs(np.array([0]), 1) == block.runs(np.array([1]), 1)
+    at = block.first
+    lane = lambda d, i, n: int(block.check(np.array([at[d] + i]), n)[0])
+    assert lane(0, 0, 1) != lane(1, 0, 1)
+    assert lane(2, 1, 2) == lane(3, 0, 2) == lane(5, 3, 2) != lane(4, 0, 1)
+    assert lane(2, 0, 3) == lane(5, 2, 3) and lane(2, 3, 2) == lane(5, 0, 2)
+    ((_, _, folded),) = blocks(pa.array([b"Two Words", b"two wORDS"], pa.large_binary()), True)
+    one, two = folded.check(np.array([0, 2]), 2)
+    assert one == two
+
+
+def test_substring_dedup_of_words_whose_hashes_meet(spark):
+    from sediment.llm.substring_dedup import remove_repeats
+
+    around = [f"w{i}" for i in range(60)]
+    a, b = thue_morse(4096, "a", "b"), thue_morse(4096, "b", "a")
+    text = lambda x: " ".join([*around[:25], x, *around[25:49]])
+    docs = spark.createDataFrame([(1, text(a)), (2, text(b)), (3, text(a))], "doc_id long, text string")
+    assert {r["doc_id"]: r["n_removed"] for r in rows(remove_repeats(docs))} == {1: 0, 2: 0, 3: 50}
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p>";</script></head><body class="home">
 <header><a href=/>Site</a></header><nav><ul><li><a>Home</a><li>About</ul></nav><div class="ad">Buy &amp; save</div>
 <article><h1>Head &lt;1&gt;</h1><p>One<b>two</b>
