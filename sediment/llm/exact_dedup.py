@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
@@ -12,8 +13,10 @@ from pyspark.sql import functions as F
 
 from .common import WS, fresh, join_hot, shared_dir, stored
 
-#: Bits a row, and the most bits of one filter: larger inputs are filtered in slices of the hash space, one after another.
+#: Bits a row, and the most bits of one filter: larger inputs are filtered in slices of the hash space.
 BITS_A_ROW, MOST_BITS = 16, 1 << 28
+#: Slices that run side by side (so many filters are broadcast at a time), and the tasks that deal the rows of one slice.
+SIDE, WAYS = 4, 8
 #: Words of 64 bits that are merged in one task.
 CHUNK = 1 << 16
 
@@ -68,7 +71,8 @@ def flag_repeated(keys: DataFrame, hash_col: str, rows: int) -> DataFrame:
     it touched, and chunks of words are merged on the executors. Second pass: rows whose bits are all met twice are
     flagged. A filter has 16 bits a row and 2^28 bits (32 MB) at most, and that bound is on what is broadcast. Beyond it
     the keys are dealt once into slices of the hash space, each with a filter of its own and read by itself alone, so the
-    work stays in proportion to the keys.
+    work stays in proportion to the keys; SIDE slices run at a time. A slice's rows are dealt to WAYS tasks by the task
+    they come from, so that one with a hot hash is not one task.
     """
     spark = keys.sparkSession
     slices = max(1, -(-rows * BITS_A_ROW // MOST_BITS))
@@ -99,14 +103,19 @@ def flag_repeated(keys: DataFrame, hash_col: str, rows: int) -> DataFrame:
         return filtered(keys)[0]
     base = f"{shared_dir(spark)}/sediment/dedup-slices-{uuid.uuid4().hex}"
     (number,) = fresh(keys.columns, "slice")
-    dealt = keys.withColumn(number, F.pmod(F.col(hash_col), F.lit(slices)).cast("int")).repartition(slices, number)
+    dealt = keys.withColumn(number, F.pmod(F.col(hash_col), F.lit(slices)).cast("int"))
+    dealt = dealt.repartition(slices * WAYS, number, F.pmod(F.spark_partition_id(), F.lit(WAYS)))
     dealt.write.partitionBy(number).parquet(f"{base}/keys")
     schema = keys.withColumn("maybe", F.lit(False)).schema
-    for s in sorted(r[0] for r in spark.read.parquet(f"{base}/keys").select(number).distinct().collect()):
+
+    def one(s: int) -> None:
         flagged, bits = filtered(spark.read.schema(keys.schema).parquet(f"{base}/keys/{number}={s}"))
-        flagged.write.mode("append").parquet(f"{base}/flagged")
+        flagged.write.parquet(f"{base}/flagged/{number}={s}")  # a folder each: writes into one would delete each other's
         bits.destroy()
-    return spark.read.schema(schema).parquet(f"{base}/flagged")
+
+    with ThreadPoolExecutor(SIDE) as pool:
+        list(pool.map(one, sorted(r[0] for r in spark.read.parquet(f"{base}/keys").select(number).distinct().collect())))
+    return spark.read.schema(schema).parquet(f"{base}/flagged").select(*schema.names)
 
 
 def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

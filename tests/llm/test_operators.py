@@ -214,6 +214,18 @@ def test_bloom_filters_miss_nothing(spark, monkeypatch):
     assert sum(m for h, m in got if counts[h] == 1) < 0.05 * len(got)
 
 
+def test_exact_dedup_in_slices(docs, spark, monkeypatch):
+    """Rows are the same with one filter and with a filter for each of many slices, one of which holds a third of all rows."""
+    from sediment.llm import exact_dedup
+
+    hot = spark.range(400).selectExpr("id + 10000 as doc_id", "concat('the same', repeat(' ', int(id % 3)), ' text') as text")
+    both = docs.select("doc_id", "text").unionByName(hot)
+    key = lambda df: Counter(tuple(r) for r in df.collect())
+    want = key(exact_dedup.dedup(both))
+    monkeypatch.setattr(exact_dedup, "MOST_BITS", 1 << 10)
+    assert key(exact_dedup.dedup(both)) == want
+
+
 def groups_of(data, k, num, den):
     fold = lambda t: re.sub(r"[A-Z]", lambda m: m[0].lower(), t or "")
     sets = []
