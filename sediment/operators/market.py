@@ -28,7 +28,9 @@ def paired_bars(raw: DataFrame, adjusted: DataFrame, days: DataFrame | None = No
     """
     twin = latest(adjusted, ["symbol", "ts"], ["seq"]).select("symbol", "ts", F.col("open").alias("adjusted_open"), F.col("high").alias("adjusted_high"), F.col("low").alias("adjusted_low"), F.col("close").alias("adjusted_close"))
     out = raw.join(twin, ["symbol", "ts"])
-    out = out.withColumn("adjustment_factor", F.col("adjusted_close") / F.col("close")).withColumn("session_date", F.to_date(F.from_utc_timestamp("ts", "America/New_York")))
+    # A close of 0 gives what IEEE 754 has for it (infinite, or NaN of 0 / 0) under ANSI mode too, where `/` is an error.
+    factor = F.when(F.col("close") == 0, F.col("adjusted_close") * F.pow("close", F.lit(-1.0))).otherwise(F.try_divide("adjusted_close", "close"))
+    out = out.withColumn("adjustment_factor", factor).withColumn("session_date", F.to_date(F.from_utc_timestamp("ts", "America/New_York")))
     if days is None:
         return out
     opens = days.where("calendar_date = session_date").select("session_date", F.col("open_utc").alias("_open"))

@@ -84,6 +84,13 @@ def test_bars_outside_sessions_are_refused(spark):
             market.paired_bars(bar(off), bar(off), days).collect()
 
 
+def test_a_close_of_zero_has_the_factor_of_ieee_754(spark):
+    at = datetime(2024, 1, 2, 15)
+    bar = lambda *closes: spark.createDataFrame([(f"S{i}", at, 1, 1.0, 1.0, 1.0, c) for i, c in enumerate(closes)], "symbol string, ts timestamp, seq int, open double, high double, low double, close double")
+    out = {r.symbol: r.adjustment_factor for r in market.paired_bars(bar(0.0, 0.0, -0.0, 4.0, None), bar(1.1, 0.0, 1.1, 2.0, 1.0)).collect()}
+    assert out["S0"] == np.inf and np.isnan(out["S1"]) and out["S2"] == -np.inf and out["S3"] == 0.5 and out["S4"] is None
+
+
 def test_latest_versions(spark):
     t = datetime(2024, 1, 1)
     df = spark.createDataFrame([(1, t.date(), t + timedelta(k), k, s) for k, s in ((1, "a"), (3, "b"), (2, "a"))], "security_id long, session_date date, source_received_at timestamp, bar_id long, source string")
