@@ -91,6 +91,39 @@ def test_a_close_of_zero_has_the_factor_of_ieee_754(spark):
     assert out["S0"] == np.inf and np.isnan(out["S1"]) and out["S2"] == -np.inf and out["S3"] == 0.5 and out["S4"] is None
 
 
+def test_measures_of_starts_move_no_window(spark):
+    """Each event meets one row of its own moment: what is shuffled for it doesn't grow with the bars around it."""
+    days = [d for d, _, _ in sessions(2023, 2023)][:60]
+    stock = spark.createDataFrame([b for k in (1, 2) for b in bars(k, days, 1.01, lambda i: i)], BARS)
+    moments = {1: days[0], 2: days[30], 3: days[59], 4: days[59] + timedelta(9)}  # the last is after all bars
+    events = spark.createDataFrame([(10 * k + i, k, datetime(d.year, d.month, d.day, 14, 30)) for k in (1, 2, 3) for i, d in moments.items()] + [(40, 1, None)], "event_id long, security_id long, tradable_at timestamp")
+    w = market.ahead
+    from pyspark.sql import functions as F
+
+    rows = market.timelines(events, stock, 120)
+    df = market.at_starts(events, rows, {"day": F.col("session_date"), "n": F.count("*").over(w(0, 19)), "last": F.lead("volume", 19).over(market.in_time())}, {"n": F.count("*").over(w(-19, 0)), "sum": F.sum("volume").over(w(-19, 0))})
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan
+    out = {r.event_id: r for r in df.collect()}
+    for k in (1, 2):
+        assert tuple(out[10 * k + 1]._start) == (days[0], 20, 19) and out[10 * k + 1]._prior is None
+        assert tuple(out[10 * k + 2]._start) == (days[30], 20, 49) and tuple(out[10 * k + 2]._prior) == (20, sum(range(10, 30)))
+        assert tuple(out[10 * k + 3]._start) == (days[59], 1, None) and tuple(out[10 * k + 3]._prior) == (20, sum(range(39, 59)))
+        assert out[10 * k + 4]._start is None and tuple(out[10 * k + 4]._prior) == (20, sum(range(40, 60)))
+    assert all(out[i]._start is None and out[i]._prior is None for i in (31, 32, 33, 34, 40))
+
+
+def test_deviation_with_a_first_day(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(1, 0.5, [0.1, 0.2, 0.4]), (2, None, [0.1, 0.2, 0.4]), (3, 0.5, []), (4, 0.5, [0.5]), (5, None, [0.1])]
+    df = spark.createDataFrame([(i, d, len(r), float(np.mean(r)) if r else None, float(np.var(r)) if r else None) for i, d, r in rows], "i long, d double, n long, mean double, var double")
+    got = {r.i: r.sd for r in df.select("i", market.deviation("d", "n", "mean", "var").alias("sd")).collect()}
+    for i, d, r in rows:
+        x = [v for v in [d, *r] if v is not None]
+        assert got[i] == (pytest.approx(np.std(x, ddof=1)) if len(x) > 1 else None), i
+
+
 def test_latest_versions(spark):
     t = datetime(2024, 1, 1)
     df = spark.createDataFrame([(1, t.date(), t + timedelta(k), k, s) for k, s in ((1, "a"), (3, "b"), (2, "a"))], "security_id long, session_date date, source_received_at timestamp, bar_id long, source string")
