@@ -105,6 +105,23 @@ def near(a: Column, b: Column, most: int = 2) -> Column:
     return F.levenshtein(a, b, most) >= 0
 
 
+TOKEN = re.compile(r"[A-Za-z0-9]+|[^A-Za-z0-9 \t\n]")
+
+
+def token_offsets(text: Column) -> Column:
+    """array of struct start, stop in code points of the text's tokens: runs of ASCII letters and digits, and every other
+    character but blanks, tabs and line ends by itself. Null where there are none. A row stays where it is."""
+
+    @F.pandas_udf("starts array<int>, stops array<int>")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        found = [[m.span() for m in TOKEN.finditer(t or "")] for t in texts]
+        return pd.DataFrame({"starts": [[a for a, _ in f] for f in found], "stops": [[b for _, b in f] for f in found]})
+
+    at = run(text)
+    pairs = F.zip_with(at["starts"], at["stops"], lambda a, b: F.struct(a.alias("start"), b.alias("stop")))
+    return F.when(F.size(at["starts"]) > 0, pairs)
+
+
 def token_span(text: Column, offsets: Column, start: Column, stop: Column, quote: Column | None = None) -> Column:
     """struct(first, stop) of the tokens that text[start:stop] is made of, by index in offsets; null where that is not exact.
 

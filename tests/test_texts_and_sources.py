@@ -330,3 +330,26 @@ def test_releases(spark, tmp_path):
     assert [json.dumps(r, sort_keys=True, separators=(",", ":")) for r in rows] == data.decode().splitlines()
     with pytest.raises(ValueError, match="b"):
         releases.contract(a=True, b=False)
+
+
+def test_token_offsets_stay_with_their_row(spark):
+    from pyspark.sql import functions as F
+
+    from sediment.functions import text as T
+
+    rows = [(1, "ab, \u00e9x\U0001f600 9\r\n"), (2, " \t\n"), (3, None), (4, "")]
+    df = spark.createDataFrame(rows, "i int, text string").select("i", T.token_offsets(F.col("text")).alias("o"))
+    got = {r.i: r.o and [tuple(x) for x in r.o] for r in df.collect()}
+    assert got == {1: [(0, 2), (2, 3), (4, 5), (5, 6), (6, 7), (8, 9), (9, 10)], 2: None, 3: None, 4: None}
+    assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_filings_are_normalised_in_slices(spark):
+    """A batch of any number of rows gives the same rows in order, and no more than a slice's sections are held at once."""
+    from sediment.functions import filing
+
+    page = lambda i: f"<html><body><h1>Item {i}</h1><p>Text {i} of the company.</p></body></html>".encode()
+    n = 2 * filing.SLICE + 3
+    df = spark.createDataFrame([(i, page(i), "8-K") for i in range(n)], "i int, raw binary, document_type string").coalesce(1)
+    got = {r.i: r.sections[-1].text for r in filing.normalize_filings(df).collect()}
+    assert got == {i: filing.normalized(page(i), "8-K")["sections"][-1]["text"] for i in range(n)}
