@@ -6,18 +6,24 @@ import heapq
 import re
 import zlib
 from array import array
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS_CHARS, stored, trim
+from .coded import FOLD, byte_class, raw_bytes
+from .common import stored, trim
+from .words import BLANK
 
-#: Words, and pieces of words, whose ids a worker remembers in each of two generations (about 200 bytes each).
-REMEMBERED = 250_000
+#: Pieces of words whose ids a worker remembers, and words that are no such pieces in each of two generations.
+REMEMBERED = 200_000
+#: Bytes of text that are cut into pieces at a time (a longer word makes it longer).
+STRETCH = 1 << 20
 
 
 class Memory(dict):
@@ -41,14 +47,59 @@ class Memory(dict):
         self.older = {}
 
 
+class Known:
+    """Pieces and their ids as flat arrays (about 40 bytes a piece). Beyond REMEMBERED pieces those asked for last stay, half
+    as many; common pieces are asked for again soon."""
+
+    def __init__(self, make):
+        self.make, self.clock = make, 0
+        self.forget()
+
+    def forget(self) -> None:
+        self.pieces, self.ids = pa.array([], pa.large_binary()), np.zeros(0, np.uint32)
+        self.ends, self.asked = np.zeros(1, np.int64), np.zeros(0, np.int64)
+
+    def places(self, pieces: pa.Array) -> np.ndarray:
+        """Where each of these distinct pieces stands; new ones are encoded first. The next call may move them."""
+        if len(self.pieces) > REMEMBERED:
+            kept = np.sort(np.argsort(-self.asked, kind="stable")[: REMEMBERED // 2])
+            n = np.diff(self.ends)[kept]
+            self.ids, self.ends = self.ids[spread(self.ends[kept], n)], np.r_[0, np.cumsum(n)]
+            self.pieces, self.asked = self.pieces.take(pa.array(kept)), self.asked[kept]
+        found = pc.index_in(pieces, value_set=self.pieces)
+        new = pc.is_null(found)
+        at = np.where(new.to_numpy(zero_copy_only=False), -1, found.fill_null(0).to_numpy())
+        made = pieces.filter(new)
+        if len(made):
+            ids, n = self.make(made)
+            at[at < 0] = len(self.pieces) + np.arange(len(made))
+            self.pieces = pa.concat_arrays([self.pieces, made])
+            self.ids, self.ends = np.concatenate([self.ids, ids]), np.concatenate([self.ends, self.ends[-1] + np.cumsum(n)])
+            self.asked = np.concatenate([self.asked, np.zeros(len(made), np.int64)])
+        self.clock += 1
+        self.asked[at] = self.clock
+        return at
+
+
+def spread(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The numbers first[i], first[i] + 1, ..., n[i] of them, for every i in turn."""
+    upto = np.cumsum(n)
+    return np.repeat(first - upto + n, n) + np.arange(upto[-1] if len(upto) else 0)
+
+
 class Tokens:
-    """Ids of texts by a public tokenizer, word by word: its pattern never spans ASCII white space, so a text's ids are
-    its words' ids. Each word is encoded once and remembered. Words of ASCII and Latin-1 letters go straight to the
-    vocabulary's merges; every other word, and any that holds an added token, goes through the whole tokenizer."""
+    """Ids of texts by a public tokenizer, piece by piece: its pattern never spans ASCII white space, so a text's ids are
+    its words' ids. Words of ASCII and Latin-1 letters are cut into pieces for whole stretches of text at a time, and a
+    stretch's distinct pieces go straight to the vocabulary's merges; every other word, any with an apostrophe and any that
+    may hold an added token are a piece each. What was encoded is remembered."""
 
     #: The pattern and the byte table of the tokenizer, for the characters that PLAIN admits.
     PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
     PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+    #: Kinds of bytes in lower case (letters: both bytes of a Latin-1 letter too), the first byte of Latin-1
+    #: letters, the second ones of the signs among these, and the last of their upper case.
+    LETTER, DIGIT, OTHER = 1, 2, 3
+    LATIN, SIGNS, UPPER = 0xC3, (0x97, 0xB7), 0x9E
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -61,24 +112,101 @@ class Tokens:
         rest = [b for b in range(256) if b not in printable]
         table = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(rest)}
         self.bytes = [table[b] for b in range(256)]
-        self.words, self.pieces = Memory(self.word), Memory(self.piece)
-
-    def piece(self, p: str) -> bytes:
+        self.kinds = np.full(256, self.OTHER, np.uint8)
+        self.kinds[97:123] = self.kinds[128:192] = self.kinds[self.LATIN] = self.LETTER
+        self.kinds[48:58] = self.DIGIT
+        begins = [t.encode()[0] for t in added if t]
+        self.odd = byte_class((0, 8), (14, 31), (39, 39), (127, 127), (192, self.LATIN - 1), (self.LATIN + 1, 255), *zip(begins, begins))
+        self.words, self.pieces = Memory(self.word), Known(self.encoded)
+
+    def piece(self, p: str) -> list[int]:
         mapped = p if p.isascii() else "".join([self.bytes[b] for b in p.encode()])
-        return array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
+        return [t.id for t in self.model.tokenize(mapped)]
 
     def word(self, w: str) -> bytes:
         if self.PLAIN.fullmatch(w) and not self.added.search(w):
-            pieces = self.pieces
-            return b"".join([pieces[p] for p in self.PIECES.findall(w.lower())])
+            return array("I", [i for p in self.PIECES.findall(w.lower()) for i in self.piece(p)]).tobytes()
         return array("I", self.whole.encode(w, add_special_tokens=False).ids).tobytes()
 
+    def hard(self, raw: np.ndarray) -> np.ndarray:
+        """Whether each byte (the first of a character counts) keeps its word whole."""
+        out = self.odd[raw]
+        lead = np.flatnonzero(raw == self.LATIN)
+        out[lead] |= np.isin(raw[lead + 1], self.SIGNS)
+        return out
+
+    def encoded(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, how many each piece has) of distinct pieces and whole words."""
+        raw, ends = raw_bytes(pieces)
+        whole = np.logical_or.reduceat(self.hard(raw), np.r_[0, ends[:-1]])
+        ids, n = [], []
+        for p, w in zip(pieces.cast(pa.large_string()).to_pylist(), whole.tolist()):
+            own = np.frombuffer(self.words[p], np.uint32).tolist() if w else self.piece(p)
+            ids += own
+            n.append(len(own))
+        return np.array(ids, np.uint32), np.array(n, np.int64)
+
+    def stretch(self, raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, how many of them come before each of `ends`) of UTF-8 bytes; texts end at the ends."""
+        low, solid = FOLD[raw], ~BLANK[raw]
+        first = np.zeros(len(raw) + 1, bool)
+        first[ends] = first[0] = True
+        first = first[:-1]
+        first[1:] |= ~solid[:-1]
+        first &= solid  # where words start
+        upper = np.flatnonzero(raw == self.LATIN) + 1
+        low[upper[(raw[upper] <= self.UPPER) & ~np.isin(raw[upper], self.SIGNS)]] += 32
+        kinds = self.kinds[low]
+        cut = first.copy()
+        cut[1:] |= (kinds[1:] != kinds[:-1]) | (kinds[1:] == self.DIGIT)
+        cut &= solid
+        if len(at := np.flatnonzero(self.hard(raw))):
+            words = np.flatnonzero(first)
+            last = np.flatnonzero(solid & ~np.append(solid[1:] & ~first[1:], False))
+            which = np.unique(np.searchsorted(words, at, "right") - 1)
+            inside = spread(words[which], last[which] + 1 - words[which])
+            low[inside] = raw[inside]
+            cut[inside] = first[inside]
+        places = np.flatnonzero(cut)
+        offsets = np.append(np.cumsum(solid)[places] - 1, np.count_nonzero(solid)).astype(np.int64)
+        pieces = pa.Array.from_buffers(pa.large_binary(), len(places), [None, pa.py_buffer(offsets), pa.py_buffer(low[solid])]).dictionary_encode()
+        known = self.pieces
+        at = known.places(pieces.dictionary)[pieces.indices.to_numpy()]
+        n = known.ends[at + 1] - known.ends[at]
+        return known.ids[spread(known.ends[at], n)], np.r_[0, np.cumsum(n)][np.searchsorted(places, ends)]
+
     def ids(self, text: str) -> bytes:
-        for c in WS_CHARS[1:]:
-            if c in text:
-                text = text.replace(c, " ")
-        words = self.words
-        return b"".join([words[w] for w in text.split(" ") if w])
+        return next(self.texts(pa.array([text])))
+
+    def texts(self, column: pa.Array) -> Iterator[bytes]:
+        """Ids of each text of a column without nulls, little-endian, in stretches cut where a word or a text ends."""
+        raw, ends = raw_bytes(column)
+        at, i, parts = 0, 0, []
+        while i < len(ends):
+            stop = min(at + STRETCH, len(raw))
+            j = int(np.searchsorted(ends, stop, "right"))
+            if j > i:
+                stop = int(ends[j - 1])  # whole texts
+            else:  # a long text: as far as its last white space, else its next
+                white = np.flatnonzero(BLANK[raw[at:stop]])
+                if len(white):
+                    stop = at + int(white[-1]) + 1
+                else:
+                    stop = int(ends[i])
+                    for k in range(at + STRETCH, stop, STRETCH):
+                        if len(white := np.flatnonzero(BLANK[raw[k : min(k + STRETCH, stop)]])):
+                            stop = k + int(white[0]) + 1
+                            break
+                    j = i + (stop == ends[i])
+            ids, upto = self.stretch(raw[at:stop], ends[i:j] - at)
+            start = 0
+            for n in upto.tolist():
+                parts.append(ids[start:n].tobytes())
+                yield parts[0] if len(parts) == 1 else b"".join(parts)
+                start, parts = n, []
+            if start < len(ids):
+                parts.append(ids[start:].tobytes())
+            at, i = stop, j
 
 
 @lru_cache(maxsize=2)
@@ -159,8 +287,8 @@ def pack(df: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, pie
         enc, end = tokens(tokenizer), np.array([end_id], "<u4").tobytes()
         for b in batches:
             out: list[tuple] = []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
-                ids = memoryview(enc.ids(text.as_py() or "") + end)
+            for doc, of in zip(b.column(0).to_pylist(), enc.texts(b.column(1))):
+                ids = memoryview(of + end)
                 n = len(ids) // 4
                 ends = list(range(window, n + 1, window))
                 if rest := n % window:
@@ -176,7 +304,7 @@ def pack(df: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, pie
         enc.pieces.forget()
         trim()
 
-    slim = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    slim = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     cuts = slim.mapInArrow(cut, "id long, start long, length long, ids_crc32 long, doc_tokens long")
     pieces = stored(cuts.withColumn("n", F.monotonically_increasing_id()), "pieces")
     parts = pieces.where(F.col("length") < window)

@@ -826,6 +826,28 @@ def test_a_full_memory_changes_nothing(spark, monkeypatch):
     assert [few.ids(t) for t in texts] == want and len(few.words) <= 3 and len(few.words.older) <= 3
 
 
+def test_ids_of_a_column_are_the_tokenizers_own_in_any_stretch(monkeypatch):
+    """Each text's ids against the whole tokenizer's; stretches of a few bytes and a memory of five pieces."""
+    import pyarrow as pa
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from sediment.llm import packing
+
+    path = str(public_tokenizers.path("word_bpe_49k.json"))
+    texts = ["", "To be, OR not 2 be:42 THAT's it...", "  né\tÀ l'ÉTÉ ×÷ß Ÿ 5×3 \x00a\x1cb", "<|endoftext|>x <b>", "İſK 中文 e\u0301 a\u00a0b €5", "", "x" * 90 + "é" * 40 + " end", "\n\x0b\x0c\r"]
+    whole = Tokenizer.from_file(path)
+    want = [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    for size, remembered in ((packing.STRETCH, packing.REMEMBERED), (24, 5), (1, 1)):
+        monkeypatch.setattr(packing, "STRETCH", size)
+        monkeypatch.setattr(packing, "REMEMBERED", remembered)
+        t = packing.Tokens(path)
+        column = pa.array(["skipped", *texts, "skipped"]).slice(1, len(texts))
+        assert [np.frombuffer(x, "<u4").tolist() for x in t.texts(column)] == want, size
+        many = list(t.texts(pa.array([f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300)])))
+        assert len(many) == 300 and (size > 1000 or len(t.pieces.pieces) <= remembered + size)
+
+
 def test_whole_windows_skip_the_groups(spark):
     import public_tokenizers
 
