@@ -11,6 +11,20 @@ from sediment.operators import annotation, baselines, graph, probe
 from sediment.operators.folds import ordered_digest
 
 
+def test_a_large_group_is_joined_side_by_side(spark):
+    """One group over many blocks and ranges, with nulls, empty and long values, beside small groups; its rows are sorted by
+    ranges before the one stream."""
+    value = F.when(F.col("id") % 7 == 0, None).when(F.col("id") % 7 == 1, "").when(F.col("id") == 50, F.repeat(F.lit("é"), 20000)).otherwise(F.concat(F.lit("v"), F.col("id").cast("string")))
+    df = spark.range(6000).select(F.when(F.col("id") % 100 == 0, F.col("id")).when(F.col("id") % 100 == 1, None).otherwise(-1).alias("k"), (F.col("id") * 7919 % 6007).alias("i"), value.alias("v"))
+    found = ordered_digest(df, ["k"], [F.col("i")], F.col("v"), start="s:", sep="|")
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 2
+    groups = {}
+    for r in sorted(df.collect(), key=lambda r: r.i):
+        groups.setdefault(r.k, []).append(r.v)
+    want = {k: (sha256(("s:" + "|".join(v for v in vs if v is not None)).encode()).hexdigest(), len(vs)) for k, vs in groups.items()}
+    assert {r.k: (r.hash, r.n) for r in found.collect()} == want
+
+
 def test_ordered_digest(spark):
     rng = random.Random(2)
     rows = [(None if i % 13 == 0 else "hot" if i % 3 else f"k{i % 40}", i, rng.choice([None, "", "é|", f"v{i}"])) for i in rng.sample(range(3000), 3000)]
