@@ -45,6 +45,32 @@ def test_a_group_of_many_batches_is_one_digest(spark):
     assert [tuple(r) for r in got] == [(1, sha256("".join(map(str, range(5000))).encode()).hexdigest(), 5000)]
 
 
+def test_components_contract_hubs_alone(spark, monkeypatch):
+    """Nodes of several rows, with null keys and null nodes, against a plain union; nodes that share one value are no link."""
+    sizes = {}
+    real = graph.stored
+    monkeypatch.setattr(graph, "stored", lambda df, name: sizes.setdefault(name, out := real(df, name)) and out)
+    alone = spark.range(1000).select(F.col("id").alias("event_id"), (F.col("id") % 10).alias("a"))
+    assert {(r.event_id, r.component) for r in graph.components(alone, ["a"]).collect()} == {(i, i % 10) for i in range(1000)}
+    assert sizes["ties"].isEmpty()
+    rng = random.Random(5)
+    rows = [(rng.choice([None, *range(150)]), rng.choice([None, *range(60)]), rng.choice([None, *range(60)])) for _ in range(130)]
+    of = {}
+    find = lambda x: x if of.setdefault(x, x) == x else find(of[x])
+    for n, a, b in rows:
+        if n is not None:
+            for v in (("a", a), ("b", b)):
+                find(("n", n))
+                if v[1] is not None:
+                    of[find(v)] = find(("n", n))
+    ids = {n for n, *_ in rows if n is not None}
+    least = {}
+    for n in sorted(ids):
+        least.setdefault(find(("n", n)), n)
+    got = graph.components(spark.createDataFrame(rows, "event_id long, a long, b long"), ["a", "b"]).collect()
+    assert sorted((r.event_id, r.component) for r in got) == sorted((n, least[find(("n", n))]) for n in ids)
+
+
 def test_split_of_known_components(spark):
     """A component of a third of all nodes; the split of a part of a release by the components it has."""
     rows = [(i, "hub" if i % 3 == 0 else f"e{i}") for i in range(90)]
