@@ -236,7 +236,7 @@ class Parser:
         return out
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def parser(model: tuple[tuple[str, str], ...]) -> Parser:
     return Parser(model)
 
@@ -310,6 +310,8 @@ def identify(df: DataFrame, model: tuple[tuple[str, str], ...], text_col: str =
             i = j
         return pd.DataFrame(rows, columns=told)
 
+    # Else a filter on the results is pushed below and every text is walked twice, by two workers a task.
+    predicted = predicted.asNondeterministic()
     kept = told if label_col else told[:2]
     label = F.col(label_col).cast("string") if label_col else F.lit(None).cast("string")
     out = df.drop(*kept) if label_col not in kept else df

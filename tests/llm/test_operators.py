@@ -409,6 +409,13 @@ def test_pipeline_rejects_wrong_languages(spark):
     assert told.columns == clash.columns and {r.doc_id for r in told.collect()} == set(out) and told.where("row != 'row' or against != 'against'").count() == 0
 
 
+def test_pipeline_identifies_each_text_once(spark):
+    """A filter on the results is not pushed below them, which would have Python walk every text twice."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    told = corpus_pipeline.language_id(spark, two_languages(spark), "")
+    assert told._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+
+
 def test_judged_against_the_label(spark):
     from sediment.llm.language_id import identify, train
 
