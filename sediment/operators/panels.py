@@ -19,10 +19,12 @@ def calibration_tasks(normalized: DataFrame, knowledge: DataFrame, companies: Da
     with the first paragraphs as candidate evidence; the prior disclosure is the review text of the entity's last document
     that was published strictly before. Documents without reviewable text are errors.
     """
-    apart = normalized.join(knowledge, "normalization_id", "left_anti").select("normalization_id").unionByName(knowledge.join(normalized, "normalization_id", "left_anti").select("normalization_id"))
-    contract(same_documents=apart.isEmpty(), expected_documents=expected is None or normalized.count() == expected)
-    told = normalized.withColumn("review", review.review_with_spans(review.top_sections(F.col("sections"), 6, terms))).join(knowledge, "normalization_id")
-    told = stored(told.select("*", F.col("review.text").alias("text"), F.col("review.spans").alias("candidate_evidence"), F.col("source_published_at").alias("published"), F.struct("normalization_id", "record_id").alias("task_id")).drop("review", "sections"), "review-texts")
+    texts = stored(normalized.select("normalization_id", review.review_with_spans(review.top_sections(F.col("sections"), 6, terms)).alias("review")), "reviews")
+    ids = [df.groupBy("normalization_id").agg(F.lit(True).alias(c)) for df, c in ((texts, "_n"), (knowledge, "_k"))]
+    apart = ids[0].join(ids[1], "normalization_id", "full").where("_n is null or _k is null")
+    contract(same_documents=apart.isEmpty(), expected_documents=expected is None or texts.count() == expected)
+    told = texts.join(knowledge, "normalization_id")
+    told = stored(told.select("*", F.col("review.text").alias("text"), F.col("review.spans").alias("candidate_evidence"), F.col("source_published_at").alias("published"), F.struct("normalization_id", "record_id").alias("task_id")).drop("review"), "review-texts")
     contract(reviewable_text=told.where("text = '' or size(candidate_evidence) = 0").isEmpty())
     out = annotation.prior_disclosure(told).join(companies.select("cik", F.col("name").alias("_name")), "cik", "left")
     return out.select(

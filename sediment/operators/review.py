@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import first_paragraph, rstrip, strip
+from ..functions.text import WHITE, first_paragraph, rstrip, strip
 
 # Terms that mark an event, and extensions of media types.
 EVENT_TERMS = [
@@ -17,10 +19,16 @@ EXTENSIONS = {"application/json": ".json", "application/xml": ".xml", "text/html
 SEPARATOR = "\n\n---\n\n"
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of the value, which is computed once: inside lambdas Spark computes an expression again wherever it stands."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def term_score(text: Column, terms: list[str] = EVENT_TERMS) -> Column:
     """How often the terms stand in the text, case aside; occurrences of one term don't overlap."""
-    low = F.lower(text)
-    return sum(((F.length(low) - F.length(F.replace(low, F.lit(t), F.lit("")))) / F.lit(len(t)) for t in terms), F.lit(0.0)).cast("long")
+    freed = lambda low, t: F.octet_length(low) - F.octet_length(F.replace(low, F.lit(t), F.lit("")))
+    one = lambda low, t: F.when(F.contains(low, F.lit(t)), freed(low, t) / F.lit(len(t.encode()))).otherwise(0.0)
+    return bound(F.lower(text), lambda low: F.when(low.isNotNull(), sum((one(low, t) for t in terms), F.lit(0.0)).cast("long")))
 
 
 def top_sections(sections: Column, n: int = 6, terms: list[str] = EVENT_TERMS) -> Column:
@@ -28,12 +36,12 @@ def top_sections(sections: Column, n: int = 6, terms: list[str] = EVENT_TERMS) -
 
     Tables and blank sections don't count, boilerplate only where there is nothing else. Scores read the first 2000
     characters of a text."""
-    usable = F.filter(sections, lambda s: ~F.coalesce(s["is_table"], F.lit(False)) & (strip(s["text"]) != ""))
-    preferred = F.filter(usable, lambda s: ~F.coalesce(s["is_boilerplate"], F.lit(False)))
-    chosen = F.when(F.size(preferred) > 0, preferred).otherwise(usable)
+    usable = F.filter(sections, lambda s: ~F.coalesce(s["is_table"], F.lit(False)) & (F.ltrim(s["text"], F.lit(WHITE)) != ""))
     score = lambda s: term_score(F.concat(F.coalesce(s["heading"], F.lit("")), F.lit(" "), F.substring(s["text"], 1, 2000)), terms)
-    ranked = F.transform(chosen, lambda s, i: F.struct((-score(s)).alias("rank"), i.alias("place"), s["heading"].alias("heading"), s["text"].alias("text")))
-    return F.slice(F.array_sort(ranked), 1, n)
+    named = lambda s, *names: [s[c].alias(c) for c in names]
+    ranked = F.transform(usable, lambda s, i: F.struct(F.coalesce(s["is_boilerplate"], F.lit(False)).alias("last"), (-score(s)).alias("rank"), i.alias("place"), *named(s, "heading", "text")))
+    first = F.slice(F.sort_array(ranked), 1, n)  # boilerplate stands behind the others, if there are any
+    return bound(first, lambda a: F.transform(F.filter(a, lambda s: s["last"] == F.get(a, F.lit(0))["last"]), lambda s: F.struct(*named(s, "rank", "place", "heading", "text"))))
 
 
 def review_text(ranked: Column, budget: int = 12_000) -> Column:
@@ -119,13 +127,19 @@ def review_with_spans(ranked: Column, budget: int = 12_000, quote: int = 600, sp
 
     def add(acc: Column, s: Column) -> Column:
         head = F.when(acc["text"] == "", F.lit("")).otherwise(F.concat(acc["text"], F.lit(SEPARATOR)))
-        body = strip(s["text"])
-        block = rstrip(F.substring(F.concat(lead(s), body), F.lit(1), F.greatest(F.lit(budget) - F.length(head), F.lit(0))))
-        at = F.length(head) + F.length(lead(s))
-        said = rstrip(F.substring(first_paragraph(body), 1, quote))
-        fits = (said != "") & (at + F.length(said) <= F.length(head) + F.length(block))
-        one = F.array(F.struct(at.alias("start"), (at + F.length(said)).alias("stop"), said.alias("text")))
-        grown = F.struct(F.concat(head, block).alias("text"), F.when(fits, F.concat(acc["spans"], one)).otherwise(acc["spans"]).alias("spans"))
-        return F.when(F.length(acc["text"]) >= budget, acc).otherwise(grown)
+
+        def cut(p: Column) -> Column:
+            block = rstrip(F.substring(F.concat(p["lead"], p["body"]), F.lit(1), F.greatest(F.lit(budget) - F.length(p["head"]), F.lit(0))))
+            said = rstrip(F.substring(first_paragraph(p["body"]), 1, quote))
+            return F.struct(F.concat(p["head"], block).alias("text"), (F.length(p["head"]) + F.length(p["lead"])).alias("at"), said.alias("said"))
+
+        def grown(p: Column) -> Column:
+            stop = p["at"] + F.length(p["said"])
+            fits = (p["said"] != "") & (stop <= F.length(p["text"]))
+            one = F.array(F.struct(p["at"].alias("start"), stop.alias("stop"), p["said"].alias("text")))
+            return F.struct(p["text"].alias("text"), F.when(fits, F.concat(acc["spans"], one)).otherwise(acc["spans"]).alias("spans"))
+
+        parts = F.struct(head.alias("head"), lead(s).alias("lead"), strip(s["text"]).alias("body"))
+        return F.when(F.length(acc["text"]) >= budget, acc).otherwise(bound(bound(parts, cut), grown))
 
     return F.aggregate(ranked, empty, add, lambda acc: F.struct(acc["text"].alias("text"), F.slice(acc["spans"], 1, spans).alias("spans")))

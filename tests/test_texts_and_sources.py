@@ -92,6 +92,26 @@ def test_blank_sections_do_not_count(spark):
     assert r.t == r.s["text"] == "Head\n\nbody \x1f\n\n\nmore\n\n---\n\nsecond" and [x["text"] for x in r.s["spans"]] == ["body", "second"]
 
 
+def test_boilerplate_stands_in_only_alone(spark):
+    from sediment.operators import review
+
+    kind = "s array<struct<heading:string,text:string,is_table:boolean,is_boilerplate:boolean>>"
+    rows = [("a", "order order debt", False, True), (None, "é plain", None, None), ("b", "debt", False, False), ("c", "Debt", False, False), ("d", "debt order", True, False), ("e", None, False, False)]
+    cases = [rows, [r for r in rows if r[3]], [rows[4]], None, [rows[1], rows[0]]]
+    top = spark.createDataFrame([(c,) for c in cases], kind).select(review.top_sections(F.col("s"), 3).alias("t")).collect()
+    told = [None if r.t is None else [(-x["rank"], x["heading"]) for x in r.t] for r in top]
+    assert told == [[(1, "b"), (1, "c"), (0, None)], [(3, "a")], [], None, [(0, None)]]
+
+
+def test_sections_are_scored_once(spark):
+    """Inside lambdas nothing is shared: a section's text was lower-cased twice for each term, and paragraphs were split again for each use."""
+    from sediment.operators import review
+
+    df = spark.createDataFrame([], "s array<struct<heading:string,text:string,is_table:boolean,is_boilerplate:boolean>>")
+    shown = df.select(review.review_with_spans(review.top_sections(F.col("s"))).alias("r"))._jdf.queryExecution().analyzed().toString()
+    assert shown.count("lower(") == 1 and shown.count("split(") == 1
+
+
 def test_attribute_values(spark):
     from datetime import date
 
