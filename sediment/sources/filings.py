@@ -83,9 +83,20 @@ def submission_filings(df: DataFrame, payload: str, cik: str, start: str, end: s
     date, accession) where an order is needed: sort_at has it. Required columns that are missing or unequally long, dates
     that are none and a range that ends before it starts are errors; acceptances and items may be short or missing.
     """
+    given = df.where(F.col(payload).isNotNull()).select(normalized_cik(F.col(cik)).alias("cik"), parsed_submission(F.col(payload)).alias("p"))
+    return listed_filings(given, start, end, forms)
+
+
+def parsed_submission(payload: Column) -> Column:
+    """Filing JSON of either shape as a struct. Give it a column of its own: each mention of it would parse the text again."""
+    return F.from_json(payload, SUBMISSIONS)
+
+
+def listed_filings(given: DataFrame, start: str, end: str, forms: list[str]) -> DataFrame:
+    """submission_filings of given (cik, p: the parsed payload)."""
     if end < start:
         raise ValueError("end date must not precede start date")
-    p = F.from_json(F.col(payload), SUBMISSIONS)
+    p = F.col("p")
     got = lambda c: F.when(p["filings"].isNotNull(), p["filings"]["recent"][c]).otherwise(p[c])
     required = [got(c) for c in ("accessionNumber", "filingDate", "form", "primaryDocument")]
     equal = F.size(required[0]) == F.size(required[1])
@@ -93,7 +104,7 @@ def submission_filings(df: DataFrame, payload: str, cik: str, start: str, end: s
         equal &= F.size(c) == F.size(required[0])
     n = F.when(F.coalesce(equal & required[0].isNotNull(), F.lit(False)), F.size(required[0])).otherwise(F.raise_error(F.lit("filing columns are missing or unequally long")).cast("int"))
     zipped = F.slice(F.arrays_zip(*[F.coalesce(got(c), F.array().cast("array<string>")).alias(c) for c in COLUMNS]), F.lit(1), n)
-    rows = df.where(F.col(payload).isNotNull()).select(normalized_cik(F.col(cik)).alias("cik"), F.explode(zipped).alias("f"))
+    rows = given.select("cik", F.explode(zipped).alias("f"))
     f = lambda c: F.nullif(F.trim(F.col("f")[c]), F.lit(""))
     day = F.try_to_date(f("filingDate"))
     out = rows.select(
@@ -224,13 +235,13 @@ def collect_companies(requests: DataFrame, bodies: DataFrame, companies: DataFra
     wanted = companies.select(normalized_cik(F.col("cik")).alias("cik")).distinct()
     index = wanted.select("cik", F.lit(None).cast("string").alias("accession_number"), F.lit("submissions").alias("role"), F.concat(F.lit(f"{base}/submissions/CIK"), "cik", F.lit(".json")).alias("url"))
     index = stored(index.join(good, "url", "left"), "collect-index")
-    read = lambda files: files.join(bodies, "content_hash").select("cik", F.decode("body", "UTF-8").alias("payload"))
+    body = F.decode("body", "UTF-8")
+    read = lambda files: files.join(bodies, "content_hash").where(F.col("body").isNotNull()).select("cik", parsed_submission(body).alias("p"))
     first = stored(read(index), "collect-payloads")
-    named = first.select("cik", F.explode(F.from_json("payload", SUBMISSIONS)["filings"]["files"]).alias("f")).select("cik", "f.*").where((F.col("filingFrom") <= end) & (F.col("filingTo") >= start))
+    named = first.select("cik", F.explode("p.filings.files").alias("f")).select("cik", "f.*").where((F.col("filingFrom") <= end) & (F.col("filingTo") >= start))
     history = named.select("cik", F.lit(None).cast("string").alias("accession_number"), F.lit("historical_submissions").alias("role"), F.concat(F.lit(f"{base}/submissions/"), "name").alias("url")).distinct()
     history = stored(history.join(good, "url", "left"), "collect-history")
-    parsed = lambda payloads: submission_filings(payloads, "payload", "cik", start, end, forms)
-    both = [parsed(first).withColumn("found_in", F.lit("submissions")), parsed(read(history)).withColumn("found_in", F.lit("historical_submissions"))]
+    both = [listed_filings(given, start, end, forms).withColumn("found_in", F.lit(role)) for given, role in ((first, "submissions"), (read(history), "historical_submissions"))]
     once = [f.dropDuplicates(["cik", "accession_number"]) for f in both]
     filings = stored(once[0].unionByName(once[1].join(once[0].select("cik", "accession_number"), ["cik", "accession_number"], "left_anti")), "collect-filings")
     folder = archive_url(F.col("cik"), F.col("accession_number"), archive)

@@ -52,6 +52,14 @@ def test_a_company_is_walked(spark):
     assert sorted((r.accession_number, r.position, r.type, r.filename) for r in out["documents"]) == [("a-1", 0, "8-K", "x.htm"), ("a-1", 1, "EX-1", None)]
 
 
+def test_a_payload_is_parsed_once(spark):
+    """Its columns are mentioned some thirty times, and each mention parsed the JSON again."""
+    payloads = spark.createDataFrame([("7", json.dumps(INDEX)), ("8", None)], "cik string, payload string")
+    told = S.submission_filings(payloads, "payload", "cik", "2024-01-01", "2024-12-31", ["8-K"])
+    assert told._jdf.queryExecution().optimizedPlan().toString().count("from_json(") == 1
+    assert [(r.cik, r.accession_number, str(r.filing_date)) for r in told.collect()] == [("0000000007", "a-1", "2024-05-01")]
+
+
 def test_companies_without_files(spark):
     out = walk(spark, [(f"{BASE}/CIK0000000007.json", None)], ("7", " 7 ", "8"))
     assert out["filings"] == [] and out["documents"] == [] and sorted((r.cik, r.request_id) for r in out["sources"]) == [("0000000007", None), ("0000000008", None)]
