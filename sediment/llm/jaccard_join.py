@@ -65,6 +65,16 @@ def identity(h: np.ndarray) -> tuple[int, int]:
     return a, b
 
 
+def parities(h: np.ndarray) -> np.ndarray:
+    """A set's parity bits, as longs: each element turns one bit, so two sets' bits differ in no more places than the sets
+    in elements. A power of two of them, at least 64 and one an element."""
+    size = 64
+    while size < len(h):
+        size *= 2
+    bits = np.bincount((mixed(h ^ U(0xA4093822299F31D0)) & U(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def signed(x: int) -> int:
     x &= (1 << 64) - 1
     return x - (1 << 64) if x >> 63 else x
@@ -94,13 +104,13 @@ def common_shingles(docs: DataFrame, k: int) -> np.ndarray:
 def document_sets(docs: DataFrame, k: int, t: Threshold) -> DataFrame:
     """Per document: id, rk, n (size of its set), s1, s2 (the set's identity), elems: its first elements in the common
     order (all of small sets, else twice its prefix and one more), lights: how many of these are not put last for being
-    common, and reach: its prefix and one more."""
+    common, reach: its prefix and one more, and bits: the set's parities."""
     told = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, k))
 
     def run(batches):
         common = told.value
         for b in batches:
-            n, s1, s2, lights, reach, elems = [], [], [], [], [], []
+            n, s1, s2, lights, reach, elems, bits = [], [], [], [], [], [], []
             for i, j, block in blocks(b.column(2), True):
                 for r in range(i, j):
                     h = shingles(block, r - i, k)
@@ -108,6 +118,7 @@ def document_sets(docs: DataFrame, k: int, t: Threshold) -> DataFrame:
                     n.append(len(h))
                     s1.append(signed(a))
                     s2.append(signed(c))
+                    bits.append(parities(h))
                     light = len(h)
                     if len(common) and len(h):
                         at = np.searchsorted(common, h)
@@ -118,12 +129,14 @@ def document_sets(docs: DataFrame, k: int, t: Threshold) -> DataFrame:
                     elems.append(h[: len(h) if len(h) <= MOST_ENUMERATED else 2 * most].view(np.int64))
                     lights.append(min(light, len(elems[-1])))
                     reach.append(most)
-            ends = np.cumsum([0, *map(len, elems)]).astype(np.int32)
-            flat = np.concatenate([*elems, np.zeros(0, np.int64)])
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(n, pa.int32()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(lights, pa.int32()), pa.array(reach, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["id", "rk", "n", "s1", "s2", "lights", "reach", "elems"])
+            arrays = []
+            for col in (elems, bits):
+                ends = np.cumsum([0, *map(len, col)]).astype(np.int32)
+                arrays.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*col, np.zeros(0, np.int64)]))))
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(n, pa.int32()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(lights, pa.int32()), pa.array(reach, pa.int32()), *arrays], ["id", "rk", "n", "s1", "s2", "lights", "reach", "elems", "bits"])
         trim()
 
-    return stored(docs.mapInArrow(run, "id long, rk long, n int, s1 long, s2 long, lights int, reach int, elems array<long>"), "document-sets")
+    return stored(docs.mapInArrow(run, "id long, rk long, n int, s1 long, s2 long, lights int, reach int, elems array<long>, bits array<long>"), "document-sets")
 
 
 def chosen_boundary(sets: DataFrame, t: Threshold) -> int:
@@ -369,27 +382,48 @@ def apart(lists: DataFrame, parts: DataFrame) -> DataFrame:
     """lists (k1, k2, sid, n, w, ...) whose sets are in several components, with part, many (sets) and leader of each list.
 
     Of lists over differences from one leader (k1 is no ELEMENTS) that hold the same sets in the same way, one stays: sets
-    that differ from it in the same elements would meet again in each.
+    that differ from it in the same elements would meet again in each. So does one of the lists over elements that hold
+    the same sets, as those over a shared passage do: the first in the order of elements, where pos is least for each of
+    its sets. What two sets share first stands in such a list, and who has one of the others in its index has this one.
     """
     key = ["k1", "k2"]
     told = lists.join(parts.withColumnRenamed("node", "sid"), "sid", "left").withColumn("part", F.coalesce("label", "sid")).drop("label")
     told = stored(told, "told-lists")
     ranks = [F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("many"), F.max_by("sid", F.struct("w", "n", "sid")).alias("leader")]
-    of_elements = told.where(F.col("k1") == ELEMENTS).groupBy(*key).agg(*ranks).where("lo < hi").select(*key, "many", "leader")
-    marks = [F.bit_xor(F.xxhash64(F.lit(i), "sid", "d", "s", "small")).alias(f"x{i}") for i in (1, 2)]
-    others = told.where(F.col("k1") != ELEMENTS).groupBy(*key).agg(*ranks, *marks).where("lo < hi")
-    others = others.groupBy("k1", "many", "x1", "x2").agg(F.min_by(F.struct("k2", "leader"), "k2").alias("one"))
-    sums = stored(of_elements.unionByName(others.select("k1", "one.k2", "many", "one.leader")), "apart-lists")
+    mark = lambda *cols: [F.bit_xor(F.xxhash64(F.lit(i), *cols)).alias(f"x{i}") for i in (1, 2)]
+    of_elements = told.where(F.col("k1") == ELEMENTS).groupBy(*key).agg(*ranks, *mark("sid"), F.min("pos").cast("long").alias("at")).where("lo < hi")
+    others = told.where(F.col("k1") != ELEMENTS).groupBy(*key).agg(*ranks, *mark("sid", "d", "s", "small"), F.min("k2").alias("at")).where("lo < hi")
+    alike = of_elements.unionByName(others).groupBy("k1", "many", "x1", "x2").agg(F.min_by(F.struct("k2", "leader"), F.struct("at", "k2")).alias("one"))
+    sums = stored(alike.select("k1", "one.k2", "many", "one.leader"), "apart-lists")
     out = stored(join_hot(told, sums, key, "many", "inner"), "apart-members")
     discard(told, sums)
     return out
 
 
-def short_pairs(members: DataFrame, close: Column) -> DataFrame:
-    """(a, b): the pairs of sets in different components that share a list and may be linked."""
-    x, y = members.alias("x"), members.alias("y")
-    joined = x.join(y, [F.col("x.k1") == F.col("y.k1"), F.col("x.k2") == F.col("y.k2"), F.col("x.sid") < F.col("y.sid"), F.col("x.part") != F.col("y.part"), close])
-    return stored(joined.select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct(), "short-pairs")
+def alike_parities(t: Threshold) -> Column:
+    """Whether sets x and y of n elements can be linked by their parities. Twice as many of one set are folded first; where
+    there are more still, they tell nothing."""
+    x, y = F.col("x.bits"), F.col("y.bits")
+    few, many = F.when(F.size(x) <= F.size(y), x).otherwise(y), F.when(F.size(x) <= F.size(y), y).otherwise(x)
+    xor = lambda a, b: a.bitwiseXOR(b)
+    halves = F.zip_with(F.slice(many, 1, F.size(few)), F.slice(many, F.size(few) + 1, F.size(few)), xor)
+    folded = F.when(F.size(many) == F.size(few), many).when(F.size(many) == F.size(few) * 2, halves)
+    apart = F.aggregate(F.zip_with(few, folded, xor), F.lit(0), lambda total, v: total + F.bit_count(v))
+    return F.coalesce(apart * (t.den + t.num) <= (F.col("x.n") + F.col("y.n")) * (t.den - t.num), F.lit(True))
+
+
+def short_pairs(members: DataFrame, sets: DataFrame, t: Threshold, close: Column) -> DataFrame:
+    """(a, b): the pairs of sets in different components that share a list and may be linked.
+
+    Many sets that share a passage meet in pairs, with the square of their number, and few of them are near: parities tell
+    nearly all others before a pair becomes a row.
+    """
+    rows = stored(members.join(sets.select("sid", "bits"), "sid"), "members-with-bits")
+    x, y = rows.alias("x"), rows.alias("y")
+    joined = x.join(y, [F.col("x.k1") == F.col("y.k1"), F.col("x.k2") == F.col("y.k2"), F.col("x.sid") < F.col("y.sid"), F.col("x.part") != F.col("y.part"), close, alike_parities(t)])
+    out = stored(joined.select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct(), "short-pairs")
+    discard(rows)
+    return out
 
 
 def pairs_once(members: DataFrame, alike: Column) -> DataFrame:
@@ -500,7 +534,7 @@ def around_leaders(members: DataFrame, sets: DataFrame, docs: DataFrame, parts:
     of_elements = F.col("k1") == ELEMENTS
     is_long = F.col("many") > F.when(of_elements, SHORT).otherwise(SHORT_OF_DIFFERENCES)
     work = lambda rows: rows.agg(F.sum((F.col("many") - 1) / 2)).first()[0] or 0
-    pairs.append(short_pairs(members.where(~is_long), close_enough(t)))
+    pairs.append(short_pairs(members.where(~is_long), sets, t, close_enough(t)))
     for depth in range(LEADERS + 1):
         long = members.where(is_long)
         if long.isEmpty():
@@ -508,7 +542,7 @@ def around_leaders(members: DataFrame, sets: DataFrame, docs: DataFrame, parts:
         if depth and work(long) <= budget or depth == LEADERS:
             pairs.append(pairs_once(long.where(~of_elements), alike))
             rest = long.where(of_elements)
-            pairs.append(short_pairs(rest, close_enough(t)) if work(rest) <= budget else by_two_elements(rest, sets, fit))
+            pairs.append(short_pairs(rest, sets, t, close_enough(t)) if work(rest) <= budget else by_two_elements(rest, sets, t, fit))
             break
         close = near_pairs(long, sets, t)
         used = close.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
@@ -526,19 +560,19 @@ def around_leaders(members: DataFrame, sets: DataFrame, docs: DataFrame, parts:
         members = new
         short = members.where(~is_long)
         pairs.append(pairs_once(short.where(~of_elements), alike))
-        pairs.append(short_pairs(short.where(of_elements), close_enough(t)))
+        pairs.append(short_pairs(short.where(of_elements), sets, t, close_enough(t)))
     discard(members)
     return parts, pairs
 
 
-def by_two_elements(members: DataFrame, sets: DataFrame, fit: Column) -> DataFrame:
+def by_two_elements(members: DataFrame, sets: DataFrame, t: Threshold, fit: Column) -> DataFrame:
     """(a, b): pairs that share a list's element and another one after it. Linked sets that share an element first share a
     second one too, in prefixes longer by one."""
     own = members.join(sets.select("sid", "elems", "reach"), "sid")
     after = F.explode(F.slice("elems", F.col("pos") + 2, F.col("reach"))).alias("k2")
     rows = stored(own.select(F.col("k2").alias("k1"), after, "sid", "n", "part"), "second-elements")
     many = rows.groupBy("k1", "k2").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("k1", "k2")
-    return short_pairs(stored(rows.join(many, ["k1", "k2"]), "lists-of-two"), fit)
+    return short_pairs(stored(rows.join(many, ["k1", "k2"]), "lists-of-two"), sets, t, fit)
 
 
 def linked_sets(sets: DataFrame, docs: DataFrame, k: int, t: Threshold) -> DataFrame:
@@ -589,8 +623,8 @@ def similar_groups(df: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_
     own = document_sets(docs, k, t)
     key = ["n", "s1", "s2"]
     best = F.min(F.struct("id", "rk")).alias("m")
-    classes = own.where("n > 0").groupBy(*key).agg(best, F.first("lights").alias("lights"), F.first("reach").alias("reach"), F.first("elems").alias("elems"), F.count("*").alias("copies"))
-    sets = stored(classes.select(F.monotonically_increasing_id().alias("sid"), *key, F.col("m.id").alias("id"), F.col("m.rk").alias("rk"), "lights", "reach", "elems", "copies"), "sets")
+    classes = own.where("n > 0").groupBy(*key).agg(best, F.first("lights").alias("lights"), F.first("reach").alias("reach"), F.first("elems").alias("elems"), F.first("bits").alias("bits"), F.count("*").alias("copies"))
+    sets = stored(classes.select(F.monotonically_increasing_id().alias("sid"), *key, F.col("m.id").alias("id"), F.col("m.rk").alias("rk"), "lights", "reach", "elems", "bits", "copies"), "sets")
     parts = linked_sets(sets, docs, k, t)
     labelled = stored(sets.select("sid", *key, "id", "copies").join(parts.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid")), "labelled-sets")
     least = labelled.groupBy("label").agg(F.min("id").alias("component"))

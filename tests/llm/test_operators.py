@@ -312,6 +312,55 @@ def test_jaccard_join_around_leaders(spark, monkeypatch):
         assert out == groups_of(data, 3, num, 100)
 
 
+def test_jaccard_join_of_a_shared_passage(spark, monkeypatch):
+    """Sets that share a passage and are not near meet in one list for it, not in one a word, and make no rows of pairs."""
+    import random
+
+    from sediment.llm import jaccard_join
+
+    monkeypatch.setattr(jaccard_join, "OFTEN", 1000)  # else so few documents' common words come last
+    short, around, lists, found = jaccard_join.short_pairs, jaccard_join.around_leaders, [], []
+    monkeypatch.setattr(jaccard_join, "short_pairs", lambda *a: found.append(short(*a)) or found[-1])
+    monkeypatch.setattr(jaccard_join, "around_leaders", lambda members, *a: lists.append(members.select("k2").distinct().count()) or around(members, *a))
+    rng = random.Random(3)
+    passage = [f"p{i}" for i in range(30)]
+    data = [(i, " ".join(passage + [f"u{i}w{j}" for j in range(120)])) for i in range(48)]
+    for i in range(6):  # near copies of one of them beside
+        w = data[5][1].split()
+        w[rng.randrange(30, 150)] = f"edit{i}"
+        data.append((100 + i, " ".join(w)))
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    out = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in rows(jaccard_join.similar_groups(df, 1, 80, 100)))
+    assert out == groups_of(data, 1, 80, 100) and len({c for _, _, c in out}) == 48
+    assert sum(p.count() for p in found) < 48
+    assert 0 < lists[0] <= 6
+
+
+def test_parities_rule_out_no_link(spark):
+    """Linked sets of all sizes pass, with as many bits or twice as many; sets that share little do not; sizes far apart tell nothing."""
+    import random
+
+    from sediment.llm.jaccard_join import Threshold, alike_parities, parities
+
+    rng, t = random.Random(5), Threshold(80, 100)
+    draw = lambda n: {rng.getrandbits(64) for _ in range(n)}
+    cases = []
+    for n in (1, 5, 60, 64, 66, 100, 128, 140, 700):
+        for _ in range(4):
+            x = draw(n)
+            y = set(rng.sample(sorted(x), n - n // 18)) | draw(n // 18)  # J of 0.89 or more
+            cases += [("linked", x, y), ("linked", x, x | draw(n // 4)), ("linked", x | draw(n // 4), x)]
+            if n >= 60:
+                cases.append(("apart", x, draw(n)))
+    cases += [("far", draw(10), draw(600)), ("far", draw(600), draw(10))]
+    side = lambda s: (len(s), parities(np.array(sorted(s), np.uint64)).tolist())
+    made = [(case, side(x), side(y)) for case, x, y in cases]
+    both = "struct<n:int,bits:array<long>>"
+    told = spark.createDataFrame(made, f"case string, x {both}, y {both}").select("case", alike_parities(t).alias("may")).distinct().collect()
+    assert {(r["case"], r["may"]) for r in told} == {("linked", True), ("apart", False), ("far", True)}
+    assert any(len(x[1]) != len(y[1]) for case, x, y in made if case == "linked")
+
+
 def test_components_of_long_chains(spark):
     """Chains whose labels fall away from the smallest node, or stand in random order; a hub, a pair and a lone node."""
     import random
