@@ -59,20 +59,44 @@ def shingles(block, row: int, k: int) -> np.ndarray:
     return np.unique(block.runs(np.arange(lo, hi - k + 1), k))
 
 
-def identity(h: np.ndarray) -> tuple[int, int]:
-    """Two 64-bit sums that stand for a set; sums, so a subset's follows from the deleted elements."""
-    a, b = (int(mixed(h ^ U(x)).sum(dtype=U)) for x in (0x243F6A8885A308D3, 0x13198A2E03707344))
-    return a, b
+def block_sets(block, rows: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, ends): shingles() of all of a block's documents, in a row, and where each document's start and the last ends."""
+    words = np.diff(block.first)
+    many = np.where(words < k, np.minimum(words, 1), words - k + 1)
+    at = np.r_[0, np.cumsum(many)]
+    start = np.arange(at[-1]) + np.repeat(block.first[:-1] - at[:-1], many)
+    h = block.runs(start, np.repeat(np.minimum(words, k), many)) if len(start) else np.zeros(0, U)
+    for i in range(rows):
+        h[at[i] : at[i + 1]].sort()
+    new = np.ones(len(h), bool)
+    new[1:] = h[1:] != h[:-1]
+    new[at[:-1][many > 0]] = True
+    return h[new], np.r_[0, np.cumsum(new)][at]
+
+
+def identities(h: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
+    """Two 64-bit sums a set that stand for it; sums, so a subset's follows from the deleted elements."""
+    out = []
+    for x in (0x243F6A8885A308D3, 0x13198A2E03707344):
+        total = np.r_[U(0), np.cumsum(mixed(h ^ U(x)), dtype=U)]
+        out.append((total[ends[1:]] - total[ends[:-1]]).view(np.int64))
+    return out
+
+
+def all_parities(h: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bits, ends): the sets' parity bits, as longs: each element turns one bit, so two sets' bits differ in no more places
+    than the sets in elements. A power of two of them a set, at least 64 and one an element."""
+    n = np.diff(ends)
+    size = 1 << np.maximum(6, np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64))
+    at = np.r_[0, np.cumsum(size)]
+    place = (mixed(h ^ U(0xA4093822299F31D0)) & np.repeat(size - 1, n).astype(U)).astype(np.int64) + np.repeat(at[:-1], n)
+    bits = np.bincount(place, minlength=at[-1]) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64), at // 64
 
 
 def parities(h: np.ndarray) -> np.ndarray:
-    """A set's parity bits, as longs: each element turns one bit, so two sets' bits differ in no more places than the sets
-    in elements. A power of two of them, at least 64 and one an element."""
-    size = 64
-    while size < len(h):
-        size *= 2
-    bits = np.bincount((mixed(h ^ U(0xA4093822299F31D0)) & U(size - 1)).astype(np.int64), minlength=size) & 1
-    return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64)
+    """The parity bits of one set."""
+    return all_parities(h, np.array([0, len(h)]))[0]
 
 
 def signed(x: int) -> int:
@@ -85,18 +109,82 @@ def _docs(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), F.xxhash64(text).alias("rk"), text.alias("text"))
 
 
+#: Rows of fixed width that a task holds before it deals them by hash.
+HELD = 1 << 19
+
+
+def dealt(df: DataFrame, cut: Callable, kind: np.dtype, keep: Callable, schema: str) -> DataFrame:
+    """Rows that cut makes of df's batches (arrays of kind, with a hash h), dealt by h: keep gets all of a bucket's rows,
+    sorted by h, and gives a batch of the schema.
+
+    A bucket's rows travel as bytes, many in one row: the engine sorts a few thousand rows where it would sort each.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bits = max(10, (16 * parts - 1).bit_length())
+
+    def deal(batches):
+        def flush():
+            rows = np.concatenate(held)
+            bucket = (rows["h"].view(U) >> U(64 - bits)).astype(np.int64)
+            rows = rows[np.argsort(bucket, kind="stable")]
+            many = np.bincount(bucket, minlength=1 << bits)
+            ends = np.r_[0, np.cumsum(many)][np.r_[True, many > 0]] * kind.itemsize
+            data = pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(rows)])
+            return pa.record_batch([pa.array(np.flatnonzero(many).astype(np.int32)), data.cast(pa.binary())], ["bucket", "rows"])
+
+        held, n = [], 0
+        for rows in cut(batches):
+            held.append(rows)
+            n += len(rows)
+            if n >= HELD:
+                yield flush()
+                held, n = [], 0
+        if n:
+            yield flush()
+        trim()
+
+    def gather(batches):
+        last, held = None, []
+
+        def whole():
+            rows = np.frombuffer(b"".join(held), kind)
+            return keep(rows[np.argsort(rows["h"])])
+
+        for b in batches:
+            for bucket, data in zip(b.column(0).to_pylist(), b.column(1)):
+                if held and bucket != last:
+                    yield whole()
+                    held = []
+                last = bucket
+                held.append(data.as_py())
+        if held:
+            yield whole()
+        trim()
+
+    blobs = df.mapInArrow(deal, "bucket int, rows binary")
+    return blobs.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(gather, schema)
+
+
 def common_shingles(docs: DataFrame, k: int) -> np.ndarray:
     """Shingles that several of a sample of the documents have. They only come last in the order of elements, which saves
     work; the join is exact under any order."""
     rate = max(SHARE, SAMPLE / max(docs.count(), 1))
     sample = docs.where(F.pmod(F.xxhash64("id", "rk"), F.lit(1 << 30)) < F.lit(int(min(1.0, rate) * (1 << 30))))
 
+    kind = np.dtype([("h", np.int64)])
+
     def run(batches):
         for b in batches:
-            found = [shingles(block, r - i, k) for i, j, block in blocks(b.column(0), True) for r in range(i, j)]
-            yield pa.record_batch([pa.array(np.concatenate([*found, np.zeros(0, U)]).view(np.int64))], ["h"])
+            for i, j, block in blocks(b.column(0), True):
+                yield block_sets(block, j - i, k)[0].view(kind)
+
+    def often(rows):
+        at = np.r_[np.flatnonzero(np.r_[True, rows["h"][1:] != rows["h"][:-1]]), len(rows)]
+        many = np.diff(at)
+        kept = many >= OFTEN
+        return pa.record_batch([pa.array(rows["h"][at[:-1][kept]]), pa.array(many[kept])], ["h", "count"])
 
-    counts = sample.select("text").mapInArrow(run, "h long").groupBy("h").count().where(F.col("count") >= OFTEN)
+    counts = dealt(sample.select("text"), run, kind, often, "h long, count long")
     found = counts.orderBy(F.desc("count"), "h").limit(COMMON).select("h").toArrow()
     return np.sort(found.column("h").to_numpy().view(U))
 
@@ -110,30 +198,29 @@ def document_sets(docs: DataFrame, k: int, t: Threshold) -> DataFrame:
     def run(batches):
         common = told.value
         for b in batches:
-            n, s1, s2, lights, reach, elems, bits = [], [], [], [], [], [], []
+            cols = [[] for _ in range(9)]
             for i, j, block in blocks(b.column(2), True):
-                for r in range(i, j):
-                    h = shingles(block, r - i, k)
-                    a, c = identity(h)
-                    n.append(len(h))
-                    s1.append(signed(a))
-                    s2.append(signed(c))
-                    bits.append(parities(h))
-                    light = len(h)
-                    if len(common) and len(h):
-                        at = np.searchsorted(common, h)
-                        often = common[np.minimum(at, len(common) - 1)] == h
-                        h = np.concatenate([h[~often], h[often]])
-                        light -= int(often.sum())
-                    most = t.prefixes(len(h))[0] + 1 if len(h) else 0
-                    elems.append(h[: len(h) if len(h) <= MOST_ENUMERATED else 2 * most].view(np.int64))
-                    lights.append(min(light, len(elems[-1])))
-                    reach.append(most)
-            arrays = []
-            for col in (elems, bits):
-                ends = np.cumsum([0, *map(len, col)]).astype(np.int32)
-                arrays.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*col, np.zeros(0, np.int64)]))))
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(n, pa.int32()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(lights, pa.int32()), pa.array(reach, pa.int32()), *arrays], ["id", "rk", "n", "s1", "s2", "lights", "reach", "elems", "bits"])
+                h, ends = block_sets(block, j - i, k)
+                n = np.diff(ends)
+                often = np.zeros(len(h), bool)
+                if len(common) and len(h):
+                    often = common[np.minimum(np.searchsorted(common, h), len(common) - 1)] == h
+                seen = np.r_[0, np.cumsum(often)]
+                light = n - (seen[ends[1:]] - seen[ends[:-1]])
+                first = np.repeat(ends[:-1], n)
+                heavy = seen[:-1] - np.repeat(seen[ends[:-1]], n)  # common ones before it in its set
+                place = np.where(often, np.repeat(light, n) + heavy, np.arange(len(h)) - first - heavy)
+                most = np.array([t.prefixes(x)[0] + 1 if x else 0 for x in n.tolist()], np.int64)
+                take = np.where(n <= MOST_ENUMERATED, n, np.minimum(n, 2 * most))
+                ordered = np.empty(len(h), U)
+                ordered[first + place] = h
+                elems = ordered[np.arange(len(h)) - first < np.repeat(take, n)]
+                bits, at = all_parities(h, ends)
+                for col, x in zip(cols, (n, *identities(h, ends), np.minimum(light, take), most, elems.view(np.int64), take, bits, np.diff(at))):
+                    col.append(x)
+            n, s1, s2, lights, reach, elems, take, bits, longs = (np.concatenate([*c, np.zeros(0, np.int64)]) for c in cols)
+            arrays = [pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)].astype(np.int32)), pa.array(flat)) for flat, size in ((elems, take), (bits, longs))]
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(n.astype(np.int32)), pa.array(s1), pa.array(s2), pa.array(lights.astype(np.int32)), pa.array(reach.astype(np.int32)), *arrays], ["id", "rk", "n", "s1", "s2", "lights", "reach", "elems", "bits"])
         trim()
 
     return stored(docs.mapInArrow(run, "id long, rk long, n int, s1 long, s2 long, lights int, reach int, elems array<long>, bits array<long>"), "document-sets")
@@ -192,14 +279,17 @@ def small_links(sets: DataFrame, t: Threshold, boundary: int) -> DataFrame:
     return joined.where((F.col("sid") != F.col("a")) & enough).select("a", F.col("sid").alias("b")).distinct()
 
 
+#: A posting as it travels.
+POSTING = np.dtype([("h", np.int64), ("sid", np.int64), ("n", np.int32), ("pos", np.int32), ("index", np.bool_)])
+
+
 def repeated_postings(sets: DataFrame, t: Threshold, boundary: int) -> DataFrame:
     """(h, sid, n, pos, index): prefix elements that at least two sets have, one of them as an index entry.
 
-    Rare elements' postings are dealt and sorted by element once and read in order; what stays is found from neighbours
-    alone. Common elements, whose lists may be long, all stay and are not dealt by element.
+    Rare elements' postings are dealt by element, many in one row; those of one set alone go there. Common elements, whose
+    lists may be long, all stay and are not dealt by element.
     """
-    low = t.least(boundary + 1)
-    lengths = [(0, 0)]
+    names, lengths = list(POSTING.names), [(0, 0)]
 
     def cut(batches):
         for b in batches:
@@ -207,42 +297,32 @@ def repeated_postings(sets: DataFrame, t: Threshold, boundary: int) -> DataFrame
             elems = b.column(3)
             ends = elems.offsets.to_numpy()
             flat = elems.values.to_numpy()
-            pre = np.array([t.prefixes(int(x)) for x in n] or lengths)[: len(n)]
-            take = np.minimum(np.where(n > boundary, pre[:, 0], pre[:, 1]), np.diff(ends))
+            pre = np.array([t.prefixes(x) for x in n.tolist()] or lengths)[: len(n)]
+            take = np.minimum(np.where(n > boundary, pre[:, 0], pre[:, 1]), lights)
             row = np.repeat(np.arange(len(n)), take)
             pos = np.arange(len(row)) - np.repeat(np.cumsum(take) - take, take)
-            yield pa.record_batch([pa.array(flat[ends[:-1][row] + pos]), pa.array(sid[row]), pa.array(n[row]), pa.array(pos.astype(np.int32)), pa.array(pos < pre[row, 1]), pa.array(pos >= lights[row])], ["h", "sid", "n", "pos", "index", "common"])
-
-    posts = sets.where(F.col("n") >= low).select("sid", "n", "lights", "elems").mapInArrow(cut, "h long, sid long, n int, pos int, index boolean, common boolean")
-    posts = stored(posts, "all-postings")
-    out = stored(_neighbours(posts.where("not common").drop("common")).unionByName(posts.where("common").drop("common")), "postings")
-    discard(posts)
-    return out
-
-
-def _neighbours(posts: DataFrame) -> DataFrame:
-    parts = int(posts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-    def keep(batches):
-        last, waiting = None, None  # the element of the row before, and that row while it is the only one of its list
-        for b in batches:
-            if not b.num_rows:
-                continue
-            h = b.column(0).to_numpy()
-            same = np.r_[last is not None and h[0] == last, h[1:] == h[:-1]]
-            if same[0] and waiting is not None:
-                yield waiting
-            follows = np.r_[same[1:], False]
-            stay = same | follows
-            last = h[-1]
-            waiting = b.slice(b.num_rows - 1, 1) if not stay[-1] else None
-            if stay.any():
-                yield b.filter(pa.array(stay))
-
-    return posts.repartition(parts, "h").sortWithinPartitions("h").mapInArrow(keep, "h long, sid long, n int, pos int, index boolean")
-
-
-#: Most rows of (set, document) that are broadcast to pick texts; more are joined by shuffle.
+            out = np.empty(len(row), POSTING)
+            for name, x in zip(names, (flat[ends[:-1][row] + pos], sid[row], n[row], pos, pos < pre[row, 1])):
+                out[name] = x
+            yield out
+
+    def repeated(rows):
+        same = rows["h"][1:] == rows["h"][:-1]
+        rows = rows[np.r_[False, same] | np.r_[same, False]]
+        return pa.record_batch([pa.array(np.ascontiguousarray(rows[c])) for c in names], names)
+
+    used = sets.where(F.col("n") >= t.least(boundary + 1))
+    rare = dealt(used.select("sid", "n", "lights", "elems"), cut, POSTING, repeated, "h long, sid long, n int, pos int, index boolean")
+    # `reach` is the prefix and one more; the index's prefix as in Threshold.prefixes.
+    index = F.col("n") + 1 - F.expr(f"(n * {2 * t.num}L + {t.num + t.den - 1}) div {t.num + t.den}")
+    take = F.when(F.col("n") > boundary, F.col("reach") - 1).otherwise(index)
+    after = F.slice("elems", F.col("lights") + 1, F.greatest(take - F.col("lights"), F.lit(0)).cast("int"))
+    common = used.where(take > F.col("lights")).select("sid", "n", "lights", index.alias("upto"), F.posexplode(after).alias("i", "h"))
+    pos = F.col("i") + F.col("lights")
+    return stored(rare.unionByName(common.select("h", "sid", "n", pos.alias("pos"), (pos < F.col("upto")).alias("index"))), "postings")
+
+
+#: Most rows of (set, document), or pairs of sets, that are broadcast to pick texts or sets; more are joined by shuffle.
 FEW_SETS = 500_000
 
 
@@ -272,8 +352,14 @@ def plausible(pairs: DataFrame, sets: DataFrame, most: Callable[[int, int], floa
                 keep.append(i + j - 2 * same <= most(n, m))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    both = pairs.distinct().join(side("a"), "a").join(side("b"), "b").select("a", "b", *[f"{c}_{s}" for c in ("n", "lights", "elems") for s in "ab"])
-    return stored(both.mapInArrow(run, "a long, b long"), "plausible-pairs")
+    pairs = stored(pairs.distinct(), "pairs")
+    if pairs.count() <= FEW_SETS:  # sets stay where they are
+        both = F.broadcast(pairs).join(side("a"), "a").join(F.broadcast(pairs).join(side("b"), "b"), ["a", "b"])
+    else:
+        both = pairs.join(side("a"), "a").join(side("b"), "b")
+    out = stored(both.select("a", "b", *[f"{c}_{s}" for c in ("n", "lights", "elems") for s in "ab"]).mapInArrow(run, "a long, b long"), "plausible-pairs")
+    discard(pairs)
+    return out
 
 
 def whole_sets(used: DataFrame, sets: DataFrame, docs: DataFrame, k: int) -> DataFrame:
@@ -307,8 +393,11 @@ def both_sets(pairs: DataFrame, whole: DataFrame) -> DataFrame:
 
 
 def measured(pairs: DataFrame, sets: DataFrame, docs: DataFrame, k: int, t: Threshold) -> DataFrame:
-    """The linked ones of the pairs (a, b), counted on the whole sets of those that first elements don't rule out."""
-    pairs = plausible(pairs, sets, lambda n, m: n + m - 2 * t.overlap(n, m))
+    """The linked ones of the pairs (a, b), counted on the whole sets of those that parities and first elements don't rule
+    out. Parities are a few longs a set: most pairs go before the sets' elements travel."""
+    side = lambda s: sets.select("sid", "n", "bits").alias(s)
+    told = pairs.distinct().join(side("x"), F.col("a") == F.col("x.sid")).join(side("y"), F.col("b") == F.col("y.sid"))
+    pairs = plausible(told.where(alike_parities(t)).select("a", "b"), sets, lambda n, m: n + m - 2 * t.overlap(n, m))
     used = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
     whole = whole_sets(used, sets, docs, k)
     inter = F.size(F.array_intersect("_a", "_b"))
@@ -622,9 +711,17 @@ def similar_groups(df: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_
     docs = _docs(df, id_col, text_col)
     own = document_sets(docs, k, t)
     key = ["n", "s1", "s2"]
-    best = F.min(F.struct("id", "rk")).alias("m")
-    classes = own.where("n > 0").groupBy(*key).agg(best, F.first("lights").alias("lights"), F.first("reach").alias("reach"), F.first("elems").alias("elems"), F.first("bits").alias("bits"), F.count("*").alias("copies"))
-    sets = stored(classes.select(F.monotonically_increasing_id().alias("sid"), *key, F.col("m.id").alias("id"), F.col("m.rk").alias("rk"), "lights", "reach", "elems", "bits", "copies"), "sets")
+    rest = ["lights", "reach", "elems", "bits"]
+    some = own.where("n > 0")
+    repeated = stored(some.groupBy(*key).count().where("count > 1").select(*key), "repeated-sets")
+    if repeated.count() <= FEW_SETS:  # other sets stay where they are
+        several, once = some.join(F.broadcast(repeated), key, "left_semi"), some.join(F.broadcast(repeated), key, "left_anti")
+    else:
+        several, once = some, some.limit(0)
+    classes = several.groupBy(*key).agg(F.min(F.struct("id", "rk")).alias("m"), *[F.first(c).alias(c) for c in rest], F.count("*").alias("copies"))
+    classes = classes.select(*key, "m.id", "m.rk", *rest, "copies").unionByName(once.select(*key, "id", "rk", *rest, F.lit(1).cast("long").alias("copies")))
+    sets = stored(classes.select(F.monotonically_increasing_id().alias("sid"), *key, "id", "rk", *rest, "copies"), "sets")
+    discard(repeated)
     parts = linked_sets(sets, docs, k, t)
     labelled = stored(sets.select("sid", *key, "id", "copies").join(parts.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid")), "labelled-sets")
     least = labelled.groupBy("label").agg(F.min("id").alias("component"))

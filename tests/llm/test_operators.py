@@ -361,6 +361,66 @@ def test_parities_rule_out_no_link(spark):
     assert any(len(x[1]) != len(y[1]) for case, x, y in made if case == "linked")
 
 
+def test_block_sets_are_those_of_each_document():
+    """Sets, identities and parities made for a whole block are those made document by document."""
+    import random
+
+    import pyarrow as pa
+
+    from sediment.llm.jaccard_join import U, all_parities, block_sets, identities, parities, shingles
+    from sediment.llm.words import blocks, mixed
+
+    rng = random.Random(7)
+    texts = ["", "a", "a b c d", "a b c d e", "x " * 30, " \n ", *[" ".join(str(rng.randrange(40)) for _ in range(n)) for n in (4, 5, 6, 68, 69, 300, 1030)], ""]
+    for i, j, block in blocks(pa.array(texts), True):
+        h, ends = block_sets(block, j - i, 5)
+        (s1, s2), (bits, at) = identities(h, ends), all_parities(h, ends)
+        for r in range(j - i):
+            own = shingles(block, r, 5)
+            assert h[ends[r] : ends[r + 1]].tolist() == own.tolist()
+            assert bits[at[r] : at[r + 1]].tolist() == parities(own).tolist()
+            for x, s in ((0x243F6A8885A308D3, s1), (0x13198A2E03707344, s2)):
+                assert s[r : r + 1].view(U)[0] == mixed(own ^ U(x)).sum(dtype=U)
+
+
+def test_stars_are_told_by_parities_and_postings_travel_as_bytes(spark, monkeypatch):
+    """Sets that share a passage alone go before their elements travel; postings of one set alone are no rows of a table."""
+    from sediment.llm import jaccard_join
+
+    given, written = [], Counter()
+    told, kept = jaccard_join.plausible, jaccard_join.stored
+    monkeypatch.setattr(jaccard_join, "plausible", lambda pairs, *a: given.append(pairs.count()) or told(pairs, *a))
+
+    def stored(df, name):
+        out = kept(df, name)
+        written[name] += out.count() if "postings" in name else 0
+        return out
+
+    monkeypatch.setattr(jaccard_join, "stored", stored)
+    data = [(i, " ".join([f"p{j}" for j in range(40)] + [f"u{i}w{j}" for j in range(100)])) for i in range(40)]
+    data += [(100 + i, data[i][1].replace("w50", "edit")) for i in range(3)]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    out = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in rows(jaccard_join.similar_groups(df, 5, 80, 100)))
+    assert out == groups_of(data, 5, 80, 100) and len({c for _, _, c in out}) == 40
+    assert 3 <= given[0] <= 6  # 42 sets share a list with its leader
+    assert sum(written.values()) < 2 * 43 * 30  # sets have some 30 postings each, most of them of one set alone
+
+
+def test_near_duplicates_leaves_the_texts_where_they_are(spark):
+    """Few rows that go are broadcast whatever Spark's own limit is: the texts that stay are not shuffled."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = spark.createDataFrame([(i, f"{' '.join(f'w{j}' for j in range(30))} x{i % 2}", "en", "s", 1) for i in range(6)], "doc_id long, text string, lang string, source string, n_chars long")
+        out = corpus_pipeline.near_duplicates(spark, df, "")
+        assert [r.doc_id for r in out.collect()] == [0]
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
 def test_components_of_long_chains(spark):
     """Chains whose labels fall away from the smallest node, or stand in random order; a hub, a pair and a lone node."""
     import random
