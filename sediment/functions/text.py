@@ -5,11 +5,14 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from collections.abc import Callable
 from hashlib import sha256
 from html import unescape
 from itertools import groupby
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -105,21 +108,59 @@ def near(a: Column, b: Column, most: int = 2) -> Column:
     return F.levenshtein(a, b, most) >= 0
 
 
-TOKEN = re.compile(r"[A-Za-z0-9]+|[^A-Za-z0-9 \t\n]")
+#: Kinds of characters by their first byte: tokens by themselves, in words, blank.
+ALONE, IN_WORD, EMPTY = range(3)
+KINDS = np.full(256, ALONE, np.uint8)
+KINDS[[*range(48, 58), *range(65, 91), *range(97, 123)]] = IN_WORD
+KINDS[[9, 10, 32]] = EMPTY
+#: Bytes of text whose tokens are found at a time (a longer text is by itself).
+STRETCH = 1 << 22
+
+
+def found_tokens(texts: pa.Array) -> pa.Array:
+    """token_offsets() of an Arrow column of strings: their bytes are read in one pass, not token by token."""
+    texts = texts.fill_null("").cast(pa.large_string())
+    _, offsets, data = texts.buffers()
+    at = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    raw = np.frombuffer(data or b"", np.uint8)
+    counts, starts, stops, i = [], [], [], 0
+    while i < len(texts):
+        j = min(max(i + 1, int(np.searchsorted(at, at[i] + STRETCH, "right")) - 1), len(texts))
+        part = raw[at[i] : at[j]]
+        lead = (part & 0xC0) != 0x80  # each character's first byte
+        ends = np.r_[0, np.cumsum(lead)][at[i : j + 1] - at[i]]  # of texts, in characters
+        kind = KINDS[part[lead]]
+        word = kind == IN_WORD
+        joined = word[1:] & word[:-1]  # with the character before it
+        inner = ends[(ends > 0) & (ends < len(kind))]
+        joined[inner - 1] = False
+        solid = kind != EMPTY
+        first, last = (np.flatnonzero(x) for x in (solid & ~np.r_[False, joined][: len(kind)], solid & ~np.r_[joined, False][: len(kind)]))
+        many = np.diff(np.searchsorted(first, ends))
+        base = np.repeat(ends[:-1], many)
+        counts.append(many)
+        starts.append((first - base).astype(np.int32))
+        stops.append((last + 1 - base).astype(np.int32))
+        i = j
+    counts, starts, stops = (np.concatenate([np.zeros(0, np.int32), *x]) for x in (counts, starts, stops))
+    pairs = pa.StructArray.from_arrays([pa.array(starts), pa.array(stops)], ["start", "stop"])
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), pairs, mask=pa.array(counts == 0))
 
 
 def token_offsets(text: Column) -> Column:
     """array of struct start, stop in code points of the text's tokens: runs of ASCII letters and digits, and every other
     character but blanks, tabs and line ends by itself. Null where there are none. A row stays where it is."""
 
-    @F.pandas_udf("starts array<int>, stops array<int>")
-    def run(texts: pd.Series) -> pd.DataFrame:
-        found = [[m.span() for m in TOKEN.finditer(t or "")] for t in texts]
-        return pd.DataFrame({"starts": [[a for a, _ in f] for f in found], "stops": [[b for _, b in f] for f in found]})
+    @F.arrow_udf("array<struct<start:int,stop:int>>")
+    def run(texts: pa.Array) -> pa.Array:
+        return found_tokens(texts)
 
-    at = run(text)
-    pairs = F.zip_with(at["starts"], at["stops"], lambda a, b: F.struct(a.alias("start"), b.alias("stop")))
-    return F.when(F.size(at["starts"]) > 0, pairs)
+    return run(text)
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once, however often it is used: expressions in lambdas share nothing."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def token_span(text: Column, offsets: Column, start: Column, stop: Column, quote: Column | None = None) -> Column:
@@ -131,7 +172,7 @@ def token_span(text: Column, offsets: Column, start: Column, stop: Column, quote
     span, and what they cover beyond it is white space.
     """
     own = F.transform(offsets, lambda t, i: F.struct(i.alias("i"), t["start"].cast("int").alias("a"), t["stop"].cast("int").alias("b")))
-    return _token_span(text, F.filter(own, lambda t: t["a"] < t["b"]), start, stop, quote)
+    return bound(F.filter(own, lambda t: t["a"] < t["b"]), lambda own: _token_span(text, own, start, stop, quote))
 
 
 def own_tokens(offsets: Column) -> Column:
@@ -152,14 +193,17 @@ def _token_span(text: Column, own: Column, start: Column, stop: Column, quote: C
         halvings = F.sequence(F.lit(0), F.floor(F.log2(F.size(own) + 1)).cast("int"))
         return F.aggregate(halvings, F.struct(F.lit(0).alias("lo"), F.size(own).alias("hi")), step, lambda acc: acc["lo"])
 
-    first, after = search(lambda t: t["b"] <= start), search(lambda t: t["a"] < stop)
-    left, right = F.get(own, first)["a"], F.get(own, after - 1)["b"]
-    part = lambda a, b: F.substring(text, a + 1, b - a)
-    ok = (start >= 0) & (start < stop) & (stop <= F.char_length(text)) & (first < after) & (left <= start) & (right >= stop)
-    ok &= (strip(part(left, start)) == "") & (strip(part(stop, right)) == "")
-    if quote is not None:
-        ok &= quote.isNull() | (part(start, stop) == quote)
-    return F.when(ok, F.struct(F.get(own, first)["i"].alias("first"), (F.get(own, after - 1)["i"] + 1).alias("stop")))
+    def told(at: Column) -> Column:
+        first, after = at["first"], at["after"]
+        left, right = F.get(own, first)["a"], F.get(own, after - 1)["b"]
+        part = lambda a, b: F.substring(text, a + 1, b - a)
+        ok = (start >= 0) & (start < stop) & (stop <= F.char_length(text)) & (first < after) & (left <= start) & (right >= stop)
+        ok &= (strip(part(left, start)) == "") & (strip(part(stop, right)) == "")
+        if quote is not None:
+            ok &= quote.isNull() | (part(start, stop) == quote)
+        return F.when(ok, F.struct(F.get(own, first)["i"].alias("first"), (F.get(own, after - 1)["i"] + 1).alias("stop")))
+
+    return bound(F.struct(search(lambda t: t["b"] <= start).alias("first"), search(lambda t: t["a"] < stop).alias("after")), told)
 
 
 def tokenizer_offsets(path: str):

@@ -364,6 +364,32 @@ def test_token_offsets_stay_with_their_row(spark):
     assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_tokens_of_a_column_are_those_of_each_text(monkeypatch):
+    """Found in one pass over all bytes, in stretches of any size: the same tokens as by a regular expression, text by text."""
+    import random
+    import re
+
+    import pyarrow as pa
+
+    rng = random.Random(11)
+    texts = ["", "ab", "cd", None, "\u00e9", "9", " ", "\U0001f600", "a\r\n\t b"]
+    texts += ["".join(rng.choice("aZ9 \t\n.-\r\x0b\xa0\u00e9\u4e2d\U0001f600") for _ in range(rng.randrange(40))) for _ in range(300)]
+    want = [[m.span() for m in re.finditer(r"[A-Za-z0-9]+|[^A-Za-z0-9 \t\n]", t or "")] or None for t in texts]
+    for stretch in (1, 16, 1 << 20):
+        monkeypatch.setattr(T, "STRETCH", stretch)
+        for column, own in ((pa.array(texts), want), (pa.array(texts).slice(3), want[3:])):
+            assert [o and [(x["start"], x["stop"]) for x in o] for o in T.found_tokens(column).to_pylist()] == own
+    assert T.found_tokens(pa.array([], pa.string())).to_pylist() == []
+
+
+def test_token_spans_read_their_tokens_once(spark):
+    """The list of tokens is made once a span, not at each step of each search."""
+    df = spark.sql("SELECT repeat('ab, ', 3) AS t, array(struct(0 AS start, 2 AS stop), struct(2 AS start, 3 AS stop)) AS o")
+    span = df.select(T.token_span(F.col("t"), F.col("o"), F.lit(0), F.lit(3)).alias("s"))
+    assert tuple(span.first().s) == (0, 2)
+    assert span._jdf.queryExecution().analyzed().toString().count("filter(") == 1
+
+
 def test_filings_are_normalised_in_slices(spark):
     """A batch of any number of rows gives the same rows in order, and no more than a slice's sections are held at once."""
     from sediment.functions import filing
